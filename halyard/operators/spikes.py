@@ -4,7 +4,7 @@ Spikes are proposed by a Hampel filter (rolling median and median absolute devia
 before and after the run. Stuck values come from run lengths.
 
 A source may hold any share of the rows: it is windowed by spans of time. Readings near an end of a span, for which the
-windows would be cut off, are judged a second time with the neighbouring spans' ends beside them, if there are any. The
+windows would be cut off, are judged with the neighbouring spans' ends beside them, if there are any. The
 median change of a source is taken from counts of equal changes, which are added up before they are shuffled.
 """
 
@@ -20,8 +20,7 @@ REACH = 9  # readings that a verdict may need on either side
 LEVEL = 5  # readings that make the level on either side
 WIN = LEVEL + 2
 EPS = 1e-9
-#: Every use of the shared shuffle sorts by all of its columns, so that all uses need the same ones and it is made once.
-ORDER = ("us", "v", "row_id", "min_jump")
+ORDER = ("us", "v", "row_id")
 
 
 def _middle(a: Column) -> Column:
@@ -30,24 +29,20 @@ def _middle(a: Column) -> Column:
     return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
 
 
-def _firsts(rows: DataFrame) -> DataFrame:
-    """The readings proper: one of each group of rows with the same source, time and number."""
-    w = W.partitionBy(*KEY, "span").orderBy(*ORDER)
-    same = (F.lag("us").over(w) == F.col("us")) & (F.lag("v").over(w) == F.col("v"))
-    return rows.withColumn("again", F.coalesce(same, F.lit(False)))
-
-
 def _windows(x: DataFrame, part: tuple[str, ...]) -> DataFrame:
-    """Adds rn, n, run (length of the run of equal numbers, as far as it matters) and near (the numbers around)."""
+    """Adds rn, n, run (length of the run of equal numbers, as far as it matters), chg and near (the numbers around).
+
+    near is null where it can hold no spike, since its numbers are less than min_jump apart.
+    """
     w = W.partitionBy(*part).orderBy(*ORDER)
-    x = x.withColumns({"rn": F.row_number().over(w), "was": F.lag("v").over(w)})
-    x = x.withColumn("_at", F.when(F.col("was").isNull() | (F.col("was") != F.col("v")), F.col("rn")))
-    x = x.withColumn("_len", F.col("rn") - F.max("_at").over(w.rowsBetween(W.unboundedPreceding, 0)) + 1)
-    return x.withColumns({
+    x = x.withColumns({"rn": F.row_number().over(w), "chg": F.abs(F.col("v") - F.lag("v").over(w))})
+    x = x.withColumn("_len", F.col("rn") - F.max(F.when(F.coalesce(F.col("chg"), F.lit(1.0)) != 0, F.col("rn"))).over(w.rowsBetween(W.unboundedPreceding, 0)) + 1)
+    x = x.withColumns({
         "n": F.count(F.lit(1)).over(W.partitionBy(*part)),
         "run": F.max("_len").over(w.rowsBetween(0, REACH)),
         "near": F.collect_list("v").over(w.rowsBetween(-WIN, WIN)),
-    }).drop("_at", "_len")
+    }).drop("_len")
+    return x.withColumn("near", F.when(F.array_max("near") - F.array_min("near") >= F.col("min_jump") - EPS, F.col("near")))
 
 
 def _kind(x: DataFrame) -> DataFrame:
@@ -59,7 +54,7 @@ def _kind(x: DataFrame) -> DataFrame:
     limit = F.greatest(F.col("min_jump"), 8 * F.col("med")) - EPS
     limit = F.when(F.col("min_jump").isNotNull() & F.col("med").isNotNull(), limit)
     stuck = (F.col("run") >= 10) & (2 * F.col("changed") > F.col("changes"))
-    wide = F.coalesce(F.array_max("near") - F.array_min("near") >= limit, F.lit(False))
+    wide = F.coalesce(F.when(F.col("near").isNotNull(), F.array_max("near") - F.array_min("near")) >= limit, F.lit(False))
     x = x.where(stuck | wide)
     held = x.where(stuck).select(*keep, F.lit("stuck").alias("kind"))
     p = F.least(F.col("rn") - 1, F.lit(WIN))  # place of v in near, from 0
@@ -90,16 +85,14 @@ def _part(first: Column, last: Column) -> Column:
     return F.slice("near", (first + 1).cast("int"), (F.least(last, F.size("near") - 1) - first + 1).cast("int"))
 
 
-def source_changes(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+def source_changes(x: DataFrame) -> DataFrame:
     """Of each span of each source: how many spans the source has, and the source's med (median change), changes, changed.
 
-    changed counts the changes other than 0. rows must be partitioned by source and span.
+    x: readings with chg, their change from the reading before them in their span; changed counts those other than 0.
     """
-    w = W.partitionBy(*KEY, "span").orderBy(*ORDER)
-    x = firsts.withColumn("chg", F.abs(F.col("v") - F.lag("v").over(w)))
     at = F.struct(*ORDER)
-    spans = rows.groupBy(*KEY, "span").agg(F.min(at)["v"].alias("fv"), F.max(at)["v"].alias("lv"))
     by_source = W.partitionBy(*KEY)
+    spans = x.where("rn = 1 or rn = n").groupBy(*KEY, "span").agg(F.min(at)["v"].alias("fv"), F.max(at)["v"].alias("lv"))
     spans = spans.withColumns({"chg": F.abs(F.col("fv") - F.lag("lv").over(by_source.orderBy("span"))), "spans": F.count(F.lit(1)).over(by_source)})
     rounded = lambda df: df.where("chg is not null").select(*KEY, F.round("chg", 6).alias("chg"))
     counts = rounded(x).unionByName(rounded(spans)).groupBy(*KEY, "chg").agg(F.count(F.lit(1)).alias("c"))
@@ -120,25 +113,30 @@ def implausible(rows: DataFrame, span_days: int = 28, salts: int = 8) -> DataFra
     same side, by min_jump and by 8 times the source's median change at least; null min_jump: no spikes). Rows with the
     same source, time and number are one reading and share its kind. Readings of one time with several numbers are taken
     in order of the number. min_jump must be one per item. Empty tables give no rows.
+
+    The readings are parsed, shuffled and windowed once and written to the shared folder, from which the median changes,
+    the candidates, the ends of spans and the copies are read.
     """
     bad = F.coalesce(F.col("v") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("v") > F.col("hi"), F.lit(False))
-    impossible = rows.where(bad).select("row_id", F.lit("impossible").alias("kind"))
     width = span_days * 86_400_000_000
     span = ((F.col("us") - F.pmod("us", F.lit(width))) / width).cast("long")
-    # one shuffle of the readings, which all that follows shares
-    sound = rows.where(~bad).where("sid is not null and item is not null and us is not null and v is not null").select(*KEY, span.alias("span"), "us", "v", "row_id", "min_jump").repartition(*KEY, "span")
-    x = _firsts(sound)
-    firsts = x.where(~F.col("again")).drop("again")
-    limits = source_changes(sound, firsts)
-    whole = _windows(firsts, (*KEY, "span")).join(limits, [*KEY, "span"])
-    several = F.col("spans") > 1
-    at_end = several & ((F.col("rn") <= REACH) | (F.col("rn") > F.col("n") - REACH))
-    context = whole.where(several & ((F.col("rn") <= 2 * REACH) | (F.col("rn") > F.col("n") - 2 * REACH)))
-    context = context.withColumn("judged", at_end).drop("rn", "n", "run", "near", "was")
-    outer = _windows(context, KEY).where("judged").drop("judged")
-    found = materialize(_kind(whole.where(~at_end).unionByName(outer)), "implausible")  # few rows, used twice
+    x = rows.where("sid is not null and item is not null and us is not null and v is not null").select(*KEY, span.alias("span"), "us", "v", "row_id", "min_jump", bad.alias("bad"))
+    w = W.partitionBy(*KEY, "span", "bad").orderBy(*ORDER)
+    same = (F.lag("us").over(w) == F.col("us")) & (F.lag("v").over(w) == F.col("v"))
+    x = x.withColumn("again", F.coalesce(same, F.lit(False)))
+    all_rows = materialize(_windows(x, (*KEY, "span", "bad", "again")), "readings")
+    impossible = all_rows.where("bad").select("row_id", F.lit("impossible").alias("kind"))
+    sound = all_rows.where("not bad and not again").drop("bad", "again")
+    limits = materialize(source_changes(sound), "source-changes")  # a row per source and span
+    several = limits.where("spans > 1").select(*KEY, "span")
+    ends = sound.where((F.col("rn") <= 2 * REACH) | (F.col("rn") > F.col("n") - 2 * REACH)).join(several, [*KEY, "span"], "left_semi")
+    at_end = (F.col("rn") <= REACH) | (F.col("rn") > F.col("n") - REACH)
+    outer = _windows(ends.withColumn("judged", at_end).drop("rn", "n", "run", "near", "chg"), KEY).where("judged").drop("judged")
+    able = F.col("near").isNotNull() | (F.col("run") >= 10)
+    inner = sound.where(able).join(limits, [*KEY, "span"]).where(~((F.col("spans") > 1) & at_end))
+    found = materialize(_kind(inner.unionByName(outer.where(able).join(limits, [*KEY, "span"]))), "implausible")  # few rows, used twice
     # a group of copies may be of any size: its rows are spread over salts
-    copies = x.where("again").select(*KEY, "us", "v", F.col("row_id").alias("copy"), F.pmod("row_id", F.lit(salts)).alias("salt"))
+    copies = all_rows.where("again and not bad").select(*KEY, "us", "v", F.col("row_id").alias("copy"), F.pmod("row_id", F.lit(salts)).alias("salt"))
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    copied = copies.join(spread, [*KEY, "us", "v", "salt"]).where("copy >= row_id").select(F.col("copy").alias("row_id"), "kind")
+    copied = copies.join(spread, [*KEY, "us", "v", "salt"]).select(F.col("copy").alias("row_id"), "kind")
     return impossible.unionByName(found.select("row_id", "kind")).unionByName(copied)
