@@ -29,9 +29,9 @@ NOT_ENGLISH = frozenset("the a an is was were and or of in on at to for with fro
 #: Words near a number that make it an identity number, a telephone number, or the number of a thing.
 ID_WORDS = "주민|등록번호|외국인|여권|passport|보험|insurance|환자번호|병록번호|차트|chart|MRN|Hospital No|ID#|ID No|환자 ?ID|생년월일|동의서|RRN|SSN"
 PHONE_WORDS = "전화|연락|핸드폰|휴대|통화|문자|비상|당직|직장|회신|call|tel|phone|mobile|reach|☎|H\\.P|HP|보호자"
-THING_WORDS = "lot|S/N|SN|serial|바코드|barcode|코드|code|검체|혈액번호|혈액백|unit no|batch|model|장비|주입펌프|펌프|pump|약품|device|REF|specimen|단위번호|mL|ml"
+THING_WORDS = "lot|S/N|SN|serial|바코드|barcode|코드|code|검체|혈액번호|혈액백|unit no|batch|model|장비|주입펌프|펌프|pump|약품|device|REF|specimen|단위번호"
 UNITS = r"(?:시|군|구|읍|면|도|특별시|광역시)"
-STREETS = "Street|St|Drive|Dr|Lane|Ln|Avenue|Ave|Court|Ct|Road|Rd|Boulevard|Blvd|Way|Place|Pl|Terrace|Crescent|Close|Square|Row|Hill|Parkway|Walk"
+STREETS = "Street|Drive|Lane|Avenue|Court|Road|Boulevard|Way|Place|Terrace|Crescent|Close|Square|Parkway"
 # ----------------------------------------------------------------------------------------------------------------------
 
 _F = regex.IGNORECASE | regex.V1
@@ -53,10 +53,11 @@ class Rule:
     kind: str
     pattern: regex.Pattern
     score: float
+    need: tuple[str, ...] = ()  # texts without any of these, in lower case, can't match
 
 
-def _rule(kind: str, score: float, pattern: str, flags: int = _F) -> Rule:
-    return Rule(kind, regex.compile(pattern, flags), score)
+def _rule(kind: str, score: float, pattern: str, flags: int = _F, need: str = "") -> Rule:
+    return Rule(kind, regex.compile(pattern, flags), score, tuple(need.split("|")) if need else ())
 
 
 def _labels(*words: str) -> str:
@@ -72,51 +73,54 @@ _LOT = rf"[가-힣0-9]+(?:동|리|가)\s+(?:산\s?)?\d+(?:-\d+)?(?:번지)?"
 _FLAT = rf"(?:,?\s+(?:[가-힣]+(?:아파트|빌라|주공|맨션|타운)\s+)?(?:\d+동\s+\d+호|\d+-\d+(?:호)?|\d+호))?"
 
 RULES = (
-    _rule("email", 0.95, rf"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}"),
-    _rule("email", 0.9, r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+"),
+    _rule("email", 0.95, rf"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}", need="@|[at|(at|[ at|( at|{at|<at|골뱅이"),
+    _rule("email", 0.9, r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+", need="dot"),
     # telephone numbers: mobile, city, international
-    _rule("phone", 0.75, rf"(?<![\d\-.])(?:\+?\s?82{_SEP}?\(?0?\)?|\(?0)1[016789]\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)"),
-    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|(?:\+?82{_SEP}?)?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)"),
-    _rule("phone", 0.75, rf"(?<![\w\-.])\+\d{{1,3}}{_SEP}?\(?\d{{1,4}}\)?(?:{_SEP}{{1,2}}\d{{2,4}}){{2,4}}(?![\d]|[\-.]\d)"),
-    _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)"),
+    _rule("phone", 0.75, rf"(?<![\d\-.])(?:\+?\s?82{_SEP}?(?:\(0\)|0)?|0)1[016789]{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)", need="1"),
+    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|(?:\+?82{_SEP}?)?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0"),
+    _rule("phone", 0.75, rf"(?<![\w\-.])\+(?!82)\d{{1,3}}{_SEP}?\(?\d{{1,4}}\)?(?:{_SEP}{{1,2}}\d{{2,4}}){{2,4}}(?![\d]|[\-.]\d)", need="+"),
+    _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)", need="전화|연락처|폰|tel|phone"),
     # identity numbers
     _rule("id_number", 0.6, r"(?<![\d\-.])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:\s?[\-–‑]\s?|\s)?[1-8]\d{6}(?![\d]|[\-.]\d)"),
     _rule("id_number", 0.4, r"(?<![\d\-.])\d{6}\s?[\-–‑]\s?\d{7}(?![\d]|[\-.]\d)"),
-    _rule("id_number", 0.9, rf"{_ID_LABEL}{_S}*[:#]?\s*{_FILL}(?P<x>{_DIGITS})(?![\d])"),
-    _rule("id_number", 0.9, rf"(?:여권(?:\s?번호)?|passport(?:\s*(?:no\.?|number|#))?)\s*[:#]?\s*{_FILL}(?P<x>[A-Z]{{1,2}}\d{{7,8}}|[A-Z]\d{{3}}[A-Z]\d{{4}})(?!\d)"),
-    _rule("id_number", 0.9, rf"(?:보험증?(?:\s?번호)|insurance\s*(?:no\.?|number|#|id))\s*[:#]?\s*{_FILL}(?P<x>\d(?:[\d\-]{{8,13}})\d)(?!\d)"),
-    _rule("id_number", 0.85, rf"(?:주민|외국인)(?:등록)?\s?번호\s*[:#]?\s*{_FILL}(?P<x>\d{{6}}\s?[\-–‑]?\s?[\d*]{{7}})(?!\d)"),
+    _rule("id_number", 0.9, rf"{_ID_LABEL}{_S}*[:#]?\s*{_FILL}(?P<x>{_DIGITS})(?![\d])", need="mrn|no|번호|id|chart|patient"),
+    _rule("id_number", 0.9, rf"(?:여권(?:\s?번호)?|passport(?:\s*(?:no\.?|number|#))?)\s*[:#]?\s*{_FILL}(?P<x>[A-Z]{{1,2}}\d{{7,8}}|[A-Z]\d{{3}}[A-Z]\d{{4}})(?!\d)", need="여권|passport"),
+    _rule("id_number", 0.9, rf"(?:보험증?(?:\s?번호)|insurance\s*(?:no\.?|number|#|id))\s*[:#]?\s*{_FILL}(?P<x>\d(?:[\d\-]{{8,13}})\d)(?!\d)", need="보험|insurance"),
+    _rule("id_number", 0.85, rf"(?:주민|외국인)(?:등록)?\s?번호\s*[:#]?\s*{_FILL}(?P<x>\d{{6}}\s?[\-–‑]?\s?[\d*]{{7}})(?!\d)", need="주민|외국인"),
+    _rule("id_number", 0.85, rf"(?<![가-힣]){KO}\s*[/,;]\s*(?P<x>\d{{6}}\s?[\-–‑]?\s?\d{{7}})(?!\d)", need="NUMBER13"),
     _rule("id_number", 0.45, r"(?<![\d\-.])(?:\d{4}[ \-]){3}\d{4}(?![\d\-])"),
     _rule("id_number", 0.45, r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}\b", regex.V1),
     # home addresses
-    _rule("address", 0.85, rf"(?<![가-힣])(?:[가-힣]+{UNITS}\s+){{1,3}}(?:{_ROAD}|(?:[가-힣]+{UNITS}\s+)?{_LOT}){_FLAT}"),
-    _rule("address", 0.85, rf"(?<![\w])(?:(?:Apt|Apartment|Unit|Flat|Suite|#)\.?\s*\d+[A-Z]?,\s*)?\d{{1,5}}\s+(?:[A-Za-z'’]+\s+){{1,3}}(?:{STREETS})\b\.?(?:,\s*(?:[A-Za-z'’]+)(?:{_S}+[A-Z][A-Za-z'’]+)?(?=[\s,.;)/]|$))?"),
+    _rule("address", 0.85, rf"(?<![가-힣])(?:[가-힣]+{UNITS}\s+){{1,3}}(?:{_ROAD}|(?:[가-힣]+{UNITS}\s+)?{_LOT}){_FLAT}", need="로 |길 |번지|리 "),
+    _rule("address", 0.85, rf"(?<![\w])(?:(?:Apt|Apartment|Unit|Flat|Suite|#)\.?\s*\d+[A-Z]?,\s*)?\d{{1,5}}\s+(?:[A-Za-z'’]{{2,}}{_S}+){{1,3}}(?:{STREETS})\b(?:,{_S}*(?:[A-Za-z'’]+)(?:{_S}+(?-i:[A-Z][A-Za-z'’]+))?(?=[\s,.;)/]|$))?", need="street|drive|lane|avenue|court|road|boulevard|way|place|terrace|crescent|close|square|parkway"),
     # names in Korean
-    _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$|님|씨)"),
-    _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{EN})(?=\s*(?:[,;./()\n]|$|전화|주소))"),
-    _rule("name", 0.85, rf"(?:기록자|인계받은\s+사람|의뢰의|작성자|서명자|담당자|인계자)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$)"),
-    _rule("name", 0.85, rf"보호자\s+{_FILL}(?P<x>{KO})(?=\s*(?:\(?[+0]\d?|\(\(|에게|께|와|과|,\s*전화)|\s*\([+(\d])"),
-    _rule("name", 0.85, rf"(?<![가-힣])환아\s+{_FILL}(?P<x>{KO})(?=\s+{_FILL}보호자)"),
-    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s?님(?:[\s,.;)(/]|$|이|의|과|께|은|을))"),
-    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+씨(?:[\s(,.]|$)|씨(?:[\s(,.]|$))"),
-    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+{_FILL}(?:어린이|환아\s+{_FILL}수술|환자\s+{_FILL}본인|군\s|양\s))"),
-    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_FILL}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_FILL}보조|[,;]\s*RN))"),
-    _rule("name", 0.85, rf"마취의\s+{_FILL}{KO}\s*[,;]\s*{_FILL}보조\s+{_FILL}(?P<x>{KO})(?=[\s,;.)]|$)"),
-    _rule("name", 0.85, rf"마취의\s+{_FILL}(?P<x>{KO})(?=\s*[,;]\s*{_FILL}보조)"),
-    _rule("name", 0.8, rf"(?<![가-힣])(?P<x>{KO})(?=\s*[/,;]\s*\d{{6}}\s?[\-–‑]?\s?\d{{7}})"),
+    _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$|님|씨)", need="성명|환자명|이름|성함"),
+    _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{EN})(?=\s*(?:[,;./()\n]|$)|\s+[가-힣0-9])", need="성명|환자명|이름|성함"),
+    _rule("name", 0.85, rf"(?:기록자|인계받은\s+사람|의뢰의|작성자|서명자|담당자|인계자)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$)", need="기록자|인계|의뢰의|작성자|서명자|담당자"),
+    _rule("name", 0.85, rf"보호자\s+{_FILL}(?P<x>{KO})(?=\s*(?:\(?[+0]\d?|\(\(|에게|께|와|과|,\s*전화)|\s*\([+(\d])", need="보호자"),
+    _rule("name", 0.85, rf"(?<![가-힣])환아\s+{_FILL}(?P<x>{KO})(?=\s+{_FILL}보호자)", need="환아"),
+    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s?님(?:[\s,.;)(/]|$|이|의|과|께|은|을))", need="님"),
+    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+씨(?:[\s(,.]|$)|씨(?:[\s(,.]|$))", need="씨"),
+    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+{_FILL}(?:어린이|환아\s+{_FILL}수술|환자\s+{_FILL}본인|군\s|양\s))", need="어린이|환아|환자|군 |양 "),
+    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_FILL}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_FILL}보조|[,;]\s*RN))", need="집도의|전공의|간호사|보조|과장|교수|선생|펠로우|전문의|의사|과"),
+    _rule("name", 0.85, rf"마취의\s+{_FILL}{KO}\s*[,;]\s*{_FILL}보조\s+{_FILL}(?P<x>{KO})(?=[\s,;.)]|$)", need="보조"),
+    _rule("name", 0.85, rf"마취의\s+{_FILL}(?P<x>{KO})(?=\s*[,;]\s*{_FILL}보조)", need="보조"),
+    _rule("name", 0.8, rf"(?<![가-힣])(?P<x>{KO})(?=\s*[/,;]\s*\d{{6}}\s?[\-–‑]?\s?\d{{7}})", need="NUMBER13"),
     # names in Latin letters
-    _rule("name", 0.85, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN})(?=\s*(?:,|;|at\s+bedside|hold|waiting|consented|notified|RN|MD|requested|called|/|\)|\(|<|\.\s|\n|$))"),
-    _rule("name", 0.8, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN_CAP})", regex.V1),
-    _rule("name", 0.85, rf"\b(?:mother|father|mom|dad|parents?|guardian|grandmother|grandfather|aunt|uncle|sister|brother|caregiver)\s*\((?P<x>{EN})\)"),
-    _rule("name", 0.85, rf"\b(?:mother|father|mom|dad|parents?|guardian|grandmother|grandfather|aunt|uncle)\s*[\(,]?\s*(?P<x>{KO})(?=[)\s])"),
-    _rule("name", 0.85, rf"\b(?:fellow|nurse|resident|attending|anesthesiologist|surgeon|RN)\s+(?P<x>{EN})(?=\s*(?:<|\(|,|notified|aware))"),
-    _rule("name", 0.85, rf"\b(?:verified|checked|signed|recorded|seen|done|reviewed|confirmed)\s+by\s+(?P<x>{EN})(?=\s*[,;]\s*(?:RN|MD|CRNA|nurse))"),
-    _rule("name", 0.85, rf"\b(?:Pt\.?|patient|child'?s?|pt's)\s*name\s*[:：]?\s*(?P<x>{EITHER})(?=\s*(?:[,;./()\n]|$|{_S}))"),
-    _rule("name", 0.7, rf"(?<=거주하는\s)(?P<x>{KO})(?=\s*(?:님|씨))"),
+    _rule("name", 0.85, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN})(?=\s*(?:,|;|at\s+bedside|hold|waiting|consented|notified|RN|MD|requested|called|/|\)|\(|<|\.\s|\n|$))", need="dr|prof|mr|ms|miss"),
+    _rule("name", 0.8, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN_CAP})", regex.V1, need="dr|prof|mr|ms|miss"),
+    _rule("name", 0.85, rf"\b(?:mother|father|mom|dad|parents?|guardian|grandmother|grandfather|aunt|uncle|sister|brother|caregiver)\s*\((?P<x>{EN})\)", need="mother|father|mom|dad|parent|guardian|aunt|uncle|sister|brother|caregiver"),
+    _rule("name", 0.85, rf"\b(?:mother|father|mom|dad|parents?|guardian|grandmother|grandfather|aunt|uncle)\s*[\(,]?\s*(?P<x>{KO})(?=[)\s])", need="mother|father|mom|dad|parent|guardian|aunt|uncle"),
+    _rule("name", 0.85, rf"\b(?:fellow|nurse|resident|attending|anesthesiologist|surgeon|RN)\s+(?P<x>{EN})(?=\s*(?:<|\(|,|notified|aware))", need="fellow|nurse|resident|attending|anesthesiologist|surgeon|rn"),
+    _rule("name", 0.85, rf"\b(?:verified|checked|signed|recorded|seen|done|reviewed|confirmed)\s+by\s+(?P<x>{EN})(?=\s*[,;]\s*(?:RN|MD|CRNA|nurse))", need="by "),
+    _rule("name", 0.85, rf"\b(?:Pt\.?|patient|child'?s?|pt's)\s*name\s*[:：]?\s*(?P<x>{EITHER})(?=\s*(?:[,;./()\n]|$|{_S}))", need="name"),
+    _rule("name", 0.8, rf"\bpatient\s+(?P<x>{EN})(?=\s+(?:[a-z]+ed|is|was|has)\b)", need="patient"),
+    _rule("name", 0.7, rf"(?<=거주하는\s)(?P<x>{KO})(?=\s*(?:님|씨))", need="거주하는"),
 )
 
 _NEAR = 24
 _IDS, _PHONES, _THINGS = (regex.compile(p, _F) for p in (ID_WORDS, PHONE_WORDS, THING_WORDS))
+_NUMBER13 = regex.compile(r"\d{6}\s?[\-–‑]?\s?\d{7}")
 _AFTER_ML = regex.compile(r"\s*(?:mL|cc)\b", _F)
 
 
@@ -166,7 +170,7 @@ def _score(rule: Rule, text: str, lo: int, hi: int) -> float:
         words = value.split()
         if value in NOT_NAMES or "".join(words) in NOT_NAMES or any(w in NOT_NAMES for w in words):
             score -= 0.6
-        if value.isascii() and any(w.lower().strip(".") in NOT_ENGLISH for w in words):
+        if value.isascii() and any(w.lower() in NOT_ENGLISH for w in words):
             score -= 0.6
     return score
 
@@ -176,8 +180,11 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     if not text:
         return []
     plain, begin, end = folded(text)
+    low = plain.lower() + ("NUMBER13" if _NUMBER13.search(plain) else "")
     found = []
     for rule in RULES:
+        if rule.need and not any(word in low for word in rule.need):
+            continue
         for m in rule.pattern.finditer(plain, overlapped=rule.kind == "name"):
             lo, hi = m.span("x") if "x" in rule.pattern.groupindex else m.span()
             score = _score(rule, plain, lo, hi)
