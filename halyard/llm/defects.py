@@ -1,0 +1,337 @@
+"""Broken prompt and response pairs: empty, refused, copied, foreign and truncated answers.
+
+A multi-label linear classifier (logistic, one head per defect) reads hashed n-grams of the answer, its ends, and features
+of the pair. It is trained on a bounded sample of the answers themselves, taken as sound, and on answers made from them:
+cut off, copied from the prompt, swapped between prompts, refused, or in another language. Each head's threshold is
+calibrated on made answers that it was not trained on. Of copies and foreign answers an exact check confirms what the
+classifier proposes; emptiness needs none but that check.
+"""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import regex
+from pyspark.sql import DataFrame, functions as F
+
+from .overlap import letters
+
+DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
+HEADS = ("refusal", "copy", "language", "truncated")
+DIM = 1 << 16
+SAMPLE = 2_500  # answers that the classifier is trained on
+COPIED = 0.8  # least share of an answer's letters that a copy has from its prompt
+GRAM = 6
+DOUBT = 0.02  # score from which a sampled answer is not taught as sound
+
+# fixed values ---------------------------------------------------------------------------------------------------------
+MISSING = frozenset("null none nan na nil undefined missing blank empty tbd 없음 해당없음 미입력 미기재 무응답 빈칸 결측 noanswer noresponse nooutput".split())
+NO_ISSUE = frozenset("특이사항없음 특이소견없음 이상없음 이상소견없음 특이사항없습니다".split())
+REFUSALS = """죄송하지만 의료 정보에 대한 요약은 제공해 드릴 수 없습니다.
+죄송합니다. 요청하신 내용은 도와드릴 수 없습니다.
+저는 AI 언어 모델이므로 임상적 판단이 필요한 인계문을 작성할 수 없습니다.
+저는 인공지능이라 환자에 대한 인계문을 쓸 수 없습니다.
+의료 조언을 드리는 것은 제 역할을 벗어나므로 답변을 삼가겠습니다.
+이 질문에는 답변하지 않겠습니다.
+해당 요청에는 응하기 어렵습니다.
+환자 정보가 포함되어 있어 요청을 처리할 수 없습니다.
+개인정보 보호를 위해 이 요청은 처리하지 않습니다.
+요청하신 작업을 수행할 수 없습니다. 담당 의료진과 상의하시기 바랍니다.
+답변을 드리기 어려운 점 양해 부탁드립니다.
+이 내용에 대해서는 말씀드릴 수 없습니다. 전문의에게 문의하세요.
+제공된 정보로는 답변할 수 없으니 의료진에게 문의해 주세요.
+기록만으로는 인계문을 작성해 드리기 곤란합니다. 양해 부탁드립니다.
+요청하신 내용은 안전 정책에 따라 작성이 불가합니다.
+운영 정책상 의료 기록에 대한 답변은 불가능합니다.
+저에게는 환자 기록을 다룰 권한이 없습니다.
+인계문 작성은 제가 도와드릴 수 있는 범위를 벗어납니다.
+이 요청은 거절하겠습니다. 양해해 주시기 바랍니다.
+해당 내용에 대해서는 의견을 드리지 않습니다.
+I'm sorry, but I can't help with that.
+I'm sorry, but I can't help with producing clinical documentation.
+I cannot provide a medical handoff. Please consult a qualified clinician.
+As a language model, I am not able to review patient records.
+As an AI, I can't give medical advice.
+Unfortunately this request falls outside what I may answer.
+I am unable to assist with this request. Please ask about something else.
+I won't be able to write this note. Please contact the care team.
+Sorry, I can't comply with this request.
+I must decline to summarize this record.
+申し訳ありませんが、この内容にはお答えできません。
+恐れ入りますが、医療に関するご依頼には対応できません。
+抱歉，我无法提供医疗建议。
+很抱歉，我不能回答这个问题，请咨询医生。
+Lo siento, pero no puedo ayudar con esta solicitud.
+Es tut mir leid, aber dabei kann ich nicht helfen.
+Je suis désolé, mais je ne peux pas répondre à cette demande.
+К сожалению, я не могу помочь с этим запросом.
+Xin lỗi, tôi không thể trả lời yêu cầu này.""".split("\n")
+AFTER_REFUSAL = ("", "", "추가 문의는 담당과로 부탁드립니다.", "다른 도움이 필요하시면 말씀해 주세요.", "정확한 내용은 주치의에게 문의하세요.", "Please ask about something else.")
+FOREIGN = """The patient had a stable course and was transferred to the recovery room.
+Watch for stridor after extubation and keep the child warm.
+Blood loss was small and urine output was adequate throughout.
+Oxygen saturation fell for a few minutes and recovered with suction.
+El paciente permaneció estable y fue trasladado a la sala de recuperación.
+Se recomienda vigilar la respiración y la temperatura.
+Der Patient war stabil und wurde in den Aufwachraum verlegt.
+Auf Nachblutung und Atmung ist zu achten.
+Le patient est resté stable et a été transféré en salle de réveil.
+Surveiller la respiration et la température.
+Пациент стабилен и переведён в палату пробуждения.
+Следить за дыханием и температурой.
+患者は安定しており、回復室に移りました。
+呼吸と体温に注意してください。
+患者生命体征平稳，已转入恢复室。
+请注意呼吸和体温变化。
+Bệnh nhân ổn định và được chuyển về phòng hồi tỉnh.
+Cần theo dõi hô hấp và nhiệt độ.""".split("\n")
+_HEADING = regex.compile(r"^\s*(?:[#*>\-•·\s]*)(?:인계\s?(?:요약|문|사항|내용)?|답변|답|요약|결과|출력|회복실\s?인계문?|output|answer|hand-?off(?:\s+note)?|summary|response|result)\s*[*#]*\s*(?:[:：]\s*[*]*|\n|$)", regex.I)
+# ----------------------------------------------------------------------------------------------------------------------
+
+_SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
+_MARKS = regex.compile(r"^\s*(?:[-*•·▶▷►#>]+|\d{1,2}[.)]|[①-⑳]|\([0-9a-z]\))\s*", regex.I)
+_WORD = regex.compile(r"\S+")
+_OPEN = regex.compile(r"(?:을|를|(?<!추)이|가|에|의|로|와|과|은|는|도|고|며|여|어|나|및|한|할|된|될)$")
+
+
+def body(answer: str) -> str:
+    """The answer without headings before it."""
+    while (m := _HEADING.match(answer)) and m.end():
+        answer = answer[m.end() :]
+    return answer
+
+
+def is_empty(answer: str | None) -> bool:
+    """Null, or nothing but blanks, signs, list marks, headings or stand-ins for a missing value."""
+    if answer is None:
+        return True
+    rest = letters(_MARKS.sub("", body(answer)))
+    return not any(c.isalpha() for c in rest) or rest in MISSING
+
+
+def korean_sentences(text: str) -> int:
+    """Sentences with two Hangul syllables at least beside which the other letters don't make up nearly all."""
+    count = 0
+    for s in _SENTENCE.split(text):
+        ko = sum("가" <= c <= "힣" for c in s)
+        count += ko >= 2 and ko >= 0.08 * sum(c.isalpha() for c in s)
+    return count
+
+
+def copied_share(answer: str, prompt: str) -> float:
+    """Share of the answer's letters that lie in runs of GRAM letters of the prompt."""
+    a, p = letters(answer), letters(prompt)
+    if len(a) < GRAM:
+        return float(bool(a) and a in p)
+    there = {p[i : i + GRAM] for i in range(len(p) - GRAM + 1)}
+    total = last = 0
+    for i in range(len(a) - GRAM + 1):
+        if a[i : i + GRAM] in there:
+            total += i + GRAM - max(i, last)
+            last = i + GRAM
+    return total / len(a)
+
+
+#: What each head reads: grams of each sentence (the highest score counts), how much is copied, the script, the end.
+READS = {"refusal": "gram", "copy": "copied", "language": "script", "truncated": "end"}
+
+
+def _hash(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % DIM
+
+
+def _grams(text: str) -> np.ndarray:
+    """Slots of the runs of two, three and four characters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    out = []
+    for n in (2, 3, 4):
+        if len(points) >= n:
+            h = np.full(len(points) - n + 1, n, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(1_000_003) + points[k : len(points) - n + 1 + k]
+            out.append((h ^ (h >> np.uint64(29))) % np.uint64(DIM))
+    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
+@dataclass
+class Pair:
+    """An answer with what is known of it beside its prompt; slots: the features by what they are of."""
+
+    text: str
+    copied: float
+    korean: int
+    slots: dict[str, list[np.ndarray]]  # one array for the answer, or one for each sentence
+
+
+def look(prompt: str | None, answer: str) -> Pair:
+    text = body(answer).strip()
+    copied, korean = copied_share(text, prompt or ""), korean_sentences(text)
+    plain = regex.sub(r"\d+", "0", text)
+    kept = sum(c.isalpha() for c in text) or 1
+    hangul = sum("가" <= c <= "힣" for c in text) / kept
+    words = _SENTENCE.split(plain)[-1].split() or [""]
+    ends = [f"e{plain[-n:]}" for n in range(1, 13)] + [f"w{' '.join(words[-n:])}" for n in (1, 2, 3)] + [f"x{plain.rstrip('.')[-n:]}" for n in range(1, 9)]
+    grams = [_grams(x) for x in _SENTENCE.split(plain.lower()) if sum(c.isalpha() for c in x) > 2]
+    slots = {
+        "gram": [np.append(g, _hash("bias")) for g in grams] or [np.array([_hash("bias")])],
+        "copied": [np.array([_hash("bias"), *(_hash(f"c{k}") for k in range(1, 20) if copied >= k / 20)], np.int64)],
+        "script": [np.array([_hash("bias"), _hash(f"k{min(korean, 3)}"), *(_hash(f"h{k}") for k in range(1, 20) if hangul >= k / 20)], np.int64)],
+        "end": [np.array(sorted({_hash(x) for x in ("bias", *ends)}), np.int64)],
+    }
+    return Pair(text, copied, korean, slots)
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@dataclass
+class Model:
+    weights: np.ndarray  # heads x DIM
+    thresholds: dict[str, float]
+
+    def scores(self, pair: Pair) -> dict[str, float]:
+        return {h: float(max(_logistic(w[g].sum()) for g in pair.slots[READS[h]])) for h, w in zip(HEADS, self.weights)}
+
+    def defect(self, prompt: str | None, answer: str | None) -> tuple[str | None, float]:
+        """The first defect that fits, and its score."""
+        if is_empty(answer):
+            return "empty", 1.0
+        pair = look(prompt, answer)
+        if letters(pair.text) in NO_ISSUE:
+            return None, 0.0
+        p = self.scores(pair)
+        for head in HEADS:
+            proposed = p[head] >= self.thresholds[head]
+            if head == "copy":
+                proposed &= pair.copied >= COPIED
+            elif head == "language":
+                proposed &= pair.korean == 0
+            if proposed:
+                return head, float(p[head])
+        return None, float(max(p.values()))
+
+
+def _made(base: list[tuple[str, str]], rng: random.Random) -> Iterator[tuple[str, str, str]]:
+    """(prompt, answer, label) made from sound pairs; label "" is sound."""
+    for prompt, answer in base:
+        yield prompt, answer, ""
+        if answer.endswith("."):
+            yield prompt, answer[:-1], ""  # a full stop may be left out
+        lines = [x.strip() for x in prompt.split("\n") if len(x.strip()) > 8]
+        yield rng.choice(base)[0], answer, ""  # swapped between prompts, it is a sound answer by itself
+        if lines and rng.random() < 0.5:
+            yield prompt, f"{answer} 기록상 '{rng.choice(lines).strip('.')}' 소견 확인됨.", ""
+        for _ in range(3):
+            sentences = [m for m in regex.finditer(r"[^.!?\n]+(?:[.!?](?=\s|$)|\n|$)|\S+", answer) if len(_WORD.findall(m[0])) > 1]
+            if not sentences:
+                break
+            m = rng.choice(sentences)
+            words = list(_WORD.finditer(answer, m.start(), m.end()))
+            if rng.random() < 0.8:
+                cut = words[rng.randrange(len(words) - 1)].end()
+            else:
+                w = rng.choice(words)
+                cut = rng.randrange(w.start() + 1, w.end() + 1)
+            if sum(c.isalpha() for c in answer[cut : m.end()]) and is_empty(answer[:cut]) is False:
+                yield prompt, answer[:cut].rstrip(), "truncated"
+        if lines:
+            k = rng.randrange(len(lines))
+            part = lines[k : k + rng.randint(1, 6)]
+            if rng.random() < 0.5:
+                part = rng.sample(lines, min(len(lines), rng.randint(1, 5)))
+            text = rng.choice(["\n", " / ", " ", ". "]).join(part)
+            text = rng.choice([text, text, text.replace(",", ""), f"인계문: {text}", prompt[: rng.randint(60, 600)], prompt])
+            yield prompt, text, "copy"
+        refusal = rng.choice(REFUSALS)
+        if rng.random() < 0.3:
+            refusal = rng.choice(("요청 확인했습니다. ", "네, 확인했습니다. ", "안녕하세요. ")) + refusal
+        yield prompt, f"{refusal} {rng.choice(AFTER_REFUSAL)}".strip(), "refusal"
+        foreign = " ".join(rng.sample(FOREIGN, rng.randint(1, 3)))
+        yield prompt, rng.choice(["", "", "인계 요약: "]) + foreign, "language"
+
+
+def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 5, rate: float = 0.3) -> Model:
+    """A model from (prompt, answer) pairs that are sound for the most part."""
+    rng = random.Random(seed)
+    base, foreign = [], []
+    for prompt, answer in rows:
+        if not is_empty(answer):
+            pair = look(prompt, answer)
+            if pair.copied < COPIED:
+                (base if pair.korean else foreign).append((prompt, answer.strip()))
+    # answers without a full stop are taken as sound if many end so, in Hangul, with no particle and no bracket open
+    close = lambda a: " ".join(regex.sub(r"\d+", "0", a).split()[-2:])
+    often = Counter(close(a) for _, a in base)
+    ends = lambda a: "가" <= a[-1] <= "힣" and not _OPEN.search(a) and a.count("(") == a.count(")")
+    base = [(p, a) for p, a in base if a[-1] in ".!?。" or ends(a) and often[close(a)] >= max(3, 0.002 * len(base))]
+    made = list(_made(base, rng)) if base else []
+    made += [(p, a, "foreign") for p, a in foreign]
+    rng.shuffle(made)
+    pairs = [look(p, a) for p, a, _ in made]
+    weights = np.zeros((len(HEADS), DIM))
+    thresholds = dict.fromkeys(HEADS, 0.5)
+    for w, head in zip(weights, HEADS):
+        parts = [(g, label) for pair, (_, _, label) in zip(pairs, made) if label != "foreign" or head != "truncated" for g in pair.slots[READS[head]]]
+        x, labels = [g for g, _ in parts], np.array([label for _, label in parts])
+        y = ((labels == head) | (head == "language") & (labels == "foreign")).astype(float)
+        sound = (labels == "") | (labels == "foreign") | (labels == "truncated") & (head == "refusal")
+        held = len(parts) // 5
+        kept = np.arange(held, len(parts))
+        for turn in range(2 if head in ("refusal", "truncated") else 1):
+            if turn:
+                # the sample has some defects of this kind itself; what looks like one is not taught as sound again
+                p = np.array([_logistic(w[x[i]].sum()) for i in range(len(parts))])
+                doubtful = (p > DOUBT) & sound
+                kept = kept[~doubtful[kept]]
+                w[:] = 0
+            square = np.full(DIM, 1e-6)
+            for _ in range(epochs):
+                for lo in range(0, len(kept), 128):
+                    group = kept[lo : lo + 128]
+                    slots, of = np.concatenate([x[i] for i in group]), np.repeat(np.arange(len(group)), [len(x[i]) for i in group])
+                    g = _logistic(np.bincount(of, weights=w[slots], minlength=len(group))) - y[group]
+                    grad = np.bincount(slots, weights=g[of], minlength=DIM) / len(group) + 1e-7 * w
+                    square += grad * grad
+                    w -= rate * grad / np.sqrt(square)
+        # a lower one of the thresholds with about the fewest errors among made answers that it was not trained on
+        p = np.array([_logistic(w[x[i]].sum()) for i in range(held)])
+        sure = ~sound[:held] | (p <= DOUBT) if head in ("refusal", "truncated") else np.ones(held, bool)
+        if held and 0 < y[:held].sum() < held:
+            grid = np.linspace(0.05, 0.95, 19)
+            errors = np.array([(((p >= t) != y[:held].astype(bool)) & sure).sum() for t in grid])
+            best = np.flatnonzero(errors <= errors.min() + 0.002 * held)
+            thresholds[head] = float(grid[best[len(best) // 3]])
+    return Model(weights.astype(np.float32), thresholds)
+
+
+def find_defects(records: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """gen_id, defect, score of each defective record (gen_id, prompt_text, generated).
+
+    The first of DEFECTS that fits. A null answer is empty; a null prompt has nothing to copy from. "특이사항 없음" alone is
+    sound. Texts are read whole. Repeated rows give their rows again. Extra columns are ignored; an empty table gives no
+    rows. The classifier is trained on `sample` answers, the least by a hash of gen_id; nothing else is sampled.
+    """
+    rows = records.select("gen_id", "prompt_text", "generated")
+    order = F.xxhash64("gen_id", F.lit(seed))
+    picked = rows.where("generated is not null").select("prompt_text", "generated", order.alias("_o"), "gen_id").orderBy("_o", "gen_id").limit(sample).collect()
+    model = train([(r["prompt_text"] or "", r["generated"]) for r in picked], seed)
+    shared = records.sparkSession.sparkContext.broadcast(model)  # DIM weights for each head, whatever the input
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for b in batches:
+            out = []
+            for gen_id, prompt, answer in b.itertuples(index=False, name=None):
+                defect, score = m.defect(prompt, answer)
+                if defect:
+                    out.append((gen_id, defect, score))
+            yield pd.DataFrame(out, columns=["gen_id", "defect", "score"])
+
+    return rows.mapInPandas(run, "gen_id long, defect string, score double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.query import Query
 from ..session import load
-from . import bpe, mixing, overlap, pii, splitting
+from . import bpe, defects, mixing, overlap, pii, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,11 @@ def p2_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each defective record with its defect."""
+    return defects.find_defects(load(spark, d, "inference_records")).select("gen_id", "defect")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every text in ids of byte_bpe_50k."""
     return bpe.encode(load(spark, d, "documents"))
@@ -61,6 +66,7 @@ def registry() -> dict[str, Query]:
         "p1_redacted": Query(p1_redacted),
         "p2_found": Query(p2_found),
         "p2_overlap_counts": Query(p2_overlap_counts),
+        "p3_found": Query(p3_found),
         "p6_ids": Query(p6_ids),
         "p7_mix": Query(p7_mix),
         "p7_shares": Query(p7_shares),
