@@ -76,7 +76,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     """The whole grid of each source, filled or marked, and extended to its case's start and end of anaesthesia."""
     bounds = load(spark, d, "emr_case").select("sid", epoch_us(F.col("anes_start")).alias("lo_us"), epoch_us(F.col("anes_end")).alias("hi_us"))
-    return gridfill.regular_grid(_readings(spark, d), bounds=bounds)
+    return gridfill.regular_grid(_readings(spark, d), bounds=bounds).withColumn("value", F.round("value", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(_readings(spark, d))
 
 
-P4_GRID_SQL = f"""
+P4_GRID_SQL = f"""SELECT sid, item, slot_min, round(value, 6) AS value, state FROM (
 WITH {READINGS_SQL},
 slots AS (SELECT sid, item, grid_min, (us // (grid_min * 60000000::BIGINT)) * grid_min AS slot_min, avg(v) AS value, min(us) AS f, max(us) AS us FROM readings GROUP BY ALL),
 p AS (SELECT *, lead(slot_min) OVER w AS ns, lead(value) OVER w AS nv, lead(f) OVER w AS nf FROM slots WINDOW w AS (PARTITION BY sid, item ORDER BY slot_min)),
@@ -94,7 +94,7 @@ ends AS (SELECT sid, item, grid_min, min(slot_min) AS a, max(slot_min) AS b, (ep
 SELECT sid, item, slot_min, value, 'observed' AS state FROM slots
 UNION ALL SELECT sid, item, s, CASE WHEN ns - slot_min - grid_min <= 30 THEN value + (s - slot_min) / (ns - slot_min) * (nv - value) END, CASE WHEN ns - slot_min - grid_min <= 30 THEN 'interpolated' ELSE 'missing' END FROM fill
 UNION ALL SELECT sid, item, unnest(range(lo, a, grid_min::BIGINT)), NULL, 'before' FROM ends WHERE lo < a
-UNION ALL SELECT sid, item, unnest(range(b + grid_min, hi + 1, grid_min::BIGINT)), NULL, 'after' FROM ends WHERE hi > b"""
+UNION ALL SELECT sid, item, unnest(range(b + grid_min, hi + 1, grid_min::BIGINT)), NULL, 'after' FROM ends WHERE hi > b)"""
 
 QUERIES = {
     "p4_found": Query(p4_found, P4_FOUND_SQL),
