@@ -1,0 +1,28 @@
+"""Small tables of cases that the given tables lack, the same for both engines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(schema: str, rows: list[tuple], name: str = "t") -> str:
+    """(VALUES ...) of the rows with the types of the schema, for a FROM clause."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    kinds = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+    def one(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        if isinstance(x, (int, float)):
+            return repr(x)
+        return " || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n")).replace("' || '", "' || chr(10) || '") if "\n" in x else "'" + x.replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(one(x) for x in r) + ")" for r in rows)
+    cast = ", ".join(f"CAST(c{k} AS {kinds[kind]}) AS {col}" for k, (col, kind) in enumerate(fields))
+    return f"(SELECT {cast} FROM (VALUES {body}) v({', '.join(f'c{k}' for k in range(len(fields)))})) {name}"
