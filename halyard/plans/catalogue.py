@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import grid_queries, text_queries, vital_queries
+from . import grid_queries, record_queries, text_queries, vital_queries
 from .query import Query
 
 
 def registry() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for module in (grid_queries, vital_queries, text_queries):
+    for module in (grid_queries, vital_queries, text_queries, record_queries):
         for name, q in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} is defined twice")
