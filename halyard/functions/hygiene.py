@@ -49,9 +49,8 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
 
 
-def repeats(c: Column) -> Column:
-    """The same word three times in a row, or fewer than half of the runs of four words different."""
-    t = tokens(c)
+def repeats(t: Column) -> Column:
+    """Of an array of words: the same three times in a row, or fewer than half of the runs of four different."""
     n = F.size(t)
     at = lambda k: F.sequence(F.lit(1), k)
     triple = F.when(n >= 3, F.exists(at(n - 2), lambda i: (F.get(t, i - 1) == F.get(t, i)) & (F.get(t, i) == F.get(t, i + 1)))).otherwise(False)
@@ -59,11 +58,11 @@ def repeats(c: Column) -> Column:
     return triple | F.coalesce(F.size(F.array_distinct(grams)) < 0.5 * F.size(grams), F.lit(False))
 
 
-def status(cleaned: Column) -> Column:
-    """empty, repetition, garbage, leak or ok, in this order."""
+def status(cleaned: Column, words: Column) -> Column:
+    """empty, repetition, garbage, leak or ok, in this order; words: the cleaned text's, computed once."""
     return (
         F.when(F.length(cleaned) < 3, "empty").when(char_wall(cleaned), "repetition").when(foreign_share(cleaned) > 0.15, "garbage")
-        .when(cleaned.rlike(r"(?i)(?://|_|\|)\s*thought\b|<\|?thought"), "leak").when(repeats(cleaned), "repetition").otherwise("ok")
+        .when(cleaned.rlike(r"(?i)(?://|_|\|)\s*thought\b|<\|?thought"), "leak").when(repeats(words), "repetition").otherwise("ok")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.normalize import epoch_us
 from ..operators import gridfill, spikes
 from ..operators.readings import readings
-from ..session import load
+from ..session import load, spread
 from .query import Query
 
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
@@ -65,7 +65,7 @@ SELECT q.row_id, h.kind FROM readings q JOIN hits h USING (sid, item, us, v)"""
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    return readings(load(spark, d, "vital_df"), load(spark, d, "item_ref"))
+    return readings(spread(load(spark, d, "vital_df").select("row_id", "sid", "ts", "item_raw", "value_raw")), load(spark, d, "item_ref"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

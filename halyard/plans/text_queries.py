@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import hygiene as H
-from ..session import load
+from ..functions.normalize import once
+from ..session import load, spread
 from .fixture import frame, values
 from .query import Query
 
@@ -31,8 +32,10 @@ _SQUEEZE = lambda c: f"regexp_replace({_STRIP(f'lower({c})')}, '{_SP}+', ' ', 'g
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    x = load(spark, d, "inference_records").select("gen_id", "sid", F.col("generated_raw").alias("raw")).withColumn("cleaned", H.without_thinking(F.col("raw")))
-    return x.withColumn("status", F.when(F.col("raw").isNotNull(), H.status(F.col("cleaned"))).otherwise("ok"))
+    x = spread(load(spark, d, "inference_records").select("gen_id", "sid", F.col("generated_raw").alias("raw")))
+    x = once(x, "gen_id", "sid", "raw", cleaned=H.without_thinking(F.col("raw")))
+    x = once(x, "gen_id", "sid", "raw", "cleaned", words=H.tokens(F.col("cleaned")))
+    return once(x, "gen_id", "sid", "raw", "cleaned", status=F.when(F.col("raw").isNotNull(), H.status(F.col("cleaned"), F.col("words"))).otherwise("ok"))
 
 
 def clean_status(spark, d):
@@ -115,7 +118,7 @@ QUERIES = {
     "clean_status": Query(clean_status, f"""WITH {CLEAN_SQL} SELECT gen_id, cleaned, status, array_to_string(list_filter([CASE WHEN contains(lower(raw), '<think>') THEN 'had_think_block' END, CASE WHEN regexp_matches(closed, '{_ROLE_SQL}') THEN 'had_role_lines' END,
 CASE WHEN status = 'ok' AND regexp_matches(cleaned, '(?:을|를|이|가|에|의|로|와|과|은|는){_SP}*$') AND NOT ({_ENDS}) THEN 'maybe_truncated' END], lambda x: x IS NOT NULL), ',') AS flags FROM cleaned WHERE raw IS NOT NULL"""),
     "foreign_share": Query(lambda s, d: _cleaned(s, d).where("raw is not null").select("gen_id", F.round(H.foreign_share(F.col("cleaned")), 6).alias("share")), f"WITH {CLEAN_SQL} SELECT gen_id, round(foreign_share, 6) AS share FROM cleaned WHERE raw IS NOT NULL"),
-    "ngram_repetition": Query(lambda s, d: frame(s, "id int, x string", _LONG).select("id", H.repeats(F.col("x")).alias("rep"), H.char_wall(F.col("x")).alias("wall")), f"""WITH t AS (SELECT id, x, list_filter(regexp_split_to_array(x, '{_SP}+'), lambda t: t <> '') AS toks FROM {values("id int, x string", _LONG)})
+    "ngram_repetition": Query(lambda s, d: frame(s, "id int, x string", _LONG).select("id", H.repeats(H.tokens(F.col("x"))).alias("rep"), H.char_wall(F.col("x")).alias("wall")), f"""WITH t AS (SELECT id, x, list_filter(regexp_split_to_array(x, '{_SP}+'), lambda t: t <> '') AS toks FROM {values("id int, x string", _LONG)})
 SELECT id, len(list_filter(range(1, len(toks) - 1), lambda i: toks[i] = toks[i + 1] AND toks[i + 1] = toks[i + 2])) > 0 OR (len(toks) >= 12 AND len(list_distinct(list_transform(range(1, len(toks) - 2), lambda i: array_to_string(toks[i : i + 3], chr(1))))) < 0.5 * (len(toks) - 3)) AS rep,
 len(list_filter(range(1, length(x) - 6), lambda i: NOT contains('-=#*_~. ' || chr(9) || chr(10) || '·', substr(x, i, 1)) AND substr(x, i, 8) = repeat(substr(x, i, 1), 8))) > 0 AS wall FROM t"""),
     "no_issue_exact": Query(lambda s, d: load(s, d, "inference_records").select("gen_id", H.no_issue(F.col("generated")).alias("no_issue")), f"SELECT gen_id, {_NO_ISSUE_SQL('generated')} AS no_issue FROM inference_records"),

@@ -67,3 +67,10 @@ def ship(spark: SparkSession) -> None:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least, for work that costs far more than its input's size: one small
+    file would else be one task. Inputs that are in enough partitions already, as all large ones, are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -33,7 +33,7 @@ def test_no_issue(spark, text, want):
 
 @pytest.mark.parametrize("text,want", [("수액 유지 중인 환아", "ok"), ("--------\n정상 소견임", "ok"), ("체온 36.5℃ ‘안정’", "ok"), ("", "empty"), ("same1 same1 same1 same1", "repetition"), ("//thought: 확인", "leak"), ("가가가가가가가가가", "repetition")])
 def test_status(spark, text, want):
-    assert one(spark, text, H.status) == want
+    assert one(spark, text, lambda c: H.status(c, H.tokens(c))) == want
 
 
 def test_think_block_is_removed(spark):
