@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_RANKS = os.environ.get("HALYARD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -122,7 +124,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     are ordinary text. Texts of any length are encoded whole. Extra columns are ignored; an empty table gives no rows.
     ranks is a path that every executor can read.
     """
-    kept = df.select(df[id_col], df[text_col].alias("_text"))
+    kept = spread(df.select(df[id_col], df[text_col].alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared(ranks)
@@ -143,7 +145,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
 def with_counts(df: DataFrame, text_col: str = "text", out_col: str = "n_tokens", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """df with the number of tokens of its text in place of the text: null and empty texts have 0."""
     names = [c for c in df.columns if c != text_col]
-    kept = df.select(*[df[c] for c in names], df[text_col].alias("_text"))
+    kept = spread(df.select(*[df[c] for c in names], df[text_col].alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared(ranks)

@@ -14,12 +14,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from .overlap import letters
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
@@ -124,12 +126,18 @@ def korean_sentences(text: str) -> int:
     return count
 
 
+@lru_cache(maxsize=16)
+def _runs(prompt: str) -> tuple[str, frozenset[str]]:
+    p = letters(prompt)
+    return p, frozenset(p[i : i + GRAM] for i in range(len(p) - GRAM + 1))
+
+
 def copied_share(answer: str, prompt: str) -> float:
     """Share of the answer's letters that lie in runs of GRAM letters of the prompt."""
-    a, p = letters(answer), letters(prompt)
+    a = letters(answer)
+    p, there = _runs(prompt)
     if len(a) < GRAM:
         return float(bool(a) and a in p)
-    there = {p[i : i + GRAM] for i in range(len(p) - GRAM + 1)}
     total = last = 0
     for i in range(len(a) - GRAM + 1):
         if a[i : i + GRAM] in there:
@@ -273,8 +281,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 5, rate: flo
     base = [(p, a) for p, a in base if a[-1] in ".!?。" or ends(a) and often[close(a)] >= max(3, 0.002 * len(base))]
     made = list(_made(base, rng)) if base else []
     made += [(p, a, "foreign") for p, a in foreign]
-    rng.shuffle(made)
-    pairs = [look(p, a) for p, a, _ in made]
+    pairs = [look(p, a) for p, a, _ in made]  # before they are shuffled: neighbours have one prompt
+    order = rng.sample(range(len(made)), len(made))
+    made, pairs = [made[i] for i in order], [pairs[i] for i in order]
     weights = np.zeros((len(HEADS), DIM))
     thresholds = dict.fromkeys(HEADS, 0.5)
     for w, head in zip(weights, HEADS):
@@ -300,14 +309,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 5, rate: flo
                     grad = np.bincount(slots, weights=g[of], minlength=DIM) / len(group) + 1e-7 * w
                     square += grad * grad
                     w -= rate * grad / np.sqrt(square)
-        # a lower one of the thresholds with about the fewest errors among made answers that it was not trained on
+        # the lowest of the thresholds with about the fewest errors among made answers that it was not trained on
         p = np.array([_logistic(w[x[i]].sum()) for i in range(held)])
         sure = ~sound[:held] | (p <= DOUBT) if head in ("refusal", "truncated") else np.ones(held, bool)
         if held and 0 < y[:held].sum() < held:
             grid = np.linspace(0.05, 0.95, 19)
             errors = np.array([(((p >= t) != y[:held].astype(bool)) & sure).sum() for t in grid])
-            best = np.flatnonzero(errors <= errors.min() + 0.002 * held)
-            thresholds[head] = float(grid[best[len(best) // 3]])
+            best = np.flatnonzero(errors <= errors.min() + 0.004 * held)
+            thresholds[head] = float(grid[best[0]])
     return Model(weights.astype(np.float32), thresholds)
 
 
@@ -318,7 +327,7 @@ def find_defects(records: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Dat
     sound. Texts are read whole. Repeated rows give their rows again. Extra columns are ignored; an empty table gives no
     rows. The classifier is trained on `sample` answers, the least by a hash of gen_id; nothing else is sampled.
     """
-    rows = records.select("gen_id", "prompt_text", "generated")
+    rows = spread(records.select("gen_id", "prompt_text", "generated"))
     order = F.xxhash64("gen_id", F.lit(seed))
     picked = rows.where("generated is not null").select("prompt_text", "generated", order.alias("_o"), "gen_id").orderBy("_o", "gen_id").limit(sample).collect()
     model = train([(r["prompt_text"] or "", r["generated"]) for r in picked], seed)

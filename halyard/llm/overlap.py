@@ -27,7 +27,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, shared_dir, spread
 
 WINDOW, STEP, LEAST, DEPTH, SIGMA = 20, 10, 12, 24, 32  # LEAST: letters of a line that is one window
 SHARED, LOCATED = 0.55, 0.5  # shares of a text's windows: that a near-same text has at least; that are located
@@ -258,7 +258,7 @@ def cross_split(bank: DataFrame, train: tuple[str, ...] = ("sft",), evaluate: tu
     b = rows.where("ev and sid is not null and sid <> -1").select("sid", F.col("rec_id").alias("eval_id"), salt.alias("salt"))
     same = a.join(b, ["sid", "salt"]).select("train_id", "eval_id", F.lit(True).alias("same_sid"), F.lit(False).alias("near_emr"))
 
-    texts = materialize(_texts(rows.where("txt is not null").select("rec_id", "ev", "txt")), "overlap-texts")
+    texts = materialize(_texts(spread(rows.where("txt is not null").select("rec_id", "ev", "txt"))), "overlap-texts")
     # one row for each different text: each split's copies are dropped before and after the shuffle
     def once(ev: bool) -> DataFrame:
         return texts.where(F.col("ev") == ev).groupBy("key").agg(F.min("lines").alias("lines"), F.first("n").alias("n"))

@@ -14,6 +14,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 from .folding import folded
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -217,7 +219,7 @@ def find_personal(df: DataFrame, id_col: str, fields: tuple[str, ...], threshold
     and blank texts have none. Texts are read whole, whatever their length. Repeated rows give their rows again. Extra
     columns are ignored; an empty table gives no rows.
     """
-    rows = df.select(df[id_col].alias("_id"), *[df[f] for f in fields])
+    rows = spread(df.select(df[id_col].alias("_id"), *[df[f] for f in fields]))
     kind = rows.schema[0].dataType.simpleString()
     names = [id_col, "fld", "kind", "seq", "start", "stop", "score"]
 
@@ -237,7 +239,7 @@ def find_personal(df: DataFrame, id_col: str, fields: tuple[str, ...], threshold
 
 def redacted(df: DataFrame, id_col: str, fields: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
     """id_col and the fields of df, with personal data replaced by typed placeholders; nulls stay null."""
-    rows = df.select(df[id_col].alias("_id"), *[df[f] for f in fields])
+    rows = spread(df.select(df[id_col].alias("_id"), *[df[f] for f in fields]))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

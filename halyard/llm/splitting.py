@@ -14,6 +14,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
+
 from .bpe import DEFAULT_RANKS, Bpe, shared
 
 #: Where a text may be cut, from the highest level down; each match ends at a cut.
@@ -139,7 +141,7 @@ def split_oversized(documents: DataFrame, limits: DataFrame, ranks: str = DEFAUL
     source: the smaller. Limits are joined by source, which Spark broadcasts below its own threshold.
     """
     lim = limits.groupBy(F.col("source").alias("_source")).agg(F.min("max_tokens").alias("max_tokens"), F.min_by("overlap_tokens", "max_tokens").alias("overlap_tokens"))
-    rows = documents.select("doc_id", "text", "source").join(lim, F.col("source") == F.col("_source"), "left").select("doc_id", "source", "text", "max_tokens", "overlap_tokens")
+    rows = spread(documents.select("doc_id", "text", "source")).join(lim, F.col("source") == F.col("_source"), "left").select("doc_id", "source", "text", "max_tokens", "overlap_tokens")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(shared(ranks))
