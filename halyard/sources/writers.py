@@ -1,0 +1,84 @@
+"""Outputs at the edge. Tables are written by Spark's commit protocol; reports are rendered from small aggregates."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, functions as F
+
+REPORT_ROWS = 10_000  # rows that a rendered report may have
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Lines of JSON; readers see the whole output or none of it."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One header a file, in UTF-8 with the mark that spreadsheets look for in the first name."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, f"﻿{first}").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    df.select(F.coalesce(F.col(column).cast("string"), F.lit(""))).write.mode("overwrite").text(path)
+
+
+def _small(df: DataFrame) -> list[list[str]]:
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has {REPORT_ROWS} rows at most; sum up first")
+    return [["—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in rows]
+
+
+def markdown(df: DataFrame) -> str:
+    """A table; null is a dash, never 0."""
+    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+    return "\n".join([head, *("| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r) + " |" for r in _small(df))])
+
+
+def html_table(df: DataFrame, title: str) -> str:
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in r) + "</tr>" for r in _small(df))
+    return f"<section><h2>{html.escape(title)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{body}</table></section>"
+
+
+def file_digest(path: str, whole: int = 64 << 20, part: int = 4 << 20) -> str:
+    """SHA-1 of a file, 16 digits; of large files of size, head and tail."""
+    p = Path(path)
+    size, h = p.stat().st_size, hashlib.sha1()
+    with p.open("rb") as f:
+        if size < whole:
+            h.update(f.read())
+        else:
+            h.update(str(size).encode() + f.read(part))
+            f.seek(-part, 2)
+            h.update(f.read())
+    return h.hexdigest()[:16]
+
+
+def mark_done(path: str, **keys) -> None:
+    """A marker beside a stage's output, with what the output depends on."""
+    at = Path(f"{path}.done")
+    new = at.with_suffix(".tmp")
+    new.write_text(json.dumps(keys, ensure_ascii=False, sort_keys=True))
+    new.replace(at)
+
+
+def is_done(path: str, **keys) -> bool:
+    """Is the stage's output there, and did it depend on the same?"""
+    at = Path(f"{path}.done")
+    try:
+        return Path(path).exists() and json.loads(at.read_text()) == keys
+    except (OSError, ValueError):
+        return False
+
+
+def invalidate(root: str, patterns: tuple[str, ...], apply: bool = False) -> list[str]:
+    """The markers under root that match; removed if apply, so that their stages run again. Outputs stay."""
+    found = sorted(str(p) for q in patterns for p in Path(root).rglob(q) if p.name.endswith(".done"))
+    for p in found if apply else ():
+        Path(p).unlink()
+    return found
