@@ -6,7 +6,8 @@ import unicodedata
 
 import regex
 
-_CLUSTER = regex.compile(r"\X")
+#: Runs of characters that stay as they are, or one character with its marks.
+_PART = regex.compile(r"([ -~\t\n가-힣]+)(?![\p{M}\u1160-\u11FF\u200D])|\X")
 _HIDDEN = regex.compile(r"[\p{Cf}--[\n]]", regex.V1)
 
 
@@ -20,7 +21,12 @@ def folded(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     out: list[str] = []
     begin: list[int] = []
     end: list[int] = []
-    for m in _CLUSTER.finditer(text):
+    for m in _PART.finditer(text):
+        if m[1]:
+            out.append(m[0])
+            begin.extend(range(m.start(), m.end()))
+            end.extend(range(m.start() + 1, m.end() + 1))
+            continue
         for c in _HIDDEN.sub("", unicodedata.normalize("NFKC", m[0])):
             out.append(c)
             begin.append(m.start())

@@ -79,7 +79,7 @@ RULES = (
     _rule("email", 0.9, r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+", need="dot"),
     # telephone numbers: mobile, city, international
     _rule("phone", 0.75, rf"(?<![\d\-.])(?:\+?\s?82{_SEP}?(?:\(0\)|0)?|0)1[016789]{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)", need="1"),
-    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|(?:\+?82{_SEP}?)?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0"),
+    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|0(?:2|[3-6]\d|70|50\d)|\+?82{_SEP}?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0"),
     _rule("phone", 0.75, rf"(?<![\w\-.])\+(?!82)\d{{1,3}}{_SEP}?\(?\d{{1,4}}\)?(?:{_SEP}{{1,2}}\d{{2,4}}){{2,4}}(?![\d]|[\-.]\d)", need="+"),
     _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)", need="전화|연락처|폰|tel|phone"),
     # identity numbers
