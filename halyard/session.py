@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not where:
             where = tempfile.mkdtemp(prefix="halyard-")
             spark.conf.set("halyard.local.dir", where)
-    return where.rstrip("/")
+    return re.sub(r"^file:/+", "file:///", where).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,12 +52,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the executors, which may not have it on their path; once per application."""
+    """Gives the package to the executors, which may not have it on their path; once per application, by the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    at = Path(tempfile.mkdtemp(prefix="halyard-ship-")) / "halyard.zip"
+    folder = shared_dir(spark).removeprefix("file://")
+    if "://" in folder:  # a file system that plain files can't be written to: Spark itself serves the zip from the driver
+        folder = tempfile.mkdtemp(prefix="halyard-")
+    at = Path(folder, f"ship-{uuid.uuid4().hex}", "halyard.zip")
+    at.parent.mkdir(parents=True)
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("halyard") / p.relative_to(root))
