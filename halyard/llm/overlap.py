@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,7 +219,7 @@ def near_same_texts(training: DataFrame, evaluation: DataFrame, share: float = 0
     spark = training.sparkSession
     total = evaluation.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard))
-    path = f"{shared_dir(spark)}/fm-index-{hashlib.md5(str(id(training)).encode()).hexdigest()}-{pd.Timestamp.now().value}"
+    path = f"{shared_dir(spark)}/fm-index-{uuid.uuid4().hex}"
     placed = evaluation.select("key", "lines", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     placed.groupBy("shard").applyInPandas(_build, "shard long, keys string, bwt binary, owner binary").write.parquet(path)
 
