@@ -127,17 +127,22 @@ def korean_sentences(text: str) -> int:
 
 
 @lru_cache(maxsize=16)
-def _runs(prompt: str) -> tuple[str, frozenset[str]]:
-    p = letters(prompt)
-    return p, frozenset(p[i : i + GRAM] for i in range(len(p) - GRAM + 1))
+def _letters(prompt: str) -> str:
+    return letters(prompt)
+
+
+@lru_cache(maxsize=16)
+def _runs(prompt: str) -> frozenset[str]:
+    p = _letters(prompt)
+    return frozenset(p[i : i + GRAM] for i in range(len(p) - GRAM + 1))
 
 
 def copied_share(answer: str, prompt: str) -> float:
     """Share of the answer's letters that lie in runs of GRAM letters of the prompt."""
-    a = letters(answer)
-    p, there = _runs(prompt)
+    a, p = letters(answer), _letters(prompt)
     if len(a) < GRAM:
         return float(bool(a) and a in p)
+    there = p if len(a) < 200 else _runs(prompt)  # a few runs are sooner looked for in the text itself
     total = last = 0
     for i in range(len(a) - GRAM + 1):
         if a[i : i + GRAM] in there:
