@@ -5,12 +5,13 @@ is made: the Burrows-Wheeler transform of the suffixes in order of their first D
 up to DEPTH letters need), rank counts over blocks of 64, and the text that each suffix belongs to. Letters are mapped to
 31 symbols; a match of WINDOW symbols that is not one of letters is so rare that the exact check after it settles it.
 
-Training texts stream through backward search: windows of WINDOW letters, one every STEP letters of each line (lines may be
-in another order), all windows of a batch at a time. A near-same text shares at least the share SHARED of the windows. So of
-the windows, in order of how often each occurs in the shard (those that don't occur first), the share LOCATED is located,
-and a near-same text has at least SHARED - LOCATED of all windows among those. Boilerplate that occurs everywhere is thus
-counted but not located, and no cap is set on partners. The texts that are left are held against each other letter by
-letter, where overlapping matches are merged into spans.
+Training texts stream through backward search: every run of SEED letters of a text is counted, all different runs of a
+batch at a time. If `share` of a text's letters lie in such runs that a partner has too, at most 1 - share of them do not; so of any
+set of LOCATED of its letters, all but 1 - share of the text's are in runs that the partner has. The set is made of the letters
+whose runs are rarest in the shard, and only those runs are located. Each owner's are merged into spans, and an owner whose
+spans hold fewer letters of the set than that is none. This loses no near-same text, wherever its letters differ. Boilerplate that
+occurs everywhere is thus counted but not located, and no cap is set on partners. The texts that are left are held against each
+other letter by letter, where overlapping matches are merged into spans.
 
 Copies of a text are one text until the end, when pairs of texts become pairs of records.
 """
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, shared_dir, spread
 
-WINDOW, STEP, LEAST, DEPTH, SIGMA = 20, 10, 12, 24, 32  # LEAST: letters of a line that is one window
-SHARED, LOCATED = 0.55, 0.5  # shares of a text's windows: that a near-same text has at least; that are located
+DEPTH, SIGMA = 24, 32
+LOCATED = 0.06  # share of a text's letters whose runs are located, beyond 1 - share
 SHARD = 4_000_000  # letters of an index shard
-SEED = 8  # letters of the matches that the exact check joins to spans
+SEED = 8  # letters of the least matches, which are joined to spans
 BATCH = 1_000  # training texts that are searched at a time
+HITS = 2_000_000  # located places that are merged at a time
+EPS = 1e-6
 
 
 def letters(text: str | None) -> str:
@@ -50,24 +53,6 @@ def symbols(text: str) -> np.ndarray:
     return ((points * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(SIGMA - 1)).astype(np.uint8) + np.uint8(1)
 
 
-def windows(lines: str) -> list[tuple[int, int]]:
-    """(start, stop) of the windows of a text of lines of letters, in places of the text without the line ends."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    for line in lines.split("\n"):
-        n = len(line)
-        if n >= WINDOW:
-            out += [(at + k, at + k + WINDOW) for k in range(0, n - WINDOW, STEP)]
-            out.append((at + n - WINDOW, at + n))
-        elif n >= LEAST:
-            out.append((at, at + n))
-        at += n
-    if len(out) < 4:  # short texts and short lines: shorter windows of the whole
-        w = min(WINDOW, max(1, at // 4))
-        out = [(k, k + w) for k in range(0, at - w + 1, max(1, w // 2))]
-    return out
-
-
 class Index:
     """An FM index over texts; `bwt` and `owner` are all that is stored."""
 
@@ -120,35 +105,85 @@ class Index:
         return lo, np.maximum(lo, hi)
 
 
-def candidates(index: Index, texts: list[str]) -> Iterator[tuple[int, int]]:
-    """(number of text, owner in the index) of texts (lines of letters) that may be near-same."""
-    joined = [t.replace("\n", "") for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in joined])])
-    found = [windows(t) for t in texts]
-    text = np.repeat(np.arange(len(texts)), [len(w) for w in found])
-    if not len(text):
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0] - 1, 0, 1, ... counts[1] - 1, and so on."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def candidates(index: Index, texts: list[str], share: float = 0.8) -> Iterator[tuple[int, int]]:
+    """(number of text, owner in the index) of texts that may be near-same; all that are near-same are among them."""
+    n = np.array([len(t) for t in texts], np.int64)
+    if not n.sum():
         return
-    bounds = np.array([b for w in found for b in w], np.int64)
-    stop, size = bounds[:, 1] + starts[text], bounds[:, 1] - bounds[:, 0]
-    lo, hi = index.search(symbols("".join(joined)), stop, size)
-    times = hi - lo
-    # the windows of each text, the rarest first
-    order = np.lexsort((times, text))
-    per = np.bincount(text, minlength=len(texts))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per)
-    chosen = order[place < np.ceil(LOCATED * per)[text[order]]]
-    chosen = chosen[times[chosen] > 0]
-    if not len(chosen):
+    begin = np.cumsum(n) - n
+    width = np.clip(np.ceil(share * n - EPS).astype(np.int64) // 4, 1, SEED)  # the seed of covered() for the shortest partner
+    runs = np.maximum(n - width + 1, 0)
+    text, at = np.repeat(np.arange(len(texts)), runs), _steps(runs)
+    size, place = width[text], begin[text] + at
+    # each different run is searched once
+    joined = symbols("".join(texts))
+    padded = np.concatenate([joined, np.zeros(SEED, np.uint8)]).astype(np.int64)
+    code = np.zeros(len(place), np.int64)
+    for k in range(SEED):
+        code = code * SIGMA + np.where(k < size, padded[place + k], 0)
+    _, one, same = np.unique(code, return_index=True, return_inverse=True)
+    lo, hi = index.search(joined, place[one] + size[one], size[one])
+    lo, times = lo[same], (hi - lo)[same]
+    # of each letter the most frequent run that it is in; the letters of each text whose runs are rarest
+    cost = np.zeros(int(n.sum()), np.int64)
+    for k in range(SEED):
+        on = k < size
+        cost[place[on] + k] = np.maximum(cost[place[on] + k], times[on])
+    of = np.repeat(np.arange(len(texts)), n)
+    order = np.lexsort((cost, of))
+    wanted = np.minimum(n, np.ceil((1 - share + LOCATED) * n).astype(np.int64))
+    chosen = np.zeros(len(cost), bool)
+    chosen[order[_steps(n) < wanted[of]]] = True
+    before = np.concatenate([[0], np.cumsum(chosen)])  # chosen letters before a place
+    keep = np.flatnonzero((times > 0) & (before[place + size] > before[place]))
+    if not len(keep):
         return
-    counts = times[chosen]
-    suffix = np.repeat(lo[chosen], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    # a window that an owner has twice is one hit
-    owners = len(index.owner) + 1
-    hit = np.unique(np.repeat(chosen, counts) * owners + index.owner[suffix])
-    pair, hits = np.unique(text[hit // owners] * owners + hit % owners, return_counts=True)
-    of = pair // owners
-    for p in pair[hits >= np.maximum(1, np.floor((SHARED - LOCATED) * per[of]))]:
-        yield int(p // owners), int(p % owners)
+    length = np.bincount(index.owner) - 1
+    owners = len(length)
+    text, place, size, lo, times = text[keep], place[keep], size[keep], lo[keep], times[keep]
+    # the runs in parts of HITS places or a run more; a text has more than one part only if it has more places than that
+    total = np.concatenate([[0], np.cumsum(times)])
+    edges = [0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(text)]
+    parts: list[tuple[int, int]] = []
+    first = 0
+    for a, b in zip(edges, edges[1:]):
+        if a > first and total[b] - total[first] > HITS:
+            parts.append((first, a))
+            first = a
+        while total[b] - total[first] > HITS and b - first > 1:
+            cut = max(first + 1, int(np.searchsorted(total, total[first] + HITS, "right")) - 1)
+            parts.append((first, cut))
+            first = cut
+    if first < len(text):
+        parts.append((first, len(text)))
+    left: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # of the text that goes on
+    for k, (first, last) in enumerate(parts):
+        counts = times[first:last]
+        run = np.repeat(np.arange(first, last), counts)
+        owner = index.owner[lo[run] + _steps(counts)].astype(np.int64)
+        la, lb = n[text[run]], length[owner]
+        able = np.minimum(la, lb) >= share * np.maximum(la, lb) - EPS
+        run, owner = run[able], owner[able]
+        # an owner's runs in order: what each adds to its span
+        key = np.sort((text[run] * owners + owner) * len(text) + run)
+        key = key[np.diff(key, prepend=-1) > 0]
+        pair, run = key // len(text), key % len(text)
+        start, stop = place[run], place[run] + size[run]
+        start[1:] = np.where(pair[1:] == pair[:-1], np.maximum(start[1:], stop[:-1]), start[1:])
+        pairs, back = np.unique(np.concatenate([left[0], pair]), return_inverse=True)
+        got = np.bincount(back, weights=np.concatenate([left[1], before[stop] - before[start]]), minlength=len(pairs)).astype(np.int64)
+        on = np.zeros(len(pairs), bool) if k + 1 == len(parts) else pairs // owners == text[parts[k + 1][0]]
+        left = pairs[on], got[on]
+        pairs, got = pairs[~on], got[~on]
+        t, e = pairs // owners, pairs % owners
+        missing = n[t] - share * np.maximum(n[t], length[e])
+        for p in pairs[got >= np.maximum(1, wanted[t] - missing - EPS)]:
+            yield int(p // owners), int(p % owners)
 
 
 def covered(a: str, b: str, seed: int = SEED) -> int:
@@ -172,21 +207,20 @@ def near_same(a: str, b: str, share: float) -> bool:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Of each row the key of its text in letters, the lines of letters, and how many letters there are."""
+    """Of each row the key of its text in letters, the letters, and how many there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lines = ["\n".join(filter(None, map(letters, t.splitlines()))) for t in b["txt"]]
-            norm = [t.replace("\n", "") for t in lines]
+            norm = [letters(t) for t in b["txt"]]
             key = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in norm]
-            yield pd.DataFrame({"rec_id": b["rec_id"], "ev": b["ev"], "key": key, "lines": lines, "n": [len(t) for t in norm]})
+            yield pd.DataFrame({"rec_id": b["rec_id"], "ev": b["ev"], "key": key, "norm": norm, "n": [len(t) for t in norm]})
 
-    return rows.mapInPandas(run, "rec_id long, ev boolean, key string, lines string, n int").where("n > 0")
+    return rows.mapInPandas(run, "rec_id long, ev boolean, key string, norm string, n int").where("n > 0")
 
 
 def _build(shard: tuple, g: pd.DataFrame) -> pd.DataFrame:
     g = g.sort_values("key")
-    bwt, owner = Index.build([symbols(t.replace("\n", "")) for t in g["lines"]])
+    bwt, owner = Index.build([symbols(t) for t in g["norm"]])
     return pd.DataFrame({"shard": [shard[0]], "keys": ["".join(g["key"])], "bwt": [bwt.tobytes()], "owner": [owner.tobytes()]})
 
 
@@ -206,7 +240,7 @@ def _chunks(batches: Iterator[pd.DataFrame], most: int = 50_000_000) -> Iterator
     kept, size = [], 0
     for b in batches:
         kept.append(b)
-        size += int(b["lines"].str.len().sum())
+        size += int(b["norm"].str.len().sum())
         if size >= most:
             yield pd.concat(kept)
             kept, size = [], 0
@@ -215,26 +249,26 @@ def _chunks(batches: Iterator[pd.DataFrame], most: int = 50_000_000) -> Iterator
 
 
 def near_same_texts(training: DataFrame, evaluation: DataFrame, share: float = 0.8, shard: int = SHARD) -> DataFrame:
-    """t, e: keys of the different training and evaluation texts (key, lines, n) that are near-same."""
+    """t, e: keys of the different training and evaluation texts (key, norm, n) that are near-same."""
     spark = training.sparkSession
     total = evaluation.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard))
     path = f"{shared_dir(spark)}/fm-index-{uuid.uuid4().hex}"
-    placed = evaluation.select("key", "lines", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    placed = evaluation.select("key", "norm", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     placed.groupBy("shard").applyInPandas(_build, "shard long, keys string, bwt binary, owner binary").write.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # some texts are kept at a time, and each shard is read once for all of them
         for texts in _chunks(batches):
-            keys, lines = list(texts["key"]), list(texts["lines"])
+            keys, norm = list(texts["key"]), list(texts["norm"])
             for index, owners in _read(path):
                 for k in range(0, len(keys), BATCH):
-                    found = [(keys[k + t], owners[e]) for t, e in candidates(index, lines[k : k + BATCH])]
+                    found = [(keys[k + t], owners[e]) for t, e in candidates(index, norm[k : k + BATCH], share)]
                     if found:
                         yield pd.DataFrame(found, columns=["t", "e"])
 
-    pairs = training.select("key", "lines").mapInPandas(run, "t string, e string")
-    sides = pairs.join(training.select(F.col("key").alias("t"), F.translate("lines", "\n", "").alias("a")), "t").join(evaluation.select(F.col("key").alias("e"), F.translate("lines", "\n", "").alias("b")), "e")
+    pairs = training.select("key", "norm").mapInPandas(run, "t string, e string")
+    sides = pairs.join(training.select(F.col("key").alias("t"), F.col("norm").alias("a")), "t").join(evaluation.select(F.col("key").alias("e"), F.col("norm").alias("b")), "e")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,7 +296,7 @@ def cross_split(bank: DataFrame, train: tuple[str, ...] = ("sft",), evaluate: tu
     texts = materialize(_texts(spread(rows.where("txt is not null").select("rec_id", "ev", "txt"))), "overlap-texts")
     # one row for each different text: each split's copies are dropped before and after the shuffle
     def once(ev: bool) -> DataFrame:
-        return texts.where(F.col("ev") == ev).groupBy("key").agg(F.min("lines").alias("lines"), F.first("n").alias("n"))
+        return texts.where(F.col("ev") == ev).groupBy("key").agg(F.min("norm").alias("norm"), F.first("n").alias("n"))
 
     keys = materialize(near_same_texts(once(False), once(True), share).distinct(), "overlap-keys")
     ta = texts.where("not ev").select(F.col("key").alias("t"), F.col("rec_id").alias("train_id")).withColumn("salt", by_salt)

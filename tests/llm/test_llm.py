@@ -142,6 +142,38 @@ def test_cross_split_equals_brute_force(spark):
     assert overlap.cross_split(df.limit(0)).count() == 0
 
 
+def test_cross_split_finds_small_edits_all_over(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("가나다라마바사아자차카타파하abcdefghij0123456789") for _ in range(n))
+    texts = ["\n".join(f"{rng.randrange(24):02}:{rng.randrange(60):02} 활력징후 {word(rng.choice([7, 14, 25]))}" for _ in range(30)) for _ in range(12)]
+    every = lambda t, n: "".join("z" if c.isalnum() and sum(map(str.isalnum, t[: i + 1])) % n == 0 else c for i, c in enumerate(t))
+    shifted = lambda t: "\n".join(f"{rng.randrange(24):02}:{rng.randrange(60):02} {line[6:]}" for line in reversed(t.split("\n")))
+    edits = [lambda t: every(t, 15), lambda t: every(t, 9), shifted, lambda t: t[: int(len(t) * 0.83)], lambda t: every(t[:30], 10)]
+    rows = [(k, -1, "sft", t[:30] if k % 5 == 4 else t) for k, t in enumerate(texts)] + [(100 + k, -1, "dev", edits[k % 5](t)) for k, t in enumerate(texts)]
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split(spark.createDataFrame(rows, "rec_id long, sid long, split string, emr string")).collect()}
+    alike = lambda a, b: overlap.near_same(overlap.letters(a[3]), overlap.letters(b[3]), 0.8)
+    assert got == {(a[0], b[0]) for a in rows[:12] for b in rows[12:] if alike(a, b)}
+    assert {(k, 100 + k) for k in range(12) if k % 5 in (0, 1, 3)} <= got
+
+
+@pytest.mark.parametrize("hits", [2_000_000, 60])
+def test_candidates_lose_no_near_same_text(monkeypatch, hits):
+    monkeypatch.setattr(overlap, "HITS", hits, raising=False)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("가나다라마") for _ in range(rng.choice([1, 3, 9, 20, 33, 39, 41, 90, 300]))) for _ in range(60)]
+    partners = []
+    for t in texts:
+        x = list(t)
+        for i in rng.sample(range(len(x)), int(len(x) * rng.choice([0, 0.02, 0.05, 0.1]))):
+            x[i] = rng.choice(["", "나", "하하"])
+        cut = rng.randrange(len(x))
+        partners.append("".join(x[cut:] + x[:cut]) or "가")
+    index = overlap.Index(*overlap.Index.build([overlap.symbols(t) for t in partners]))
+    got = set(overlap.candidates(index, texts))
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(partners) if overlap.near_same(x, y, 0.8)}
+    assert want <= got and len(want) > 30
+
+
 PROMPT = "다음 EMR 을 요약하시오.\n\n### EMR\n►11:52 PEEP 7 → 9 cmH2O, FiO2 0.2\n►11:58 Urine 315 mL, 색 분홍빛\n►12:11 두드러기 관찰되어 Dexamethasone 1.2 mL 투여\n"
 
 
