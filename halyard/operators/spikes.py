@@ -1,7 +1,8 @@
 """Implausible readings: physical bounds, stuck values and spikes, per source (sid, item).
 
-Spikes are proposed by a Hampel filter (rolling median and median absolute deviation) and then held against the level
-before and after the run. Stuck values come from run lengths.
+Spikes are runs held against the level, a rolling median, before and after them. A filter by the median absolute deviation
+would veto some: the run's own readings widen it. So all readings are held that are far enough from any number around.
+Stuck values come from run lengths.
 
 A source may hold any share of the rows: it is windowed by spans of time. Readings near an end of a span, for which the
 windows would be cut off, are judged with the neighbouring spans' ends beside them, if there are any. The
@@ -57,12 +58,9 @@ def _kind(x: DataFrame) -> DataFrame:
     wide = F.coalesce(F.when(F.col("near").isNotNull(), F.array_max("near") - F.array_min("near")) >= limit, F.lit(False))
     x = x.where(stuck | wide)
     held = x.where(stuck).select(*keep, F.lit("stuck").alias("kind"))
-    p = F.least(F.col("rn") - 1, F.lit(WIN))  # place of v in near, from 0
-    x = once(x.where(~stuck), *keep, "near", limit=limit, p=p, around=F.array_sort(_part(F.greatest(p - LEVEL, F.lit(0)), p + LEVEL)))
-    x = once(x, *keep, "near", "limit", "p", "around", mid=_middle(F.col("around")))
-    off = F.abs(F.col("v") - F.col("mid"))
-    x = once(x.where(off >= F.col("limit")), *keep, "near", "limit", "p", off=off, dev=F.array_sort(F.transform("around", lambda y: F.abs(y - F.col("mid")))))
-    x = x.where(F.col("off") > 3 * 1.4826 * _middle(F.col("dev")))
+    x = once(x.where(~stuck), *keep, "near", limit=limit, p=F.least(F.col("rn") - 1, F.lit(WIN)))  # p: place of v in near, from 0
+    # a level that v leaves lies among the numbers around
+    x = x.where((F.col("v") - F.array_min("near") >= F.col("limit")) | (F.array_max("near") - F.col("v") >= F.col("limit")))
     # the runs of one to three readings that v may lie in, each with its first and last place
     runs = F.array(*[F.struct((F.col("p") - o).alias("i"), (F.col("p") - o + n - 1).alias("j")) for n in (1, 2, 3) for o in range(n)])
     runs = F.filter(runs, lambda r: (r["i"] >= 1) & (r["j"] <= F.size("near") - 2))

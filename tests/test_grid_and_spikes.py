@@ -131,6 +131,21 @@ def test_kinds_equal_brute_force_across_spans(spark, seed):
     assert got == want
 
 
+def test_whole_runs_of_three_are_spikes_beside_noise(spark):
+    """Each run meets the level test; the run's own readings widen the deviation around its first or last one."""
+    cases = {
+        "HR": [131, 150, 128, 147, 139, 200, 204, 208, 145, 127, 149, 130, 146],
+        "IDBP1": [57, 70, 44, 69, 57, 100, 104, 107, 58, 45, 71, 46, 68],
+    }
+    rows = []
+    for item, v in cases.items():
+        for k, y in enumerate([v[0]] * 40 + v + [v[-1]] * 40):
+            rows.append((1, item, k * MIN, float(y), len(rows), 1.0, 300.0, 40.0, 5))
+    want = {r[4] for r in rows if (r[1] == "HR" and r[3] >= 200) or (r[1] == "IDBP1" and r[3] >= 100)}
+    got = {r["row_id"]: r["kind"] for r in spikes.implausible(spark.createDataFrame(rows, ROWS)).collect()}
+    assert len(want) == 6 and got == dict.fromkeys(want, "spike")
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], ROWS)
     assert gridfill.gaps(none).count() == 0 and gridfill.regular_grid(none).count() == 0 and spikes.implausible(none).count() == 0
