@@ -28,6 +28,29 @@ def stratified(cases: DataFrame, key: str, stratum: str, take: int, seed: int =
     return cases.select(key, stratum).withColumn("rank", rank).join(quotas, stratum).select(key, stratum, (F.col("rank") <= F.col("quota")).alias("picked"))
 
 
+def draw(rows: DataFrame, bank: DataFrame, key: str, item: str, take: int, seed: int = 42, digits: int = 2) -> DataFrame:
+    """key, item, k: for each of rows `take` different items of the whole bank, or all if it has fewer, in an order of its own.
+
+    The bank's items are numbered in pseudo-random order, by buckets of the order's first hexadecimal digits; the drawn
+    numbers are joined by equality. key and item must be unique.
+    """
+    bank = bank.select(item).withColumn("_order", order_key(F.col(item), seed)).withColumn("_b", F.substring("_order", 1, digits))
+    sizes = bank.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    first = sizes.select("_b", (F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).alias("_first"))  # a row for each bucket
+    place = F.row_number().over(W.partitionBy("_b").orderBy("_order", item)) - 1
+    bank = bank.withColumn("_place", place).join(first, "_b").select(item, (F.col("_first") + F.col("_place")).alias("_at"))
+    x = rows.select(key).join(F.broadcast(sizes.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))))  # one row
+    for k in range(take):
+        # one of the numbers that are left: those drawn before are stepped over
+        number = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(key), F.lit(k))), 1, 15), 16, 10).cast("long")
+        at = F.pmod(number, F.greatest(F.col("_n") - k, F.lit(1)))
+        if k:
+            at = F.aggregate(F.array_sort(F.array(*[f"_at{j}" for j in range(k)])), at, lambda a, before: a + (a >= before).cast("long"))
+        x = x.withColumn(f"_at{k}", at)
+    drawn = x.select(key, "_n", F.posexplode(F.array(*[f"_at{k}" for k in range(take)])).alias("_k", "_at")).where("_k < _n")
+    return drawn.join(bank, "_at").select(key, item, (F.col("_k") + 1).alias("k"))
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """The keys that both have; a leak check raises if there are any, see assert_disjoint."""
     return a.select(key).where(F.col(key).isNotNull()).distinct().join(b.select(key).distinct(), key, "left_semi")

@@ -91,11 +91,9 @@ def pair_select(s, d):
 
 
 def fewshot_topk(s, d):
-    """For each evaluation record two few-shot records in an order of its own; the bank is small and fixed, its size is checked."""
-    bank = _split(s, d, "fewshot").select(F.col("rec_id").alias("shot")).orderBy(splits.order_key(F.col("rec_id")), "rec_id").limit(40)
-    x = _split(s, d, "dev").select("rec_id").join(F.broadcast(bank))  # 40 rows at most
-    rank = F.row_number().over(W.partitionBy("rec_id").orderBy(F.sha1(F.concat_ws(":", F.lit("42"), "rec_id", "shot")), "shot"))
-    return x.withColumn("k", rank).where("k <= 2")
+    """For each evaluation record two few-shot records of the whole bank, in an order of its own."""
+    bank = _split(s, d, "fewshot").select(F.col("rec_id").alias("shot"))
+    return splits.draw(_split(s, d, "dev").select("rec_id"), bank, "rec_id", "shot", 2)
 
 
 def variant_summary(s, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from halyard.functions import hygiene as H
 from halyard.operators import scoring, splits, statistics as S, timeline, vitals
+from halyard.plans import record_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -114,3 +115,25 @@ def test_against_duckdb(spark, name):
     text = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
     want = sorted(tuple(text(r[names.index(c)]) for c in cols) for r in rel.fetchall())
     assert sorted(tuple(text(r[c]) for c in cols) for r in got.collect()) == want
+
+
+def test_few_shots_come_from_the_whole_bank(spark):
+    rows = spark.range(4000).select(F.col("id").alias("rec_id"))
+    for n in (0, 1, 2, 3, 300):
+        bank = spark.range(1000, 1000 + n).select(F.col("id").alias("shot"))
+        got = {}
+        for r in splits.draw(rows, bank, "rec_id", "shot", 2).collect():
+            got.setdefault(r["rec_id"], {})[r["k"]] = r["shot"]
+        take = min(n, 2)
+        assert len(got) == (4000 if n else 0)
+        assert all(sorted(x) == list(range(1, take + 1)) and len(set(x.values())) == take for x in got.values())
+        for k in range(1, take + 1):
+            assert {x[k] for x in got.values()} == set(range(1000, 1000 + n))
+
+
+def test_few_shot_query_reaches_every_record_of_the_bank(spark, tmp_path):
+    bank = [(k, k, "fewshot") for k in range(200)] + [(k, -1, "fewshot") for k in range(200, 220)] + [(1000 + k, k, "dev") for k in range(3000)]
+    spark.createDataFrame(bank, "rec_id long, sid long, split string").write.parquet(str(tmp_path / "fewshot_bank.parquet"))
+    got = record_queries.fewshot_topk(spark, str(tmp_path)).collect()
+    assert len(got) == 6000 and {r["shot"] for r in got} == set(range(200))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, record_queries.fewshot_topk(spark, str(tmp_path)).collect()))
