@@ -163,5 +163,5 @@ QUERIES = {
     "paired_t_stats": Query(lambda s, d: S.paired_t(_PAIR_COLS(s, d), "l_returnflag", "a", "b").select("l_returnflag", "n", _R("mean_diff"), _R("t"), _R("dz")), f"SELECT l_returnflag, count(*) AS n, round(avg(a - b), 6) AS mean_diff, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t, round(avg(a - b) / stddev_samp(a - b), 6) AS dz FROM {_PAIR_SQL} GROUP BY 1"),
     "wilcoxon_w": Query(lambda s, d: S.wilcoxon_w(_PAIR_COLS(s, d), "l_returnflag", "a", "b"), f"WITH r AS (SELECT l_returnflag, a - b AS d, rank() OVER (PARTITION BY l_returnflag ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY l_returnflag, abs(a - b)) - 1) / 2 AS r FROM {_PAIR_SQL} WHERE a <> b) SELECT l_returnflag, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0.0 END) AS w_minus FROM r GROUP BY 1"),
     "sign_counts": Query(lambda s, d: _PAIR_COLS(s, d).groupBy("l_returnflag").agg(F.count_if(F.col("a") > F.col("b")).alias("plus"), F.count_if(F.col("a") < F.col("b")).alias("minus"), F.count_if(F.col("a") == F.col("b")).alias("ties")), f"SELECT l_returnflag, count(*) FILTER (WHERE a > b) AS plus, count(*) FILTER (WHERE a < b) AS minus, count(*) FILTER (WHERE a = b) AS ties FROM {_PAIR_SQL} GROUP BY 1"),
-    "bootstrap_permutation": Query(lambda s, d: S.resample(_gold(s, d).join(_inf(s, d).where("generated is not null").groupBy("sid").agg(F.avg(F.length("generated").cast("double")).alias("g")), "sid").select("is_normal_case", F.length("gold_text").cast("double").alias("a"), F.col("g").alias("b")), "is_normal_case", "a", "b", iters=2000), None),
+    "bootstrap_permutation": Query(lambda s, d: S.resample(_gold(s, d).join(_inf(s, d).where("generated is not null").groupBy("sid").agg(F.avg(F.length("generated").cast("double")).alias("g")), "sid").select("is_normal_case", F.length("gold_text").cast("double").alias("a"), F.col("g").alias("b")), "is_normal_case", "a", "b"), None),
 }

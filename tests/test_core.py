@@ -137,3 +137,9 @@ def test_few_shot_query_reaches_every_record_of_the_bank(spark, tmp_path):
     got = record_queries.fewshot_topk(spark, str(tmp_path)).collect()
     assert len(got) == 6000 and {r["shot"] for r in got} == set(range(200))
     assert sorted(map(tuple, got)) == sorted(map(tuple, record_queries.fewshot_topk(spark, str(tmp_path)).collect()))
+
+
+def test_bootstrap_query_draws_as_often_as_the_defaults(spark):
+    p = [r["p"] for r in entry.queries()["bootstrap_permutation"](spark, "/root/testdata/sf0.01").collect()]
+    steps = [x * 20_001 for x in p]
+    assert any(x < 1 for x in p) and all(abs(x - round(x)) < 1e-6 for x in steps)
