@@ -55,7 +55,7 @@ class Rule:
     kind: str
     pattern: regex.Pattern
     score: float
-    need: tuple[str, ...] = ()  # texts without any of these, in lower case, can't match
+    need: tuple[str, ...] = ()  # texts without any of these, in folded case and with each blank as a space, can't match
 
 
 def _rule(kind: str, score: float, pattern: str, flags: int = _F, need: str = "") -> Rule:
@@ -75,11 +75,11 @@ _LOT = rf"[가-힣0-9]+(?:동|리|가)\s+(?:산\s?)?\d+(?:-\d+)?(?:번지)?"
 _FLAT = rf"(?:,?\s+(?:[가-힣]+(?:아파트|빌라|주공|맨션|타운)\s+)?(?:\d+동\s+\d+호|\d+-\d+(?:호)?|\d+호))?"
 
 RULES = (
-    _rule("email", 0.95, rf"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}", need="@|[at|(at|[ at|( at|{at|<at|골뱅이"),
+    _rule("email", 0.95, rf"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}", need="@|[at|(at|{at|<at|[ at|( at|{ at|< at|골뱅이"),
     _rule("email", 0.9, r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+", need="dot"),
     # telephone numbers: mobile, city, international
     _rule("phone", 0.75, rf"(?<![\d\-.])(?:\+?\s?82{_SEP}?(?:\(0\)|0)?|0)1[016789]{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)", need="1"),
-    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|0(?:2|[3-6]\d|70|50\d)|\+?82{_SEP}?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0"),
+    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|0(?:2|[3-6]\d|70|50\d)|\+?82{_SEP}?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0|82"),
     _rule("phone", 0.75, rf"(?<![\w\-.])\+(?!82)\d{{1,3}}{_SEP}?\(?\d{{1,4}}\)?(?:{_SEP}{{1,2}}\d{{2,4}}){{2,4}}(?![\d]|[\-.]\d)", need="+"),
     _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)", need="전화|연락처|폰|tel|phone"),
     # identity numbers
@@ -93,7 +93,7 @@ RULES = (
     _rule("id_number", 0.45, r"(?<![\d\-.])(?:\d{4}[ \-]){3}\d{4}(?![\d\-])"),
     _rule("id_number", 0.45, r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}\b", regex.V1),
     # home addresses
-    _rule("address", 0.85, rf"(?<![가-힣])(?:[가-힣]+{UNITS}\s+){{1,3}}(?:{_ROAD}|(?:[가-힣]+{UNITS}\s+)?{_LOT}){_FLAT}", need="로 |길 |번지|리 "),
+    _rule("address", 0.85, rf"(?<![가-힣])(?:[가-힣]+{UNITS}\s+){{1,3}}(?:{_ROAD}|(?:[가-힣]+{UNITS}\s+)?{_LOT}){_FLAT}", need="HOUSE"),
     _rule("address", 0.85, rf"(?<![\w])(?:(?:Apt|Apartment|Unit|Flat|Suite|#)\.?\s*\d+[A-Z]?,\s*)?\d{{1,5}}\s+(?:[A-Za-z'’]{{2,}}{_S}+){{1,3}}(?:{STREETS})\b(?:,{_S}*(?:[A-Za-z'’]+)(?:{_S}+(?-i:[A-Z][A-Za-z'’]+))?(?=[\s,.;)/]|$))?", need="street|drive|lane|avenue|court|road|boulevard|way|place|terrace|crescent|close|square|parkway"),
     # names in Korean
     _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$|님|씨)", need="성명|환자명|이름|성함"),
@@ -104,7 +104,7 @@ RULES = (
     _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s?님(?:[\s,.;)(/]|$|이|의|과|께|은|을))", need="님"),
     _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+씨(?:[\s(,.]|$)|씨(?:[\s(,.]|$))", need="씨"),
     _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+{_FILL}(?:어린이|환아\s+{_FILL}수술|환자\s+{_FILL}본인|군\s|양\s))", need="어린이|환아|환자|군 |양 "),
-    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_FILL}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_FILL}보조|[,;]\s*RN))", need="집도의|전공의|간호사|보조|과장|교수|선생|펠로우|전문의|의사|과"),
+    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_FILL}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_FILL}보조|[,;]\s*RN))", need="집도의|전공의|간호사|마취의|주치의|인턴|보조|과장|교수|선생|펠로우|전문의|의사|과"),
     _rule("name", 0.85, rf"마취의\s+{_FILL}{KO}\s*[,;]\s*{_FILL}보조\s+{_FILL}(?P<x>{KO})(?=[\s,;.)]|$)", need="보조"),
     _rule("name", 0.85, rf"마취의\s+{_FILL}(?P<x>{KO})(?=\s*[,;]\s*{_FILL}보조)", need="보조"),
     _rule("name", 0.8, rf"(?<![가-힣])(?P<x>{KO})(?=\s*[/,;]\s*\d{{6}}\s?[\-–‑]?\s?\d{{7}})", need="NUMBER13"),
@@ -123,6 +123,8 @@ RULES = (
 _NEAR = 24
 _IDS, _PHONES, _THINGS = (regex.compile(p, _F) for p in (ID_WORDS, PHONE_WORDS, THING_WORDS))
 _NUMBER13 = regex.compile(r"\d{6}\s?[\-–‑]?\s?\d{7}")
+_HOUSE = regex.compile(r"[로길동리가]\s+(?:산\s?)?\d")
+_BLANKS = {k: " " for k in range(0x3001) if chr(k).isspace()}
 _AFTER_ML = regex.compile(r"\s*(?:mL|cc)\b", _F)
 
 
@@ -182,7 +184,7 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     if not text:
         return []
     plain, begin, end = folded(text)
-    low = plain.lower() + ("NUMBER13" if _NUMBER13.search(plain) else "")
+    low = plain.casefold().translate(_BLANKS) + "NUMBER13" * bool(_NUMBER13.search(plain)) + "HOUSE" * bool(_HOUSE.search(plain))
     found = []
     for rule in RULES:
         if rule.need and not any(word in low for word in rule.need):

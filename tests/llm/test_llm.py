@@ -93,6 +93,30 @@ def test_personal_data_and_look_alikes():
     assert pii.luhn("4539578763621486") and pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("경기도 성남시 분당구 정자동 178-1", "address", "경기도 성남시 분당구 정자동 178-1"),
+    ("서울시 중구 을지로2가 12-3", "address", "서울시 중구 을지로2가 12-3"),
+    ("강원도 춘천시 소양로\t45", "address", "강원도 춘천시 소양로\t45"),
+    ("주치의 장마루늘 인수함", "name", "장마루늘"),
+    ("인턴 장마루늘 인수함", "name", "장마루늘"),
+    ("마취의 장마루늘 인수함", "name", "장마루늘"),
+    ("+82-2-5123-4567", "phone", "+82-2-5123-4567"),
+    ("kim { at } mail.example.com", "email", "kim { at } mail.example.com"),
+    ("kim [\tat\t] mail.example.com", "email", "kim [\tat\t] mail.example.com"),
+])
+def test_personal_data_alone_in_a_text(text, kind, value):
+    assert [(k, text[lo:hi]) for lo, hi, k, _ in pii.spans(text)] == [(kind, value)]
+
+
+def test_no_rule_is_skipped_where_its_pattern_matches(monkeypatch):
+    rng = random.Random(8)
+    parts = ["경기도 성남시 ", "정자동 178-1", "주치의\n장마루늘\t인수함", "verified by\tkim vardoun, RN", "+82-31-5123-4567", "kim <\tat > mail.example.com", "장마루늘 군\n", "MIẞ vardoun, ", "보호자 ", TEXT[:200]]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(300)]
+    got = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "RULES", tuple(pii.Rule(r.kind, r.pattern, r.score) for r in pii.RULES))
+    assert got == [pii.spans(t) for t in texts]
+
+
 def test_personal_data_defines_nulls_and_repeats(spark):
     df = spark.createDataFrame([(1, None, ""), (2, "성명: 장마루늘, 성명: 장마루늘", "x" * 100_000), (2, "성명: 장마루늘, 성명: 장마루늘", None)], "rec_id long, emr string, handoff string")
     assert sorted((r["rec_id"], r["fld"], r["kind"], r["seq"]) for r in pii.find_personal(df, "rec_id", ("emr", "handoff")).collect()) == [(2, "emr", "name", 1)] * 2 + [(2, "emr", "name", 2)] * 2
