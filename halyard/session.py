@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
@@ -30,9 +31,15 @@ def get_session(app: str = "halyard", cpus: int | None = None, shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir of the cluster, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one JVM (tests).
+
+    Without the setting a cluster has no such folder: executors would write to disks of their own. That is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = spark.conf.get("halyard.local.dir", None)
         if not where:
             where = tempfile.mkdtemp(prefix="halyard-")
@@ -40,10 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", where).rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_KEPT: set[str] = set()
+
+
+def run_dir(spark: SparkSession, part: str = "tables") -> str:
+    """This application's folder in the shared one, which goes when the application ends; see also clean."""
+    path = f"{shared_dir(spark)}/halyard-{spark.sparkContext.applicationId}"
+    if path not in _KEPT:
+        at, system = _hadoop(spark, path)
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        _KEPT.add(path)
+    return f"{path}/{part}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application's queries wrote so far; results that were not yet consumed can't be read after it."""
+    at, system = _hadoop(spark, run_dir(spark))
+    system.delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors, costs no cache."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,15 +89,16 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    folder = shared_dir(spark).removeprefix("file://")
-    if "://" in folder:  # a file system that plain files can't be written to: Spark itself serves the zip from the driver
-        folder = tempfile.mkdtemp(prefix="halyard-")
-    at = Path(folder, f"ship-{uuid.uuid4().hex}", "halyard.zip")
-    at.parent.mkdir(parents=True)
-    with zipfile.ZipFile(at, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("halyard") / p.relative_to(root))
-    sc.addPyFile(str(at))
+    path = f"{run_dir(spark, 'ship')}/halyard.zip"
+    at, system = _hadoop(spark, path)
+    out = system.create(at, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.removeprefix("file://"))
     _SHIPPED.add(sc.applicationId)
 
 
