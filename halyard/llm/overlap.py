@@ -29,7 +29,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, shared_dir, spread
+from ..session import materialize, run_dir, spread
 
 DEPTH, SIGMA = 24, 32
 LOCATED = 0.06  # share of a text's letters whose runs are located, beyond 1 - share
@@ -253,7 +253,7 @@ def near_same_texts(training: DataFrame, evaluation: DataFrame, share: float = 0
     spark = training.sparkSession
     total = evaluation.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard))
-    path = f"{shared_dir(spark)}/fm-index-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/fm-index-{uuid.uuid4().hex}"
     placed = evaluation.select("key", "norm", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     placed.groupBy("shard").applyInPandas(_build, "shard long, keys string, bwt binary, owner binary").write.parquet(path)
 
