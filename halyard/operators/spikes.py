@@ -1,105 +1,187 @@
 """Implausible readings: physical bounds, stuck values and spikes, per source (sid, item).
 
-Spikes are runs held against the level, a rolling median, before and after them. A filter by the median absolute deviation
-would veto some: the run's own readings widen it. So all readings are held that are far enough from any number around.
-Stuck values come from run lengths.
-
-A source may hold any share of the rows: it is windowed by spans of time. Readings near an end of a span, for which the
-windows would be cut off, are judged with the neighbouring spans' ends beside them, if there are any. The
-median change of a source is taken from counts of equal changes, which are added up before they are shuffled.
+Each source's different readings stream once, in order of time, through a rolling comparison: a run of one to three readings
+is held against the rolling medians of the five readings before and after it, and runs of equal numbers are measured.
+A Hampel filter by the median absolute deviation would veto some runs, since a run's own readings widen the deviation; so
+the median change of the source takes its place. Rolling medians of runs of three lengths have no built-in counterpart that
+does not make an array for each row; they run in numpy over whole Arrow batches, and only where the numbers around are far
+enough apart. What that stage gives out is small: candidates with how far they leave their levels, counts of changes, and
+the ends of spans. Everything before and after it is built in.
+
+A source may hold any share of the rows: it is cut into spans of time. Readings near an end of a span, whose neighbours are
+in another, are judged again with the neighbouring spans' ends beside them, if there are any. Copies of a reading are
+counted before they are shuffled; a group of copies of any size is one row from there on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.normalize import once
 from ..session import materialize
 
 KEY = ("sid", "item")
 REACH = 9  # readings that a verdict may need on either side
 LEVEL = 5  # readings that make the level on either side
-WIN = LEVEL + 2
+RUNS = tuple((n, o) for n in (1, 2, 3) for o in range(n))  # lengths of runs, and the places that a reading may have in them
+STUCK = 10
 EPS = 1e-9
-ORDER = ("us", "v", "row_id")
-
-
-def _middle(a: Column) -> Column:
-    """The median of a sorted array."""
-    n = F.size(a)
-    return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
-
-
-def _windows(x: DataFrame, part: tuple[str, ...]) -> DataFrame:
-    """Adds rn, n, run (length of the run of equal numbers, as far as it matters), chg and near (the numbers around).
-
-    near is null where it can hold no spike, since its numbers are less than min_jump apart.
-    """
-    w = W.partitionBy(*part).orderBy(*ORDER)
-    x = x.withColumns({"rn": F.row_number().over(w), "chg": F.abs(F.col("v") - F.lag("v").over(w))})
-    x = x.withColumn("_len", F.col("rn") - F.max(F.when(F.coalesce(F.col("chg"), F.lit(1.0)) != 0, F.col("rn"))).over(w.rowsBetween(W.unboundedPreceding, 0)) + 1)
-    x = x.withColumns({
-        "n": F.count(F.lit(1)).over(W.partitionBy(*part)),
-        "run": F.max("_len").over(w.rowsBetween(0, REACH)),
-        "near": F.collect_list("v").over(w.rowsBetween(-WIN, WIN)),
-    }).drop("_len")
-    return x.withColumn("near", F.when(F.array_max("near") - F.array_min("near") >= F.col("min_jump") - EPS, F.col("near")))
-
-
-def _kind(x: DataFrame) -> DataFrame:
-    """x: readings with their windows and their source's med, changes and changed. Gives kind to those that have one.
-
-    Each step is computed once per row, and only for the rows that the step before has left.
-    """
-    keep = (*KEY, "us", "v", "row_id")
-    limit = F.greatest(F.col("min_jump"), 8 * F.col("med")) - EPS
-    limit = F.when(F.col("min_jump").isNotNull() & F.col("med").isNotNull(), limit)
-    stuck = (F.col("run") >= 10) & (2 * F.col("changed") > F.col("changes"))
-    wide = F.coalesce(F.when(F.col("near").isNotNull(), F.array_max("near") - F.array_min("near")) >= limit, F.lit(False))
-    x = x.where(stuck | wide)
-    held = x.where(stuck).select(*keep, F.lit("stuck").alias("kind"))
-    x = once(x.where(~stuck), *keep, "near", limit=limit, p=F.least(F.col("rn") - 1, F.lit(WIN)))  # p: place of v in near, from 0
-    # a level that v leaves lies among the numbers around
-    x = x.where((F.col("v") - F.array_min("near") >= F.col("limit")) | (F.array_max("near") - F.col("v") >= F.col("limit")))
-    # the runs of one to three readings that v may lie in, each with its first and last place
-    runs = F.array(*[F.struct((F.col("p") - o).alias("i"), (F.col("p") - o + n - 1).alias("j")) for n in (1, 2, 3) for o in range(n)])
-    runs = F.filter(runs, lambda r: (r["i"] >= 1) & (r["j"] <= F.size("near") - 2))
-    sides = F.transform(runs, lambda r: F.struct(
-        F.array_sort(_part(F.greatest(r["i"] - LEVEL, F.lit(0)), r["i"] - 1)).alias("lo"), F.array_sort(_part(r["j"] + 1, r["j"] + LEVEL)).alias("hi"),
-        _part(r["i"], r["j"]).alias("run"), F.get("near", (r["i"] - 1).cast("int")).alias("prev"), F.get("near", (r["j"] + 1).cast("int")).alias("next")))
-    x = once(x, *keep, "limit", sides=sides)
-    t = F.col("limit")
-
-    def spiking(r: Column) -> Column:
-        b, a = _middle(r["lo"]), _middle(r["hi"])
-        up, down = F.array_min(r["run"]) - F.greatest(b, a) >= t, F.least(b, a) - F.array_max(r["run"]) >= t
-        return (up | down) & (F.abs(r["prev"] - b) < t) & (F.abs(r["next"] - a) < t)
-
-    return held.unionByName(x.where(F.exists("sides", spiking)).select(*keep, F.lit("spike").alias("kind")))
-
-
-def _part(first: Column, last: Column) -> Column:
-    """near from place first to place last, as far as it goes."""
-    return F.slice("near", (first + 1).cast("int"), (F.least(last, F.size("near") - 1) - first + 1).cast("int"))
-
-
-def source_changes(x: DataFrame) -> DataFrame:
-    """Of each span of each source: how many spans the source has, and the source's med (median change), changes, changed.
-
-    x: readings with chg, their change from the reading before them in their span; changed counts those other than 0.
+HOLD = 2 * REACH
+
+MARKS = (
+    "tag string, sid long, item string, span long, us long, v double, row_id long, copies long, min_jump double, stuck boolean, at_end boolean, judged boolean, leaves array<double>, strays array<double>"
+)
+_SCHEMA = pa.schema([
+    ("tag", pa.string()), ("sid", pa.int64()), ("item", pa.string()), ("span", pa.int64()), ("us", pa.int64()), ("v", pa.float64()), ("row_id", pa.int64()), ("copies", pa.int64()), ("min_jump", pa.float64()),
+    ("stuck", pa.bool_()), ("at_end", pa.bool_()), ("judged", pa.bool_()), ("leaves", pa.list_(pa.float64())), ("strays", pa.list_(pa.float64())),
+])
+
+
+def _rows(tag: str, table: pa.Table, at: np.ndarray, **given) -> pa.RecordBatch:
+    """The rows of the table at some places, with columns given; the others of the schema are null."""
+    part = table.take(pa.array(at))
+    cols = []
+    for f in _SCHEMA:
+        if f.name == "tag":
+            cols.append(pa.array([tag] * len(at), pa.string()) if len(at) < 64 else pa.DictionaryArray.from_arrays(np.zeros(len(at), np.int32), [tag]).cast(pa.string()))
+        elif f.name in given:
+            cols.append(pa.array(given[f.name], f.type) if isinstance(given[f.name], np.ndarray) else given[f.name])
+        elif f.name in part.column_names:
+            cols.append(part[f.name].combine_chunks().cast(f.type))
+        else:
+            cols.append(pa.nulls(len(at), f.type))
+    return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
+
+
+def _spread(v: np.ndarray, take) -> np.ndarray:
+    """Greatest (or least) number from seven places before to seven after, whatever the source."""
+    n = len(v)
+    padded = np.concatenate([np.full(7, v[0]), v, np.full(8, v[-1])])
+    for k in (1, 2, 4):
+        padded[: len(padded) - k] = take(padded[: len(padded) - k], padded[k:])
+    return take(padded[:n], padded[7 : 7 + n])
+
+
+def _median(parts: np.ndarray) -> np.ndarray:
+    """Medians of rows in which NaN stands for no number; NaN where there is none at all."""
+    s = np.sort(parts, axis=1)  # NaN last
+    n = (~np.isnan(s)).sum(axis=1)
+    at = np.arange(len(s))
+    return (s[at, np.maximum(n - 1, 0) // 2] + s[at, np.minimum(n // 2, s.shape[1] - 1)]) / 2 if s.shape[1] else np.full(len(s), np.nan)
+
+
+def _margins(v: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the readings at some places and each run that they may lie in: by how much all of the run leave the levels before
+    and after it, to whatever side, and how far the readings beside the run are from these levels. NaN: no such run."""
+    places = np.arange(-LEVEL - 2, LEVEL + 3)
+    off = at[:, None] + places
+    near = v[np.clip(off, 0, len(v) - 1)]
+    near[(places < -left[at, None]) | (places > right[at, None])] = np.nan
+    mid = LEVEL + 2
+    leaves, strays = np.empty((len(at), len(RUNS))), np.empty((len(at), len(RUNS)))
+    for k, (n, o) in enumerate(RUNS):
+        s, e = mid - o, mid - o + n - 1
+        before, after = _median(near[:, s - LEVEL : s]), _median(near[:, e + 1 : e + 1 + LEVEL])
+        run = near[:, s : e + 1]
+        top, low = np.maximum(before, after)[:, None], np.minimum(before, after)[:, None]
+        leaves[:, k] = np.maximum(run - top, low - run).min(axis=1)
+        strays[:, k] = np.maximum(np.abs(near[:, s - 1] - before), np.abs(near[:, e + 1] - after))
+    return leaves, strays
+
+
+def _lists(x: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)), pa.array(x[keep]))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of readings that come in order of source, span and time. HOLD readings are held back until what follows them is
+    known, and as many are kept before them, so that memory does not grow with a source."""
+    kept: pa.Table | None = None
+    done, base = 0, 0  # rows of kept that were given out before; place in its group of the first row kept
+
+    def chunk(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, done, base
+        col = lambda c: table[c].to_numpy()
+        g, v, size = col("grp"), col("v"), table.num_rows
+        i = np.arange(size)
+        starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+        lens = np.diff(np.append(starts, size))
+        of = np.repeat(np.arange(len(starts)), lens)
+        left, right = i - starts[of], (starts + lens)[of] - 1 - i
+        place = left + np.where(of == 0, base, 0)  # in its group, from 0
+        stop = size if last else max(starts[-1], size - HOLD)
+        now = slice(done, stop)
+        chg = np.abs(np.diff(v, prepend=v[:1]))
+        follows = left > 0
+        same = follows & (chg == 0)
+        broken = np.maximum.accumulate(np.where(same, 0, i))
+        ahead = np.minimum.accumulate(np.where(np.append(same[1:], False), size, i)[::-1])[::-1]
+        stuck = ahead - broken + 1 >= STUCK
+        jump = col("min_jump")
+        with np.errstate(invalid="ignore"):
+            wide = (_spread(v, np.maximum) - v >= jump - EPS) | (v - _spread(v, np.minimum) >= jump - EPS)
+            held = np.flatnonzero((stuck | wide)[now]) + done
+            leaves, strays = _margins(v, left, right, held)
+            fits = leaves >= (jump[held] - EPS)[:, None]
+        some = stuck[held] | fits.any(axis=1)
+        held, leaves, strays, fits = held[some], leaves[some], strays[some], fits[some]
+        at_end = (place < REACH) | (right < REACH)
+        if len(held):
+            yield _rows("held", table, held, stuck=stuck[held], at_end=at_end[held], leaves=_lists(leaves, fits), strays=_lists(strays, fits))
+        ends = np.flatnonzero(((place < HOLD) | (right < HOLD))[now]) + done
+        if len(ends):
+            yield _rows("end", table, ends, at_end=at_end[ends])
+        moved = np.flatnonzero((follows & (place > 0))[now]) + done
+        if len(moved):
+            size_of = np.round(chg[moved], 6)
+            order = np.lexsort((size_of, of[moved]))
+            a, b = of[moved][order], size_of[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            yield _rows("change", table, moved[order][first], v=b[first], copies=np.diff(np.append(first, len(a))))
+        begin = max(starts[-1], stop - HOLD)
+        kept, base, done = table.slice(begin), int(place[begin]) if begin < size else 0, stop - begin
+
+    for batch in batches:
+        if batch.num_rows:
+            new = pa.Table.from_batches([batch])
+            yield from chunk(pa.concat_tables([kept, new]).combine_chunks() if kept is not None and kept.num_rows else new, False)
+    if kept is not None and kept.num_rows > done:
+        yield from chunk(kept, True)
+
+
+def _marks(readings: DataFrame, *part: str) -> DataFrame:
+    """Marks of the different readings (sid, item, span, us, v, row_id, copies, min_jump, judged), windowed by part."""
+    x = readings.withColumn("grp", F.xxhash64(*part)).repartition(*part).sortWithinPartitions(*part, "us", "v")
+    return x.mapInArrow(_scan, MARKS)
+
+
+def source_changes(changes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of each source: how many spans it has, and its med (median change), changes, and changed, those other than 0.
+
+    changes: sid, item, chg, c, counts of changes within spans; spans: sid, item, span, fv, lv, the first and last number.
     """
-    at = F.struct(*ORDER)
     by_source = W.partitionBy(*KEY)
-    spans = x.where("rn = 1 or rn = n").groupBy(*KEY, "span").agg(F.min(at)["v"].alias("fv"), F.max(at)["v"].alias("lv"))
-    spans = spans.withColumns({"chg": F.abs(F.col("fv") - F.lag("lv").over(by_source.orderBy("span"))), "spans": F.count(F.lit(1)).over(by_source)})
-    rounded = lambda df: df.where("chg is not null").select(*KEY, F.round("chg", 6).alias("chg"))
-    counts = rounded(x).unionByName(rounded(spans)).groupBy(*KEY, "chg").agg(F.count(F.lit(1)).alias("c"))
+    spans = spans.withColumn("chg", F.abs(F.col("fv") - F.lag("lv").over(by_source.orderBy("span"))))
+    between = spans.where("chg is not null").select(*KEY, F.round("chg", 6).alias("chg"), F.lit(1).cast("long").alias("c"))
+    counts = changes.unionByName(between).groupBy(*KEY, "chg").agg(F.sum("c").alias("c"))
     counts = counts.withColumns({"cum": F.sum("c").over(by_source.orderBy("chg")), "all": F.sum("c").over(by_source)})
     stats = counts.groupBy(*KEY).agg(
         ((F.min(F.when(F.col("cum") > F.floor((F.col("all") - 1) / 2), F.col("chg"))) + F.min(F.when(F.col("cum") > F.floor(F.col("all") / 2), F.col("chg")))) / 2).alias("med"),
         F.sum("c").alias("changes"), F.sum(F.when(F.col("chg") > 0, F.col("c")).otherwise(0)).alias("changed"),
     )
-    return spans.select(*KEY, "span", "spans").join(stats, list(KEY), "left")
+    return spans.groupBy(*KEY).agg(F.count(F.lit(1)).alias("spans")).join(stats, list(KEY), "left")
+
+
+def _kind() -> Column:
+    """The kind of a mark beside its source's numbers; null for none."""
+    limit = F.greatest(F.col("min_jump"), 8 * F.col("med")) - EPS
+    limit = F.when(F.col("min_jump").isNotNull() & F.col("med").isNotNull(), limit)
+    spiking = F.exists(F.arrays_zip("leaves", "strays"), lambda r: (r["leaves"] >= limit) & (r["strays"] < limit))
+    return F.when(F.col("stuck") & (2 * F.col("changed") > F.col("changes")), "stuck").when(spiking, "spike")
 
 
 def implausible(rows: DataFrame, span_days: int = 28, salts: int = 8) -> DataFrame:
@@ -107,34 +189,33 @@ def implausible(rows: DataFrame, span_days: int = 28, salts: int = 8) -> DataFra
 
     kind is `impossible` (outside lo..hi; a null bound is none), else, without those, `stuck` (one of ten or more
     successive readings of the same number in a source of which more than half of the successive readings differ), else
-    `spike` (one to three successive readings that leave the level of the five readings before and after them, to the
-    same side, by min_jump and by 8 times the source's median change at least; null min_jump: no spikes). Rows with the
+    `spike` (one to three successive readings that each leave the level of the five readings before and after them, to
+    whatever side, by min_jump and by 8 times the source's median change at least; null min_jump: no spikes). Rows with the
     same source, time and number are one reading and share its kind. Readings of one time with several numbers are taken
     in order of the number. min_jump must be one per item. Empty tables give no rows.
 
-    The readings are parsed, shuffled and windowed once and written to the shared folder, from which the median changes,
-    the candidates, the ends of spans and the copies are read.
+    The rows are parsed once and written to the shared folder; from there they are counted by reading, and read again only
+    for copies of readings that were found.
     """
     bad = F.coalesce(F.col("v") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("v") > F.col("hi"), F.lit(False))
-    width = span_days * 86_400_000_000
-    span = ((F.col("us") - F.pmod("us", F.lit(width))) / width).cast("long")
-    x = rows.where("sid is not null and item is not null and us is not null and v is not null").select(*KEY, span.alias("span"), "us", "v", "row_id", "min_jump", bad.alias("bad"))
-    w = W.partitionBy(*KEY, "span", "bad").orderBy(*ORDER)
-    same = (F.lag("us").over(w) == F.col("us")) & (F.lag("v").over(w) == F.col("v"))
-    x = x.withColumn("again", F.coalesce(same, F.lit(False)))
-    all_rows = materialize(_windows(x, (*KEY, "span", "bad", "again")), "readings")
-    impossible = all_rows.where("bad").select("row_id", F.lit("impossible").alias("kind"))
-    sound = all_rows.where("not bad and not again").drop("bad", "again")
-    limits = materialize(source_changes(sound), "source-changes")  # a row per source and span
-    several = limits.where("spans > 1").select(*KEY, "span")
-    ends = sound.where((F.col("rn") <= 2 * REACH) | (F.col("rn") > F.col("n") - 2 * REACH)).join(several, [*KEY, "span"], "left_semi")
-    at_end = (F.col("rn") <= REACH) | (F.col("rn") > F.col("n") - REACH)
-    outer = _windows(ends.withColumn("judged", at_end).drop("rn", "n", "run", "near", "chg"), KEY).where("judged").drop("judged")
-    able = F.col("near").isNotNull() | (F.col("run") >= 10)
-    inner = sound.where(able).join(limits, [*KEY, "span"]).where(~((F.col("spans") > 1) & at_end))
-    found = materialize(_kind(inner.unionByName(outer.where(able).join(limits, [*KEY, "span"]))), "implausible")  # few rows, used twice
+    x = rows.where("sid is not null and item is not null and us is not null and v is not null")
+    parsed = materialize(x.select(*KEY, "us", "v", "row_id", F.col("min_jump").cast("double").alias("min_jump"), bad.alias("bad")), "readings")
+    width = F.lit(span_days * 86_400_000_000)
+    span = ((F.col("us") - F.pmod("us", width)) / width).cast("long")
+    sound = parsed.where("not bad")
+    once = sound.groupBy(*KEY, "us", (F.col("v") + F.lit(0.0)).alias("v")).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies"), F.max("min_jump").alias("min_jump"))
+    once = once.select(*KEY, span.alias("span"), "us", "v", "row_id", "copies", "min_jump", F.lit(None).cast("boolean").alias("judged"))
+    marks = materialize(_marks(once, *KEY, "span"), "marks")
+    ends = marks.where("tag = 'end'")
+    at = F.struct("us", "v")
+    spans = ends.groupBy(*KEY, "span").agg(F.min(at)["v"].alias("fv"), F.max(at)["v"].alias("lv"))
+    sources = materialize(source_changes(marks.where("tag = 'change'").select(*KEY, F.col("v").alias("chg"), F.col("copies").alias("c")), spans), "source-changes")
+    outer = ends.join(sources.where("spans > 1").select(*KEY), list(KEY), "left_semi").select(*KEY, "span", "us", "v", "row_id", "copies", "min_jump", F.col("at_end").alias("judged"))
+    outer = _marks(outer, *KEY).where("tag = 'held' and judged").withColumn("at_end", F.lit(None).cast("boolean"))
+    held = marks.where("tag = 'held'").unionByName(outer).join(sources, list(KEY)).where("at_end is null or not at_end or spans = 1")
+    found = materialize(held.withColumn("kind", _kind()).where("kind is not null").select(*KEY, "us", "v", "row_id", "copies", "kind"), "implausible")  # few rows, used twice
     # a group of copies may be of any size: its rows are spread over salts
-    copies = all_rows.where("again and not bad").select(*KEY, "us", "v", F.col("row_id").alias("copy"), F.pmod("row_id", F.lit(salts)).alias("salt"))
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    copied = copies.join(spread, [*KEY, "us", "v", "salt"]).select(F.col("copy").alias("row_id"), "kind")
-    return impossible.unionByName(found.select("row_id", "kind")).unionByName(copied)
+    several = found.where("copies > 1").select(*KEY, "us", "v", F.col("row_id").alias("first"), "kind")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    copied = sound.withColumn("salt", F.pmod("row_id", F.lit(salts))).join(several, [*KEY, "us", "v", "salt"]).where("row_id <> first").select("row_id", "kind")
+    return parsed.where("bad").select("row_id", F.lit("impossible").alias("kind")).unionByName(found.select("row_id", "kind")).unionByName(copied)

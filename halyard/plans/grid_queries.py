@@ -43,22 +43,17 @@ s1 AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY sid, ite
 chg AS (SELECT sid, item, median(round(abs(v - was), 6)) AS med, count(was) AS changes, count(*) FILTER (WHERE v <> was) AS changed FROM s1 GROUP BY sid, item),
 s2 AS (SELECT s1.*, med, changes, changed, sum(CASE WHEN was IS NULL OR was <> v THEN 1 ELSE 0 END) OVER (PARTITION BY sid, item ORDER BY rn) AS run_id
        FROM s1 JOIN chg USING (sid, item)),
-s3 AS (SELECT *, count(*) OVER (PARTITION BY sid, item, run_id) AS run,
-         greatest(min_jump, 8 * med) - 1e-9 AS lim,
-         list(v) OVER (PARTITION BY sid, item ORDER BY rn ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS near,
-         list(v) OVER (PARTITION BY sid, item ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS around
-       FROM s2),
-s4 AS (SELECT *, least(rn - 1, 7) AS p, list_median(around) AS mid FROM s3 WHERE list_max(near) - list_min(near) >= lim),
-s5 AS (SELECT *, list_median(list_transform(around, lambda y: abs(y - mid))) AS mad FROM s4 WHERE abs(v - mid) >= lim),
-s6 AS (SELECT *, p - o AS i, p - o + l - 1 AS j FROM s5, (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) AS r(l, o)
-       WHERE abs(v - mid) > 3 * 1.4826 * mad AND NOT (run >= 10 AND 2 * changed > changes)),
-s7 AS (SELECT *, list_median(near[greatest(i - 5, 0) + 1 : i]) AS b, list_median(near[j + 2 : j + 6]) AS a, near[i + 1 : j + 1] AS r, near[i] AS prv, near[j + 2] AS nxt
-       FROM s6 WHERE i >= 1 AND j <= len(near) - 2),
+s3 AS (SELECT *, count(*) OVER (PARTITION BY sid, item, run_id) AS run, greatest(min_jump, 8 * med) - 1e-9 AS lim FROM s2),
+-- each run of one to three readings with the readings around it
+runs AS (SELECT s3.*, l, list(v) OVER (PARTITION BY sid, item, l ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b,
+           list(v) OVER (PARTITION BY sid, item, l ORDER BY rn ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS f
+         FROM s3, (VALUES (1), (2), (3)) AS r(l) WHERE min_jump IS NOT NULL),
+levels AS (SELECT *, f[1 : l] AS r, f[l + 1 : l + 5] AS x, list_median(b) AS lb, list_median(f[l + 1 : l + 5]) AS la FROM runs WHERE rn > 1 AND rn + l <= n),
+spikes AS (SELECT DISTINCT sid, item, unnest(range(rn, rn + l)) AS rn FROM levels
+           WHERE len(list_filter(r, lambda y: y - greatest(la, lb) >= lim OR least(la, lb) - y >= lim)) = l AND abs(b[-1] - lb) < lim AND abs(x[1] - la) < lim),
 hits AS (
-  SELECT sid, item, us, v, 'stuck' AS kind FROM s3 WHERE run >= 10 AND 2 * changed > changes
-  UNION
-  SELECT sid, item, us, v, 'spike' FROM s7
-  WHERE (list_min(r) - greatest(a, b) >= lim OR least(a, b) - list_max(r) >= lim) AND abs(prv - b) < lim AND abs(nxt - a) < lim)
+  SELECT sid, item, us, v, CASE WHEN run >= 10 AND 2 * changed > changes THEN 'stuck' ELSE 'spike' END AS kind
+  FROM s3 LEFT JOIN spikes p USING (sid, item, rn) WHERE run >= 10 AND 2 * changed > changes OR p.sid IS NOT NULL)
 SELECT row_id, 'impossible' AS kind FROM bad
 UNION ALL
 SELECT q.row_id, h.kind FROM readings q JOIN hits h USING (sid, item, us, v)"""
