@@ -46,3 +46,28 @@ def once(df: DataFrame, *keep: str, **computed: Column) -> DataFrame:
 def epoch_us(c: Column) -> Column:
     """Microseconds since 1970-01-01 00:00 on the clock that the value shows, whatever the session's zone."""
     return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+
+
+def fixed(x: Column, digits: int = 0) -> Column:
+    """x as text with 0, 1 or 2 digits behind the point, rounded as C and Python do: by its exact binary value, ties to even."""
+    a = F.abs(x)
+    k = F.floor(a * 10**digits)
+    # twice the scale times a, as a sum of doubles without error, held against the odd number 2 k + 1
+    first, *rest = {0: (2,), 1: (16, 4), 2: (128, 64, 8)}[digits]
+    total, lost = a * first, F.lit(0.0)
+    for part in rest:
+        y = a * part
+        s = total + y
+        lost = lost + (total - (s - (s - total))) + (y - (s - total))
+        total = s
+    over = (total - (2 * k + 1)) + lost
+    n = F.when(over > 0, k + 1).when(over < 0, k).otherwise(k + k % 2).cast("long")
+    sign = F.when(x < 0, "-").otherwise("")
+    if digits == 0:
+        return F.concat(sign, n.cast("string"))
+    return F.concat(sign, F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+
+def shortest(x: Column) -> Column:
+    """x as text without a fraction of 0."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")

@@ -13,6 +13,7 @@ SBP_P95 = {1: 104, 2: 106, 3: 109, 4: 111, 5: 112, 6: 114, 7: 115, 8: 116, 9: 11
 DBP_P95 = {1: 58, 2: 63, 3: 67, 4: 70, 5: 72, 6: 74, 7: 76, 8: 78, 9: 79, 10: 80, 11: 80, 12: 81}
 EBV = ((0.25, 85), (1, 78), (6, 73), (None, 68))
 SPO2_CRITICAL, SPO2_TARGET, TEMP_LOW, TEMP_HYPO, TEMP_HIGH, TEMP_FEVER, QTC_LONG = 90.0, 94.0, 35.5, 36.0, 37.5, 38.0, 480.0
+EBL_SIGNIFICANT, EBL_MASSIVE, UO_LOW, HB_LOW = 10.0, 50.0, 0.5, 7.0
 MIN_DEVIATION = {"HR": 10.0, "SBP": 10.0, "MBP": 10.0, "DBP": 10.0, "ISBP1": 10.0, "IMBP1": 10.0, "IDBP1": 10.0, "SpO2": 3.0, "T1": 0.5, "QTc": 20.0}
 PLANNED_HYPOTHERMIA = ("cpb", "체외순환", "심폐순환", "cardiopulmonary bypass", "dhca", "deep hypothermic", "bypass on", "aortic cross", "acc on")
 # ------------------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from ..functions.normalize import epoch_us, first_number, narrow, no_blanks, onc
 
 #: Running totals, for which 0 is a reading.
 TOTALS = ("EBL", "UO")
+#: Fixed value: a value of UO that says that there is no catheter.
+NO_FOLEY = r"NF|NO.?FOLEY"
 ARROW = r"<|←|⇐|⟵|↤|⬅|◀|◄"
 
 
@@ -17,6 +19,24 @@ def item_key(c):
     return F.upper(F.when(plain != "", plain).otherwise(no_blanks(F.split(narrow(c), ARROW, 2)[0])))
 
 
+def timed(vital: DataFrame, item_ref: DataFrame, totals: tuple[str, ...] = TOTALS) -> DataFrame:
+    """row_id, sid, us, item, v, lo, hi, min_jump, grid_min, no_foley of every row of vital with a sid other than null and -1.
+
+    us, item and v are null where the row has no time, no item of item_ref or no number; 0 is a number for totals only.
+    no_foley: the row says that urine is not measured. Repeated rows stay repeated; extra columns of either table are
+    ignored. item_ref is joined by name; Spark broadcasts it below its own size threshold, else sorts.
+    """
+    ref = item_ref.select(
+        F.upper(no_blanks(narrow(F.col("item")))).alias("_key"), F.col("item"), F.col("plausible_lo").alias("lo"), F.col("plausible_hi").alias("hi"), "min_jump", "grid_min"
+    ).where("_key is not null")
+    x = once(
+        vital.where("sid is not null and sid <> -1"), "row_id", "sid", us=epoch_us(F.col("ts")), _key=item_key(F.col("item_raw")), _v=first_number(F.col("value_raw")),
+        _nf=F.coalesce(F.upper("value_raw").rlike(NO_FOLEY), F.lit(False)),
+    ).join(ref, "_key", "left")
+    v = F.when(F.col("item").isNotNull() & ((F.col("_v") != 0) | F.col("item").isin(*totals)), F.col("_v"))
+    return x.select("row_id", "sid", "us", "item", v.alias("v"), "lo", "hi", "min_jump", "grid_min", (F.col("_nf") & F.coalesce(F.col("item") == "UO", F.lit(False))).alias("no_foley"))
+
+
 def readings(vital: DataFrame, item_ref: DataFrame, totals: tuple[str, ...] = TOTALS) -> DataFrame:
     """sid, item, us, v, row_id, lo, hi, min_jump, grid_min of each row of vital that is a reading.
 

@@ -20,6 +20,7 @@ ADMITTED = {
     "hypotension": ("vasopressor", "fluid_bolus", "transfusion"), "bradycardia": ("anticholinergic", "cpr", "vasopressor"), "tachycardia": ("antiarrhythmic",), "hypertension": (),
     "desaturation": ("airway_rescue", "cpr"), "hypothermia": (), "fever": (), "qtc": ("antiarrhythmic", "cpr"), "blood_loss": ("transfusion",), "oliguria": ("fluid_bolus", "transfusion"),
 }
+LABELS = {"vasopressor": "승압제", "anticholinergic": "아트로핀/항콜린", "transfusion": "수혈", "fluid_bolus": "수액부하", "airway_rescue": "기도 처치", "cpr": "심폐소생/제세동", "antiarrhythmic": "항부정맥제"}
 ENTRY = r"[▶▷►]?\s*(\d{1,2}):(\d{2})\s*([^\n▶▷►]*)"
 # ----------------------------------------------------------------------------------------------------------------------
 
@@ -47,18 +48,31 @@ def circular(a: Column, b: Column) -> Column:
     return F.least(d, 1440 - d)
 
 
+def clock(minute: Column) -> Column:
+    """A minute of the day as HH:MM."""
+    return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), (minute % 60).cast("int"))
+
+
+def render(hits: Column) -> Column:
+    """Interventions (structs of minute and category) in words, in order of time; null for null."""
+    order = F.array(*map(F.lit, KEYWORDS))
+    names = F.array(*[F.lit(LABELS[c]) for c in KEYWORDS])
+    placed = F.array_sort(F.transform(hits, lambda h: F.struct(h["minute"].alias("minute"), F.array_position(order, h["category"]).cast("int").alias("place"))))
+    return F.array_join(F.transform(placed, lambda h: F.concat(F.element_at(names, h["place"]), F.lit(" "), clock(h["minute"]))), ", ")
+
+
 def matches(episodes: DataFrame, given: DataFrame, within: int = NEAR_MIN) -> DataFrame:
     """sid, item, kind, tier2, category, minute: interventions near the start or end of an episode, once each.
 
     The join is by sid and category, and by blocks of `within` minutes of the day with their neighbours, so that pairs far
-    apart are not made.
+    apart are not made. Of an event each minute of the day counts once, whatever the number of its episodes.
     """
     blocks = -(-1440 // within)
     admitted = F.create_map(*[x for k, v in ADMITTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))])
     minute = lambda us: F.pmod(F.floor(F.col(us) / MIN_US), F.lit(1440)).cast("int")
-    e = episodes.select("sid", "item", "kind", "tier2", F.explode(F.array_distinct(F.array(minute("from_us"), minute("to_us")))).alias("at"), admitted[F.col("kind")].alias("c"))
+    e = episodes.select("sid", "item", "kind", "tier2", F.explode(F.array_distinct(F.array(minute("from_us"), minute("to_us")))).alias("at"), admitted[F.col("kind")].alias("c")).distinct()
     e = e.withColumn("category", F.explode("c")).drop("c")
     e = e.withColumn("block", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(F.floor(F.col("at") / within) + k, F.lit(blocks))))))
-    g = given.withColumn("block", F.floor(F.col("minute") / within))
+    g = given.select("sid", "minute", "category").distinct().withColumn("block", F.floor(F.col("minute") / within))
     near = e.join(g, ["sid", "category", "block"]).where(circular(F.col("at"), F.col("minute")) <= within)
     return near.select("sid", "item", "kind", "tier2", "category", "minute").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.normalize import epoch_us
 from ..operators import gridfill, spikes
-from ..operators.readings import readings
+from ..operators.readings import readings, timed
 from ..session import load, spread
 from .query import Query
 
@@ -16,16 +16,16 @@ _BLANK = r"[\s\x{a0}\x{2000}-\x{200d}\x{3000}\x{feff}]+"
 
 READINGS_SQL = f"""
 raw_rows AS (
-  SELECT row_id, sid, epoch_us(ts) AS us,
+  SELECT row_id, sid, epoch_us(ts) AS us, value_raw,
     upper(regexp_replace(regexp_split_to_array(translate(item_raw, '{_WIDE}', '{_ASCII}'), '<|←|⇐|⟵|↤|⬅|◀|◄')[1], '{_BLANK}', '', 'g')) AS k,
     translate(translate(value_raw, '{_WIDE}', '{_ASCII}'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹,−', '01234567890123456789.-') AS t
-  FROM vital_df WHERE sid IS NOT NULL AND sid <> -1 AND ts IS NOT NULL),
+  FROM vital_df WHERE sid IS NOT NULL AND sid <> -1),
 numbers AS (
-  SELECT row_id, sid, us, k, try_cast(nullif(regexp_extract(t, '(^|[^A-Za-z0-9.-]|[^A-Za-z0-9.])(-?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 2), '') AS DOUBLE) AS v FROM raw_rows),
+  SELECT row_id, sid, us, k, value_raw, try_cast(nullif(regexp_extract(t, '(^|[^A-Za-z0-9.-]|[^A-Za-z0-9.])(-?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 2), '') AS DOUBLE) AS v FROM raw_rows),
 readings AS (
   SELECT n.row_id, n.sid, r.item, n.us, n.v, r.plausible_lo AS lo, r.plausible_hi AS hi, r.min_jump, r.grid_min
   FROM numbers n JOIN item_ref r ON n.k = upper(r.item)
-  WHERE n.v IS NOT NULL AND (n.v <> 0 OR r.item IN ('EBL', 'UO')))"""
+  WHERE n.us IS NOT NULL AND n.v IS NOT NULL AND (n.v <> 0 OR r.item IN ('EBL', 'UO')))"""
 
 P4_FOUND_SQL = f"""
 WITH {READINGS_SQL},
@@ -63,6 +63,10 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     return readings(spread(load(spark, d, "vital_df").select("row_id", "sid", "ts", "item_raw", "value_raw")), load(spark, d, "item_ref"))
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return timed(spread(load(spark, d, "vital_df").select("row_id", "sid", "ts", "item_raw", "value_raw")), load(spark, d, "item_ref"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Slots without a reading between successive readings of a session."""
     return gridfill.gaps(_readings(spark, d))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from halyard.functions import hygiene as H
+from halyard.functions.normalize import fixed
 from halyard.operators import scoring, splits, statistics as S, timeline, vitals
 from halyard.plans import record_queries
 
@@ -75,10 +76,48 @@ def series(spark, item, values, age):
 
 
 def verdicts(spark, item, values, age, touched=None):
-    ev = vitals.classify(vitals.events(series(spark, item, values, age)), touched)
+    ev = vitals.classify(vitals.events(vitals.mark(series(spark, item, values, age))), touched)
     return {(r["kind"], r["tier2"]): tuple(r["reasons"]) for r in ev.collect()}
 
 
+def test_runs_go_over_the_borders_of_spans(spark):
+    values = [95] * 6 + [58, 55, 57, 140, 62, 60, 61, 59] + [95] * 5 + [50] * 9
+    rows = [(1, "SBP", 20_000_000 * MIN + k * 700 * MIN, float(v), k, None, None, 5.0) for k, v in enumerate(values)] + [(2, "SBP", 5, 50.0, 99, None, None, 5.0)]
+    whole = spark.createDataFrame(rows, SERIES)
+    of = lambda days, f: sorted(map(str, f(vitals.mark(whole, days)).collect()))
+    for f in (vitals.episodes, vitals.events, vitals.steps, vitals.baselines):
+        assert of(1, f) == of(3, f) == of(10_000, f)
+    assert len(vitals.episodes(vitals.mark(whole, 1)).where("kind = 'hypotension' and sid = 1").collect()) == 3
+
+
+def test_rows_without_a_number_move_the_hand_off(spark):
+    rows = [(1, "HR", k * 5 * MIN, 90.0 if k < 10 else None, k, 1.0, 300.0, 5.0) for k in range(20)] + [(1, None, 100 * MIN, None, 30, None, None, 5.0), (2, "HR", None, 80.0, 31, 1.0, 300.0, 5.0)]
+    got = {r["sid"]: r["handoff_us"] for r in vitals.handoffs(vitals.mark(spark.createDataFrame(rows, SERIES))).collect()}
+    assert got == {1: 85 * MIN, 2: None}
+
+
+def test_fixed_rounds_as_c_does(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [0.5, 1.5, 2.5, 36.25, 36.45, 36.35, 0.05, 0.15, -0.3, -36.45, 99.95, 59.5, 16.955, 1.005, 0.285, 1e6 + 0.25, 0.0] + [rng.randrange(100_000) / 20 for _ in range(300)] + [rng.uniform(-500, 500) for _ in range(100)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double").select("x", fixed(F.col("x")).alias("a"), fixed(F.col("x"), 1).alias("b"), fixed(F.col("x"), 2).alias("c")).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == [(f"{r['x']:.0f}", f"{r['x']:.1f}", f"{r['x']:.2f}") for r in got]
+
+
+def test_summary_of_a_planned_and_a_bleeding_case(spark):
+    t1 = [36.4] * 4 + [30, 24, 20.1, 20.3, 24, 30] + [36.2] * 14
+    rows = [(4, "T1", k * 5 * MIN, float(v), k, 14.0, 45.0, 0.5) for k, v in enumerate(t1)] + [(5, "EBL", k * 30 * MIN, 200.0 * k, 100 + k, 0.0, None, 5.0) for k in range(4)] + [(5, "UO", k * 60 * MIN, 5.0 * k, 110 + k, 0.0, None, 5.0) for k in range(3)]
+    m = vitals.mark(spark.createDataFrame(rows, SERIES))
+    cases = spark.createDataFrame([(4, 0.5, None), (5, 5.0, 10.0)], "sid long, age double, weight double")
+    given = timeline.interventions(timeline.parse(spark.createDataFrame([(4, "▶01:50 Epinephrine")], "sid long, record string"))).select("sid", "minute", "category")
+    planned = spark.createDataFrame([(4,)], "sid long")
+    audit = vitals.audit(m, cases, given, planned, timeline.matches)
+    got = {r["sid"]: r["summary"] for r in vitals.summaries(m, audit, vitals.planned_lines(m, planned), vitals.handoff_lines(m, given), cases).collect()}
+    assert got[4] == "(연령군: 영아(28일–1세))\n### VITAL — REPORTABLE\n- 계획된 저체온(체외순환): 최저 20.1°C, 종료 시 36.2°C\n### VITAL — AT HANDOFF (last 15 min)\n- T1 36.2°C — 종료 15분 내 처치: 승압제 01:50"
+    assert got[5] == "(연령군: 학령전(3–5세))\n### VITAL — REPORTABLE\n- 실혈 600 mL (EBV의 82%) — 대량 실혈(>50% EBV)\n- 소변량 10 mL (0.5 mL/kg/hr)".replace("\n- 소변량 10 mL (0.5 mL/kg/hr)", "")
+
+
 def test_vital_rules(spark):
     low = [95] * 6 + [58, 55, 57, 60, 62] + [95] * 13
     low[20] = 140
