@@ -215,3 +215,33 @@ def test_defects_on_made_and_held_out_answers(spark):
     assert say("체온 35.0도로 저체온 지속되어 상처 출혈 확인 중임.") is None
     empty = spark.createDataFrame([], "gen_id long, prompt_text string, generated string")
     assert defects.find_defects(empty).count() == 0
+
+
+def _answers(spark):
+    return [(r["prompt_text"] or "", r["generated"]) for r in spark.read.parquet("/root/testdata/sf0.01/inference_records.parquet").where("generated is not null").select("prompt_text", "generated").collect()]
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_refusals_of_templates_that_were_not_taught_are_found(spark, part):
+    rows = _answers(spark)
+    model = defects.train(rows, part=part)
+    rng = random.Random(9)
+    other = [defects._refusal(rng, 1 - part) for _ in range(600)]
+    found = sum(model.defect(PROMPT, a)[0] == "refusal" for a in other)
+    reports = [how.format(what) for how in defects.NOT_DONE_HOW for what in ("척수마취", "위관 삽입", "요도 카테터 거치")]
+    assert found >= 0.85 * len(other), found / len(other)
+    assert sum(model.defect(PROMPT, f"{a} HR 98회로 안정됨.")[0] is None for a in reports) >= 0.9 * len(reports)
+
+
+def test_no_taught_line_stands_in_the_tables(spark):
+    said = "\n".join(a for _, a in _answers(spark))
+    taught = [t.format(s) for t in defects.KO_DECLINE for s in defects.KO_SUBJECT] + [f"{c} {d} {s}" for c in defects.EN_CAN for d in defects.EN_DO for s in defects.EN_SUBJECT]
+    taught += [*defects.EN_WHOLE, *defects.OTHER, *defects.FOREIGN, *filter(None, defects.KO_CLOSE + defects.EN_CLOSE)]
+    assert not [t for t in taught if t in said]
+
+
+def test_all_heads_decide_by_their_scores(spark):
+    model = defects.train(_answers(spark))
+    assert set(model.thresholds) == set(defects.DEFECTS)
+    for answer, head in ((None, "empty"), ("N/A", "empty"), (PROMPT[30:150], "copy"), ("Der Patient ist wach und atmet ruhig.", "language")):
+        assert model.defect(PROMPT, answer)[0] == head and model.scores(defects.look(PROMPT, answer))[head] >= model.thresholds[head]
