@@ -48,7 +48,7 @@ KO_DECLINE = (
     "{} 요청은 받아들일 수 없습니다.", "{}에 대한 의견을 드리는 것은 적절하지 않습니다.", "{} 지원은 하지 않는 기능입니다.", "주어진 자료로 {} 완성은 불가능하니 다른 방법을 찾아 주십시오.", "{} 작성은 허용되지 않은 일입니다.",
 )
 KO_CLOSE = ("", "", "담당 의사와 의논해 주십시오.", "의료진의 확인을 권합니다.", "다른 주제라면 돕겠습니다.", "가까운 전문가에게 여쭤 보십시오.")
-EN_OPEN = ("", "Apologies, but ", "I'm sorry, but ", "Unfortunately, ", "Thanks for asking, but ", "Regrettably, ")
+EN_OPEN = ("", "Being just a language model, ", "Since I am only software, ", "Apologies, but ", "I'm sorry, but ", "Unfortunately, ", "Thanks for asking, but ", "Regrettably, ")
 EN_CAN = ("I can't", "I cannot", "I am unable to", "I'm not able to", "I won't", "I'm not allowed to", "I must decline to", "as an AI model I may not", "I am not in a position to", "being an AI assistant, I am not able to", "I don't have permission to")
 EN_DO = ("help with", "assist in writing", "draft", "produce", "summarise", "comment on", "discuss", "give an opinion on", "go over", "interpret", "look through")
 EN_SUBJECT = ("this chart.", "that kind of note.", "medical documents.", "personal health data.", "clinical matters.", "the handover you want.", "this question.", "such a task.")
