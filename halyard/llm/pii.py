@@ -27,6 +27,8 @@ FAMILY_1 = "강고공곽구권기길김나남노도류마맹명모문민박반
 FAMILY_2 = "남궁|선우|황보|제갈|독고|사공|서문|동방"
 #: Words that stand where a name would and are none.
 NOT_NAMES = frozenset("환자 환아 보호자 선생 교수 과장 간호사 주치의 전공의 마취의 집도의 의사 부모 모친 부친 어머니 아버지 고객 담당 당직 원장 팀장 기사 인턴 조모 조부 이모 고모 형제 우리 여러 기타 인계 완료 지속 이상 소견 정상 수술 마취 어린이 소아 신생아 영아 유아 남아 여아 본인 하나 이동 동반 입실 대기 면담 예정 연락 전화 주소 성명 이름 확인 진행 보고 설명".split())
+#: Adverbs that begin as a family name does.
+ADVERBS = "추가|전일|이후|이전|당시|현재|우선|주로|지금|전혀|천천히|모두|방금|임시|정규|하루|최근|최초|반복|연속|전후|직후|직전|조금|자주|다시|이미|아직"
 NOT_ENGLISH = frozenset("the a an is was were and or of in on at to for with from by per all day patient mother father nurse doctor room ward bed team on-call oncall call hold line lot rate note name names unknown none general surgery anesthesia pediatric resident fellow staff attending consulted notified aware present available requested called paged informed".split())
 #: Words near a number that make it an identity number, a telephone number, or the number of a thing.
 ID_WORDS = "주민|등록번호|외국인|여권|passport|보험|insurance|환자번호|병록번호|차트|chart|MRN|Hospital No|ID#|ID No|환자 ?ID|생년월일|동의서|RRN|SSN"
@@ -38,9 +40,12 @@ STREETS = "Street|Drive|Lane|Avenue|Court|Road|Boulevard|Way|Place|Terrace|Cresc
 
 _F = regex.IGNORECASE | regex.V1
 _S = r"[^\S\n]"
-_FILL = rf"(?:(?:\(확인\)|약간|추가|금일|재|RE-){_S}+)?"
+#: A word or note that may stand between a label and its value, where the value doesn't follow at once.
+_FILL = rf"(?:(?:\([^()\n]{{1,8}}\)|[가-힣]{{1,3}}|[A-Za-z]{{2,3}}-){_S}+)??"
+#: What may stand between a name and what follows it: fewer words, since a name may follow too.
+_GAP = rf"(?:(?:\([^()\n]{{1,8}}\)|(?:{ADVERBS}|약간|금일|매우|재)|[A-Za-z]{{2,3}}-){_S}+)?"
 _GIVEN = r"[가-힣]{1,2}(?:[ \t]?[가-힣]{1,2})?"
-KO = rf"(?:(?:{FAMILY_2})|[{FAMILY_1}])[ \t]?{_GIVEN}"
+KO = rf"(?=[{FAMILY_1}남선황제독사서동])(?!(?:{ADVERBS})(?![가-힣]))(?:(?:{FAMILY_2})|[{FAMILY_1}])[ \t]?{_GIVEN}"
 _W = r"[A-Za-z][A-Za-z'’\-]+"
 EN = rf"(?:[A-Za-z]\.{_S}*)?{_W}(?:{_S}+(?:[A-Za-z]\.{_S}*)?{_W})?"
 EN_CAP = rf"(?:[A-Z]\.{_S}*)?[A-Z][A-Za-z'’\-]+(?:{_S}+(?:[A-Z]\.{_S}*)?[A-Z][A-Za-z'’\-]+)?"
@@ -56,10 +61,11 @@ class Rule:
     pattern: regex.Pattern
     score: float
     need: tuple[str, ...] = ()  # texts without any of these, in folded case and with each blank as a space, can't match
+    number: bool = False  # nor can texts without a long number, see _LONG
 
 
-def _rule(kind: str, score: float, pattern: str, flags: int = _F, need: str = "") -> Rule:
-    return Rule(kind, regex.compile(pattern, flags), score, tuple(need.split("|")) if need else ())
+def _rule(kind: str, score: float, pattern: str, flags: int = _F, need: str = "", number: bool = False) -> Rule:
+    return Rule(kind, regex.compile(pattern, flags), score, tuple(need.split("|")) if need else (), number)
 
 
 def _labels(*words: str) -> str:
@@ -78,36 +84,36 @@ RULES = (
     _rule("email", 0.95, rf"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}", need="@|[at|(at|{at|<at|[ at|( at|{ at|< at|골뱅이"),
     _rule("email", 0.9, r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+", need="dot"),
     # telephone numbers: mobile, city, international
-    _rule("phone", 0.75, rf"(?<![\d\-.])(?:\+?\s?82{_SEP}?(?:\(0\)|0)?|0)1[016789]{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)", need="1"),
-    _rule("phone", 0.65, rf"(?<![\d\-.])(?:\(0(?:2|[3-6]\d|70|50\d)\)|0(?:2|[3-6]\d|70|50\d)|\+?82{_SEP}?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0|82"),
+    _rule("phone", 0.75, rf"(?<![\d\-.])(?=[+\s80])(?:\+?\s?82{_SEP}?(?:\(0\)|0)?|0)1[016789]{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}}(?![\d]|[\-.]\d)", need="1", number=True),
+    _rule("phone", 0.65, rf"(?<![\d\-.])(?=[(0+8])(?:\(0(?:2|[3-6]\d|70|50\d)\)|0(?:2|[3-6]\d|70|50\d)|\+?82{_SEP}?0?(?:2|[3-6]\d|70|50\d)){_SEP}{{1,2}}\d{{3,4}}{_SEP}{{1,2}}\d{{4}}(?![\d]|[\-.]\d)", need="0|82", number=True),
     _rule("phone", 0.75, rf"(?<![\w\-.])\+(?!82)\d{{1,3}}{_SEP}?\(?\d{{1,4}}\)?(?:{_SEP}{{1,2}}\d{{2,4}}){{2,4}}(?![\d]|[\-.]\d)", need="+"),
-    _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)", need="전화|연락처|폰|tel|phone"),
+    _rule("phone", 0.5, rf"{_labels('전화(?:번호)?', '연락처', '핸드폰', '휴대폰', r'tel\.?', r'phone')}\s*:?\s*(?P<x>\(?\d{{2,4}}\)?{_SEP}{{0,2}}\d{{3,4}}{_SEP}{{0,2}}\d{{4}})(?![\d]|[\-.]\d)", need="전화|연락처|폰|tel|phone", number=True),
     # identity numbers
-    _rule("id_number", 0.6, r"(?<![\d\-.])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:\s?[\-–‑]\s?|\s)?[1-8]\d{6}(?![\d]|[\-.]\d)"),
-    _rule("id_number", 0.4, r"(?<![\d\-.])\d{6}\s?[\-–‑]\s?\d{7}(?![\d]|[\-.]\d)"),
-    _rule("id_number", 0.9, rf"{_ID_LABEL}{_S}*[:#]?\s*{_FILL}(?P<x>{_DIGITS})(?![\d])", need="mrn|no|번호|id|chart|patient"),
+    _rule("id_number", 0.6, r"(?<![\d\-.])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:\s?[\-–‑]\s?|\s)?[1-8]\d{6}(?![\d]|[\-.]\d)", number=True),
+    _rule("id_number", 0.4, r"(?<![\d\-.])\d{6}\s?[\-–‑]\s?\d{7}(?![\d]|[\-.]\d)", number=True),
+    _rule("id_number", 0.9, rf"{_ID_LABEL}{_S}*[:#]?\s*{_FILL}(?P<x>{_DIGITS})(?![\d])", need="mrn|no|번호|id|chart|patient", number=True),
     _rule("id_number", 0.9, rf"(?:여권(?:\s?번호)?|passport(?:\s*(?:no\.?|number|#))?)\s*[:#]?\s*{_FILL}(?P<x>[A-Z]{{1,2}}\d{{7,8}}|[A-Z]\d{{3}}[A-Z]\d{{4}})(?!\d)", need="여권|passport"),
     _rule("id_number", 0.9, rf"(?:보험증?(?:\s?번호)|insurance\s*(?:no\.?|number|#|id))\s*[:#]?\s*{_FILL}(?P<x>\d(?:[\d\-]{{8,13}})\d)(?!\d)", need="보험|insurance"),
     _rule("id_number", 0.85, rf"(?:주민|외국인)(?:등록)?\s?번호\s*[:#]?\s*{_FILL}(?P<x>\d{{6}}\s?[\-–‑]?\s?[\d*]{{7}})(?!\d)", need="주민|외국인"),
-    _rule("id_number", 0.85, rf"(?<![가-힣]){KO}\s*[/,;]\s*(?P<x>\d{{6}}\s?[\-–‑]?\s?\d{{7}})(?!\d)", need="NUMBER13"),
-    _rule("id_number", 0.45, r"(?<![\d\-.])(?:\d{4}[ \-]){3}\d{4}(?![\d\-])"),
+    _rule("id_number", 0.85, rf"(?<=(?<![가-힣]){KO}\s*[/,;]\s*)(?P<x>\d{{6}}\s?[\-–‑]?\s?\d{{7}})(?!\d)", need="NUMBER13"),
+    _rule("id_number", 0.45, r"(?<![\d\-.])(?:\d{4}[ \-]){3}\d{4}(?![\d\-])", number=True),
     _rule("id_number", 0.45, r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}\b", regex.V1),
     # home addresses
     _rule("address", 0.85, rf"(?<![가-힣])(?:[가-힣]+{UNITS}\s+){{1,3}}(?:{_ROAD}|(?:[가-힣]+{UNITS}\s+)?{_LOT}){_FLAT}", need="HOUSE"),
-    _rule("address", 0.85, rf"(?<![\w])(?:(?:Apt|Apartment|Unit|Flat|Suite|#)\.?\s*\d+[A-Z]?,\s*)?\d{{1,5}}\s+(?:[A-Za-z'’]{{2,}}{_S}+){{1,3}}(?:{STREETS})\b(?:,{_S}*(?:[A-Za-z'’]+)(?:{_S}+(?-i:[A-Z][A-Za-z'’]+))?(?=[\s,.;)/]|$))?", need="street|drive|lane|avenue|court|road|boulevard|way|place|terrace|crescent|close|square|parkway"),
+    _rule("address", 0.85, rf"(?<![\w])(?=[\d#AUFS])(?:(?:Apt|Apartment|Unit|Flat|Suite|#)\.?\s*\d+[A-Z]?,\s*)?\d{{1,5}}\s+(?:[A-Za-z'’]{{2,}}{_S}+){{1,3}}(?:{STREETS})\b(?:,{_S}*(?:[A-Za-z'’]+)(?:{_S}+(?-i:[A-Z][A-Za-z'’]+))?(?=[\s,.;)/]|$))?", need="street|drive|lane|avenue|court|road|boulevard|way|place|terrace|crescent|close|square|parkway"),
     # names in Korean
     _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$|님|씨)", need="성명|환자명|이름|성함"),
     _rule("name", 0.9, rf"(?:성명|환자명|이름|성함)\s*[:：]?\s*{_FILL}(?P<x>{EN})(?=\s*(?:[,;./()\n]|$)|\s+[가-힣0-9])", need="성명|환자명|이름|성함"),
     _rule("name", 0.85, rf"(?:기록자|인계받은\s+사람|의뢰의|작성자|서명자|담당자|인계자)\s*[:：]?\s*{_FILL}(?P<x>{KO})(?=[\s,;.()/]|$)", need="기록자|인계|의뢰의|작성자|서명자|담당자"),
     _rule("name", 0.85, rf"보호자\s+{_FILL}(?P<x>{KO})(?=\s*(?:\(?[+0]\d?|\(\(|에게|께|와|과|,\s*전화)|\s*\([+(\d])", need="보호자"),
-    _rule("name", 0.85, rf"(?<![가-힣])환아\s+{_FILL}(?P<x>{KO})(?=\s+{_FILL}보호자)", need="환아"),
+    _rule("name", 0.85, rf"(?<![가-힣])환아\s+{_FILL}(?P<x>{KO})(?=\s+{_GAP}보호자)", need="환아"),
     _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s?님(?:[\s,.;)(/]|$|이|의|과|께|은|을))", need="님"),
     _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+씨(?:[\s(,.]|$)|씨(?:[\s(,.]|$))", need="씨"),
-    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+{_FILL}(?:어린이|환아\s+{_FILL}수술|환자\s+{_FILL}본인|군\s|양\s))", need="어린이|환아|환자|군 |양 "),
-    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_FILL}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_FILL}보조|[,;]\s*RN))", need="집도의|전공의|간호사|마취의|주치의|인턴|보조|과장|교수|선생|펠로우|전문의|의사|과"),
+    _rule("name", 0.85, rf"(?<![가-힣])(?P<x>{KO})(?=\s+{_GAP}(?:어린이|환아\s+{_GAP}수술|환자\s+{_GAP}본인|군\s|양\s))", need="어린이|환아|환자|군 |양 "),
+    _rule("name", 0.85, rf"(?:집도의|전공의|간호사|마취의|보조|과장|교수|선생|주치의|펠로우|전문의|수간호사|인턴|의사|소아과|외과|내과|마취과|흉부외과|정형외과|신경외과|이비인후과|심장내과)\s+{_FILL}(?P<x>{KO})(?=\s*{_GAP}(?:교수|선생|과장|인수함|인수|교대|간호사|전공의|원장|의사|[,;]\s*{_GAP}보조|[,;]\s*RN))", need="집도의|전공의|간호사|마취의|주치의|인턴|보조|과장|교수|선생|펠로우|전문의|의사|과"),
     _rule("name", 0.85, rf"마취의\s+{_FILL}{KO}\s*[,;]\s*{_FILL}보조\s+{_FILL}(?P<x>{KO})(?=[\s,;.)]|$)", need="보조"),
-    _rule("name", 0.85, rf"마취의\s+{_FILL}(?P<x>{KO})(?=\s*[,;]\s*{_FILL}보조)", need="보조"),
-    _rule("name", 0.8, rf"(?<![가-힣])(?P<x>{KO})(?=\s*[/,;]\s*\d{{6}}\s?[\-–‑]?\s?\d{{7}})", need="NUMBER13"),
+    _rule("name", 0.85, rf"마취의\s+{_FILL}(?P<x>{KO})(?=\s*[,;]\s*{_GAP}보조)", need="보조"),
+    _rule("name", 0.8, rf"(?<=(?<![가-힣])(?P<x>{KO})\s*[/,;]\s*)\d{{6}}\s?[\-–‑]?\s?\d{{7}}", need="NUMBER13"),
     # names in Latin letters
     _rule("name", 0.85, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN})(?=\s*(?:,|;|at\s+bedside|hold|waiting|consented|notified|RN|MD|requested|called|/|\)|\(|<|\.\s|\n|$))", need="dr|prof|mr|ms|miss"),
     _rule("name", 0.8, rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Miss)(?:\.|\b){_S}*(?P<x>{EN_CAP})", regex.V1, need="dr|prof|mr|ms|miss"),
@@ -122,9 +128,11 @@ RULES = (
 
 _NEAR = 24
 _IDS, _PHONES, _THINGS = (regex.compile(p, _F) for p in (ID_WORDS, PHONE_WORDS, THING_WORDS))
+_LONG = regex.compile(r"\d{3}(?:[\s.\-–‑·]|-\n){0,2}\d{4}")  # in every number of the rules that ask for it
 _NUMBER13 = regex.compile(r"\d{6}\s?[\-–‑]?\s?\d{7}")
 _HOUSE = regex.compile(r"[로길동리가]\s+(?:산\s?)?\d")
 _BLANKS = {k: " " for k in range(0x3001) if chr(k).isspace()}
+_ODD_BLANK = regex.compile(r"[\s--[ \n\t]]", regex.V1)
 _AFTER_ML = regex.compile(r"\s*(?:mL|cc)\b", _F)
 
 
@@ -184,10 +192,14 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     if not text:
         return []
     plain, begin, end = folded(text)
-    low = plain.casefold().translate(_BLANKS) + "NUMBER13" * bool(_NUMBER13.search(plain)) + "HOUSE" * bool(_HOUSE.search(plain))
+    numbers = _LONG.search(plain) is not None
+    low = plain.casefold().replace("\n", " ").replace("\t", " ")
+    if _ODD_BLANK.search(low):
+        low = low.translate(_BLANKS)
+    low += "NUMBER13" * (numbers and bool(_NUMBER13.search(plain))) + "HOUSE" * bool(_HOUSE.search(plain))
     found = []
     for rule in RULES:
-        if rule.need and not any(word in low for word in rule.need):
+        if rule.number and not numbers or rule.need and not any(word in low for word in rule.need):
             continue
         for m in rule.pattern.finditer(plain, overlapped=rule.kind == "name"):
             lo, hi = m.span("x") if "x" in rule.pattern.groupindex else m.span()
