@@ -4,7 +4,9 @@ Each source gets a rate, the mean number of times that its documents are used. I
 the fraction is a probability of inclusion that the cube method turns into 0 or 1: the vector of probabilities is moved
 along the null space of the balancing equations (sum of tokens, number of documents) until one probability is settled,
 again and again (the flight). Documents fly in blocks of bounded size, spread over all executors; each block leaves two
-at most, which fly again with those of other blocks, until a few are left per source, which are landed by the least error.
+at most, which fly again with those of other blocks, until one block is left per source. Of that, LANDED documents of all
+sizes stay on the ground; they and the two that the last flight leaves are settled at once, as the subset whose tokens, then
+number, come closest to what is still wanted.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,6 +23,7 @@ from ..session import materialize
 from .bpe import DEFAULT_RANKS, with_counts
 
 MAX_TARGETS = 10_000  # rows of the table of targets, which the driver plans with
+LANDED = 16  # documents of a source that are landed, beside the two that its last flight leaves
 ROW = "doc_id long, source string, n_tokens long, base int, pi double"
 
 
@@ -71,11 +75,23 @@ def fly(x: list[float], pi: list[float], rng: random.Random) -> None:
             left = [i for i in left if 0 < pi[i] < 1]
 
 
+def landing_set(x: list[float], pi: list[float], most: int = LANDED) -> list[int]:
+    """Places of the fractional documents that don't fly, but are landed: of sizes from the least to the greatest, so that
+    their subsets come close to any sum."""
+    left = sorted((k for k in range(len(pi)) if 0 < pi[k] < 1), key=lambda k: (x[k], k))
+    if len(left) <= most:
+        return left
+    return sorted({left[round(j * (len(left) - 1) / (most - 1))] for j in range(most)})
+
+
 def land(x: list[float], pi: list[float]) -> None:
     """Settles the few that are left so that tokens, then documents, differ least from what they should be."""
     open_ = [k for k in range(len(pi)) if 0 < pi[k] < 1]
     want, docs = sum(x[k] * pi[k] for k in open_), sum(pi[k] for k in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(x[k] for i, k in enumerate(open_) if m >> i & 1) - want), abs(m.bit_count() - docs), m))
+    sums, counts = np.zeros(1), np.zeros(1)
+    for k in open_:  # of all subsets; the bits of a subset's place say what is in it
+        sums, counts = np.concatenate([sums, sums + x[k]]), np.concatenate([counts, counts + 1])
+    best = int(np.lexsort((np.abs(counts - docs), np.abs(sums - want)))[0])
     for i, k in enumerate(open_):
         pi[k] = float(best >> i & 1)
 
@@ -84,9 +100,17 @@ def _flight(seed: int, landing: bool):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc_id").reset_index(drop=True)
         x, pi = g["n_tokens"].astype(float).tolist(), g["pi"].tolist()
-        fly(x, pi, random.Random(zlib.crc32(repr((seed, *map(str, key))).encode())))
+        rng = random.Random(zlib.crc32(repr((seed, *map(str, key))).encode()))
         if landing:
+            kept = set(landing_set(x, pi))
+            flying = [k for k in range(len(pi)) if k not in kept]
+            flown = [pi[k] for k in flying]
+            fly([x[k] for k in flying], flown, rng)
+            for k, p in zip(flying, flown):
+                pi[k] = p
             land(x, pi)
+        else:
+            fly(x, pi, rng)
         return g.assign(pi=pi)[["doc_id", "source", "n_tokens", "base", "pi"]]
 
     return run
