@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -27,23 +28,41 @@ LEVELS = (
 )
 
 class _Counted:
-    """A text with the ends of its words and the sum of tokens up to each, so that any part is counted by two searches."""
+    """A text with the ends of its words and the sum of tokens up to each, so that any part is counted by two searches and
+    the few words at its ends, exactly as it would be by itself."""
 
-    def __init__(self, bpe: Bpe, text: str):
-        self.bpe, self.text = bpe, text
-        self.ends, self.sums = [0], [0]
-        total = 0
-        for m in bpe.words.finditer(text):
-            total += len(bpe.word(m[0]))
-            self.ends.append(m.end())
-            self.sums.append(total)
+    def __init__(self, bpe: Bpe, text: str, words: list[str], sizes: list[int]):
+        self.bpe, self.text, self.words = bpe, text, words
+        self.ends = [0, *accumulate(map(len, words))]
+        self.sums = [0, *accumulate(sizes)]
 
     def count(self, lo: int, hi: int) -> int:
-        """Tokens of text[lo:hi] as part of the text; a part of a word is counted by itself."""
-        i, j = bisect_left(self.ends, lo), bisect_right(self.ends, hi) - 1
-        if i > j:
-            return self.bpe.count(self.text[lo:hi])
-        return self.bpe.count(self.text[lo : self.ends[i]]) + self.sums[j] - self.sums[i] + self.bpe.count(self.text[self.ends[j] : hi])
+        """Tokens of text[lo:hi] by itself.
+
+        Words are matched from the left, and each depends on what follows it only if it is blank. So from the first place
+        where the words of the part meet those of the text they are the same, up to the last that isn't blank and ends
+        before hi; what is left over at either end is counted anew.
+        """
+        if lo >= hi:
+            return 0
+        ends, match = self.ends, self.bpe.words.match
+        at, total = lo, 0
+        i = bisect_left(ends, at)
+        while at < hi and (i == len(ends) or ends[i] != at):
+            m = match(self.text, at, hi)
+            total += len(self.bpe.word(m[0]))
+            at = m.end()
+            i = bisect_left(ends, at, i)
+        if at >= hi:
+            return total
+        j = bisect_right(ends, hi, i) - 1
+        if j < len(ends) - 1 or ends[j] != hi:  # the part ends within the text: its last words may be others
+            j = max(i, j - 1)
+            while j > i and self.words[j - 1].isspace():
+                j -= 1
+            if j > i:
+                j -= 1
+        return total + self.sums[j] - self.sums[i] + self.bpe.count(self.text[ends[j] : hi])
 
 
 class Splitter:
@@ -89,29 +108,31 @@ class Splitter:
         if most <= 0:
             return hi
         j = bisect_right(t.ends, hi) - 1
-        rest = t.count(t.ends[j], hi)
-        s = t.ends[bisect_left(t.sums, t.sums[j] - (most - rest))] if rest <= most else hi
-        s = max(s, lo + 1)
+        k = bisect_left(t.sums, t.sums[j] - most)
+        while (s := max(t.ends[k], lo + 1)) < hi and t.count(s, hi) > most:
+            k += 1
         if s < hi and 2 * t.count(s, hi) >= most:
             return s
-        while s - 1 > lo and t.count(s - 1, hi) <= most:
-            s -= 1
+        s, step = min(s, hi), max(1, most)
+        while step:
+            if s - step > lo and t.count(s - step, hi) <= most:
+                s -= step
+            else:
+                step //= 2
         return s
 
-    def split(self, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-        """(start, stop, shared, cut) of each piece: text[start:stop] has at most limit tokens, and its first `shared`
-        characters are the end of the piece before; cut is the level at which it ends. Without the shared characters the
-        pieces are the text. A limit of fewer tokens than one character has is kept as far as a character allows."""
-        t = _Counted(self.bpe, text)
-        if limit < 1 or t.sums[-1] <= limit:
-            return [(0, len(text), 0, "text")]
-        overlap = max(0, min(overlap, limit // 2))
-        for spare in range(0, limit, max(1, limit // 64)):
-            pieces = self._pack(t, limit - spare, min(overlap, (limit - spare) // 2))
-            # a piece by itself may be merged otherwise at its ends than within the text: then with some tokens to spare
-            if all(self.bpe.count(text[a:b]) <= limit for a, b, _, _ in pieces):
-                break
-        return pieces
+    def split(self, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str, int]]:
+        """(start, stop, shared, cut, tokens) of each piece: text[start:stop] has at most limit tokens, and its first
+        `shared` characters are the end of the piece before; cut is the level at which it ends. Without the shared characters
+        the pieces are the text. A limit of fewer tokens than one character has is kept as far as a character allows."""
+        get, slow = self.bpe.cache.get, self.bpe.word
+        words = self.bpe.words.findall(text)
+        sizes = [len(get(w) or slow(w)) for w in words]
+        total = sum(sizes)
+        if limit < 1 or total <= limit:
+            return [(0, len(text), 0, "text", total)]
+        t = _Counted(self.bpe, text, words, sizes)
+        return [(a, b, n, cut, t.count(a, b)) for a, b, n, cut in self._pack(t, limit, max(0, min(overlap, limit // 2)))]
 
     def _pack(self, t: _Counted, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
         pieces: list[tuple[int, int, int, str]] = []
@@ -121,8 +142,8 @@ class Splitter:
             if stop > fresh and t.count(start, hi) > limit:
                 pieces.append((start, stop, fresh - start, cut))
                 start, fresh = self.tail(t, start, stop, overlap), stop
-                while start < fresh and t.count(start, hi) > limit:
-                    start += 1
+                while start < fresh and t.count(start, hi) > limit:  # less overlap: on to the next word
+                    start = min(fresh, t.ends[bisect_right(t.ends, start)])
             stop, cut = hi, level
         pieces.append((start, stop, fresh - start, "text"))
         return pieces
@@ -153,8 +174,8 @@ def split_oversized(documents: DataFrame, limits: DataFrame, ranks: str = DEFAUL
                     out.append((doc_id, source, 0, 1, text, 0, 0, 0, 0, "text"))
                     continue
                 pieces = splitter.split(text, 0 if pd.isna(limit) else int(limit), 0 if pd.isna(overlap) else int(overlap))
-                for k, (lo, hi, both, cut) in enumerate(pieces):
-                    out.append((doc_id, source, k, len(pieces), text[lo:hi], count(text[lo:hi]), lo, both, count(text[lo : lo + both]), cut))
+                for k, (lo, hi, both, cut, n) in enumerate(pieces):
+                    out.append((doc_id, source, k, len(pieces), text[lo:hi], n, lo, both, count(text[lo : lo + both]), cut))
                 if len(out) > 2000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
