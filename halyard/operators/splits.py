@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
+
 
 def order_key(c: Column, seed: int = 42) -> Column:
     """A pseudo-random order that is the same in every engine with SHA-1."""
@@ -21,11 +23,60 @@ def split_in_two(keys: DataFrame, key: str, first: int, seed: int = 42) -> DataF
 
 
 def stratified(cases: DataFrame, key: str, stratum: str, take: int, seed: int = 42) -> DataFrame:
-    """key, stratum, picked: of each stratum a part of `take` in proportion, rounded half to even, the last stratum the rest."""
-    total = cases.count()
-    quotas = cases.groupBy(stratum).agg(F.bround(F.count(F.lit(1)) * F.lit(take) / F.lit(max(total, 1))).alias("quota"))
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(order_key(F.col(key), seed), key))
-    return cases.select(key, stratum).withColumn("rank", rank).join(quotas, stratum).select(key, stratum, (F.col("rank") <= F.col("quota")).alias("picked"))
+    """key, stratum, picked: `take` cases, of the stratum that is true in proportion, rounded half to even, the rest of the others.
+
+    stratum is a boolean; null counts as false. Fewer are picked where a stratum has too few. The picked of a stratum are the
+    first in pseudo-random order, taken by a limit over the order and not by a window over the stratum.
+    """
+    x = cases.select(key, F.coalesce(F.col(stratum), F.lit(False)).alias(stratum))
+    n = x.agg(F.count(F.lit(1)).alias("n"), F.count_if(stratum).alias("of")).first()
+    first = min(round(take * n["of"] / max(1, n["n"])), n["of"])
+    quota = {True: first, False: min(take - first, n["n"] - n["of"])}
+    top = lambda which: x.where(F.col(stratum) == which).orderBy(order_key(F.col(key), seed), key).limit(quota[which]).select(key)
+    picked = top(True).unionByName(top(False)).withColumn("picked", F.lit(True))
+    return x.join(picked, key, "left").select(key, stratum, F.coalesce("picked", F.lit(False)).alias("picked"))
+
+
+def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """df with the place of each row in an order, from 0. Rows are sorted by ranges and numbered within them, so that no task
+    holds all; the ranges' sizes are added up."""
+    x = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    x = materialize(x.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order))), "numbered")
+    sizes = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    return x.join(before, "_part").withColumn(name, F.col("_before") + F.col("_k") - 1).drop("_part", "_k", "_before")
+
+
+def zip_by_position(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
+    """Rows of a and b (columns with _a and _b behind their names) side by side by their place in the order; an error if one has
+    more rows."""
+    na, nb = a.count(), b.count()
+    if na != nb:
+        raise ValueError(f"{na} and {nb} rows can't be put side by side")
+    side = lambda df, s: numbered(df, order).select("position", *[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    return side(a, "a").join(side(b, "b"), "position")
+
+
+def require_sids(df: DataFrame, what: str, key: str = "sid") -> DataFrame:
+    """The different keys of df; an error if any could not be read (null or -1)."""
+    if bad := df.where(F.col(key).isNull() | (F.col(key) == -1)).count():
+        raise ValueError(f"{what}: {bad} rows without {key}")
+    return df.select(key).distinct()
+
+
+def strict_join(rows: DataFrame, other: DataFrame, key: str, what: str) -> DataFrame:
+    """The inner join by key; an error that names some of them if a row's key is missing in the other table."""
+    lost = rows.join(other.select(key).distinct(), key, "left_anti").select(key).distinct()
+    if n := lost.count():
+        raise ValueError(f"{what}: {n} keys missing, such as {[r[0] for r in lost.limit(5).collect()]}")
+    return rows.join(other, key)
+
+
+def unsealed(split: str, allowed: bool, sealed: tuple[str, ...] = ("gold",)) -> str:
+    """The split's name, unless it is sealed and was not asked for on purpose."""
+    if split in sealed and not allowed:
+        raise PermissionError(f"split {split} is sealed")
+    return split
 
 
 def draw(rows: DataFrame, bank: DataFrame, key: str, item: str, take: int, seed: int = 42, digits: int = 2) -> DataFrame:
@@ -63,9 +114,10 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str, what: str) -> None:
 
 
 def fingerprint(df: DataFrame, group: str, key: str, buckets: int = 1024) -> DataFrame:
-    """group, n, digest: SHA-1 over the digests of buckets of the sorted keys, so that no task holds a whole group."""
-    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).alias("b")
+    """group, n, digest: 16 digits of a SHA-1 over the digests of buckets (key modulo) of the sorted keys, so that no task holds
+    a whole group. Keys are integers; null keys take no part."""
+    bucket = F.pmod(F.col(key), F.lit(buckets)).alias("b")
     parts = df.where(F.col(key).isNotNull()).select(group, key).distinct().groupBy(group, bucket).agg(
-        F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",")).alias("h")
+        F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("long"))), ",")).alias("h")
     )
     return parts.groupBy(group).agg(F.sum("n").alias("n"), F.substring(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")), 1, 16).alias("digest"))

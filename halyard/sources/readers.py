@@ -15,17 +15,22 @@ def json_lines(spark: SparkSession, path: str, schema: str = INFERENCE) -> DataF
 
 
 def json_line_count(spark: SparkSession, path: str) -> DataFrame:
-    """One row, n: the number of lines that are not blank, or -1 if one of them is no JSON."""
+    """One row, n: the number of lines that are not blank, -1 if one of them is no JSON, 0 if there is no such file."""
+    if not _exists(spark, path):
+        return spark.range(1).select(F.lit(0).cast("long").alias("n"))
     text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     return text.agg(F.when(F.count_if(F.try_parse_json("value").isNull()) > 0, F.lit(-1).cast("long")).otherwise(F.count(F.lit(1))).alias("n"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 def json_map(spark: SparkSession, path: str, value_ddl: str = "string") -> DataFrame:
     """key, value of the JSON object in a file; an empty frame if there is no such file."""
     schema = f"key string, value {value_ddl}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string, {value_ddl}>")).alias("key", "value"))
@@ -37,6 +42,22 @@ def tagged_results(spark: SparkSession, pattern: str, schema: str = INFERENCE) -
     return text.select(F.regexp_extract("p", r"([^/]+)/[^/]+$", 1).alias("tag"), F.from_json("value", schema).alias("r")).select("tag", "r.*")
 
 
+def mapped_results(spark: SparkSession, root: str, tags: DataFrame, schema: str = INFERENCE) -> DataFrame:
+    """The records of all files <root>/<setting>/<stem>.jsonl with the tag that tags (setting, stem, tag) give them; files that no
+    row of tags names are left out."""
+    text = spark.read.text(f"{root}/*/*.jsonl").where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_path").alias("p"))
+    x = text.select(F.regexp_extract("p", r"([^/]+)/[^/]+$", 1).alias("setting"), F.regexp_extract("p", r"([^/]+)\.jsonl$", 1).alias("stem"), F.from_json("value", schema).alias("r"))
+    return x.join(tags, ["setting", "stem"]).select("tag", "r.*")
+
+
+def key_value(spark: SparkSession, path: str, value_ddl: str) -> DataFrame:
+    """key, value of a table that holds a map, such as summaries or audit records by case; an error if a key comes twice."""
+    x = spark.read.schema(f"key string, value {value_ddl}").parquet(path)
+    if twice := x.groupBy("key").count().where("count > 1").count():
+        raise ValueError(f"{twice} keys of {path} come twice")
+    return x
+
+
 def longest_logs(logs: DataFrame) -> DataFrame:
     """Of each tag the log with the most entries: tag, log; ties by path."""
     rank = F.row_number().over(W.partitionBy("tag").orderBy(F.size("log").desc(), "path"))
@@ -48,17 +69,6 @@ def hinted_columns(columns: list[str], hints: dict[str, tuple[str, ...]]) -> dic
     return {name: next((c for c in columns if any(h.lower() in c.lower() for h in words)), None) for name, words in hints.items()}
 
 
-def sheet(spark: SparkSession, path: str, names: list[str], skip: int = 0) -> DataFrame:
-    """A sheet of a workbook by position, all as text; needs openpyxl, which is not a requirement of the rest."""
-    try:
-        from openpyxl import load_workbook
-    except ImportError as gone:
-        raise RuntimeError("reading workbooks needs openpyxl") from gone
-    rows = load_workbook(path, read_only=True, data_only=True).active.iter_rows(min_row=skip + 1, values_only=True)
-    cells = [tuple(None if v is None else str(v) for v in (*r, *[None] * len(names))[: len(names)]) for r in rows]
-    return spark.createDataFrame(cells, ", ".join(f"`{n}` string" for n in names))
-
-
 def filled_down(df: DataFrame, order: str, *columns: str) -> DataFrame:
     """Merged cells filled from above. One sheet, which one task can hold."""
     w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from halyard.sources import readers, writers
+import pytest
+
+from halyard.sources import readers, workbook, writers
 from halyard.streaming import vitals
 
 
@@ -65,3 +67,63 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert [(r["sid"], r["v"], r["n"]) for r in spark.table("stuck").collect()] == [(1, 80.0, 10)]
     assert spark.table("wins").where("n = 12").count() >= 1
+
+
+def test_workbooks_are_read_as_they_were_written(spark, tmp_path):
+    path = str(tmp_path / "w.xlsx")
+    head = [["Review"], [], ["sid", "old", None, "new <&>"]]
+    workbook.write_sheets(path, {"12": [*head, [5, "a\nb", None, 0.5]], "7": [["x"], ["② GT", "q"], [None, None, "  text "]], "notes/1": []})
+    sheets = workbook.read_sheets(path)
+    assert list(sheets) == ["12", "7", "notes_1"] and sheets["12"][3] == ["5", "a\nb", None, "0.5"] and sheets["12"][2][3] == "new <&>"
+    rows = workbook.sheet(spark, path, ["sid", "old", "gap", "new", "more"], skip=3).collect()
+    assert [tuple(r) for r in rows] == [("5", "a\nb", None, "0.5", None)]
+    assert [tuple(r) for r in workbook.anchored(spark, path, "② GT", {"gt": (1, 2), "none": (9, 0)}).collect()] == [("7", "  text ", None)]
+    filled = str(tmp_path / "f.xlsx")
+    workbook.write_sheets(filled, {"s": [["case", "reference", "reference"], ["id", "first", "second"], [1, None, "b"], [2, "", "c"], [3, "a", None], [None, "z", "z"]]})
+    got = workbook.best_filled(spark, filled, "id", ("reference",)).collect()
+    assert [(r["key"], r["value"]) for r in got] == [("1", "b"), ("2", "c"), ("3", None)] and got[0]["source"] == "reference second"
+    assert workbook.best_filled(spark, filled, "id", ("none such",)).count() == 0
+    writers.write_workbook(filled, {"a": spark.range(3), "b": spark.range(0)})
+    assert workbook.read_sheets(filled) == {"a": [["id"], ["0"], ["1"], ["2"]], "b": [["id"]]}
+
+
+def test_missing_files_count_nothing_and_maps_have_a_key_once(spark, tmp_path):
+    assert readers.json_line_count(spark, str(tmp_path / "none.jsonl")).first()["n"] == 0
+    one = spark.createDataFrame([("1", "a"), ("2", "b")], "key string, value string")
+    writers.write_map(one, str(tmp_path / "m"))
+    assert readers.key_value(spark, str(tmp_path / "m"), "string").count() == 2
+    writers.write_map(one.unionByName(one), str(tmp_path / "m"))
+    with pytest.raises(ValueError):
+        readers.key_value(spark, str(tmp_path / "m"), "string")
+
+
+def test_results_of_several_folders_have_their_tags(spark, tmp_path):
+    for setting in ("few", "zero"):
+        (tmp_path / setting).mkdir()
+        (tmp_path / setting / "base.jsonl").write_text('{"idx": 1, "sid": 2}\n')
+    tags = spark.createDataFrame([("few", "base", "llama_raw"), ("few", "other", "x")], "setting string, stem string, tag string")
+    assert [(r["tag"], r["sid"]) for r in readers.mapped_results(spark, str(tmp_path), tags).collect()] == [("llama_raw", 2)]
+
+
+def test_reports_digests_and_archives(spark, tmp_path):
+    df = spark.createDataFrame([(1, "<b>", None)], "sid int, t string, x double")
+    page = writers.html_report("R & D", {"n": 1, "mean": None}, {"all": df}, df)
+    assert "R &amp; D" in page and "&lt;b&gt;" in page and "<summary>1</summary>" in page and "<b>—</b>" in page and "<script" not in page
+    assert writers.dir_digest(str(tmp_path)) == "no-ckpt" and not writers.is_checkpoint(str(tmp_path))
+    (tmp_path / "config.json").write_text("{}")
+    (tmp_path / "a.bin").write_bytes(b"x" * 100)
+    first = writers.dir_digest(str(tmp_path))
+    assert len(first) == 16 and writers.is_checkpoint(str(tmp_path)) and writers.file_digest(str(tmp_path / "a.bin"), whole=10, part=4) != writers.file_digest(str(tmp_path / "a.bin"))
+    (tmp_path / "a.bin").write_bytes(b"y" * 100)
+    assert writers.dir_digest(str(tmp_path)) != first
+    assert {r["name"] for r in writers.content_digests(spark, str(tmp_path / "*.bin")).collect()} == {"a.bin"}
+    stage = tmp_path / "run" / "eval"
+    stage.mkdir(parents=True)
+    (stage / "out").write_text("data")
+    writers.mark_done(str(stage / "out"), k=1)
+    root, away = str(tmp_path / "run"), str(tmp_path / "old")
+    assert writers.invalidate(root, scopes=("infer",)) == [] and len(writers.invalidate(root, scopes=("eval",))) == 1
+    writers.invalidate(root, scopes=("eval",), apply=True, archive=away)
+    assert not (stage / "out").exists() and (tmp_path / "old" / "eval" / "out").read_text() == "data"
+    writers.write_csv(df, str(tmp_path / "c"))
+    assert [r["sid"] for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()] == ["1"]
