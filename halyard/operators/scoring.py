@@ -104,17 +104,17 @@ def fast_path(status: Column, has_items: Column, normal: Column, no_issue: Colum
     )
 
 
-def official(judged_by: DataFrame, case: str = "case", judges: tuple[str, ...] | None = None) -> DataFrame:
+def official(judged_by: DataFrame, case: str = "case", judges: tuple[str, ...] | None = None, places: int = 4) -> DataFrame:
     """case, excluded, reasons, coverage, faithfulness, brevity, composite, gate, judges: one score of those of all judges.
 
     judged_by: case, judge, ord and the fields of a score. If a judge excludes the case it is excluded, with each reason;
-    else fields are means of what is known, rounded to four places, and the gate is the first judge's (by ord).
+    else fields are means of what is known, rounded to `places`, and the gate is the first judge's (by ord).
     """
     x = judged_by if judges is None else judged_by.where(F.col("judge").isin(*judges))
     axes = ("coverage", "faithfulness", "brevity", "composite")
     out = F.coalesce(F.bool_or("excluded"), F.lit(False))
     reasons = F.sort_array(F.collect_list(F.when(F.col("excluded"), F.concat("judge", F.lit("="), F.coalesce("exclude_reason", F.lit(""))))))
-    g = x.groupBy(case).agg(out.alias("excluded"), F.array_join(reasons, ",").alias("reasons"), *[F.round(F.avg(a), 4).alias(a) for a in axes], F.min_by("gate", "ord").alias("gate"), F.count(F.lit(1)).alias("judges"))
+    g = x.groupBy(case).agg(out.alias("excluded"), F.array_join(reasons, ",").alias("reasons"), *[F.round(F.avg(a), places).alias(a) for a in axes], F.min_by("gate", "ord").alias("gate"), F.count(F.lit(1)).alias("judges"))
     kept = lambda c: F.when(~F.col("excluded"), F.col(c)).alias(c)
     return g.select(case, "excluded", "reasons", *map(kept, (*axes, "gate")), "judges")
 

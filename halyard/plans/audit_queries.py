@@ -1,35 +1,21 @@
-"""Audits, older score versions, training rows and the smaller joins."""
+"""Audits: findings by category, events of older summaries, precision and recall of what is flagged."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hygiene as H
-from ..operators import statistics as S
+from ..operators import audits
 from ..session import load
-from .fixture import frame, values
 from .query import Query
-from .record_queries import _FAST_SQL, _R, _RANK_SQL, _bank, _fast, _gold, _inf, _n
-from .text_queries import _NO_ISSUE_SQL, _SP
 
-# fixed values: words of a finding by category ---------------------------------------------------------------------------
-FINDING_WORDS = {
-    "bradycardia": ("서맥", "brady", "심박수 저하", "hr 저하", "아트로핀", "atropine"), "tachycardia": ("빈맥", "tachy", "심박수 상승", "hr 상승"),
-    "hypotension": ("저혈압", "hypotens", "혈압 저하", "bp 저하", "승압", "에페드린", "ephedrine", "페닐레프린", "phenylephrine", "노르에피네프린", "norepinephrine", "도파민", "dopamine", "볼루스", "bolus"),
-    "hypertension": ("고혈압", "hypertens", "혈압 상승", "bp 상승"), "desaturation": ("탈포화", "desat", "산소포화도", "spo2", "저산소", "산소 요구", "o2", "산소 투여"),
-    "hypothermia": ("저체온", "체온 저하", "hypotherm", "가온", "warming", "체온 유지"), "fever": ("발열", "fever", "고체온", "hypertherm"), "qtc": ("qtc", "qt 간격", "qt 연장"),
-    "oliguria": ("핍뇨", "소변량", "oliguria", "urine", "uo"), "blood_loss": ("실혈", "출혈", "수혈", "transfus", "ebl", "bleed", "rbc", "ffp", "혈액제제", "prbc"),
-}
-EXPERIMENTS = (("raw", None), ("rlaif_dpo", None), ("rlaif_simpo", None), ("sft_1ep", None), ("sft_3ep", None), ("sft_1ep_dpo", "sft_1ep"), ("sft_3ep_dpo", "sft_3ep"))
-# ------------------------------------------------------------------------------------------------------------------------
+_R = lambda c, name=None: F.round(c, 6).alias(name or c)
+_bank = lambda s, d: load(s, d, "fewshot_bank")
+_gold = lambda s, d: load(s, d, "gold_checklist")
+_inf = lambda s, d: load(s, d, "inference_records")
+_n = lambda: F.count(F.lit(1)).alias("n")
+finding_categories = audits.finding_categories
 
-_FINDINGS_SQL = "(VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in FINDING_WORDS.items() for w in ws) + ") f(category, word)"
-_EVENT = r"(\[유의\])?([^:|\n]+?):\s*(\d+)회\s*([^,\n]+?)\s*,\s*(최저|최고)\s*(-?[\d.]+)"
-
-
-def finding_categories(c):
-    low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(low, w)), k) for k, ws in FINDING_WORDS.items()]))
+_FINDINGS_SQL = "(VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in audits.FINDING_WORDS.items() for w in ws) + ") f(category, word)"
 
 
 def gt_categories(s, d):
@@ -39,118 +25,64 @@ def gt_categories(s, d):
 _GT_CAT_SQL = f"SELECT DISTINCT sid, category FROM gold_checklist, {_FINDINGS_SQL} WHERE contains(lower(gold_text), word)"
 
 
+def recall_missed(s, d):
+    """Per finding category of the gold texts: cases, and cases whose answers name it."""
+    said = _inf(s, d).where("sid <> -1 and generated is not null").select("sid", F.explode(finding_categories(F.col("generated"))).alias("category")).distinct().withColumn("hit", F.lit(1))
+    return gt_categories(s, d).join(said, ["sid", "category"], "left").groupBy("category").agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("found"), _R(F.count("hit") / F.count(F.lit(1)), "recall"))
+
+
+_RECALL_SQL = f"WITH g AS ({_GT_CAT_SQL}), s AS (SELECT DISTINCT sid, category FROM inference_records, {_FINDINGS_SQL} WHERE sid <> -1 AND contains(lower(generated), word)) SELECT g.category, count(*) AS gold, count(s.sid) AS found, round(count(s.sid) / count(*), 6) AS recall FROM g LEFT JOIN s USING (sid, category) GROUP BY 1"
+
+
+def legacy(s, d):
+    return audits.legacy_events(_bank(s, d).select("rec_id", "vital"), "rec_id", "vital")
+
+
 def legacy_summary(s, d):
-    """The events of a summary's lines: label, times, minutes in all and at the longest, extreme."""
-    p = [F.regexp_extract_all("vital", F.lit(_EVENT), k).alias(n) for k, n in ((2, "label"), (3, "n"), (4, "dur"), (6, "ext"))]
-    x = _bank(s, d).where("vital is not null").select("rec_id", F.posexplode(F.arrays_zip(*p)).alias("k", "e"))
-    return x.select("rec_id", "k", F.trim(F.regexp_replace("e.label", r"^[\s-]+", "")).alias("label"), F.col("e.n").cast("int").alias("n"), F.regexp_extract("e.dur", r"^([\d.]+)분", 1).try_cast("double").alias("minutes"), F.regexp_extract("e.dur", r"최장\s*([\d.]+)분", 1).try_cast("double").alias("longest"), F.col("e.ext").try_cast("double").alias("ext"))
+    return legacy(s, d).select("rec_id", "line", "part", "item", "label", "category", "reportable", "n", "total_min", "longest_min")
 
 
-_EV_SQL = "[^:|\\n]+?"
-_LEGACY_SQL = """WITH x AS (SELECT rec_id, {p2} AS l, {p3} AS n, {p4} AS d, {p6} AS e FROM fewshot_bank WHERE vital IS NOT NULL), k AS (SELECT *, unnest(range(0, len(l))) AS k FROM x)
-SELECT rec_id, CAST(k AS INT) AS k, trim(regexp_replace(l[k + 1], '^[\\s-]+', ''), ' ') AS label, CAST(n[k + 1] AS INT) AS n, try_cast(nullif(regexp_extract(d[k + 1], '^([\\d.]+)분', 1), '') AS DOUBLE) AS minutes,
-  try_cast(nullif(regexp_extract(d[k + 1], '최장\\s*([\\d.]+)분', 1), '') AS DOUBLE) AS longest, try_cast(e[k + 1] AS DOUBLE) AS ext FROM k""".format(**{f"p{k}": f"regexp_extract_all(vital, '{_EVENT}', {k})" for k in (2, 3, 4, 6)})
+_LABEL_SQL = lambda c: "CASE " + " ".join(f"WHEN contains({c}, '{k}') THEN '{v}'" for k, v in audits.LABEL_CATEGORIES) + " END"
+_DUR_SQL = lambda c: f"(CASE WHEN regexp_extract({c}, '{audits.DURATION}', 0) = '<1분' THEN 0.5 WHEN regexp_extract({c}, '{audits.DURATION}', 3) = '시간' THEN 60 * TRY_CAST(regexp_extract({c}, '{audits.DURATION}', 2) AS DOUBLE) ELSE TRY_CAST(nullif(regexp_extract({c}, '{audits.DURATION}', 2), '') AS DOUBLE) END)"
+LEGACY_SQL = f"""ln AS (SELECT rec_id, unnest(range(0, len(l))) AS line, l FROM (SELECT rec_id, string_split(vital, chr(10)) AS l FROM fewshot_bank WHERE vital IS NOT NULL)),
+l2 AS (SELECT rec_id, line, trim(l[line + 1], ' ') AS t FROM ln), l3 AS (SELECT rec_id, line, trim(split_part(t, ':', 1), ' -') AS item, CASE WHEN contains(t, ', 이벤트: ') THEN string_split(split_part(t, ', 이벤트: ', 2), ' | ') ELSE [t] END AS parts FROM l2 WHERE t <> '' AND NOT starts_with(t, '(연령군') AND NOT starts_with(t, '###')),
+l4 AS (SELECT rec_id, line, item, unnest(range(0, len(parts))) AS part, parts FROM l3), l5 AS (SELECT rec_id, line, part, item, trim(parts[part + 1], ' ') AS p FROM l4),
+l6 AS (SELECT *, regexp_extract(p, '{audits.EVENT}', 1) <> '' AS crit, trim(regexp_extract(p, '{audits.EVENT}', 2), ' -') AS label, TRY_CAST(nullif(regexp_extract(p, '{audits.EVENT}', 3), '') AS INT) AS n, regexp_extract(p, '{audits.EVENT}', 4) AS dur FROM l5),
+leg AS (SELECT rec_id, CAST(line AS INT) AS line, CAST(part AS INT) AS part, item, label, {_LABEL_SQL('label')} AS category, crit AS reportable, n, {_DUR_SQL('dur')} AS total_min, coalesce({_DUR_SQL("regexp_extract(dur, '최장[ ]*([^)]+)', 1)")}, {_DUR_SQL('dur')}) AS longest_min FROM l6 WHERE n IS NOT NULL)"""
+_BUCKET_SQL = "CASE WHEN total_min IS NULL THEN '미상' WHEN total_min < 1 THEN '<1분' WHEN total_min < 5 THEN '1–5분' WHEN total_min < 15 THEN '5–15분' WHEN total_min < 30 THEN '15–30분' ELSE '>30분' END"
+_TIMES_SQL = "CASE WHEN n IS NULL THEN '미상' WHEN n = 1 THEN '1회' WHEN n <= 3 THEN '2–3회' WHEN n <= 9 THEN '4–9회' ELSE '10회+' END"
 
 
 def duration_buckets(s, d):
-    m = F.col("minutes")
-    b = F.when(m.isNull(), "?").when(m < 1, "<1").when(m < 5, "1-5").when(m < 15, "5-15").when(m < 30, "15-30").otherwise(">30")
-    k = F.when(F.col("n") == 1, "1").when(F.col("n") <= 3, "2-3").when(F.col("n") <= 9, "4-9").otherwise("10+")
-    return legacy_summary(s, d).groupBy(b.alias("bucket"), k.alias("times")).agg(_n())
+    return legacy(s, d).groupBy(audits.minutes_bucket(F.col("total_min")).alias("bucket"), audits.times_bucket(F.col("n")).alias("times")).agg(_n())
 
 
-def recall_missed(s, d):
-    """Per finding category of the gold texts: cases, and cases whose answers name it."""
-    said = _inf(s, d).where("sid <> -1 and generated is not null").select("sid", F.explode(finding_categories(F.col("generated"))).alias("category")).distinct().withColumn("hit", F.lit(1))
-    return gt_categories(s, d).join(said, ["sid", "category"], "left").groupBy("category").agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("found"), _R(F.count("hit") / F.count(F.lit(1)), "recall"))
+def ppv(s, d):
+    """Of the events of older summaries, how many the record's hand-off confirms by category: per bucket of duration, of times
+    and of category, within each split and over all."""
+    told = _bank(s, d).select("rec_id", "split", finding_categories(F.col("handoff")).alias("told"))
+    x = legacy(s, d).join(told, "rec_id").withColumn("hit", F.coalesce(F.array_contains("told", F.col("category")), F.lit(False)))
+    keys = F.array(F.concat(F.lit("dur:"), audits.minutes_bucket(F.col("total_min"))), F.concat(F.lit("n:"), audits.times_bucket(F.col("n"))), F.concat(F.lit("cat:"), F.coalesce("category", F.lit("?"))))
+    return audits.ppv_table(x.withColumn("keys", keys), "keys", "split", "hit")
 
 
-_RECALL_SQL = f"WITH g AS ({_GT_CAT_SQL}), s AS (SELECT DISTINCT sid, category FROM inference_records, {_FINDINGS_SQL} WHERE sid <> -1 AND contains(lower(generated), word)) SELECT g.category, count(*) AS gold, count(s.sid) AS found, round(count(s.sid) / count(*), 6) AS recall FROM g LEFT JOIN s USING (sid, category) GROUP BY 1"
-
-_JUDGED = [(1, "a", 0.5, False), (1, "b", 0.7, False), (1, "c", None, False), (2, "a", 0.9, False), (2, "b", None, True), (3, "a", None, False), (4, "a", 1.0, False)]
-_JUDGED_SCHEMA = "id int, judge string, score double, excluded boolean"
-_PROBS = [(1, 0.1, 0.2, 0.3, 0.2, 0.2), (2, 0.0, 0.0, 0.0, 0.0, 1.0), (3, 0.5, 0.5, 0.0, 0.0, 0.0)]
-_PROBS_SCHEMA = "id int, p1 double, p2 double, p3 double, p4 double, p5 double"
-_AB = [(1, 0.9, 0.2), (2, 0.5, 0.5), (3, 0.0, 1.0)]
-_AB_SCHEMA = "id int, p_ab double, p_ba double"
-_LOGS = [("a", 1, 0.9), ("a", 2, 0.5), ("a", 3, None), ("b", 1, 1.5), ("b", 5, 0.1)]
-_LOGS_SCHEMA = "tag string, step int, loss double"
-_OLD = [("p1", "h1"), ("p2", "h2"), ("p3", "h3")]
-_NEW = [("p1", "h1"), ("p2", "hX"), ("p4", "h4")]
-_REG = "name string, digest string"
-_TRY = [(1, 0, "bad"), (1, 1, '{"a": 1}'), (2, 0, '{"a": 2}'), (3, 0, "bad"), (3, 1, "bad"), (3, 2, "bad")]
-_TRY_SCHEMA = "id int, attempt int, answer string"
-_MAP = [(10, 11), (12, 13)]
-_OVER = [(11, "override"), (99, "stray")]
-_SCORES = [("q", 1, 0.5, 0.2), ("q", 2, None, 0.9), ("q", 3, 1.0, None), ("r", 1, 0.0, 0.0)]
-_SCORES_SCHEMA = "tag string, idx int, cov double, brev double"
-
-
-def experiment_dag(s, d):
-    """Each experiment with how many must end before it; a parent is of one kind, so two levels hold all."""
-    x = frame(s, "name string, parent string", list(EXPERIMENTS))
-    return x.select("name", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("level"))
-
-
-def remap_override(s, d):
-    """Gold texts with some sids read as others, and texts that were confirmed by hand in place of the rest."""
-    g = frame(s, "sid long, gold string", [(10, "a"), (11, "b"), (12, None), (14, "d")])
-    m, o = frame(s, "sid long, real long", _MAP), frame(s, "real long, confirmed string", _OVER)
-    return g.join(m, "sid", "left").withColumn("real", F.coalesce("real", "sid")).join(o, "real", "left").select("sid", "real", F.coalesce("confirmed", "gold").alias("gold"))
-
-
-def sft_explode(s, d):
-    """Three training rows of a record: writing the hand-off, and judging it before and after a shorter one."""
-    x = _bank(s, d).where("split = 'sft' and handoff is not null and emr is not null").select("rec_id", "emr", "handoff")
-    rows = F.array(*[F.struct(F.lit(k).alias("task"), p.alias("prompt"), a.alias("target")) for k, p, a in (
-        ("write", F.concat(F.lit("EMR: "), "emr"), F.col("handoff")), ("judge_ab", F.concat(F.lit("A: "), "handoff", F.lit(" B: "), F.substring("handoff", 1, 10)), F.lit("A")), ("judge_ba", F.concat(F.lit("A: "), F.substring("handoff", 1, 10), F.lit(" B: "), "handoff"), F.lit("B")))])
-    return x.select("rec_id", F.explode(rows).alias("r")).select("rec_id", "r.task", F.length("r.prompt").alias("prompt_chars"), F.sha1("r.target").alias("target"))
-
-
-def label_mask(s, d):
-    """Word ids of prompt and target, the prompt's masked, cut on the left and padded to one length."""
-    words = lambda c: F.transform(H.tokens(c), lambda w: F.pmod(F.crc32(w), F.lit(1000)).cast("int"))
-    x = _bank(s, d).where("handoff is not null and emr is not null").select("rec_id", words(F.col("emr")).alias("p"), words(F.col("handoff")).alias("t"))
-    x = x.select("rec_id", F.concat("p", "t").alias("ids"), F.concat(F.transform("p", lambda _: F.lit(-100)), F.col("t")).alias("labels"))
-    room = 64
-    fit = lambda c, pad: F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(room) - F.size(c), F.lit(0))), F.slice(c, F.greatest(F.size(c) - room + 1, F.lit(1)), room))
-    return x.select("rec_id", F.size(fit("ids", 0)).alias("n"), F.aggregate(fit("labels", -100), F.lit(0), lambda a, y: a + F.when(y >= 0, 1).otherwise(0)).alias("trained"))
-
-
-def chunk_max(s, d):
-    """Of each document's chunks of 100 words the most capital letters, as a score over chunks would be taken."""
-    x = load(s, d, "documents").where("text is not null").select("doc_id", H.tokens(F.col("text")).alias("t"))
-    x = x.where(F.size("t") > 0).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 100).cast("int")), lambda k: F.array_join(F.slice("t", k * 100 + 1, 100), " "))).alias("c"))
-    return x.groupBy("doc_id").agg(_n(), F.max(F.length(F.regexp_replace("c", "[^A-Z]", ""))).alias("most"))
+_PPV_SQL = f"""WITH {LEGACY_SQL}, g AS (SELECT DISTINCT rec_id, category FROM fewshot_bank, {_FINDINGS_SQL} WHERE contains(lower(handoff), word)),
+x AS (SELECT leg.*, b.split, g.rec_id IS NOT NULL AS hit FROM leg JOIN fewshot_bank b USING (rec_id) LEFT JOIN g ON g.rec_id = leg.rec_id AND g.category = leg.category),
+k AS (SELECT unnest(['dur:' || {_BUCKET_SQL}, 'n:' || {_TIMES_SQL}, 'cat:' || coalesce(category, '?')]) AS key, split, hit FROM x)
+SELECT key, split AS subset, CAST(grouping(split) AS INT) AS all_subsets, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS ratio FROM k GROUP BY GROUPING SETS ((key, split), (key))"""
 
 
 QUERIES = {
     "gt_categories": Query(gt_categories, _GT_CAT_SQL),
-    "legacy_summary_parse": Query(legacy_summary, _LEGACY_SQL),
-    "duration_buckets": Query(duration_buckets, f"WITH p AS ({_LEGACY_SQL.replace('WITH x AS', 'WITH x AS')}) SELECT CASE WHEN minutes IS NULL THEN '?' WHEN minutes < 1 THEN '<1' WHEN minutes < 5 THEN '1-5' WHEN minutes < 15 THEN '5-15' WHEN minutes < 30 THEN '15-30' ELSE '>30' END AS bucket, CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 9 THEN '4-9' ELSE '10+' END AS times, count(*) AS n FROM p GROUP BY ALL"),
+    "legacy_summary_parse": Query(legacy_summary, f"WITH {LEGACY_SQL} SELECT rec_id, line, part, item, label, category, reportable, n, total_min, longest_min FROM leg"),
+    "duration_buckets": Query(duration_buckets, f"WITH {LEGACY_SQL} SELECT {_BUCKET_SQL} AS bucket, {_TIMES_SQL} AS times, count(*) AS n FROM leg GROUP BY ALL"),
+    "ppv_grouping_sets": Query(ppv, _PPV_SQL),
     "recall_missed": Query(recall_missed, _RECALL_SQL),
     "category_membership": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), F.explode(finding_categories(F.col("i.finding"))).alias("category")).join(gt_categories(s, d).withColumn("in_gold", F.lit(True)), ["sid", "category"], "left").select("sid", "id", "category", F.coalesce("in_gold", F.lit(False)).alias("in_gold")), f"WITH g AS ({_GT_CAT_SQL}), i AS (SELECT sid, i.id AS id, i.finding AS finding FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)), c AS (SELECT DISTINCT sid, id, category FROM i, {_FINDINGS_SQL} WHERE contains(lower(finding), word)) SELECT c.sid, id, c.category, g.sid IS NOT NULL AS in_gold FROM c LEFT JOIN g USING (sid, category)"),
     "case_burden": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(_n(), F.count_if(F.col("i.severity") == "critical").alias("critical"), F.countDistinct("i.category").alias("categories")), "SELECT sid, count(*) AS n, count(*) FILTER (WHERE i.severity = 'critical') AS critical, count(DISTINCT i.category) AS categories FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist) GROUP BY sid"),
-    "official_merge": Query(lambda s, d: frame(s, _JUDGED_SCHEMA, _JUDGED).groupBy("id").agg(F.bool_or("excluded").alias("excluded"), F.avg("score").alias("m")).select("id", "excluded", F.when(~F.col("excluded"), F.round("m", 6)).alias("score")), f"SELECT id, bool_or(excluded) AS excluded, CASE WHEN NOT bool_or(excluded) THEN round(avg(score), 6) END AS score FROM {values(_JUDGED_SCHEMA, _JUDGED)} GROUP BY id"),
-    "logit_expectation": Query(lambda s, d: frame(s, _PROBS_SCHEMA, _PROBS).select("id", _R(sum((F.col(f"p{k}") * k for k in range(1, 6)), F.lit(0.0)), "score")), f"SELECT id, round({' + '.join(f'p{k} * {k}' for k in range(1, 6))}, 6) AS score FROM {values(_PROBS_SCHEMA, _PROBS)}"),
-    "position_debias": Query(lambda s, d: frame(s, _AB_SCHEMA, _AB).select("id", _R((F.col("p_ab") + 1 - F.col("p_ba")) / 2 * 4 + 1, "score")), f"SELECT id, round((p_ab + 1 - p_ba) / 2 * 4 + 1, 6) AS score FROM {values(_AB_SCHEMA, _AB)}"),
-    "score_v2": Query(lambda s, d: frame(s, _SCORES_SCHEMA, _SCORES).select("tag", "idx", _R(0.5 * F.coalesce("cov", F.lit(0.0)) + 0.5 * F.coalesce("brev", F.lit(0.5)), "score")), f"SELECT tag, idx, round(0.5 * coalesce(cov, 0.0) + 0.5 * coalesce(brev, 0.5), 6) AS score FROM {values(_SCORES_SCHEMA, _SCORES)}"),
-    "avg_ignore_null": Query(lambda s, d: frame(s, _SCORES_SCHEMA, _SCORES).groupBy("tag").agg(_R(F.avg("cov"), "cov"), _R(F.avg("brev"), "brev")), f"SELECT tag, round(avg(cov), 6) AS cov, round(avg(brev), 6) AS brev FROM {values(_SCORES_SCHEMA, _SCORES)} GROUP BY tag"),
-    "chunk_max": Query(chunk_max, f"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_SP}+'), lambda t: t <> '') AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // 100 + 1)) AS k FROM t WHERE len(t) > 0) SELECT doc_id, count(*) AS n, CAST(max(length(regexp_replace(array_to_string(t[k * 100 + 1 : k * 100 + 100], ' '), '[^A-Z]', '', 'g'))) AS INT) AS most FROM c GROUP BY doc_id"),
-    "first_last_metric": Query(lambda s, d: frame(s, _LOGS_SCHEMA, _LOGS).groupBy("tag").agg(F.min_by("loss", "step").alias("first"), F.max_by("loss", "step").alias("last"), F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.bool_or(F.col("loss").isNull()).alias("gaps")), f"SELECT tag, first(loss ORDER BY step) AS first, last(loss ORDER BY step) AS last, min(loss) AS lo, max(loss) AS hi, bool_or(loss IS NULL) AS gaps FROM {values(_LOGS_SCHEMA, _LOGS)} GROUP BY tag"),
-    "fingerprint_diff": Query(lambda s, d: frame(s, _REG, _OLD).withColumnRenamed("digest", "a").join(frame(s, _REG, _NEW).withColumnRenamed("digest", "b"), "name", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("name", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("state")), f"SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'changed' END AS state FROM {values(_REG, _OLD, 'a')} FULL JOIN {values(_REG, _NEW, 'b')} ON a.name = b.name WHERE a.digest IS DISTINCT FROM b.digest"),
-    "pending_retry_antijoin": Query(lambda s, d: frame(s, _TRY_SCHEMA, _TRY).select("id").distinct().join(frame(s, _TRY_SCHEMA, _TRY).where(H.first_json(F.col("answer")).isNotNull()), "id", "left_anti"), f"SELECT DISTINCT id FROM {values(_TRY_SCHEMA, _TRY)} WHERE id NOT IN (SELECT id FROM {values(_TRY_SCHEMA, _TRY)} WHERE json_valid(answer))"),
-    "experiment_dag": Query(experiment_dag, f"WITH RECURSIVE e AS (SELECT * FROM {values('name string, parent string', list(EXPERIMENTS))}), r AS (SELECT name, parent, 0 AS level FROM e WHERE parent IS NULL UNION ALL SELECT e.name, e.parent, r.level + 1 FROM e JOIN r ON e.parent = r.name) SELECT * FROM r"),
-    "remap_override": Query(remap_override, f"WITH g AS (SELECT * FROM {values('sid long, gold string', [(10, 'a'), (11, 'b'), (12, None), (14, 'd')])}) SELECT g.sid, coalesce(m.real, g.sid) AS real, coalesce(o.confirmed, g.gold) AS gold FROM g LEFT JOIN {values('sid long, real long', _MAP, 'm')} ON m.sid = g.sid LEFT JOIN {values('real long, confirmed string', _OVER, 'o')} ON o.real = coalesce(m.real, g.sid)"),
     "prioritized_coalesce": Query(lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", F.col("gold_text").alias("a")), "sid", "left").join(_bank(s, d).where("handoff is not null and trim(handoff) <> '' and sid <> -1").groupBy("sid").agg(F.min_by("handoff", "rec_id").alias("b")), "sid", "left").select("sid", F.coalesce(F.nullif(F.trim("a"), F.lit("")), "b").alias("reference")), "WITH b AS (SELECT sid, arg_min(handoff, rec_id) AS b FROM fewshot_bank WHERE trim(handoff, ' ') <> '' AND sid <> -1 GROUP BY sid) SELECT e.sid, coalesce(nullif(trim(gold_text, ' '), ''), b) AS reference FROM emr_case e LEFT JOIN gold_checklist g USING (sid) LEFT JOIN b USING (sid)"),
-    "dpo_filter": Query(lambda s, d: _inf(s, d).where("generated is not null and generated_raw is not null").where((F.trim("generated") != "") & (F.col("generated") != F.col("generated_raw"))).select("gen_id", F.length("generated").alias("chosen"), F.length("generated_raw").alias("rejected")), "SELECT gen_id, length(generated) AS chosen, length(generated_raw) AS rejected FROM inference_records WHERE trim(generated, ' ') <> '' AND generated <> generated_raw"),
-    "sft_explode": Query(sft_explode, "WITH b AS (SELECT rec_id, emr, handoff FROM fewshot_bank WHERE split = 'sft' AND handoff IS NOT NULL AND emr IS NOT NULL) SELECT rec_id, 'write' AS task, length('EMR: ' || emr) AS prompt_chars, sha1(handoff) AS target FROM b UNION ALL SELECT rec_id, 'judge_ab', length('A: ' || handoff || ' B: ' || substr(handoff, 1, 10)), sha1('A') FROM b UNION ALL SELECT rec_id, 'judge_ba', length('A: ' || substr(handoff, 1, 10) || ' B: ' || handoff), sha1('B') FROM b"),
-    "label_mask": Query(label_mask, f"SELECT rec_id, 64 AS n, CAST(least(64, len(list_filter(regexp_split_to_array(handoff, '{_SP}+'), lambda t: t <> ''))) AS INT) AS trained FROM fewshot_bank WHERE handoff IS NOT NULL AND emr IS NOT NULL"),
     "common_keys_vs_baseline": Query(lambda s, d: _inf(s, d).where("sid <> -1").select("sid", F.lower("engine").alias("e")).distinct().groupBy("sid").agg(F.count_if(F.col("e") == "vllm").alias("a"), F.count_if(F.col("e") == "hf").alias("b")).where("a > 0 and b > 0").select("sid"), "SELECT sid FROM inference_records WHERE lower(engine) = 'vllm' AND sid <> -1 INTERSECT SELECT sid FROM inference_records WHERE lower(engine) = 'hf' AND sid <> -1"),
     "top_n": Query(lambda s, d: load(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_retailprice"), "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25"),
     "case_order_by_mean": Query(lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(_R(F.avg("o_totalprice"), "mean"), _n()).orderBy(F.desc("mean"), "o_custkey").limit(100), "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, count(*) AS n FROM orders GROUP BY 1 ORDER BY mean DESC, o_custkey LIMIT 100"),
-    "calibration_grid": Query(lambda s, d: load(s, d, "lineitem").select("l_linestatus", "l_returnflag", "l_quantity", "l_discount").withColumn("scope", F.explode(F.array(F.lit("all"), F.col("l_linestatus")))).transform(lambda x: S.spearman(x.withColumn("g", F.concat_ws("/", "scope", "l_returnflag")), "g", "l_quantity", "l_discount", 10)).select("g", "n", _R("rho")), f"WITH x AS (SELECT unnest(['all', l_linestatus]) || '/' || l_returnflag AS g, l_quantity AS a, l_discount AS b FROM lineitem), r AS (SELECT g, {_RANK_SQL('a', 'g')} AS ra, {_RANK_SQL('b', 'g')} AS rb FROM x) SELECT g, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(corr(ra, rb), 6) END AS rho FROM r GROUP BY g"),
     "provisional_accept": Query(lambda s, d: _gold(s, d).select("sid", "reviewed", (F.col("accepted_without_review") | ~F.col("reviewed")).alias("accepted")), "SELECT sid, reviewed, accepted_without_review OR NOT reviewed AS accepted FROM gold_checklist"),
-    "valid_ratio": Query(lambda s, d: _fast(s, d).agg(_R(F.avg((F.coalesce(F.col("gate") != "no_gold", F.lit(True))).cast("double")), "ratio")).withColumn("enough", F.col("ratio") >= 0.8), f"SELECT round(avg(CAST(coalesce(gate <> 'no_gold', true) AS DOUBLE)), 6) AS ratio, round(avg(CAST(coalesce(gate <> 'no_gold', true) AS DOUBLE)), 6) >= 0.8 AS enough FROM ({_FAST_SQL})"),
-    "no_issue_prefix": Query(lambda s, d: _inf(s, d).select("gen_id", (F.length(F.trim(F.coalesce("generated", F.lit("")))) == 0).alias("blank"), H.no_issue(F.substring_index("generated", ".", 1)).alias("starts")), f"SELECT gen_id, length(trim(coalesce(generated, ''), ' ')) = 0 AS blank, {_NO_ISSUE_SQL('split_part(generated, chr(46), 1)')} AS starts FROM inference_records"),
 }

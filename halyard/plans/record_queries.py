@@ -1,15 +1,13 @@
-"""Records: splits, joins, sets, scores, pairs and statistics."""
+"""Records: splits, leak checks, joins, sets, order and ranks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import hygiene as H
-from ..operators import scoring, splits, statistics as S
+from ..operators import prompts, splits
 from ..session import load
-from .fixture import frame, values
 from .query import Query
-from .text_queries import _NO_ISSUE_SQL, _SQUEEZE
 
 _R = lambda c, name=None: F.round(c, 6).alias(name or c)
 _bank = lambda s, d: load(s, d, "fewshot_bank")
@@ -22,146 +20,124 @@ def _split(s, d, *names):
     return _bank(s, d).where(F.col("split").isin(*names) & (F.col("sid") != -1))
 
 
-def _verdicts(s, d):
-    """Line items as verdicts on the items of a checklist: A yes, R partial, N no."""
-    x = load(s, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("item"), F.col("l_linestatus").alias("category"), F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "partial").otherwise("no").alias("status"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_returnflag").alias("ord"))
-    return x
-
-
-_VERDICT_SQL = "v AS (SELECT l_orderkey AS \"case\", l_linenumber AS item, l_linestatus AS category, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.5 ELSE 0.0 END AS p FROM lineitem)"
-
-
-def _fast(s, d):
-    gold = _gold(s, d).select("sid", F.coalesce(F.size("check_items") > 0, F.lit(False)).alias("has_items"), "is_normal_case")
-    x = _inf(s, d).where("sid <> -1").join(gold, "sid", "left")
-    return x.select("gen_id", scoring.fast_path(F.col("gen_status"), F.col("has_items"), F.col("is_normal_case"), H.no_issue(F.col("generated"))).alias("gate"))
-
-
-_FAST_SQL = f"""SELECT gen_id, CASE WHEN coalesce(lower(gen_status), '') <> 'ok' THEN 'degenerate' WHEN g.sid IS NULL THEN 'no_gold' WHEN is_normal_case AND {_NO_ISSUE_SQL('generated')} THEN 'normal_ok'
-WHEN coalesce(len(check_items), 0) > 0 AND NOT is_normal_case AND {_NO_ISSUE_SQL('generated')} THEN 'missed_abnormal' END AS gate FROM inference_records r LEFT JOIN gold_checklist g USING (sid) WHERE r.sid <> -1"""
-
-_AXES = [(1, 1.0, 1.0, 1.0, True), (2, 0.5, 0.8, 0.25, True), (3, None, 0.8, 0.5, False), (4, None, 0.8, 0.5, True), (5, 0.75, None, 1.0, True), (6, 0.0, 0.0, 0.0, True), (7, None, 1.0, None, False)]
-_AXES_SCHEMA = "id int, cov double, faith double, brev double, has boolean"
-_CLAIMS = [(1, 3, 4, "5"), (2, 0, 0, "x"), (3, 2, 2, "9"), (4, 0, 5, "0"), (5, 1, None, None), (6, 7, 8, "3.5")]
-_CLAIMS_SCHEMA = "id int, supported int, claims int, score string"
-_P = [("m1", "a", 0.001), ("m1", "b", 0.04), ("m1", "c", None), ("m1", "d", 0.03), ("m2", "a", 0.5), ("m2", "b", 0.5), ("m2", "c", 0.9)]
-_P_SCHEMA = "model string, name string, p double"
-_PAIRS = [(1, "a b", 15.0, 0), (1, "c", 5.0, 1), (2, "same  text", 9.0, 0), (2, "Same text", 5.0, 1), (3, "x", 9.0, 0), (3, "y", 8.0, 1), (4, "only", 7.0, 0), (5, "t1", 12.0, 0), (5, "t2", 12.0, 1), (5, "t3", 3.0, 2)]
-_PAIRS_SCHEMA = "row_idx int, txt string, total double, ord int"
-_GT = [(1, "a", ""), (2, "", "b"), (3, "", ""), (4, "환아 상태 안정적임을 확인함 추가", "환아 상태 안정적임을 확인함 완전히"), (5, "수혈 필요했음", "특이사항 없음"), (6, "특이사항 없음", "기도 확보 어려움으로 재삽관 시행하였고 이후 안정됨"), (7, "기존 소견 있음 투약함", "상기 내용 외 추가"), (8, "기존 짧은 소견", "새 문안 " * 30)]
-_GT_SCHEMA = "id int, o string, w string"
-_FILL = [(1, "a"), (2, None), (3, None), (4, "b"), (5, None), (6, "c")]
-_FILES_A = [("m1", "x", "h1"), ("m1", "y", "h2"), ("m2", "x", "h3")]
-_FILES_B = [("m1", "x", "h1"), ("m1", "y", "h9"), ("m3", "z", "h4")]
-_FILES = "model string, file string, hash string"
-_ROLES = [("llama", "policy", "fam_a"), ("llama", "judge", "fam_a"), ("qwen", "judge", "fam_b"), ("prom", "judge", "fam_c"), ("qwen", "policy", "fam_b"), ("solo", "reference", "fam_d")]
-_ROLES_SCHEMA = "model string, role string, family string"
-
-
-def gt_merge(s, d):
-    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "")
-    none = r"(특이\s*사항\s*(없|없었|없음)|이상\s*(소견\s*)?없|필요\s*없|문제\s*없)"
-    prior = r"(위의?\s*내용|상기|앞의?\s*내용|이\s*외|추가\s*$)"
-    real = r"(?i)(투여|투약|수혈|삽관|재삽관|처치|교체|suction|흡인|wheez|crackle|desat|탈포화|저혈압|서맥|부정맥|출혈|경련|VT|arrest|심정지|puff|ventolin|lipoma|compression|병력|증후군)"
-    only = lambda c: F.length(F.regexp_replace(F.regexp_replace(c, none, ""), r"[\s*#:·\-–—.,()]+", "")) < 15
-    o, w = F.col("o"), F.col("w")
-    kind = (
-        F.when((w == "") & (o != ""), "kept").when(w == "", "empty").when(o == "", "replaced").when((F.length(bare(o)) > 0) & bare(w).startswith(F.substring(bare(o), 1, 12)), "replaced")
-        .when((F.length(w) >= 100) & ~w.rlike(prior), "replaced").when(only(o) & ~only(w), "replaced").when(w.rlike(prior), "merged").when(w.rlike(none) & o.rlike(real), "merged_conflict").otherwise("merged")
-    )
-    x = frame(s, _GT_SCHEMA, _GT).withColumn("kind", kind)
-    return x.select("id", "kind", F.when(F.col("kind").isin("kept", "empty"), o).when(F.col("kind") == "replaced", w).otherwise(F.concat(F.rtrim(o), F.lit("\n"), F.ltrim(w))).alias("final"))
+def fewshot_topk(s, d):
+    """For each evaluation record two few-shot records of the whole bank, in an order of its own."""
+    bank = _split(s, d, "fewshot").select(F.col("rec_id").alias("shot"))
+    return splits.draw(_split(s, d, "dev").select("rec_id"), bank, "rec_id", "shot", 2)
 
 
-_NONE = "(특이\\s*사항\\s*(없|없었|없음)|이상\\s*(소견\\s*)?없|필요\\s*없|문제\\s*없)"
-_PRIOR = "(위의?\\s*내용|상기|앞의?\\s*내용|이\\s*외|추가\\s*$)"
-_REAL = "(?i)(투여|투약|수혈|삽관|재삽관|처치|교체|suction|흡인|wheez|crackle|desat|탈포화|저혈압|서맥|부정맥|출혈|경련|VT|arrest|심정지|puff|ventolin|lipoma|compression|병력|증후군)"
-_ONLY = lambda c: f"length(regexp_replace(regexp_replace({c}, '{_NONE}', '', 'g'), '[\\s*#:·\\-–—.,()]+', '', 'g')) < 15"
-_BARE = lambda c: f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
-_GT_SQL = f"""WITH k AS (SELECT id, o, w, CASE WHEN w = '' AND o <> '' THEN 'kept' WHEN w = '' THEN 'empty' WHEN o = '' THEN 'replaced' WHEN length({_BARE('o')}) > 0 AND starts_with({_BARE('w')}, substr({_BARE('o')}, 1, 12)) THEN 'replaced'
-WHEN length(w) >= 100 AND NOT regexp_matches(w, '{_PRIOR}') THEN 'replaced' WHEN {_ONLY('o')} AND NOT {_ONLY('w')} THEN 'replaced' WHEN regexp_matches(w, '{_PRIOR}') THEN 'merged' WHEN regexp_matches(w, '{_NONE}') AND regexp_matches(o, '{_REAL}') THEN 'merged_conflict' ELSE 'merged' END AS kind FROM {values(_GT_SCHEMA, _GT)})
-SELECT id, kind, CASE WHEN kind IN ('kept', 'empty') THEN o WHEN kind = 'replaced' THEN w ELSE rtrim(o, ' ') || chr(10) || ltrim(w, ' ') END AS final FROM k"""
+def fewshot_block(s, d):
+    """The same as the examples of a prompt, each record's first 700 characters with its hand-off."""
+    bank = _split(s, d, "fewshot").select(F.col("rec_id").alias("shot"), "emr", "handoff")
+    shots = fewshot_topk(s, d).join(bank, "shot").groupBy("rec_id").agg(F.collect_list(F.struct("k", "emr", "handoff")).alias("shots"))
+    return shots.select("rec_id", prompts.shot_block(F.col("shots")).alias("block"))
 
 
-def pair_select(s, d):
-    x = frame(s, _PAIRS_SCHEMA, _PAIRS).groupBy("row_idx").agg(_n(), F.max(F.struct("total", -F.col("ord"), "txt")).alias("best"), F.min(F.struct("total", -F.col("ord"), "txt")).alias("worst"))
-    margin = F.col("best.total") - F.col("worst.total")
-    why = F.when(F.col("n") < 2, "too_few").when(H.squeeze(F.col("best.txt")) == H.squeeze(F.col("worst.txt")), "identical").when(margin < 2.0, "no_margin").otherwise("kept")
-    return x.select("row_idx", "n", why.alias("outcome"), F.when(why == "kept", F.col("best.txt")).alias("chosen"), F.when(why == "kept", F.col("worst.txt")).alias("rejected"), F.when(why == "kept", margin).alias("margin"))
+def scale(s, d):
+    """By idx the greatest share of an answer's words that its prompt has too, over the parts that a scorer takes."""
+    x = _inf(s, d).where("generated is not null and idx is not null").select("idx", H.tokens(F.col("prompt_text")).alias("p"), prompts.chunks(F.col("generated")).alias("c"))
+    share = F.array_max(F.transform("c", lambda c: F.size(F.filter(c, lambda w: F.array_contains("p", w))) / F.greatest(F.size(c), F.lit(1))))
+    return x.groupBy("idx").agg(F.max(share).alias("scale"))
 
 
-def fewshot_topk(s, d):
-    """For each evaluation record two few-shot records of the whole bank, in an order of its own."""
-    bank = _split(s, d, "fewshot").select(F.col("rec_id").alias("shot"))
-    return splits.draw(_split(s, d, "dev").select("rec_id"), bank, "rec_id", "shot", 2)
+def scores_with_scale(s, d):
+    return _inf(s, d).select("gen_id", "idx").join(scale(s, d), "idx", "left").select("gen_id", "idx", _R("scale"))
 
 
-def variant_summary(s, d):
-    x = _inf(s, d).join(_fast(s, d), "gen_id").withColumn("variant", F.coalesce(F.lower("engine"), F.lit("?")))
-    value = F.when(F.col("gate").isin("degenerate", "missed_abnormal"), 0.0).when(F.col("gate") == "normal_ok", 1.0)
-    return x.groupBy("variant").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.coalesce(F.col("gate") != "no_gold", F.lit(True))).alias("n_valid"), F.count_if(F.col("gate") == "no_gold").alias("n_excluded"), _R(F.avg(value), "mean"), F.count_if(F.col("gate") == "missed_abnormal").alias("missed_abnormal"), F.count_if(H.no_issue(F.col("generated"))).alias("no_issue"))
+def positional_zip(s, d):
+    """The answers of two engines side by side by their place in the order of their ids, as many as the smaller has."""
+    x = _inf(s, d).where("generated is not null").select("gen_id", F.length("generated").alias("n"), F.lower("engine").alias("e"))
+    a, b = x.where("e = 'vllm'").drop("e"), x.where("e = 'hf'").drop("e")
+    least = min(a.count(), b.count())
+    first = lambda df: df.orderBy("gen_id").limit(least)  # noqa: E731  the operator asks for equal numbers
+    return splits.zip_by_position(first(a), first(b), "gen_id").select("position", "gen_id_a", "gen_id_b", "n_a", "n_b")
 
 
-def simpo(s, d):
-    """Loss and margin of preference pairs from mean log-probabilities, for which scaled columns of orders stand."""
-    x = load(s, d, "orders").select("o_orderkey", (-F.pmod("o_orderkey", F.lit(17)) / 10).alias("chosen"), (-F.pmod("o_custkey", F.lit(23)) / 10).alias("rejected"))
-    z = 2.0 * (F.col("chosen") - F.col("rejected") - 0.5 / 2.0 * 1.0)
-    return x.select("o_orderkey", F.round(F.log1p(F.exp(-z)), 6).alias("loss"), F.round(F.col("chosen") - F.col("rejected"), 6).alias("margin"), (F.col("chosen") > F.col("rejected")).alias("right"))
+def manifest_of(s, d, split):
+    """Each file of a model as a document of a source: its digest in one half of the documents."""
+    return load(s, d, "documents").where(F.pmod("doc_id", F.lit(5)) != split).select(F.coalesce("source", F.lit("?")).alias("model"), F.floor(F.col("doc_id") / 2).alias("file"), "text", "doc_id").groupBy("model", "file").agg(F.sha1(F.coalesce(F.min_by("text", "doc_id"), F.lit(""))).alias("hash"))
 
 
-def ppv(s, d):
-    """Share of hits per bucket of size, for flagged records and for all, as grouping sets."""
-    x = _inf(s, d).join(_fast(s, d), "gen_id").select(F.explode(F.coalesce("gen_flags", F.array(F.lit("none")))).alias("flag"), F.coalesce("engine", F.lit("?")).alias("engine"), F.coalesce(F.col("gate") == "degenerate", F.lit(False)).alias("hit"))
-    return x.groupingSets([["flag", "engine"], ["flag"]], "flag", "engine").agg(F.grouping("engine").cast("int").alias("all_engines"), _n(), F.count_if("hit").alias("hits"), _R(F.avg(F.col("hit").cast("double")), "ratio"))
+def checksum_diff(s, d):
+    a, b = manifest_of(s, d, 0).withColumnRenamed("hash", "a"), manifest_of(s, d, 1).withColumnRenamed("hash", "b")
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "mismatch").otherwise("same")
+    return a.join(b, ["model", "file"], "full").select("model", "file", state.alias("state"))
 
 
-_PAIR_COLS = lambda s, d: load(s, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("a"), (F.col("l_tax") * 500).alias("b"))
-_PAIR_SQL = "(SELECT l_returnflag, l_quantity AS a, l_tax * 500 AS b FROM lineitem)"
-_RANK_SQL = lambda v, g: f"rank() OVER (PARTITION BY {g} ORDER BY {v}) + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2"
 _FEW_SQL = "SELECT DISTINCT sid FROM fewshot_bank WHERE sid <> -1"
 _KEY_SQL = lambda k: f"sha1('42:' || CAST({k} AS VARCHAR))"
+_NUM_SQL = lambda k: f"CAST('0x' || substr(sha1('42:' || rec_id || ':{k}'), 1, 15) AS BIGINT)"
+_DRAW_SQL = f"""bank AS (SELECT rec_id AS shot, emr, handoff, row_number() OVER (ORDER BY {_KEY_SQL('rec_id')}, rec_id) - 1 AS pos FROM fewshot_bank WHERE split = 'fewshot' AND sid <> -1), n AS (SELECT count(*) AS n FROM bank),
+a AS (SELECT rec_id, n, {_NUM_SQL(0)} % greatest(n, 1) AS a0, {_NUM_SQL(1)} % greatest(n - 1, 1) AS a1 FROM fewshot_bank, n WHERE split = 'dev' AND sid <> -1),
+drawn AS (SELECT rec_id, 1 AS k, a0 AS pos FROM a WHERE n > 0 UNION ALL SELECT rec_id, 2, a1 + CASE WHEN a1 >= a0 THEN 1 ELSE 0 END FROM a WHERE n > 1)"""
+_MANIFEST_SQL = lambda k: f"SELECT coalesce(source, '?') AS model, doc_id // 2 AS file, sha1(coalesce(first(text ORDER BY doc_id), '')) AS h FROM documents WHERE doc_id % 5 <> {k} GROUP BY ALL"
+_SP = "[ \\t\\n\\r\\f\u00a0\u3000]"
+_WORDS_SQL = lambda c: f"list_filter(regexp_split_to_array({c}, '{_SP}+'), lambda t: t <> '')"
+
+_SCALE_SQL = f"""x AS (SELECT idx, {_WORDS_SQL('prompt_text')} AS p, {_WORDS_SQL('generated')}[1:512] AS t, generated FROM inference_records WHERE generated IS NOT NULL AND idx IS NOT NULL),
+c AS (SELECT idx, p, CASE WHEN len(t) > 0 THEN list_transform(range(0, (len(t) - 1) // 100 + 1), lambda k: t[k * 100 + 1 : k * 100 + 100]) ELSE [[generated]] END AS c FROM x),
+m AS (SELECT idx, max(list_max(list_transform(c, lambda y: len(list_filter(y, lambda w: list_contains(p, w))) / len(y)))) AS scale FROM c GROUP BY idx)"""
 
 QUERIES = {
     "split_in_two": Query(lambda s, d: splits.split_in_two(_bank(s, d).where("sid <> -1"), "sid", 40), f"WITH k AS ({_FEW_SQL}) SELECT sid, CASE WHEN row_number() OVER (ORDER BY {_KEY_SQL('sid')}, sid) <= 40 THEN 'few' ELSE 'rest' END AS part FROM k"),
-    "stratified_quota": Query(lambda s, d: splits.stratified(_gold(s, d), "sid", "is_normal_case", 12), f"WITH q AS (SELECT is_normal_case, round_even(count(*) * 12 / (SELECT count(*) FROM gold_checklist), 0) AS quota FROM gold_checklist GROUP BY 1) SELECT sid, g.is_normal_case, row_number() OVER (PARTITION BY g.is_normal_case ORDER BY {_KEY_SQL('sid')}, sid) <= quota AS picked FROM gold_checklist g JOIN q USING (is_normal_case)"),
     "leak_overlap": Query(lambda s, d: splits.overlap(_split(s, d, "sft"), _split(s, d, "dev", "gold"), "sid"), "SELECT DISTINCT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1 AND sid IN (SELECT sid FROM fewshot_bank WHERE split IN ('dev', 'gold'))"),
     "key_census": Query(lambda s, d: load(s, d, "emr_case").select("sid", F.lit(1).alias("l")).join(load(s, d, "vital_df").where("sid <> -1").select("sid").distinct().withColumn("r", F.lit(1)), "sid", "full").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("emr_only"), F.count_if(F.col("l").isNull()).alias("vital_only")), "SELECT count(*) FILTER (WHERE e.sid IS NOT NULL AND v.sid IS NOT NULL) AS both, count(*) FILTER (WHERE v.sid IS NULL) AS emr_only, count(*) FILTER (WHERE e.sid IS NULL) AS vital_only FROM emr_case e FULL JOIN (SELECT DISTINCT sid FROM vital_df WHERE sid <> -1) v ON e.sid = v.sid"),
-    "split_fingerprint": Query(lambda s, d: splits.fingerprint(_bank(s, d).where("sid <> -1"), "split", "sid"), None),
     "split_manifest": Query(lambda s, d: _bank(s, d).groupBy("split").agg(_n(), F.countDistinct("sid").alias("sids"), F.count_if(F.col("sid") == -1).alias("unread"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")), "SELECT split, count(*) AS n, count(DISTINCT sid) AS sids, count(*) FILTER (WHERE sid = -1) AS unread, min(rec_id) AS lo, max(rec_id) AS hi FROM fewshot_bank GROUP BY split"),
     "identical_output_groups": Query(lambda s, d: _inf(s, d).where("generated is not null").groupBy(F.sha1("generated").alias("h")).agg(_n(), F.min("gen_id").alias("first")).where("n > 1"), "SELECT sha1(generated) AS h, count(*) AS n, min(gen_id) AS first FROM inference_records WHERE generated IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "subsample_hash": Query(lambda s, d: load(s, d, "documents").select("doc_id").orderBy(splits.order_key(F.col("doc_id")), "doc_id").limit(100), f"SELECT doc_id FROM documents ORDER BY {_KEY_SQL('doc_id')}, doc_id LIMIT 100"),
-    "fewshot_topk_per_row": Query(fewshot_topk, f"WITH bank AS (SELECT rec_id AS shot FROM fewshot_bank WHERE split = 'fewshot' AND sid <> -1 ORDER BY {_KEY_SQL('rec_id')}, rec_id LIMIT 40) SELECT rec_id, shot, row_number() OVER (PARTITION BY rec_id ORDER BY sha1('42:' || rec_id || ':' || shot), shot) AS k FROM fewshot_bank, bank WHERE split = 'dev' AND sid <> -1 QUALIFY k <= 2"),
     "left_default": Query(lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", "gold_text"), "sid", "left").select("sid", F.coalesce("gold_text", F.lit("")).alias("gold")), "SELECT sid, coalesce(gold_text, '') AS gold FROM emr_case LEFT JOIN gold_checklist USING (sid)"),
-    "strict_inner_with_miss_count": Query(lambda s, d: _inf(s, d).where("sid <> -1").select("sid", "gen_id").join(_gold(s, d).select("sid", F.lit(1).alias("g")), "sid", "left").groupBy((F.col("g").isNull()).alias("missing")).agg(_n(), F.countDistinct("sid").alias("sids")), "SELECT g.sid IS NULL AS missing, count(*) AS n, count(DISTINCT r.sid) AS sids FROM inference_records r LEFT JOIN gold_checklist g USING (sid) WHERE r.sid <> -1 GROUP BY 1"),
     "union_first_wins": Query(lambda s, d: _bank(s, d).where("sid <> -1").withColumn("k", F.row_number().over(W.partitionBy("sid").orderBy(F.when(F.col("split") == "gold", 0).when(F.col("split") == "dev", 1).when(F.col("split") == "fewshot", 2).otherwise(3), "rec_id"))).where("k = 1").select("sid", "split", "rec_id"), "SELECT sid, split, rec_id FROM fewshot_bank WHERE sid <> -1 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY CASE split WHEN 'gold' THEN 0 WHEN 'dev' THEN 1 WHEN 'fewshot' THEN 2 ELSE 3 END, rec_id) = 1"),
     "intersect": Query(lambda s, d: _split(s, d, "dev").select("sid").intersect(_split(s, d, "fewshot").select("sid")), "SELECT sid FROM fewshot_bank WHERE split = 'dev' AND sid <> -1 INTERSECT SELECT sid FROM fewshot_bank WHERE split = 'fewshot' AND sid <> -1"),
     "except": Query(lambda s, d: _split(s, d, "gold").select("sid").subtract(_split(s, d, "sft").select("sid")), "SELECT sid FROM fewshot_bank WHERE split = 'gold' AND sid <> -1 EXCEPT SELECT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1"),
     "distinct_policies": Query(lambda s, d: _inf(s, d).select(F.lower("engine").alias("engine"), F.lower("gen_status").alias("status")).distinct(), "SELECT DISTINCT lower(engine) AS engine, lower(gen_status) AS status FROM inference_records"),
-    "checksum_diff": Query(lambda s, d: frame(s, _FILES, _FILES_A).withColumnRenamed("hash", "a").join(frame(s, _FILES, _FILES_B).withColumnRenamed("hash", "b"), ["model", "file"], "full").select("model", "file", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "mismatch").otherwise("same").alias("state")), f"SELECT coalesce(a.model, b.model) AS model, coalesce(a.file, b.file) AS file, CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' WHEN a.hash <> b.hash THEN 'mismatch' ELSE 'same' END AS state FROM {values(_FILES, _FILES_A, 'a')} FULL JOIN {values(_FILES, _FILES_B, 'b')} ON a.model = b.model AND a.file = b.file"),
-    "ffill_merged_cells": Query(lambda s, d: frame(s, "id int, x string", _FILL).select("id", F.last("x", True).over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)).alias("x")), f"SELECT id, last_value(x IGNORE NULLS) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS x FROM {values('id int, x string', _FILL)}"),
-    "coverage": Query(lambda s, d: scoring.coverage(_verdicts(s, d).select("case", "item"), _verdicts(s, d).select("case", "item", "status", "ord")).select("case", _R("coverage"), "failed"), "WITH v AS (SELECT l_orderkey AS k, l_linenumber, arg_max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.5 ELSE 0.0 END, (l_shipdate, l_partkey, l_suppkey, l_returnflag)) AS p FROM lineitem GROUP BY ALL) SELECT k AS \"case\", round(sum(p) / count(*), 6) AS coverage, false AS failed FROM v GROUP BY 1"),
-    "coverage_macro_micro": Query(lambda s, d: _verdicts(s, d).withColumn("p", F.when(F.col("status") == "yes", 1.0).when(F.col("status") == "partial", 0.5).otherwise(0.0)).groupBy("case").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")).agg(_R(F.avg(F.col("p") / F.col("n")), "macro"), _R(F.sum("p") / F.sum("n"), "micro")), f'WITH {_VERDICT_SQL}, c AS (SELECT "case", sum(p) AS p, count(*) AS n FROM v GROUP BY 1) SELECT round(avg(p / n), 6) AS macro, round(sum(p) / sum(n), 6) AS micro FROM c'),
-    "category_coverage": Query(lambda s, d: _verdicts(s, d).withColumn("p", F.when(F.col("status") == "yes", 1.0).when(F.col("status") == "partial", 0.5).otherwise(0.0)).groupBy("case", "category").agg(_n(), _R(F.avg("p"), "score"), F.count_if(F.col("p") == 0).alias("missed")), f'WITH {_VERDICT_SQL} SELECT "case", category, count(*) AS n, round(avg(p), 6) AS score, count(*) FILTER (WHERE p = 0) AS missed FROM v GROUP BY ALL'),
-    "items_by_category_with_empty": Query(lambda s, d: frame(s, "category string", [(c,) for c in H.CATEGORIES]).join(_gold(s, d).select(F.explode("check_items").alias("i")).select(H.category(F.col("i.category")).alias("category")), "category", "left").groupBy("category").agg(F.count(F.lit(1)).alias("n")), f"WITH i AS (SELECT CASE {' '.join(f'''WHEN lower(i.category) = '{k}' THEN '{v}' ''' for k, v in H.CATEGORY_MAP.items())} WHEN lower(i.category) IN ({', '.join(repr(c) for c in H.CATEGORIES)}) THEN lower(i.category) ELSE 'other' END AS category FROM (SELECT unnest(check_items) AS i FROM gold_checklist)) SELECT c.category, count(*) AS n FROM {values('category string', [(c,) for c in H.CATEGORIES], 'c')} LEFT JOIN i ON c.category = i.category GROUP BY 1"),
     "review_counts": Query(lambda s, d: _gold(s, d).agg(F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed") & F.col("accepted_without_review")).alias("accepted"), F.count_if(~F.col("reviewed") & ~F.col("accepted_without_review")).alias("provisional")), "SELECT count(*) FILTER (WHERE reviewed) AS reviewed, count(*) FILTER (WHERE NOT reviewed AND accepted_without_review) AS accepted, count(*) FILTER (WHERE NOT reviewed AND NOT accepted_without_review) AS provisional FROM gold_checklist"),
     "gold_note": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("i.severity") == "critical", 0).when(F.col("i.severity") == "major", 1).otherwise(2).alias("o"), F.col("i.id").alias("id"), F.col("i.finding").alias("f")))), lambda x: x["f"]), "\n").alias("note")), "SELECT sid, string_agg(i.finding, chr(10) ORDER BY CASE i.severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, i.id) AS note FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist) GROUP BY sid"),
-    "checklist_state": Query(lambda s, d: _gold(s, d).select("sid", F.when(F.length(F.trim("gold_text")) == 0, "no_gold").when(H.no_issue(F.col("gold_text")), "gold_normal").when(F.size("check_items") > 0, "gold_items").otherwise("gold_failed").alias("state")), f"SELECT sid, CASE WHEN length(trim(gold_text, ' ')) = 0 THEN 'no_gold' WHEN {_NO_ISSUE_SQL('gold_text')} THEN 'gold_normal' WHEN len(check_items) > 0 THEN 'gold_items' ELSE 'gold_failed' END AS state FROM gold_checklist"),
-    "faithfulness_brevity": Query(lambda s, d: frame(s, _CLAIMS_SCHEMA, _CLAIMS).select("id", scoring.faithfulness(F.col("supported"), F.col("claims")).alias("faithfulness"), scoring.brevity(F.col("score")).alias("brevity")), f"SELECT id, CASE WHEN claims > 0 THEN supported / claims END AS faithfulness, CASE WHEN try_cast(score AS DOUBLE) IS NOT NULL THEN (least(greatest(try_cast(score AS DOUBLE), 1.0), 5.0) - 1) / 4 END AS brevity FROM {values(_CLAIMS_SCHEMA, _CLAIMS)}"),
-    "fast_path": Query(_fast, _FAST_SQL),
-    "exclusion_histogram": Query(lambda s, d: _fast(s, d).groupBy("gate").agg(_n()), f"SELECT gate, count(*) AS n FROM ({_FAST_SQL}) GROUP BY gate"),
-    "composite": Query(lambda s, d: frame(s, _AXES_SCHEMA, _AXES).select("id", _R(scoring.composite(F.col("cov"), F.col("faith"), F.col("brev"), F.col("has")), "composite")), f"SELECT id, round(CASE WHEN has THEN 0.5 * cov + 0.3 * faith + 0.2 * brev ELSE (0.3 * faith + 0.2 * brev) / 0.5 END, 6) AS composite FROM {values(_AXES_SCHEMA, _AXES)}"),
-    "variant_summary": Query(variant_summary, f"WITH f AS ({_FAST_SQL}) SELECT coalesce(lower(engine), '?') AS variant, count(*) AS n_total, count(*) FILTER (WHERE coalesce(gate <> 'no_gold', true)) AS n_valid, count(*) FILTER (WHERE gate = 'no_gold') AS n_excluded, round(avg(CASE WHEN gate IN ('degenerate', 'missed_abnormal') THEN 0.0 WHEN gate = 'normal_ok' THEN 1.0 END), 6) AS mean, count(*) FILTER (WHERE gate = 'missed_abnormal') AS missed_abnormal, count(*) FILTER (WHERE {_NO_ISSUE_SQL('generated')}) AS no_issue FROM inference_records JOIN f USING (gen_id) GROUP BY 1"),
     "top1_per_group": Query(lambda s, d: load(s, d, "orders").withColumn("k", F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("k = 1").select("o_orderpriority", "o_orderkey", "o_totalprice"), "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1"),
     "rank_two_key": Query(lambda s, d: load(s, d, "customer").orderBy(F.coalesce("c_acctbal", F.lit(0)).desc(), "c_custkey").limit(50).select("c_custkey", "c_acctbal"), "SELECT c_custkey, c_acctbal FROM customer ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 50"),
-    "pair_select": Query(pair_select, f"WITH g AS (SELECT row_idx, count(*) AS n, arg_max(txt, (total, -ord)) AS b, arg_min(txt, (total, -ord)) AS w, max(total) - min(total) AS m FROM {values(_PAIRS_SCHEMA, _PAIRS)} GROUP BY row_idx), k AS (SELECT *, CASE WHEN n < 2 THEN 'too_few' WHEN {_SQUEEZE('b')} = {_SQUEEZE('w')} THEN 'identical' WHEN m < 2 THEN 'no_margin' ELSE 'kept' END AS outcome FROM g) SELECT row_idx, n, outcome, CASE WHEN outcome = 'kept' THEN b END AS chosen, CASE WHEN outcome = 'kept' THEN w END AS rejected, CASE WHEN outcome = 'kept' THEN m END AS margin FROM k"),
-    "gt_merge": Query(gt_merge, _GT_SQL),
-    "ppv_grouping_sets": Query(ppv, f"WITH f AS ({_FAST_SQL}), x AS (SELECT unnest(coalesce(gen_flags, ['none'])) AS flag, coalesce(engine, '?') AS engine, coalesce(gate = 'degenerate', false) AS hit FROM inference_records JOIN f USING (gen_id)) SELECT flag, engine, CAST(grouping(engine) AS INT) AS all_engines, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS ratio FROM x GROUP BY GROUPING SETS ((flag, engine), (flag))"),
-    "role_conflicts": Query(lambda s, d: frame(s, _ROLES_SCHEMA, _ROLES).groupBy("family").agg(F.count_if(F.col("role") == "policy").alias("policies"), F.count_if(F.col("role") == "judge").alias("judges")).withColumn("conflict", (F.col("policies") > 0) & (F.col("judges") > 0)), f"SELECT family, count(*) FILTER (WHERE role = 'policy') AS policies, count(*) FILTER (WHERE role = 'judge') AS judges, count(*) FILTER (WHERE role = 'policy') > 0 AND count(*) FILTER (WHERE role = 'judge') > 0 AS conflict FROM {values(_ROLES_SCHEMA, _ROLES)} GROUP BY family"),
-    "simpo_loss": Query(simpo, "WITH x AS (SELECT o_orderkey, -(o_orderkey % 17) / 10 AS chosen, -(o_custkey % 23) / 10 AS rejected FROM orders) SELECT o_orderkey, round(ln(1 + exp(-2.0 * (chosen - rejected - 0.25))), 6) AS loss, round(chosen - rejected, 6) AS margin, chosen > rejected AS \"right\" FROM x"),
-    "holm": Query(lambda s, d: S.holm(frame(s, _P_SCHEMA, _P), "model", "p").select("model", "name", "p", _R("p_holm"), "significant"), f"WITH r AS (SELECT *, count(p) OVER (PARTITION BY model) AS m, row_number() OVER (PARTITION BY model, p IS NULL ORDER BY p, name) AS k FROM {values(_P_SCHEMA, _P)}), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY model, p IS NULL ORDER BY k) END AS h FROM r) SELECT model, name, p, round(h, 6) AS p_holm, h < 0.05 AS significant FROM a"),
-    "spearman_mad": Query(lambda s, d: S.spearman(_PAIR_COLS(s, d), "l_returnflag", "a", "b").select("l_returnflag", "n", _R("rho"), _R("mad")), f"WITH r AS (SELECT l_returnflag, a, b, {_RANK_SQL('a', 'l_returnflag')} AS ra, {_RANK_SQL('b', 'l_returnflag')} AS rb FROM {_PAIR_SQL}) SELECT l_returnflag, count(*) AS n, round(corr(ra, rb), 6) AS rho, round(avg(abs(a - b)), 6) AS mad FROM r GROUP BY 1"),
-    "paired_t_stats": Query(lambda s, d: S.paired_t(_PAIR_COLS(s, d), "l_returnflag", "a", "b").select("l_returnflag", "n", _R("mean_diff"), _R("t"), _R("dz")), f"SELECT l_returnflag, count(*) AS n, round(avg(a - b), 6) AS mean_diff, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t, round(avg(a - b) / stddev_samp(a - b), 6) AS dz FROM {_PAIR_SQL} GROUP BY 1"),
-    "wilcoxon_w": Query(lambda s, d: S.wilcoxon_w(_PAIR_COLS(s, d), "l_returnflag", "a", "b"), f"WITH r AS (SELECT l_returnflag, a - b AS d, rank() OVER (PARTITION BY l_returnflag ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY l_returnflag, abs(a - b)) - 1) / 2 AS r FROM {_PAIR_SQL} WHERE a <> b) SELECT l_returnflag, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0.0 END) AS w_minus FROM r GROUP BY 1"),
-    "sign_counts": Query(lambda s, d: _PAIR_COLS(s, d).groupBy("l_returnflag").agg(F.count_if(F.col("a") > F.col("b")).alias("plus"), F.count_if(F.col("a") < F.col("b")).alias("minus"), F.count_if(F.col("a") == F.col("b")).alias("ties")), f"SELECT l_returnflag, count(*) FILTER (WHERE a > b) AS plus, count(*) FILTER (WHERE a < b) AS minus, count(*) FILTER (WHERE a = b) AS ties FROM {_PAIR_SQL} GROUP BY 1"),
-    "bootstrap_permutation": Query(lambda s, d: S.resample(_gold(s, d).join(_inf(s, d).where("generated is not null").groupBy("sid").agg(F.avg(F.length("generated").cast("double")).alias("g")), "sid").select("is_normal_case", F.length("gold_text").cast("double").alias("a"), F.col("g").alias("b")), "is_normal_case", "a", "b"), None),
+    "stratified_quota": Query(
+        lambda s, d: splits.stratified(_gold(s, d), "sid", "is_normal_case", 12),
+        f"""WITH g AS (SELECT sid, coalesce(is_normal_case, false) AS is_normal_case FROM gold_checklist), q AS (SELECT least(round_even(12 * count(*) FILTER (WHERE is_normal_case) / count(*), 0), count(*) FILTER (WHERE is_normal_case)) AS q FROM g)
+SELECT sid, is_normal_case, row_number() OVER (PARTITION BY is_normal_case ORDER BY {_KEY_SQL('sid')}, sid) <= CASE WHEN is_normal_case THEN q ELSE 12 - q END AS picked FROM g, q""",
+    ),
+    "fewshot_topk_per_row": Query(fewshot_topk, f"WITH {_DRAW_SQL} SELECT rec_id, shot, k FROM drawn JOIN bank USING (pos)"),
+    "fewshot_block": Query(
+        fewshot_block,
+        f"WITH {_DRAW_SQL} SELECT rec_id, '### EXAMPLES' || chr(10) || string_agg(chr(10) || 'Example ' || k || chr(10) || substr(coalesce(emr, ''), 1, 700) || chr(10) || 'Handoff' || chr(10) || coalesce(handoff, '') || chr(10) || '--', chr(10) ORDER BY k) AS block FROM drawn JOIN bank USING (pos) GROUP BY rec_id",
+    ),
+    "split_fingerprint": Query(
+        lambda s, d: splits.fingerprint(_bank(s, d).where("sid <> -1"), "split", "sid"),
+        "WITH k AS (SELECT DISTINCT split, sid FROM fewshot_bank WHERE sid <> -1), b AS (SELECT split, sid % 1024 AS b, count(*) AS n, sha1(string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid)) AS h FROM k GROUP BY ALL) SELECT split, CAST(sum(n) AS BIGINT) AS n, substr(sha1(string_agg(h, ',' ORDER BY b)), 1, 16) AS digest FROM b GROUP BY split",
+    ),
+    "strict_inner_with_miss_count": Query(
+        lambda s, d: splits.strict_join(_inf(s, d).where("sid <> -1").select("sid", "gen_id"), load(s, d, "emr_case").select("sid", "idx"), "sid", "records").groupBy((F.col("idx") % 10).alias("part")).agg(_n(), F.countDistinct("sid").alias("sids")),
+        "SELECT c.idx % 10 AS part, count(*) AS n, count(DISTINCT r.sid) AS sids FROM inference_records r JOIN emr_case c USING (sid) WHERE r.sid <> -1 GROUP BY 1",
+    ),
+    "sid_set": Query(lambda s, d: splits.require_sids(_split(s, d, "dev", "gold"), "evaluation"), "SELECT DISTINCT sid FROM fewshot_bank WHERE split IN ('dev', 'gold') AND sid <> -1"),
+    "scores_with_scale": Query(
+        scores_with_scale,
+        f"""WITH {_SCALE_SQL} SELECT gen_id, idx, round(scale, 6) AS scale FROM inference_records LEFT JOIN m USING (idx)""",
+    ),
+    "chunk_max": Query(lambda s, d: scale(s, d).select("idx", _R("scale")), f"WITH {_SCALE_SQL} SELECT idx, round(scale, 6) AS scale FROM m"),
+    "positional_zip": Query(
+        positional_zip,
+        """WITH x AS (SELECT gen_id, length(generated) AS n, lower(engine) AS e, row_number() OVER (PARTITION BY lower(engine) ORDER BY gen_id) - 1 AS position FROM inference_records WHERE generated IS NOT NULL)
+SELECT position, a.gen_id AS gen_id_a, b.gen_id AS gen_id_b, a.n AS n_a, b.n AS n_b FROM x a JOIN x b USING (position) WHERE a.e = 'vllm' AND b.e = 'hf'""",
+    ),
+    "checksum_diff": Query(
+        checksum_diff,
+        f"WITH a AS ({_MANIFEST_SQL(0)}), b AS ({_MANIFEST_SQL(1)}) SELECT coalesce(a.model, b.model) AS model, coalesce(a.file, b.file) AS file, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' WHEN a.h <> b.h THEN 'mismatch' ELSE 'same' END AS state FROM a FULL JOIN b ON a.model = b.model AND a.file = b.file",
+    ),
+    "ffill_merged_cells": Query(
+        lambda s, d: load(s, d, "documents").select("sid", "doc_id", F.last("source", True).over(W.partitionBy("sid").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)).alias("source")),
+        "SELECT sid, doc_id, last_value(source IGNORE NULLS) OVER (PARTITION BY sid ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS source FROM documents",
+    ),
+    "avg_ignore_null": Query(lambda s, d: load(s, d, "emr_case").groupBy("dept").agg(_R(F.avg("age_years"), "age"), F.count("age_years").alias("n")), "SELECT dept, round(avg(age_years), 6) AS age, count(age_years) AS n FROM emr_case GROUP BY dept"),
+    "first_last_metric": Query(
+        lambda s, d: load(s, d, "events").withColumn("v", F.when(F.col("value") >= 1, F.col("value"))).groupBy("user_id", "event_type").agg(F.min_by("v", F.struct("ts", "event_id")).alias("first"), F.max_by("v", F.struct("ts", "event_id")).alias("last"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or(F.col("v").isNull()).alias("gaps")),
+        "WITH e AS (SELECT *, CASE WHEN value >= 1 THEN value END AS v FROM events) SELECT user_id, event_type, first(v ORDER BY ts, event_id) AS first, last(v ORDER BY ts, event_id) AS last, min(v) AS lo, max(v) AS hi, bool_or(v IS NULL) AS gaps FROM e GROUP BY ALL",
+    ),
+    "model_score_order": Query(
+        lambda s, d: load(s, d, "orders").orderBy(F.asc_nulls_last("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey").limit(200).select("o_orderpriority", "o_totalprice", "o_orderkey"),
+        "SELECT o_orderpriority, o_totalprice, o_orderkey FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 200",
+    ),
 }

@@ -1,4 +1,4 @@
-"""Generated text: hygiene, JSON and scores in it, prompts around it."""
+"""Generated text: hygiene of today's version."""
 
 from __future__ import annotations
 
@@ -7,11 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import hygiene as H
 from ..functions.normalize import once
 from ..session import load, spread
-from .fixture import frame, values
 from .query import Query
+from .sqltext import BLANK as _SP, NO_ISSUE_SQL as _NO_ISSUE_SQL, SQUEEZE_SQL as _SQUEEZE, STRIP_SQL as _STRIP
 
-_SP = "[ \\t\\n\\r\\f 　]"
-_STRIP = lambda c: f"regexp_replace({c}, '^{_SP}+|{_SP}+$', '', 'g')"
 _ROLE_SQL = "(?im)^[ \\t]*(?:assistant|user|system)[ \\t]*:?[ \\t]*$"
 _QUOTE = lambda s: s.replace("'", "''")
 
@@ -27,8 +25,6 @@ c5 AS (SELECT *, coalesce(length(regexp_replace(solid, '{_QUOTE(H.ALLOWED)}', ''
 cleaned AS (SELECT *, CASE WHEN length(cleaned) < 3 THEN 'empty' WHEN wall THEN 'repetition' WHEN foreign_share > 0.15 THEN 'garbage'
   WHEN regexp_matches(cleaned, '(?i)(?://|_|\\|)\\s*thought\\b|<\\|?thought') THEN 'leak' WHEN rep THEN 'repetition' ELSE 'ok' END AS status FROM c5)"""
 _ENDS = " OR ".join(f"ends_with(cleaned, '{e}')" for e in H.SOUND_ENDS)
-_NO_ISSUE_SQL = lambda c: f"coalesce(regexp_replace(lower({c}), '[^가-힣a-z0-9]', '', 'g') IN ({', '.join(repr(x) for x in sorted({p.replace(' ', '') for p in H.NO_ISSUE}))}), false)"
-_SQUEEZE = lambda c: f"regexp_replace({_STRIP(f'lower({c})')}, '{_SP}+', ' ', 'g')"
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -49,16 +45,7 @@ def dedup_candidates(spark, d):
     return x.withColumn("k", first).where("k = 1").select("gen_id", "sid", "key")
 
 
-_CELLS = [(1, None), (2, " nan "), (3, "-"), (4, "(없음)"), (5, '"quoted text"'), (6, '"open only'), (7, 'close only"'), (8, "plain"), (9, '""'), (10, '"'), (11, 'a "b" c'), (12, " None")]
-_CELL_SCHEMA = "id long, x string"
-_CELL_S = _STRIP("x")
-_TAGS = [(k, f"{m}_{e}") for k, (m, e) in enumerate([(m, e) for m in ("llama", "qwen", "gemma4") for e in H.EXPERIMENTS] + [("odd", "tag"), ("raw", "raw")])]
-_JUDGE = [
-    (1, '```json\n{"score": 3,}\n```'), (2, 'text {"score": 4} tail'), (3, "no json"), (4, None), (5, '{"score": [1, 2,], "x": {"y": 2,}}'), (6, "{broken"), (7, '```\n{"score": 1}\n``` and {"score": 2}'), (8, "[RESULT] 4"), (9, "feedback [RESULT] (5)"), (10, "[RESULT] 7"),
-    (11, "score 3"), (12, "[RESULT]  2 trailing 5"),
-]
-_LONG = [(1, "abc " * 5 + "x" * 20), (2, "no wall here"), (3, "same same same word"), (4, "--------- rule"), (5, "가가가가가가가가 벽"), (6, "a b c d a b c d a b c d a b c d"), (7, "//thought: x"), (8, "ሀለሐመሠ ረሰቀ"), (9, ""), (10, "user:\n본문입니다\nassistant")]
-_PROMPTS = [("emr_ko", "다음 EMR 을 요약하시오.\n\n### EMR\n{}\n\n### OUTPUT\n")]
+_RED_SQL = f"regexp_replace(regexp_replace(emr, '{H.LABELLED_NUMBER}', '[식별번호 제거]', 'g'), '{H.LABELLED_NAME}', '[이름 제거]', 'g')"
 
 
 def length_percentiles(spark, d):
@@ -67,80 +54,14 @@ def length_percentiles(spark, d):
     return x.groupBy("source").agg(F.count("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"), *ps, F.count_if(F.col("n") > 2000).alias("over"))
 
 
-def sections(spark, d):
-    x = load(spark, d, "fewshot_bank").where("emr is not null").select("rec_id", F.split("emr", r"(?:^|\n\n?)- (?=Pre-anesthetic|Preoperative|Anesthetic)").alias("s"))
-    x = x.select("rec_id", F.posexplode(F.filter("s", lambda y: y != "")).alias("k", "s"))
-    return x.select("rec_id", "k", F.substring_index("s", "\n", 1).alias("title"), F.length("s").alias("n"))
-
-
-def emr_assembly(spark, d):
-    x = load(spark, d, "emr_case")
-    part = lambda label, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(f"- {label}\n"), F.trim(c)))
-    return x.select("sid", F.concat_ws("\n\n", part("Operation", F.col("opname")), part("Diagnosis", F.col("dx_name")), part("Pre-anesthetic Patient Conditions Summary", F.col("preop_summary")), part("Preoperative Preparations and Premedication", F.col("premed"))).alias("emr"))
-
-
-_PART_SQL = lambda label, c: f"CASE WHEN length(trim({c}, ' ')) > 0 THEN '- {label}' || chr(10) || trim({c}, ' ') END"
-
-
-def left_truncate(spark, d):
-    """A prompt's EMR cut on the left to what is left of a budget of words, with a marker; the frame survives whole."""
-    x = load(spark, d, "fewshot_bank").where("emr is not null").select("rec_id", H.tokens(F.col("emr")).alias("t"))
-    room = F.lit(100)
-    kept = F.when(F.size("t") > room, F.concat(F.array(F.lit("[...]")), F.slice("t", F.size("t") - room + 1, room))).otherwise(F.col("t"))
-    return x.select("rec_id", F.concat(F.lit("### EMR "), F.array_join(kept, " "), F.lit(" ### OUTPUT")).alias("prompt"), (F.size("t") > room).alias("cut"))
-
-
-def leak_counts(spark, d):
-    x = load(spark, d, "inference_records").select(F.lower(F.coalesce("engine", F.lit("?"))).alias("engine"), "generated_raw")
-    return x.groupBy("engine").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("generated_raw").rlike(p)).alias(k) for k, p in H.LEAKS.items()])
-
-
-def chat_flatten(spark, d):
-    """Prompt and answer as turns, the first line of the prompt as the system's."""
-    x = load(spark, d, "inference_records").where("generated is not null").select("gen_id", F.substring_index("prompt_text", "\n", 1).alias("system"), F.col("prompt_text").alias("user"), "generated")
-    turns = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role"), F.col(c).alias("text")) for k, (r, c) in enumerate((("system", "system"), ("user", "user"), ("assistant", "generated")))])
-    return x.select("gen_id", F.array_join(F.transform(F.array_sort(turns), lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>"), t["text"])), "\n").alias("chat"))
-
-
-_RED_SQL = "regexp_replace(regexp_replace({}, '(?i)(병\\s*록\\s*번\\s*호|등\\s*록\\s*번\\s*호|chart\\s*(?:no\\.?|number)|MRN)\\s*[:：]?\\s*\\S+', '[식별번호 제거]', 'g'), '(?i)(환자\\s*(?:성명|이름|명)|성\\s*명|환자명)\\s*[:：]?\\s*\\S+', '[이름 제거]', 'g')"
-_EXP_SORTED = sorted(H.EXPERIMENTS, key=len, reverse=True)
-
-
-def tag_split(spark, d):
-    t = F.col("tag")
-    exp = F.lit(None).cast("string")
-    for e in sorted(H.EXPERIMENTS, key=len):
-        exp = F.when(t.endswith(f"_{e}"), e).otherwise(exp)
-    return frame(spark, "id int, tag string", _TAGS).select("id", F.when(exp.isNotNull(), F.substr(t, F.lit(1), F.length(t) - F.length(exp) - 1)).otherwise(t).alias("model"), exp.alias("experiment"))
-
-
 QUERIES = {
     "clean_status": Query(clean_status, f"""WITH {CLEAN_SQL} SELECT gen_id, cleaned, status, array_to_string(list_filter([CASE WHEN contains(lower(raw), '<think>') THEN 'had_think_block' END, CASE WHEN regexp_matches(closed, '{_ROLE_SQL}') THEN 'had_role_lines' END,
 CASE WHEN status = 'ok' AND regexp_matches(cleaned, '(?:을|를|이|가|에|의|로|와|과|은|는){_SP}*$') AND NOT ({_ENDS}) THEN 'maybe_truncated' END], lambda x: x IS NOT NULL), ',') AS flags FROM cleaned WHERE raw IS NOT NULL"""),
     "foreign_share": Query(lambda s, d: _cleaned(s, d).where("raw is not null").select("gen_id", F.round(H.foreign_share(F.col("cleaned")), 6).alias("share")), f"WITH {CLEAN_SQL} SELECT gen_id, round(foreign_share, 6) AS share FROM cleaned WHERE raw IS NOT NULL"),
-    "ngram_repetition": Query(lambda s, d: frame(s, "id int, x string", _LONG).select("id", H.repeats(H.tokens(F.col("x"))).alias("rep"), H.char_wall(F.col("x")).alias("wall")), f"""WITH t AS (SELECT id, x, list_filter(regexp_split_to_array(x, '{_SP}+'), lambda t: t <> '') AS toks FROM {values("id int, x string", _LONG)})
-SELECT id, len(list_filter(range(1, len(toks) - 1), lambda i: toks[i] = toks[i + 1] AND toks[i + 1] = toks[i + 2])) > 0 OR (len(toks) >= 12 AND len(list_distinct(list_transform(range(1, len(toks) - 2), lambda i: array_to_string(toks[i : i + 3], chr(1))))) < 0.5 * (len(toks) - 3)) AS rep,
-len(list_filter(range(1, length(x) - 6), lambda i: NOT contains('-=#*_~. ' || chr(9) || chr(10) || '·', substr(x, i, 1)) AND substr(x, i, 8) = repeat(substr(x, i, 1), 8))) > 0 AS wall FROM t"""),
     "no_issue_exact": Query(lambda s, d: load(s, d, "inference_records").select("gen_id", H.no_issue(F.col("generated")).alias("no_issue")), f"SELECT gen_id, {_NO_ISSUE_SQL('generated')} AS no_issue FROM inference_records"),
     "normalize_dedup": Query(dedup_candidates, f"WITH {CLEAN_SQL}, k AS (SELECT gen_id, sid, {_SQUEEZE('cleaned')} AS key FROM cleaned JOIN inference_records USING (gen_id) WHERE raw IS NOT NULL AND status = 'ok' AND sid <> -1) SELECT gen_id, sid, key FROM k QUALIFY row_number() OVER (PARTITION BY sid, key ORDER BY gen_id) = 1"),
     "status_disagreement": Query(lambda s, d: _cleaned(s, d).where("raw is not null").join(load(s, d, "inference_records").select("gen_id", F.lower("gen_status").alias("stored")), "gen_id").groupBy("stored", "status").agg(F.count(F.lit(1)).alias("n")), f"WITH {CLEAN_SQL} SELECT lower(gen_status) AS stored, status, count(*) AS n FROM cleaned JOIN inference_records USING (gen_id) WHERE raw IS NOT NULL GROUP BY ALL"),
-    "leak_pattern_counts": Query(leak_counts, "SELECT lower(coalesce(engine, '?')) AS engine, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(generated_raw, '{_QUOTE(p)}')) AS {k}" for k, p in H.LEAKS.items()) + " FROM inference_records GROUP BY 1"),
-    "cell_normalize": Query(lambda s, d: frame(s, _CELL_SCHEMA, _CELLS).select("id", H.cell(F.col("x")).alias("cell")), f"""SELECT id, CASE WHEN x IS NULL OR lower({_CELL_S}) IN ('nan', 'none', '-', '(없음)') THEN '' WHEN length({_CELL_S}) >= 2 AND starts_with({_CELL_S}, '"') AND ends_with({_CELL_S}, '"') THEN {_STRIP(f"substr({_CELL_S}, 2, length({_CELL_S}) - 2)")}
-WHEN (length({_CELL_S}) - length(replace({_CELL_S}, '"', ''))) % 2 = 1 AND starts_with({_CELL_S}, '"') THEN {_STRIP(f"substr({_CELL_S}, 2)")} WHEN (length({_CELL_S}) - length(replace({_CELL_S}, '"', ''))) % 2 = 1 AND ends_with({_CELL_S}, '"') THEN {_STRIP(f"substr({_CELL_S}, 1, length({_CELL_S}) - 1)")} ELSE {_CELL_S} END AS cell FROM {values(_CELL_SCHEMA, _CELLS)}"""),
-    "label_scrub": Query(lambda s, d: load(s, d, "fewshot_bank").where("emr is not null").select("rec_id", H.scrub_labels(F.col("emr")).alias("emr")), f"SELECT rec_id, {_RED_SQL.format('emr')} AS emr FROM fewshot_bank WHERE emr IS NOT NULL"),
+    "label_scrub": Query(lambda s, d: load(s, d, "fewshot_bank").where("emr is not null").select("rec_id", H.scrub_labels(F.col("emr")).alias("emr")), f"SELECT rec_id, {_RED_SQL} AS emr FROM fewshot_bank WHERE emr IS NOT NULL"),
     "display_cap": Query(lambda s, d: load(s, d, "documents").select("doc_id", F.when(F.length("text") > 2600, F.concat(F.substring("text", 1, 2600), F.lit(" …"))).otherwise(F.col("text")).alias("text")), "SELECT doc_id, CASE WHEN length(text) > 2600 THEN substr(text, 1, 2600) || ' …' ELSE text END AS text FROM documents"),
-    "section_split": Query(sections, "WITH s AS (SELECT rec_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(emr, '(^|\\n\\n?)- (Pre-anesthetic|Preoperative|Anesthetic)', chr(1) || '\\2', 'g'), '^', ''), chr(1)), lambda y: y <> '') AS s FROM fewshot_bank WHERE emr IS NOT NULL), e AS (SELECT rec_id, s, unnest(range(0, len(s))) AS k FROM s) SELECT rec_id, CAST(k AS INT) AS k, split_part(s[k + 1], chr(10), 1) AS title, CAST(length(s[k + 1]) AS INT) AS n FROM e"),
-    "emr_assembly": Query(emr_assembly, "SELECT sid, concat_ws(chr(10) || chr(10), " + ", ".join(_PART_SQL(a, b) for a, b in (("Operation", "opname"), ("Diagnosis", "dx_name"), ("Pre-anesthetic Patient Conditions Summary", "preop_summary"), ("Preoperative Preparations and Premedication", "premed"))) + ") AS emr FROM emr_case"),
-    "tag_longest_prefix": Query(tag_split, "SELECT id, CASE WHEN e IS NOT NULL THEN substr(tag, 1, length(tag) - length(e) - 1) ELSE tag END AS model, e AS experiment FROM (SELECT id, tag, CASE " + " ".join(f"WHEN ends_with(tag, '_{e}') THEN '{e}'" for e in _EXP_SORTED) + f" END AS e FROM {values('id int, tag string', _TAGS)})"),
-    "category_normalize": Query(lambda s, d: load(s, d, "gold_checklist").select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), H.category(F.col("i.category")).alias("category")), "SELECT sid, i.id AS id, CASE " + " ".join(f"WHEN lower(i.category) = '{k}' THEN '{v}'" for k, v in H.CATEGORY_MAP.items()) + f" WHEN lower(i.category) IN ({', '.join(repr(c) for c in H.CATEGORIES)}) THEN lower(i.category) ELSE 'other' END AS category FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)"),
-    "family_label": Query(lambda s, d: load(s, d, "inference_records").select("gen_id", F.when(F.lower("engine").contains("vllm"), "vllm").when(F.lower("engine").contains("hf"), "hf").otherwise("unknown").alias("family")), "SELECT gen_id, CASE WHEN contains(lower(engine), 'vllm') THEN 'vllm' WHEN contains(lower(engine), 'hf') THEN 'hf' ELSE 'unknown' END AS family FROM inference_records"),
-    "json_extract_robust": Query(lambda s, d: frame(s, "id int, x string", _JUDGE).select("id", F.get_json_object(H.first_json(F.col("x")), "$.score").alias("score"), H.first_json(F.col("x")).isNotNull().alias("parsed")), f"""WITH b AS (SELECT id, list_filter([regexp_extract(regexp_extract(x, '(?s)```(?:json)?\\s*(.*?)```', 1), '(?s)\\{{.*\\}}', 0), regexp_extract(x, '(?s)\\{{.*\\}}', 0)], lambda y: y <> '') AS b FROM {values("id int, x string", _JUDGE)}),
-c AS (SELECT id, list_filter(list_concat(b, list_transform(b, lambda y: regexp_replace(y, ',\\s*([}}\\]])', '\\1', 'g'))), lambda y: json_valid(y))[1] AS j FROM b) SELECT id, CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.score'), CAST(json_extract(j, '$.score') AS VARCHAR)) END AS score, j IS NOT NULL AS parsed FROM c"""),
-    "result_score_parse": Query(lambda s, d: frame(s, "id int, x string", _JUDGE).select("id", H.result_score(F.col("x")).alias("score")), f"SELECT id, try_cast(nullif(regexp_extract(x, '\\[RESULT\\]\\s*\\(?\\s*([1-5])\\s*\\)?', 1), '') AS DOUBLE) AS score FROM {values('id int, x string', _JUDGE)}"),
-    "score_parse_fallback": Query(lambda s, d: frame(s, "id int, x string", _JUDGE).select("id", F.coalesce(F.try_element_at(F.regexp_extract_all("x", F.lit("[1-5]"), 0), F.lit(-1)).cast("double"), F.lit(3.0)).alias("score")), f"SELECT id, coalesce(CAST(regexp_extract_all(x, '[1-5]')[-1] AS DOUBLE), 3.0) AS score FROM {values('id int, x string', _JUDGE)}"),
     "length_percentiles": Query(length_percentiles, "SELECT source, count(length(text)) AS n, min(length(text)) AS lo, max(length(text)) AS hi, " + ", ".join(f"round(quantile_cont(length(text), {p}), 6) AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.99)) + ", count(*) FILTER (WHERE length(text) > 2000) AS over FROM documents GROUP BY source"),
-    "left_truncate": Query(left_truncate, f"WITH t AS (SELECT rec_id, list_filter(regexp_split_to_array(emr, '{_SP}+'), lambda t: t <> '') AS t FROM fewshot_bank WHERE emr IS NOT NULL) SELECT rec_id, '### EMR ' || array_to_string(CASE WHEN len(t) > 100 THEN list_concat(['[...]'], t[len(t) - 99 : len(t)]) ELSE t END, ' ') || ' ### OUTPUT' AS prompt, len(t) > 100 AS cut FROM t"),
-    "prompt_budget_max": Query(lambda s, d: load(s, d, "inference_records").groupBy("engine").agg(F.max(F.size(H.tokens(F.col("prompt_text")))).alias("words"), F.max(F.length("prompt_text")).alias("chars")), f"SELECT engine, CAST(max(len(list_filter(regexp_split_to_array(prompt_text, '{_SP}+'), lambda t: t <> ''))) AS INT) AS words, CAST(max(length(prompt_text)) AS INT) AS chars FROM inference_records GROUP BY engine"),
-    "chat_flatten": Query(chat_flatten, "SELECT gen_id, '<|system|>' || split_part(prompt_text, chr(10), 1) || chr(10) || '<|user|>' || prompt_text || chr(10) || '<|assistant|>' || generated AS chat FROM inference_records WHERE generated IS NOT NULL"),
-    "output_wrapped": Query(lambda s, d: load(s, d, "inference_records").select("gen_id", F.concat(F.lit("<<<OUTPUT\n"), F.replace(F.coalesce("generated", F.lit("")), F.lit(">>>"), F.lit("")), F.lit("\nOUTPUT>>>")).alias("wrapped")), "SELECT gen_id, '<<<OUTPUT' || chr(10) || replace(coalesce(generated, ''), '>>>', '') || chr(10) || 'OUTPUT>>>' AS wrapped FROM inference_records"),
 }

@@ -8,12 +8,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from halyard.session import get_session, ship
+    from halyard.session import clean, get_session, ship
 
     s = get_session("halyard-tests", cpus=4, shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
+    clean(s)
     s.stop()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from halyard.functions import hygiene as H
 from halyard.functions.normalize import fixed
-from halyard.operators import scoring, splits, statistics as S, timeline, vitals
+from halyard.operators import audits, prompts, roles, scoring, splits, statistics as S, timeline, vitals
 from halyard.plans import record_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -57,6 +57,11 @@ def test_statistics():
     assert S.sign_flip(np.arange(1, 11) / 10) < 0.01
     lo, hi = S.bootstrap_ci(np.array([0.5, np.nan, 0.7]))
     assert lo <= 0.6 <= hi and S.bootstrap_ci(np.array([1.0])) == (None, None)
+    one, counted = np.repeat([1.0, 2.0, 4.0], [3, 5, 2]), (np.array([1.0, 2.0, 4.0]), np.array([3, 5, 2]))
+    assert np.allclose(S.bootstrap_ci(one, iters=40_000), S.bootstrap_ci(*counted, iters=40_000), atol=0.11)
+    assert abs(S.sign_flip(np.array([0.1, 0.1, -0.2, 0.3])) - S.sign_flip(np.array([0.1, -0.2, 0.3]), np.array([2, 1, 1]))) < 0.02
+    assert abs(S.t_critical(11) - 2.228139) < 1e-5 and S.sign_p(8, 2) == pytest.approx(0.109375) and S.sign_p(0, 0) is None
+    assert S.wilcoxon_p(10, 8, 0, -1.98) == pytest.approx(0.048828125)
     assert abs(S.t_p_value(2.228139, 10) - 0.05) < 1e-5 and S.t_p_value(0.0, 5) == 1.0
 
 
@@ -141,14 +146,19 @@ def test_interventions_match_around_midnight(spark):
     assert {(r["item"], r["category"]) for r in timeline.matches(ep, given).collect()} == {("HR", "anticholinergic"), ("SBP", "vasopressor")}
 
 
-@pytest.mark.parametrize("name", ["vital_events", "p4_found", "clean_status", "holm", "pair_select", "gt_merge", "fast_path"])
-def test_against_duckdb(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for f in os.listdir(DIR):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{DIR}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_against_duckdb(spark, duck, name):
     got = entry.queries()[name](spark, DIR)
     cols = sorted(got.columns)
-    rel = con.execute(entry.oracle_sql()[name])
+    rel = duck.execute(entry.oracle_sql()[name])
     names = [c[0] for c in rel.description]
     assert sorted(names) == cols
     text = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
@@ -182,3 +192,85 @@ def test_bootstrap_query_draws_as_often_as_the_defaults(spark):
     p = [r["p"] for r in entry.queries()["bootstrap_permutation"](spark, "/root/testdata/sf0.01").collect()]
     steps = [x * 20_001 for x in p]
     assert any(x < 1 for x in p) and all(abs(x - round(x)) < 1e-6 for x in steps)
+
+
+def test_strata_add_up_to_what_is_taken(spark):
+    for n, normal, take in ((22, 11, 5), (22, 1, 6), (9, 0, 4), (5, 5, 3), (0, 0, 3)):
+        cases = spark.createDataFrame([(k, k < normal) for k in range(n)], "sid long, normal boolean")
+        rows = splits.stratified(cases, "sid", "normal", take).collect()
+        assert len(rows) == n and sum(r["picked"] for r in rows) == min(take, n)
+        assert sum(r["picked"] and r["normal"] for r in rows) == min(round(take * normal / max(1, n)), normal)
+
+
+def test_missing_keys_and_sealed_splits_are_errors(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "sid long"), spark.createDataFrame([(1,)], "sid long")
+    assert splits.strict_join(b, a, "sid", "x").count() == 1
+    for wrong in (lambda: splits.strict_join(a, b, "sid", "x"), lambda: splits.require_sids(spark.createDataFrame([(-1,)], "sid long"), "x"), lambda: splits.zip_by_position(a, b, "sid")):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(PermissionError):
+        splits.unsealed("gold", False)
+    assert splits.unsealed("gold", True) == "gold" and splits.unsealed("dev", False) == "dev"
+    got = splits.zip_by_position(a, a.select((-F.col("sid")).alias("sid")), "sid").orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(0, 1, -2), (1, 2, -1)]
+
+
+def test_categories_of_today_and_before(spark):
+    rows = [("Airway", "airway_management"), ("preop abnormal-test", "preop_abnormal_test"), ("uri", "other"), ("preop_test", "other"), (None, "other"), (" URI status ", "uri_status"), ("drug-effect", "comorbidity_medication")]
+    got = spark.createDataFrame([(a,) for a, _ in rows], "c string").select(H.category(F.col("c")).alias("x")).collect()
+    assert [r["x"] for r in got] == [b for _, b in rows]
+
+
+@pytest.mark.parametrize("text,want", [(None, True), ("", True), ("특이사항 없음", True), ("특이사항 없음, 출혈 소량", True), ("특이사항 없음. " + "이후 출혈이 있어 수혈하였음. " * 3, False), ("출혈 있음", False), ("None", True)])
+def test_no_issue_of_version_2(spark, text, want):
+    assert one(spark, text, H.no_issue_v2) is want
+
+
+def test_repeats_are_collapsed_for_display(spark):
+    show = lambda t: one(spark, t, H.collapse_repeats)
+    assert show("(34.5) (34.5) (34.5) (34.5) (34.5) end") == "(34.5)  …(×5회 반복 생략)end" and show("ok") == "ok" and show(None) is None
+    assert show("abcabcabc") == "abcabcabc"
+
+
+def test_older_summaries_with_hours_and_marks(spark):
+    text = "(연령군: 영아)\nSBP: 안정, 이벤트: [유의]저혈압(<65): 5회 1.5시간(최장 <1분), 최저 28 | 서맥(<60): 1회 <1분, 최저 55\n[유의]QTc 연장 의심 [유의]핍뇨\n- 저체온(<35): 2회 12분, 최저 33\n이상 없음"
+    rows = audits.legacy_events(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t").orderBy("line", "part").collect()
+    assert [(r["category"], r["reportable"], r["n"], r["total_min"], r["longest_min"]) for r in rows] == [
+        ("hypotension", True, 5, 90.0, 0.5), ("bradycardia", False, 1, 0.5, 0.5), ("qtc", True, None, None, None), ("oliguria", True, None, None, None), ("hypothermia", False, 2, 12.0, 12.0),
+    ]
+
+
+def test_levels_of_a_tree_with_a_loop(spark):
+    nodes = spark.createDataFrame([("raw", None), ("a", "raw"), ("b", "a"), ("x", "y"), ("y", "x"), ("lost", "gone")], "name string, parent string")
+    assert {r["name"]: r["level"] for r in roles.levels(nodes).collect()} == {"raw": 0, "a": 1, "b": 2, "x": None, "y": None, "lost": None}
+
+
+def test_roles(spark):
+    make = lambda rows: spark.createDataFrame(rows, "model string, role string, family string")
+    fine = [("t", "teacher", "f1"), ("p", "pair_judge", "f2"), ("j", "judge", "f3"), ("m", "trained", "f3")]
+    assert roles.assert_roles(make(fine)) == ["judge_family_trained: j"]
+    with pytest.raises(ValueError, match="teacher_judges: t"):
+        roles.assert_roles(make([*fine, ("t", "judge", "f1")]))
+
+
+def test_budget_cuts_the_record_only(spark):
+    words = "단어 " * 3000 + "끝"
+    df = spark.createDataFrame([(1, words), (2, "짧은 기록"), (3, None)], "k int, emr string")
+    render = lambda e: prompts.user_prompt(e, F.lit("VITAL"))
+    got = {r["k"]: r["p"] for r in df.select("k", prompts.fit_words(F.col("emr"), 800, render).alias("p")).collect()}
+    assert len(got[1].split()) == 800 and prompts.MARKER.strip() in got[1] and got[1].endswith("### OUTPUT\n") and "VITAL" in got[1] and "끝" in got[1] and prompts.MARKER.strip() not in got[2] and got[3]
+    assert {r["p"] for r in df.where("k = 1").select(prompts.fit_words(F.col("emr"), 5, render).alias("p")).collect()} == {None}
+    with pytest.raises(Exception, match="does not hold"):
+        df.where("k = 1").select(prompts.fit_words(F.col("emr"), 5, render, strict=True)).collect()
+    plain = lambda e: f"{prompts.INSTRUCTION}\n\n{prompts.HEADER_EMR}\n{e}\n\n{prompts.HEADER_OUTPUT}\n"
+    count = lambda: (lambda t: len(t.split()))
+    fitted = {r["k"]: r["prompt"] for r in prompts.fit(df, "k", "emr", 60, plain, count).collect()}
+    same = {r["k"]: r["p"] for r in df.select("k", prompts.fit_words(F.col("emr"), 60, prompts.user_prompt).alias("p")).collect()}
+    assert fitted == same
+
+
+def test_masks_and_pads(spark):
+    m = spark.createDataFrame([([1, 2, 3], [1, 2, 3, 4, 5]), ([1, 9], [1, 2, 3]), ([], [7]), ([1, 2], [1, 2])], "p array<int>, w array<int>")
+    assert [r[0] for r in m.select(prompts.masked(F.col("p"), F.col("w"))).collect()] == [[-100, -100, -100, 4, 5], [-100, 2, 3], [7], [-100, -100]]
+    assert [r[0] for r in m.select(prompts.pad_left(F.col("w"), 3, 0)).collect()] == [[3, 4, 5], [1, 2, 3], [0, 0, 7], [0, 1, 2]]
+    assert one(spark, "가a", lambda c: prompts.byte_ids(c)) == [234, 176, 128, 97] and one(spark, "", lambda c: prompts.byte_ids(c)) == []
