@@ -35,8 +35,8 @@ _NI = NO_ISSUE_SQL("generated")
 FAST_SQL = f"""{GOLD_SQL},
 cases_of AS (SELECT r.gen_id, r.idx, r.sid, r.engine, r.generated, CASE WHEN coalesce(lower(gen_status), '') <> 'ok' THEN 1 WHEN coalesce(source, 'no_gold') = 'no_gold' THEN 2 WHEN source = 'gold_failed' THEN 3
     WHEN normal AND {_NI} THEN 4 WHEN has_items AND NOT normal AND {_NI} THEN 5 END AS k FROM inference_records r LEFT JOIN gold USING (sid) WHERE r.sid <> -1),
-fast AS (SELECT gen_id, idx, sid, engine, generated, CASE k WHEN 1 THEN 0.0 WHEN 4 THEN 1.0 WHEN 5 THEN 0.0 END AS coverage, CASE k WHEN 1 THEN 0.0 WHEN 4 THEN 1.0 WHEN 5 THEN 0.0 END AS faithfulness,
-    CASE k WHEN 1 THEN 0.0 WHEN 4 THEN 1.0 END AS brevity, CASE k WHEN 1 THEN 0.0 WHEN 4 THEN 1.0 WHEN 5 THEN 0.0 END AS composite, CASE k WHEN 1 THEN 'degenerate' WHEN 5 THEN 'missed_abnormal' WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN '' END AS gate,
+fast AS (SELECT gen_id, idx, sid, engine, generated, CAST(CASE k WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 END AS DOUBLE) AS coverage, CAST(CASE k WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 END AS DOUBLE) AS faithfulness,
+    CAST(CASE k WHEN 1 THEN 0 WHEN 4 THEN 1 END AS DOUBLE) AS brevity, CAST(CASE k WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 END AS DOUBLE) AS composite, CASE k WHEN 1 THEN 'degenerate' WHEN 5 THEN 'missed_abnormal' WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN '' END AS gate,
     CASE WHEN k IN (2, 3) THEN true WHEN k IS NOT NULL THEN false END AS excluded, CASE k WHEN 2 THEN 'no_gold' WHEN 3 THEN 'checklist_extract_failed' END AS exclude_reason FROM cases_of)"""
 _FIELDS = ("coverage", "faithfulness", "brevity", "composite", "gate", "excluded", "exclude_reason")
 _FIELDS_SQL = ", ".join(_FIELDS)
@@ -97,13 +97,14 @@ _VERDICT_SQL = f"v AS (SELECT l_orderkey AS \"case\", l_linenumber AS item, [{',
 
 def candidates(s, d):
     """Line items as candidates of an order, each scored by two rubrics in text, of which some can't be read."""
-    x = load(s, d, "lineitem").select(F.col("l_orderkey").alias("row_idx"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).alias("ord"), F.concat("l_returnflag", F.lit("  "), F.lower("l_linestatus")).alias("txt"), "l_quantity", "l_tax")
+    x = load(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_quantity", "l_tax")])
+    x = x.select(F.col("l_orderkey").alias("row_idx"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).alias("ord"), F.concat("l_returnflag", F.lit("  "), F.lower("l_linestatus")).alias("txt"), "l_quantity", "l_tax")
     said = lambda n: F.concat(F.lit("feedback [RESULT] ("), n.cast("string"), F.lit(")"))
     both = F.array(F.struct(F.lit("cov").alias("rubric"), said(F.pmod(F.col("l_quantity").cast("int"), F.lit(7))).alias("answer")), F.struct(F.lit("fid").alias("rubric"), said(F.floor(F.col("l_tax") * 50) + 1).alias("answer")))
     return x.select("row_idx", "ord", "txt", F.explode(both).alias("r")).select("row_idx", "ord", "txt", "r.rubric", H.result_score(F.col("r.answer")).alias("score"))
 
 
-_CAND_SQL = """cand AS (SELECT l_orderkey AS row_idx, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS ord, l_returnflag || '  ' || lower(l_linestatus) AS txt, CAST(l_quantity AS INT) % 7 AS c, floor(l_tax * 50) + 1 AS f FROM lineitem),
+_CAND_SQL = """cand AS (SELECT l_orderkey AS row_idx, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS ord, min(l_returnflag) || '  ' || lower(min(l_linestatus)) AS txt, CAST(min(l_quantity) AS INT) % 7 AS c, floor(min(l_tax) * 50) + 1 AS f FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
 tot AS (SELECT row_idx, ord, txt, CAST(c AS DOUBLE) AS cov, CAST(f AS DOUBLE) AS fid, 2.0 * c + f AS total FROM cand WHERE c BETWEEN 1 AND 5 AND f BETWEEN 1 AND 5)"""
 
 
@@ -257,7 +258,7 @@ QUERIES = {
     "fast_path_dev": Query(
         fast_dev,
         f"""WITH k AS (SELECT gen_id, CASE WHEN coalesce(lower(gen_status), '') <> 'ok' THEN 1 WHEN {_NI} THEN 2 END AS k FROM inference_records)
-SELECT gen_id, CAST(NULL AS DOUBLE) AS coverage, CASE k WHEN 1 THEN 0.0 END AS faithfulness, CASE k WHEN 1 THEN 0.0 END AS brevity, CASE k WHEN 1 THEN 0.0 END AS composite, CASE k WHEN 1 THEN 'degenerate' WHEN 2 THEN '' END AS gate, k = 2 AS excluded, CASE k WHEN 2 THEN 'dev_no_issue' END AS exclude_reason FROM k""",
+SELECT gen_id, CAST(NULL AS DOUBLE) AS coverage, CAST(CASE k WHEN 1 THEN 0 END AS DOUBLE) AS faithfulness, CAST(CASE k WHEN 1 THEN 0 END AS DOUBLE) AS brevity, CAST(CASE k WHEN 1 THEN 0 END AS DOUBLE) AS composite, CASE k WHEN 1 THEN 'degenerate' WHEN 2 THEN '' END AS gate, k = 2 AS excluded, CASE k WHEN 2 THEN 'dev_no_issue' END AS exclude_reason FROM k""",
     ),
     "exclusion_histogram": Query(
         lambda s, d: judged(s, d).where("excluded").groupBy(F.substring_index("exclude_reason", "(", 1).alias("reason"), "judge").agg(F.count(F.lit(1)).alias("n")),
@@ -302,7 +303,7 @@ SELECT "case", round(avg(coalesce(p, 0.0)), 6) AS coverage FROM i LEFT JOIN w US
     ),
     "score_v1": Query(
         lambda s, d: load(s, d, "inference_records").where("generated_raw is not null").select("gen_id", scoring.sum_v1(H.clean_v1(F.col("generated_raw"), "특이사항 없음"), F.col("generated_raw"), F.pmod("gen_id", F.lit(5)) + 1.0, F.pmod("idx", F.lit(5)) + 1.0, H.FAILED_V1).alias("score")),
-        "WITH x AS (SELECT gen_id, idx, generated_raw AS r FROM inference_records WHERE generated_raw IS NOT NULL) SELECT gen_id, CASE WHEN length(r) < 5 THEN 2.0 ELSE gen_id % 5 + idx % 5 + 2.0 END AS score FROM x",
+        "WITH x AS (SELECT gen_id, idx, generated_raw AS r FROM inference_records WHERE generated_raw IS NOT NULL) SELECT gen_id, CAST(CASE WHEN length(r) < 5 THEN 2 ELSE gen_id % 5 + idx % 5 + 2 END AS DOUBLE) AS score FROM x",
     ),
     "logit_expectation": Query(
         lambda s, d: load(s, d, "embeddings").select("vec_id", scoring.expectation(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10)).alias("score")),

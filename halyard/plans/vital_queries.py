@@ -214,21 +214,21 @@ summary AS (SELECT s.sid, '(연령군: ' || CASE {_case(T.AGE_GROUPS, 1, "coales
             FROM (SELECT DISTINCT sid FROM raw_rows) s LEFT JOIN cases USING (sid) LEFT JOIN body USING (sid) LEFT JOIN small USING (sid) LEFT JOIN totals USING (sid) LEFT JOIN planned_line p USING (sid) LEFT JOIN handoff_line h USING (sid))"""
 
 
-def _ages(spark):
-    return spark.createDataFrame([(x,) for x in (0.0, 0.05, 0.08, 0.2, 0.5, 1.0, 2.5, 3.0, 5.5, 6.0, 9.99, 10.0, 11.0, 12.5, 13.0, 17.0)], "age double")
+def _ages(spark, d):
+    return load(spark, d, "emr_case").where("age_years is not null").select(F.col("age_years").alias("age")).distinct()
 
 
-_AGES_SQL = "(VALUES " + ", ".join(f"({x})" for x in (0.0, 0.05, 0.08, 0.2, 0.5, 1.0, 2.5, 3.0, 5.5, 6.0, 9.99, 10.0, 11.0, 12.5, 13.0, 17.0)) + ") t(a)"
+_AGES_SQL = "(SELECT DISTINCT age_years AS a FROM emr_case WHERE age_years IS NOT NULL) t"
 
 
 def threshold_matrix(spark, d):
     a = F.col("age")
-    return _ages(spark).select("age", T.age_group(a).alias("age_group"), T.band(a, T.HR_NORMAL, 1).alias("hr_lo"), T.band(a, T.HR_NORMAL, 2).alias("hr_hi"), T.band(a, T.HR_CRITICAL, 1).alias("hr_slow"), T.band(a, T.HR_CRITICAL, 2).alias("hr_fast"), T.sbp_hypotension(a).alias("sbp_low"), T.sbp_p95(a).alias("sbp_high"), T.dbp_p95(a).alias("dbp_high"), T.map_hypotension(a).alias("map_low"), T.qtc_upper(a).alias("qtc"), T.band(a, T.EBV).alias("ebv"))
+    return _ages(spark, d).select("age", T.age_group(a).alias("age_group"), T.band(a, T.HR_NORMAL, 1).alias("hr_lo"), T.band(a, T.HR_NORMAL, 2).alias("hr_hi"), T.band(a, T.HR_CRITICAL, 1).alias("hr_slow"), T.band(a, T.HR_CRITICAL, 2).alias("hr_fast"), T.sbp_hypotension(a).alias("sbp_low"), T.sbp_p95(a).alias("sbp_high"), T.dbp_p95(a).alias("dbp_high"), T.map_hypotension(a).alias("map_low"), F.round(T.map_relative(T.map_hypotension(a)), 6).alias("map_drop"), T.qtc_upper(a).alias("qtc"), T.band(a, T.EBV).alias("ebv"))
 
 
 def hard_lines(spark, d):
     i = spark.createDataFrame([(x,) for x in ("HR", "SBP", "MBP", "SpO2", "T1", "QTc", "Ppeak")], "item string")
-    return _ages(spark).join(i).select("age", "item", F.round(T.hard_low(F.col("item"), F.col("age")), 6).alias("low"), T.hard_high(F.col("item"), F.col("age")).alias("high"))
+    return _ages(spark, d).join(F.broadcast(i)).select("age", "item", F.round(T.hard_low(F.col("item"), F.col("age")), 6).alias("low"), T.hard_high(F.col("item"), F.col("age")).alias("high"))
 
 
 QUERIES = {
@@ -257,7 +257,7 @@ QUERIES = {
     "duration_format": Query(lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "tier2", "from_us", vitals.duration(F.col("long_us") / 60000000).alias("told")), f"WITH {EPISODES_SQL} SELECT sid, item, kind, tier2, from_us, {_DUR_SQL('(long_us / 60000000)')} AS told FROM episodes"),
     "handoff_snapshot": Query(lambda s, d: vitals.at_handoff(marks(s, d)), f"WITH {SERIES_SQL} SELECT sid, " + ", ".join(f"median(v) FILTER (WHERE item = '{i}') AS {i.lower()}" for i in ("HR", "SBP", "ISBP1", "MBP", "SpO2", "T1")) + " FROM series JOIN hand USING (sid) WHERE us >= handoff_us GROUP BY sid"),
     "age_group_census": Query(lambda s, d: cases(s, d).groupBy(T.age_group(F.col("age")).alias("age_group")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {_case(T.AGE_GROUPS, 1, 'age_years')} AS age_group, count(*) AS n FROM emr_case GROUP BY 1"),
-    "threshold_matrix": Query(threshold_matrix, f"SELECT CAST(a AS DOUBLE) AS age, {_case(T.AGE_GROUPS, 1, 'a')} AS age_group, {_case(T.HR_NORMAL, 1, 'a')} AS hr_lo, {_case(T.HR_NORMAL, 2, 'a')} AS hr_hi, {_case(T.HR_CRITICAL, 1, 'a')} AS hr_slow, {_case(T.HR_CRITICAL, 2, 'a')} AS hr_fast, {SBP_SQL.replace('age', 'a')} AS sbp_low, {_p95(100.0, 130.0, T.SBP_P95, 'a')} AS sbp_high, {_p95(65.0, 80.0, T.DBP_P95, 'a')} AS dbp_high, {MAP_SQL.replace('age', 'a')} AS map_low, CASE WHEN a < {T.NEONATE!r} THEN 470.0 ELSE 440.0 END AS qtc, {_case(T.EBV, 1, 'a')} AS ebv FROM {_AGES_SQL}"),
+    "threshold_matrix": Query(threshold_matrix, f"SELECT CAST(a AS DOUBLE) AS age, {_case(T.AGE_GROUPS, 1, 'a')} AS age_group, {_case(T.HR_NORMAL, 1, 'a')} AS hr_lo, {_case(T.HR_NORMAL, 2, 'a')} AS hr_hi, {_case(T.HR_CRITICAL, 1, 'a')} AS hr_slow, {_case(T.HR_CRITICAL, 2, 'a')} AS hr_fast, {SBP_SQL.replace('age', 'a')} AS sbp_low, {_p95(100.0, 130.0, T.SBP_P95, 'a')} AS sbp_high, {_p95(65.0, 80.0, T.DBP_P95, 'a')} AS dbp_high, {MAP_SQL.replace('age', 'a')} AS map_low, round({MAP_SQL.replace('age', 'a')} * 0.8, 6) AS map_drop, CASE WHEN a < {T.NEONATE!r} THEN 470.0 ELSE 440.0 END AS qtc, {_case(T.EBV, 1, 'a')} AS ebv FROM {_AGES_SQL}"),
     "hard_lines": Query(hard_lines, f"SELECT age, item, round({HARD_LOW_SQL}, 6) AS low, {HARD_HIGH_SQL} AS high FROM (SELECT CAST(a AS DOUBLE) AS age FROM {_AGES_SQL}), (VALUES ('HR'), ('SBP'), ('MBP'), ('SpO2'), ('T1'), ('QTc'), ('Ppeak')) i(item)"),
     "planned_hypothermia": Query(lambda s, d: records(s, d).groupBy("sid").agg(F.bool_or(T.planned_hypothermia(F.col("record"))).alias("planned")), "SELECT sid, bool_or(" + " OR ".join(f"contains(lower(emr), '{w}')" for w in T.PLANNED_HYPOTHERMIA) + ") AS planned FROM fewshot_bank WHERE sid <> -1 AND emr IS NOT NULL GROUP BY sid"),
     "timeline_parse": Query(lambda s, d: timeline.parse(records(s, d)), f"WITH {TIMELINE_SQL} SELECT * FROM entries"),

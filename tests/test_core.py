@@ -1,5 +1,6 @@
 """The reference's golden cases, the registry, and a sample of queries against DuckDB."""
 
+import decimal
 import os
 
 import duckdb
@@ -161,7 +162,7 @@ def test_against_duckdb(spark, duck, name):
     rel = duck.execute(entry.oracle_sql()[name])
     names = [c[0] for c in rel.description]
     assert sorted(names) == cols
-    text = lambda x: f"{x:.6g}" if isinstance(x, float) else str(x)
+    text = lambda x: f"{float(x):.6g}" if isinstance(x, (float, decimal.Decimal)) else str(x)
     want = sorted(tuple(text(r[names.index(c)]) for c in cols) for r in rel.fetchall())
     assert sorted(tuple(text(r[c]) for c in cols) for r in got.collect()) == want
 
