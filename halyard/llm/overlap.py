@@ -33,7 +33,7 @@ from ..session import materialize, run_dir, spread
 
 DEPTH, SIGMA = 24, 32
 LOCATED = 0.06  # share of a text's letters whose runs are located, beyond 1 - share
-SHARD = 4_000_000  # letters of an index shard
+SHARD = 8_000_000  # letters of an index shard
 SEED = 8  # letters of the least matches, which are joined to spans
 BATCH = 1_000  # training texts that are searched at a time
 HITS = 2_000_000  # located places that are merged at a time
