@@ -120,22 +120,30 @@ def candidates(index: Index, texts: list[str], share: float = 0.8) -> Iterator[t
     runs = np.maximum(n - width + 1, 0)
     text, at = np.repeat(np.arange(len(texts)), runs), _steps(runs)
     size, place = width[text], begin[text] + at
-    # each different run is searched once
+    # each different run is searched once; its code has five bits for a symbol
     joined = symbols("".join(texts))
     padded = np.concatenate([joined, np.zeros(SEED, np.uint8)]).astype(np.int64)
-    code = np.zeros(len(place), np.int64)
+    codes = np.zeros(len(joined), np.int64)
     for k in range(SEED):
-        code = code * SIGMA + np.where(k < size, padded[place + k], 0)
+        codes = codes << 5 | padded[k : k + len(joined)]
+    code, lack = codes[place], 5 * (SEED - size)
+    code = code >> lack << lack
     _, one, same = np.unique(code, return_index=True, return_inverse=True)
     lo, hi = index.search(joined, place[one] + size[one], size[one])
     lo, times = lo[same], (hi - lo)[same]
-    # of each letter the most frequent run that it is in; the letters of each text whose runs are rarest
-    cost = np.zeros(int(n.sum()), np.int64)
-    for k in range(SEED):
-        on = k < size
-        cost[place[on] + k] = np.maximum(cost[place[on] + k], times[on])
+    # of each letter the most frequent run that it is in; the letters of each text whose runs are rarest. Whole runs by doubling:
+    # none begins on the last letters of a text, so nothing goes over to the next
+    cost = np.zeros(len(joined), np.int64)
+    whole = size == SEED
+    cost[place[whole]] = times[whole]
+    for k in (1, 2, 4):
+        cost[k:] = np.maximum(cost[k:], cost[:-k])
+    part, p, t = size[~whole], place[~whole], times[~whole]
+    for k in range(SEED if len(part) else 0):
+        on = k < part
+        np.maximum.at(cost, p[on] + k, t[on])
     of = np.repeat(np.arange(len(texts)), n)
-    order = np.lexsort((cost, of))
+    order = np.argsort(of * (int(cost.max()) + 1) + cost, kind="stable")
     wanted = np.minimum(n, np.ceil((1 - share + LOCATED) * n).astype(np.int64))
     chosen = np.zeros(len(cost), bool)
     chosen[order[_steps(n) < wanted[of]]] = True
