@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
+
 MIN_US = 60_000_000
 SESSION_GAP_MIN = 360
 
@@ -50,41 +52,56 @@ def gaps(rows: DataFrame, session_gap_min: int = SESSION_GAP_MIN) -> DataFrame:
     return p.select("sid", "item", F.explode(F.sequence(F.col("a") + F.col("grid_min"), F.col("b") - F.col("grid_min"), F.col("grid_min").cast("long"))).alias("slot_min"))
 
 
+BLOCK = 1440  # slots that are listed at a time where bounds lie far away
+
+
 def regular_grid(rows: DataFrame, session_gap_min: int = SESSION_GAP_MIN, interpolate_min: int = 30, bounds: DataFrame | None = None) -> DataFrame:
     """sid, item, slot_min, value, state: one row per slot of each session of each source.
 
     state is `observed` (mean of the slot's readings), `interpolated` (linear between the neighbouring slots, gaps up to
     interpolate_min between them), `missing` (value null, longer gaps) or, where bounds (sid, lo_us, hi_us) are given,
     `before` and `after`: slots from lo to the source's first slot and from its last to hi, value null. Bounds that are
-    null or end before they start add nothing. Rows with null grid_min are left out; an empty table gives no rows.
+    null or end before they start add nothing; bounds of a wrong year add all their slots, a block at a time. Rows with null
+    grid_min are left out; an empty table gives no rows.
+
+    Readings are summed up to slots once, which are written to the shared folder; one window pairs each with its successor,
+    and one explode gives the slot and those up to the next.
     """
-    g = F.col("grid_min")
-    slots = (
-        rows.where("grid_min >= 1").withColumn("slot_min", slot_of(F.col("us"), g)).groupBy("sid", "item", "slot_min", "grid_min")
-        .agg(F.avg("v").alias("value"), F.min("us").alias("first_us"), F.max("us").alias("us"))
-    )
-    seen = slots.select("sid", "item", "slot_min", "value", F.lit("observed").alias("state"))
-    p = _slot_pairs(slots, session_gap_min).where("next_slot_min - slot_min > grid_min")
-    p = p.withColumn("s", F.explode(F.sequence(F.col("slot_min") + g, F.col("next_slot_min") - g, g.cast("long"))))
-    short = F.col("next_slot_min") - F.col("slot_min") - g <= interpolate_min
-    share = (F.col("s") - F.col("slot_min")) / (F.col("next_slot_min") - F.col("slot_min"))
-    filled = p.select("sid", "item", F.col("s").alias("slot_min"), F.when(short, F.col("value") + share * (F.col("next_value") - F.col("value"))).alias("value"), F.when(short, "interpolated").otherwise("missing").alias("state"))
-    out = seen.unionByName(filled)
+    g = F.col("grid_min").cast("long")
+    slots = materialize(
+        rows.where("grid_min >= 1").withColumn("slot_min", slot_of(F.col("us"), F.col("grid_min"))).groupBy("sid", "item", "slot_min", "grid_min").agg(F.avg("v").alias("value"), F.min("us").alias("first_us"), F.max("us").alias("us")),
+        "grid-slots",
+    )
+    p = _slot_pairs(slots, session_gap_min)
+    wide = F.col("next_slot_min") - F.col("slot_min")
+    short = wide - g <= interpolate_min
+    row = lambda at, value, state: F.struct(at.alias("slot_min"), value.cast("double").alias("value"), state.alias("state"))
+    none = F.lit(None).cast("double")
+    fill = F.transform(
+        F.sequence(F.col("slot_min") + g, F.col("next_slot_min") - g, g),
+        lambda at: row(at, F.when(short, F.col("value") + (at - F.col("slot_min")) / wide * (F.col("next_value") - F.col("value"))), F.when(short, "interpolated").otherwise("missing")),
+    )
+    own = F.array(row(F.col("slot_min"), F.col("value"), F.lit("observed")))
+    out = p.select("sid", "item", F.inline(F.when(wide > g, F.concat(own, fill)).otherwise(own)))
     if bounds is None:
         return out
     ends = slots.groupBy("sid", "item", "grid_min").agg(F.min("slot_min").alias("a"), F.max("slot_min").alias("b"))
-    b = ends.join(bounds.select("sid", "lo_us", "hi_us").where("lo_us <= hi_us"), "sid").withColumns({"lo": slot_of(F.col("lo_us"), g), "hi": slot_of(F.col("hi_us"), g)})
-    before = b.where("lo < a").select("sid", "item", F.explode(F.sequence(F.col("lo"), F.col("a") - g, g.cast("long"))).alias("slot_min"), F.lit(None).cast("double").alias("value"), F.lit("before").alias("state"))
-    after = b.where("hi > b").select("sid", "item", F.explode(F.sequence(F.col("b") + g, F.col("hi"), g.cast("long"))).alias("slot_min"), F.lit(None).cast("double").alias("value"), F.lit("after").alias("state"))
-    return out.unionByName(before).unionByName(after)
+    x = ends.join(bounds.select("sid", "lo_us", "hi_us").where("lo_us <= hi_us"), "sid").withColumns({"lo": slot_of(F.col("lo_us"), F.col("grid_min")), "hi": slot_of(F.col("hi_us"), F.col("grid_min"))})
+    part = lambda first, last, state: F.struct(first.alias("first"), last.alias("last"), F.lit(state).alias("state"))
+    sides = F.filter(F.array(part(F.col("lo"), F.col("a") - g, "before"), part(F.col("b") + g, F.col("hi"), "after")), lambda r: r["first"] <= r["last"])
+    x = x.select("sid", "item", g.alias("g"), F.inline(sides)).select("sid", "item", "g", "last", "state", F.explode(F.sequence("first", "last", F.col("g") * BLOCK)).alias("at"))
+    slot = F.explode(F.sequence(F.col("at"), F.least(F.col("at") + F.col("g") * (BLOCK - 1), F.col("last")), F.col("g"))).alias("slot_min")
+    return out.unionByName(x.select("sid", "item", slot, none.alias("value"), "state"))
 
 
 def _slot_pairs(slots: DataFrame, session_gap_min: int) -> DataFrame:
-    """Slots with their successor in the session: the gap is measured from the slot's last to the next slot's first reading."""
+    """Each slot with its successor in the session (next_*), null without one: the gap is measured from the slot's last to the
+    next slot's first reading."""
     gap, span = session_gap_min * MIN_US, session_gap_min * MIN_US * 28
     own = _span(F.col("first_us"), span)
     early = F.col("first_us") - own * span <= gap + F.col("grid_min").cast("long") * MIN_US
     x = slots.withColumn("_span", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))))
     w = W.partitionBy("sid", "item", "_span").orderBy("slot_min")
-    x = x.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("slot_min", "value", "first_us")})
-    return x.where(F.col("_span") == _span(F.col("first_us"), span)).where(F.col("next_first_us") - F.col("us") <= gap)
+    x = x.withColumns({f"_{c}": F.lead(c).over(w) for c in ("slot_min", "value", "first_us")}).where(F.col("_span") == _span(F.col("first_us"), span))
+    goes_on = F.col("_first_us") - F.col("us") <= gap
+    return x.withColumns({f"next_{c}": F.when(goes_on, F.col(f"_{c}")) for c in ("slot_min", "value")}).drop("_span", "_slot_min", "_value", "_first_us")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import thresholds as T
 from ..functions.normalize import first_number
-from ..operators import timeline, vitals
+from ..operators import emr, timeline, vitals
 from ..session import load, materialize
 from .grid_queries import READINGS_SQL, _readings, _timed
 from .query import Query
@@ -158,6 +158,17 @@ def vital_summary(spark: SparkSession, d: str) -> DataFrame:
     return vitals.summaries(m, materialize(_audit(spark, d, m), "audit"), vitals.planned_lines(m, planned), vitals.handoff_lines(m, given), cases(spark, d))
 
 
+def rule_counters(spark: SparkSession, d: str) -> DataFrame:
+    """name, n: events, those reported and minor, each reason, totals that are flagged, and cases with planned hypothermia."""
+    x = _audit(spark, d, marks(spark, d))
+    event = F.col("n").isNotNull()
+    names = F.array_compact(F.concat(
+        F.array(F.when(event, "events_total"), F.when(event & F.col("reportable"), "events_reportable"), F.when(event & ~F.col("reportable"), "events_minor"), F.when(~event & F.col("reportable"), F.concat(F.lit("flagged_"), F.col("kind")))),
+        F.when(event, F.transform("reasons", lambda r: F.concat(F.lit("reason_"), r))).otherwise(F.array().cast("array<string>")),
+    ))
+    return x.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).unionByName(_planned(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("cases_planned").alias("name"), "n"))
+
+
 def summary_markers(spark: SparkSession, d: str) -> DataFrame:
     """How many summaries hold each of the marks that a rebuilt map is checked by."""
     t = vital_summary(spark, d)
@@ -252,6 +263,12 @@ QUERIES = {
     "handoff_line": Query(lambda s, d: vitals.handoff_lines(marks(s, d), _given(s, d)), f"WITH {AUDIT_SQL}, {LINES_SQL} SELECT sid, line FROM handoff_line"),
     "audit_flatten": Query(audit_flatten, FLAT_SQL),
     "vital_audit": Query(lambda s, d: vital_audit(s, d).select("sid", F.size("reportable").alias("n_reportable"), F.size("minor").alias("n_minor"), F.to_json("reportable").isNotNull().alias("kept")), f"WITH {AUDIT_SQL}, f AS (SELECT sid, len(reasons) > 0 AS r FROM aud UNION ALL SELECT sid, blood_flag FROM totals WHERE blood_text IS NOT NULL UNION ALL SELECT sid, urine_flag FROM totals WHERE urine_text IS NOT NULL) SELECT sid, CAST(count(*) FILTER (WHERE r) AS INT) AS n_reportable, CAST(count(*) FILTER (WHERE NOT r) AS INT) AS n_minor, true AS kept FROM f GROUP BY sid"),
+    "rule_counters": Query(
+        rule_counters,
+        f"""WITH {AUDIT_SQL}, c AS (SELECT unnest(list_concat(['events_total', CASE WHEN len(reasons) > 0 THEN 'events_reportable' ELSE 'events_minor' END], list_transform(reasons, lambda r: 'reason_' || r))) AS name FROM aud
+UNION ALL SELECT 'flagged_blood_loss' FROM totals WHERE blood_flag AND blood_text IS NOT NULL UNION ALL SELECT 'flagged_oliguria' FROM totals WHERE urine_flag AND urine_text IS NOT NULL)
+SELECT name, count(*) AS n FROM c GROUP BY name UNION ALL SELECT 'cases_planned', count(*) FROM planned""",
+    ),
     "summary_markers": Query(summary_markers, f"WITH {SUMMARY_SQL} SELECT count(*) AS cases, count(*) FILTER (WHERE contains(summary, '{vitals.HANDOFF}')) AS at_handoff, count(*) FILTER (WHERE contains(summary, '{vitals.NOTHING}')) AS nothing, count(*) FILTER (WHERE contains(summary, '개입:')) AS linked, count(*) FILTER (WHERE contains(summary, '계획된 저체온')) AS planned, count(*) FILTER (WHERE NOT starts_with(summary, '(연령군')) AS without_age FROM summary"),
     "render_interventions": Query(lambda s, d: _given(s, d).groupBy("sid").agg(timeline.render(F.collect_set(F.struct("minute", "category"))).alias("told")), f"WITH {GIVEN_SQL}, labels(category, label, k) AS (VALUES {_LABELS_SQL}) SELECT sid, string_agg(l.label || ' ' || {_CLOCK_SQL}, ', ' ORDER BY minute, k) AS told FROM (SELECT DISTINCT sid, minute, category FROM given) JOIN labels l USING (category) GROUP BY sid"),
     "duration_format": Query(lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "tier2", "from_us", vitals.duration(F.col("long_us") / 60000000).alias("told")), f"WITH {EPISODES_SQL} SELECT sid, item, kind, tier2, from_us, {_DUR_SQL('(long_us / 60000000)')} AS told FROM episodes"),
@@ -263,7 +280,7 @@ QUERIES = {
     "timeline_parse": Query(lambda s, d: timeline.parse(records(s, d)), f"WITH {TIMELINE_SQL} SELECT * FROM entries"),
     "keyword_categories": Query(lambda s, d: timeline.interventions(timeline.parse(records(s, d))), f"WITH {GIVEN_SQL} SELECT * FROM given"),
     "intervention_match_circular": Query(lambda s, d: timeline.matches(vitals.episodes(marks(s, d)), _given(s, d)), f"WITH {MATCH_SQL} SELECT * FROM matched"),
-    "weight_discovery": Query(lambda s, d: cases(s, d), f"WITH {CASES_SQL} SELECT * FROM cases"),
+    "weight_discovery": Query(lambda s, d: cases(s, d).drop("weight").join(emr.weights(load(s, d, "emr_case"), "sid"), "sid"), f"WITH {CASES_SQL} SELECT * FROM cases"),
     "vital_summary_text": Query(vital_summary, f"WITH {SUMMARY_SQL} SELECT sid, summary, n_reportable, n_minor, minor_text FROM summary"),
     "minute_formats": Query(lambda s, d: _readings(s, d).select("row_id", F.pmod(F.floor(F.col("us") / 60000000), F.lit(1440)).cast("int").alias("m")).select("row_id", F.col("m").alias("minute"), F.format_string("%02d:%02d", F.floor(F.col("m") / 60).cast("int"), (F.col("m") % 60).cast("int")).alias("hhmm")), f"WITH {READINGS_SQL} SELECT row_id, CAST((us // 60000000) % 1440 AS INT) AS minute, printf('%02d:%02d', CAST(((us // 60000000) % 1440) // 60 AS INT), CAST((us // 60000000) % 60 AS INT)) AS hhmm FROM readings"),
 }

@@ -67,6 +67,13 @@ def test_grid_states(spark):
     assert got[60] == (None, "missing") and 500 not in got and got[-10] == (None, "before") and got[915] == (None, "after")
 
 
+def test_bounds_far_away_add_all_their_slots(spark):
+    rows = [(1, "HR", m * MIN, 10.0, m, 1.0, 300.0, 15.0, 5) for m in (0, 5)]
+    bounds = spark.createDataFrame([(1, -5 * 4000 * MIN, 5 * 3001 * MIN)], "sid long, lo_us long, hi_us long")
+    got = gridfill.regular_grid(spark.createDataFrame(rows, ROWS), bounds=bounds).groupBy("state").count().collect()
+    assert {r["state"]: r["count"] for r in got} == {"before": 4000, "observed": 2, "after": 3000}
+
+
 def brute_kinds(rows):
     out = {}
     by = {}
