@@ -4,9 +4,9 @@ Each source gets a rate, the mean number of times that its documents are used. I
 the fraction is a probability of inclusion that the cube method turns into 0 or 1: the vector of probabilities is moved
 along the null space of the balancing equations (sum of tokens, number of documents) until one probability is settled,
 again and again (the flight). Documents fly in blocks of bounded size, spread over all executors; each block leaves two
-at most, which fly again with those of other blocks, until one block is left per source. Of that, LANDED documents of all
-sizes stay on the ground; they and the two that the last flight leaves are settled at once, as the subset whose tokens, then
-number, come closest to what is still wanted.
+at most, which fly again with those of other blocks, until one block is left per source. Of that, LANDED documents at most
+stay on the ground, whose sizes double; they and the two that the last flight leaves are settled at once, as the subset whose
+tokens, then number, come closest to what is still wanted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from ..session import materialize
 from .bpe import DEFAULT_RANKS, with_counts
 
 MAX_TARGETS = 10_000  # rows of the table of targets, which the driver plans with
-LANDED = 16  # documents of a source that are landed, beside the two that its last flight leaves
+LANDED = 18  # documents of a source that are landed, beside the two that its last flight leaves
 ROW = "doc_id long, source string, n_tokens long, base int, pi double"
 
 
@@ -75,13 +76,20 @@ def fly(x: list[float], pi: list[float], rng: random.Random) -> None:
             left = [i for i in left if 0 < pi[i] < 1]
 
 
-def landing_set(x: list[float], pi: list[float], most: int = LANDED) -> list[int]:
-    """Places of the fractional documents that don't fly, but are landed: of sizes from the least to the greatest, so that
-    their subsets come close to any sum."""
+def landing_set(x: list[float], pi: list[float], most: int = LANDED, least: int = 8) -> list[int]:
+    """Places of the fractional documents that don't fly, but are landed: the `least` shortest, then each time the longest that is
+    no longer than those taken together, until these outweigh any document. Their subsets come close to every sum up to that,
+    so whatever the flight leaves, what is wanted lies among them."""
     left = sorted((k for k in range(len(pi)) if 0 < pi[k] < 1), key=lambda k: (x[k], k))
-    if len(left) <= most:
+    if len(left) <= least:
         return left
-    return sorted({left[round(j * (len(left) - 1) / (most - 1))] for j in range(most)})
+    taken, longest = left[:least], x[left[-1]]
+    rest, total = left[least:], sum(x[k] for k in left[:least])
+    while rest and total < longest and len(taken) < most:
+        at = max(0, bisect_right(rest, total, key=lambda k: x[k]) - 1)
+        total += x[rest[at]]
+        taken.append(rest.pop(at))
+    return taken
 
 
 def land(x: list[float], pi: list[float]) -> None:
