@@ -357,6 +357,12 @@ def _fit(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, epochs: int, rate
     return w
 
 
+def _fit_mean(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, epochs: int, rate: float, rng: random.Random, times: int = 2) -> np.ndarray:
+    """The mean of several fits, each in an order of its own: single fits differ in what they make of rare endings."""
+    orders = [kept] + [np.array(rng.sample(kept.tolist(), len(kept)), np.int64) for _ in range(times - 1)]
+    return sum(_fit(x, y, o, epochs, rate) for o in orders) / times
+
+
 def _without_refusals(base: list[tuple[str, str]], rng: random.Random, epochs: int, rate: float, part: int | None) -> list[tuple[str, str]]:
     """The sample has refusals itself, some many times, which must not be taught as sound. Answers with a number report on a
     patient and are sure to be none; of the others those stay that don't look like one to a head that has not seen them."""
@@ -405,7 +411,8 @@ def _train(rows: list[tuple[str, str]], seed: int, epochs: int, rate: float, par
     for h, head in enumerate(HEADS):
         x, of = [], []
         for k, pair in enumerate(pairs):
-            if not (labels[k] == "foreign" and head == "truncated"):
+            # heads come in order, and the first that fits decides: what one before has taken is not taught to the last as whole
+            if head == "empty" or labels[k] != "empty" and (head != "truncated" or labels[k] in ("", "truncated")):
                 for g in pair.slots[READS[head]]:
                     x.append(g)
                     of.append(k)
@@ -423,14 +430,14 @@ def _train(rows: list[tuple[str, str]], seed: int, epochs: int, rate: float, par
             # what looks like one is not taught as sound again
             sure = ~(sound & (score(_fit(x, y, training, epochs, rate)) > DOUBT))
         training = training[sure[training]]
-        w = _fit(x, y, training, epochs, rate)
+        w = _fit_mean(x, y, training, epochs, rate, rng)
         # the lowest of the thresholds with about the fewest errors among made answers that it was not trained on
         p, test = score(w), (of < tested) & sure
         if test.any() and 0 < y[test].sum() < test.sum():
             grid = np.linspace(0.05, 0.95, 19)
             errors = np.array([((p[test] >= t) != y[test].astype(bool)).sum() for t in grid])
             thresholds[head] = float(grid[np.flatnonzero(errors <= errors.min() + 0.003 * test.sum())[0]])
-        weights[h] = _fit(x, y, order[sure[order]], epochs, rate)
+        weights[h] = _fit_mean(x, y, order[sure[order]], epochs, rate, rng)
     return Model(weights.astype(np.float32), thresholds)
 
 
