@@ -434,7 +434,7 @@ def _train(rows: list[tuple[str, str]], seed: int, epochs: int, rate: float, par
         # the lowest of the thresholds with about the fewest errors among made answers that it was not trained on
         p, test = score(w), (of < tested) & sure
         if test.any() and 0 < y[test].sum() < test.sum():
-            grid = np.linspace(0.05, 0.95, 19)
+            grid = np.linspace(0.1, 0.95, 18)
             errors = np.array([((p[test] >= t) != y[test].astype(bool)).sum() for t in grid])
             thresholds[head] = float(grid[np.flatnonzero(errors <= errors.min() + 0.003 * test.sum())[0]])
         weights[h] = _fit_mean(x, y, order[sure[order]], epochs, rate, rng)
