@@ -285,6 +285,21 @@ def near_same_texts(training: DataFrame, evaluation: DataFrame, share: float = 0
     return sides.select("t", "e", "a", "b").mapInPandas(verify, "t string, e string")
 
 
+def _near_keys(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The records' texts (rec_id, ev, key), and the pairs of keys (t, e) that are near-same, each once."""
+    texts = materialize(_texts(spread(rows.where("txt is not null").select("rec_id", "ev", "txt"))), "overlap-texts")
+
+    # one row for each different text: each split's copies are dropped before and after the shuffle
+    def once(ev: bool) -> DataFrame:
+        return texts.where(F.col("ev") == ev).groupBy("key").agg(F.min("norm").alias("norm"), F.first("n").alias("n"))
+
+    return texts, materialize(near_same_texts(once(False), once(True), share).distinct(), "overlap-keys")
+
+
+def _records(bank: DataFrame, train: tuple[str, ...], evaluate: tuple[str, ...]) -> DataFrame:
+    return bank.where(F.col("split").isin(*train, *evaluate)).select("rec_id", "sid", F.col("emr").alias("txt"), F.col("split").isin(*evaluate).alias("ev"))
+
+
 def cross_split(bank: DataFrame, train: tuple[str, ...] = ("sft",), evaluate: tuple[str, ...] = ("dev", "gold"), share: float = 0.8, salts: int = 8) -> DataFrame:
     """train_id, eval_id, same_sid, near_emr: all pairs of a training and an evaluation record that are one case or near-same.
 
@@ -294,20 +309,35 @@ def cross_split(bank: DataFrame, train: tuple[str, ...] = ("sft",), evaluate: tu
     repeated rec_ids are one record. All pairs come out, also those within large groups of copies or of one sid: such
     groups are joined in salts. Empty tables give no rows. Extra columns are ignored.
     """
-    rows = bank.where(F.col("split").isin(*train, *evaluate)).select("rec_id", "sid", F.col("emr").alias("txt"), F.col("split").isin(*evaluate).alias("ev"))
+    rows = _records(bank, train, evaluate)
     salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     by_salt = F.pmod(F.xxhash64("train_id"), F.lit(salts))
     a = rows.where("not ev and sid is not null and sid <> -1").select("sid", F.col("rec_id").alias("train_id")).withColumn("salt", by_salt)
     b = rows.where("ev and sid is not null and sid <> -1").select("sid", F.col("rec_id").alias("eval_id"), salt.alias("salt"))
     same = a.join(b, ["sid", "salt"]).select("train_id", "eval_id", F.lit(True).alias("same_sid"), F.lit(False).alias("near_emr"))
 
-    texts = materialize(_texts(spread(rows.where("txt is not null").select("rec_id", "ev", "txt"))), "overlap-texts")
-    # one row for each different text: each split's copies are dropped before and after the shuffle
-    def once(ev: bool) -> DataFrame:
-        return texts.where(F.col("ev") == ev).groupBy("key").agg(F.min("norm").alias("norm"), F.first("n").alias("n"))
-
-    keys = materialize(near_same_texts(once(False), once(True), share).distinct(), "overlap-keys")
+    texts, keys = _near_keys(rows, share)
     ta = texts.where("not ev").select(F.col("key").alias("t"), F.col("rec_id").alias("train_id")).withColumn("salt", by_salt)
     tb = texts.where("ev").select(F.col("key").alias("e"), F.col("rec_id").alias("eval_id"))
     near = ta.join(keys.withColumn("salt", salt), ["t", "salt"]).join(tb, "e").select("train_id", "eval_id", F.lit(False).alias("same_sid"), F.lit(True).alias("near_emr"))
     return same.unionByName(near).groupBy("train_id", "eval_id").agg(F.bool_or("same_sid").alias("same_sid"), F.bool_or("near_emr").alias("near_emr"))
+
+
+def link_counts(bank: DataFrame, train: tuple[str, ...] = ("sft",), evaluate: tuple[str, ...] = ("dev", "gold"), share: float = 0.8) -> DataFrame:
+    """rec_id, ev, class, copies, near_links, sid_links: how many records of the other side are near-same and of the same case.
+
+    The same links as of cross_split, counted and not listed: class is the text's key, copies how many records of its own side
+    have the text, and links are sums over classes, so that neither families of copies nor a hot sid is expanded into pairs.
+    class is null and near_links 0 for records without text; sid_links is 0 without a sid.
+    """
+    rows = _records(bank, train, evaluate).dropDuplicates(["rec_id"])
+    texts, keys = _near_keys(rows, share)
+    size = texts.groupBy("key", "ev").agg(F.count(F.lit(1)).alias("copies"))
+    of = lambda ev, name: size.where(F.col("ev") == ev).select(F.col("key").alias(name), "copies")
+    far = keys.join(of(True, "e"), "e").groupBy(F.col("t").alias("key")).agg(F.sum("copies").alias("near_links")).withColumn("ev", F.lit(False))
+    near = far.unionByName(keys.join(of(False, "t"), "t").groupBy(F.col("e").alias("key")).agg(F.sum("copies").alias("near_links")).withColumn("ev", F.lit(True)))
+    classes = size.join(near, ["key", "ev"], "left")
+    sids = rows.where("sid is not null and sid <> -1").groupBy("sid", F.col("ev").alias("_other")).agg(F.count(F.lit(1)).alias("sid_links"))
+    x = rows.select("rec_id", "sid", "ev").join(texts.select("rec_id", "key"), "rec_id", "left").join(classes, ["key", "ev"], "left")
+    x = x.withColumn("_other", ~F.col("ev")).join(sids, ["sid", "_other"], "left")
+    return x.select("rec_id", "ev", F.col("key").alias("class"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("near_links", F.lit(0)).alias("near_links"), F.coalesce("sid_links", F.lit(0)).alias("sid_links"))

@@ -35,6 +35,11 @@ def p2_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with the class of its text and how many records across the splits it is linked to."""
+    return overlap.link_counts(load(spark, d, "fewshot_bank"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Each defective record with its defect."""
     return defects.find_defects(load(spark, d, "inference_records")).select("gen_id", "defect")
@@ -66,6 +71,7 @@ def registry() -> dict[str, Query]:
         "p1_redacted": Query(p1_redacted),
         "p2_found": Query(p2_found),
         "p2_overlap_counts": Query(p2_overlap_counts),
+        "p2_links": Query(p2_links),
         "p3_found": Query(p3_found),
         "p6_ids": Query(p6_ids),
         "p7_mix": Query(p7_mix),

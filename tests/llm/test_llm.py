@@ -189,6 +189,11 @@ def test_cross_split_equals_brute_force(spark):
                     want.add((a[0], b[0]))
     assert got == want and len(want) > 10
     assert overlap.cross_split(df.limit(0)).count() == 0
+    pairs = overlap.cross_split(df).collect()
+    for r in overlap.link_counts(df).collect():
+        mine = [p for p in pairs if p["eval_id" if r["ev"] else "train_id"] == r["rec_id"]]
+        assert (r["near_links"], r["sid_links"]) == (sum(p["near_emr"] for p in mine), sum(p["same_sid"] for p in mine)), r
+    assert overlap.link_counts(df.limit(0)).count() == 0
 
 
 def test_cross_split_finds_small_edits_all_over(spark):
