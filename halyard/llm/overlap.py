@@ -152,7 +152,7 @@ def candidates(index: Index, texts: list[str], share: float = 0.8) -> Iterator[t
     if not len(keep):
         return
     length = np.bincount(index.owner) - 1
-    owners = len(length)
+    own_bits, run_bits = int(len(length)).bit_length(), int(len(keep)).bit_length()  # numbers are put together and taken apart by shifts
     text, place, size, lo, times = text[keep], place[keep], size[keep], lo[keep], times[keep]
     # the runs in parts of HITS places or a run more; a text has more than one part only if it has more places than that
     total = np.concatenate([[0], np.cumsum(times)])
@@ -178,20 +178,20 @@ def candidates(index: Index, texts: list[str], share: float = 0.8) -> Iterator[t
         able = np.minimum(la, lb) >= share * np.maximum(la, lb) - EPS
         run, owner = run[able], owner[able]
         # an owner's runs in order: what each adds to its span
-        key = np.sort((text[run] * owners + owner) * len(text) + run)
+        key = np.sort((text[run] << own_bits | owner) << run_bits | run)
         key = key[np.diff(key, prepend=-1) > 0]
-        pair, run = key // len(text), key % len(text)
+        pair, run = key >> run_bits, key & (1 << run_bits) - 1
         start, stop = place[run], place[run] + size[run]
         start[1:] = np.where(pair[1:] == pair[:-1], np.maximum(start[1:], stop[:-1]), start[1:])
         pairs, back = np.unique(np.concatenate([left[0], pair]), return_inverse=True)
         got = np.bincount(back, weights=np.concatenate([left[1], before[stop] - before[start]]), minlength=len(pairs)).astype(np.int64)
-        on = np.zeros(len(pairs), bool) if k + 1 == len(parts) else pairs // owners == text[parts[k + 1][0]]
+        on = np.zeros(len(pairs), bool) if k + 1 == len(parts) else pairs >> own_bits == text[parts[k + 1][0]]
         left = pairs[on], got[on]
         pairs, got = pairs[~on], got[~on]
-        t, e = pairs // owners, pairs % owners
+        t, e = pairs >> own_bits, pairs & (1 << own_bits) - 1
         missing = n[t] - share * np.maximum(n[t], length[e])
         for p in pairs[got >= np.maximum(1, wanted[t] - missing - EPS)]:
-            yield int(p // owners), int(p % owners)
+            yield int(p >> own_bits), int(p & (1 << own_bits) - 1)
 
 
 def covered(a: str, b: str, seed: int = SEED) -> int:
