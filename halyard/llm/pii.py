@@ -34,6 +34,9 @@ NOT_ENGLISH = frozenset("the a an is was were and or of in on at to for with fro
 ID_WORDS = "주민|등록번호|외국인|여권|passport|보험|insurance|환자번호|병록번호|차트|chart|MRN|Hospital No|ID#|ID No|환자 ?ID|생년월일|동의서|RRN|SSN"
 PHONE_WORDS = "전화|연락|핸드폰|휴대|통화|문자|비상|당직|직장|회신|call|tel|phone|mobile|reach|☎|H\\.P|HP|보호자"
 THING_WORDS = "lot|S/N|SN|serial|바코드|barcode|코드|code|검체|혈액번호|혈액백|unit no|batch|model|장비|주입펌프|펌프|pump|약품|device|REF|specimen|단위번호"
+#: Words after a name that make it the name of a disease, operation, sign or score; and titles and relations beside one.
+EPONYM_WORDS = "증후군|징후|척도|점수|분류법?|기준|syndrome|disease|procedure|operation|sign|score|scale|criteria|classification|shunt|repair|anomaly|tetralogy|catheter"
+TITLE_WORDS = "환자|환아|보호자|어머니|아버지|모친|부친|교수|선생|과장|간호사|전공의|마취의|집도의|Dr|Prof|Mr|Mrs|Ms|RN|MD|mother|father|parent|guardian|nurse|patient|fellow|resident"
 UNITS = r"(?:시|군|구|읍|면|도|특별시|광역시)"
 STREETS = "Street|Drive|Lane|Avenue|Court|Road|Boulevard|Way|Place|Terrace|Crescent|Close|Square|Parkway"
 # ----------------------------------------------------------------------------------------------------------------------
@@ -127,7 +130,9 @@ RULES = (
 )
 
 _NEAR = 24
-_IDS, _PHONES, _THINGS = (regex.compile(p, _F) for p in (ID_WORDS, PHONE_WORDS, THING_WORDS))
+_IDS, _PHONES, _THINGS, _TITLES = (regex.compile(p, _F) for p in (ID_WORDS, PHONE_WORDS, THING_WORDS, TITLE_WORDS))
+_EPONYMS = frozenset(EPONYM_WORDS.split("|"))
+_EPONYM = regex.compile(rf"(?:['’]s)?[\s\-]+(?:{EPONYM_WORDS})(?![A-Za-z])", _F)
 _LONG = regex.compile(r"\d{3}(?:[\s.\-–‑·]|-\n){0,2}\d{4}")  # in every number of the rules that ask for it
 _NUMBER13 = regex.compile(r"\d{6}\s?[\-–‑]?\s?\d{7}")
 _HOUSE = regex.compile(r"[로길동리가]\s+(?:산\s?)?\d")
@@ -184,6 +189,10 @@ def _score(rule: Rule, text: str, lo: int, hi: int) -> float:
             score -= 0.6
         if value.isascii() and any(w.lower() in NOT_ENGLISH for w in words):
             score -= 0.6
+        if _EPONYM.match(text, hi) or len(words) > 1 and words[-1].lower() in _EPONYMS:
+            score -= 0.5
+        elif score < 0.85 and _TITLES.search(text, max(0, lo - _NEAR), min(len(text), hi + _NEAR)):
+            score += 0.1
     return score
 
 

@@ -133,6 +133,11 @@ def test_personal_data_alone_in_a_text(text, kind, value):
     assert [(k, text[lo:hi]) for lo, hi, k, _ in pii.spans(text)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text", ["Dr. Fallot tetralogy, corrected", "Prof. Glasgow score, 15", "환자명: 고은별 증후군 의심"])
+def test_words_after_a_name_make_it_none(text):
+    assert not [k for _, _, k, _ in pii.spans(text) if k == "name"]
+
+
 def test_no_rule_is_skipped_where_its_pattern_matches(monkeypatch):
     rng = random.Random(8)
     parts = ["경기도 성남시 ", "정자동 178-1", "주치의\n장마루늘\t인수함", "verified by\tkim vardoun, RN", "+82-31-5123-4567", "kim <\tat > mail.example.com", "장마루늘 군\n", "MIẞ vardoun, ", "보호자 ", TEXT[:200]]
