@@ -74,15 +74,47 @@ SELECT key, split AS subset, CAST(grouping(split) AS INT) AS all_subsets, count(
 
 QUERIES = {
     "gt_categories": Query(gt_categories, _GT_CAT_SQL),
-    "legacy_summary_parse": Query(legacy_summary, f"WITH {LEGACY_SQL} SELECT rec_id, line, part, item, label, category, reportable, n, total_min, longest_min FROM leg"),
-    "duration_buckets": Query(duration_buckets, f"WITH {LEGACY_SQL} SELECT {_BUCKET_SQL} AS bucket, {_TIMES_SQL} AS times, count(*) AS n FROM leg GROUP BY ALL"),
+    "legacy_summary_parse": Query(
+        legacy_summary,
+        f"WITH {LEGACY_SQL} SELECT rec_id, line, part, item, label, category, reportable, n, total_min, longest_min FROM leg",
+    ),
+    "duration_buckets": Query(
+        duration_buckets,
+        f"WITH {LEGACY_SQL} SELECT {_BUCKET_SQL} AS bucket, {_TIMES_SQL} AS times, count(*) AS n FROM leg GROUP BY ALL",
+    ),
     "ppv_grouping_sets": Query(ppv, _PPV_SQL),
     "recall_missed": Query(recall_missed, _RECALL_SQL),
-    "category_membership": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), F.explode(finding_categories(F.col("i.finding"))).alias("category")).join(gt_categories(s, d).withColumn("in_gold", F.lit(True)), ["sid", "category"], "left").select("sid", "id", "category", F.coalesce("in_gold", F.lit(False)).alias("in_gold")), f"WITH g AS ({_GT_CAT_SQL}), i AS (SELECT sid, i.id AS id, i.finding AS finding FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)), c AS (SELECT DISTINCT sid, id, category FROM i, {_FINDINGS_SQL} WHERE contains(lower(finding), word)) SELECT c.sid, id, c.category, g.sid IS NOT NULL AS in_gold FROM c LEFT JOIN g USING (sid, category)"),
-    "case_burden": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(_n(), F.count_if(F.col("i.severity") == "critical").alias("critical"), F.countDistinct("i.category").alias("categories")), "SELECT sid, count(*) AS n, count(*) FILTER (WHERE i.severity = 'critical') AS critical, count(DISTINCT i.category) AS categories FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist) GROUP BY sid"),
-    "prioritized_coalesce": Query(lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", F.col("gold_text").alias("a")), "sid", "left").join(_bank(s, d).where("handoff is not null and trim(handoff) <> '' and sid <> -1").groupBy("sid").agg(F.min_by("handoff", "rec_id").alias("b")), "sid", "left").select("sid", F.coalesce(F.nullif(F.trim("a"), F.lit("")), "b").alias("reference")), "WITH b AS (SELECT sid, arg_min(handoff, rec_id) AS b FROM fewshot_bank WHERE trim(handoff, ' ') <> '' AND sid <> -1 GROUP BY sid) SELECT e.sid, coalesce(nullif(trim(gold_text, ' '), ''), b) AS reference FROM emr_case e LEFT JOIN gold_checklist g USING (sid) LEFT JOIN b USING (sid)"),
-    "common_keys_vs_baseline": Query(lambda s, d: _inf(s, d).where("sid <> -1").select("sid", F.lower("engine").alias("e")).distinct().groupBy("sid").agg(F.count_if(F.col("e") == "vllm").alias("a"), F.count_if(F.col("e") == "hf").alias("b")).where("a > 0 and b > 0").select("sid"), "SELECT sid FROM inference_records WHERE lower(engine) = 'vllm' AND sid <> -1 INTERSECT SELECT sid FROM inference_records WHERE lower(engine) = 'hf' AND sid <> -1"),
-    "top_n": Query(lambda s, d: load(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_retailprice"), "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25"),
-    "case_order_by_mean": Query(lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(_R(F.avg("o_totalprice"), "mean"), _n()).orderBy(F.desc("mean"), "o_custkey").limit(100), "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, count(*) AS n FROM orders GROUP BY 1 ORDER BY mean DESC, o_custkey LIMIT 100"),
-    "provisional_accept": Query(lambda s, d: _gold(s, d).select("sid", "reviewed", (F.col("accepted_without_review") | ~F.col("reviewed")).alias("accepted")), "SELECT sid, reviewed, accepted_without_review OR NOT reviewed AS accepted FROM gold_checklist"),
+    "category_membership": Query(
+        lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), F.explode(finding_categories(F.col("i.finding"))).alias("category")).join(gt_categories(s, d).withColumn("in_gold", F.lit(True)), ["sid", "category"], "left").select("sid", "id", "category", F.coalesce("in_gold", F.lit(False)).alias("in_gold")),
+        f"WITH g AS ({_GT_CAT_SQL}), i AS (SELECT sid, i.id AS id, i.finding AS finding FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)), "
+        f"c AS (SELECT DISTINCT sid, id, category FROM i, {_FINDINGS_SQL} WHERE contains(lower(finding), word)) SELECT c.sid, id, c.category, "
+        "g.sid IS NOT NULL AS in_gold FROM c LEFT JOIN g USING (sid, category)",
+    ),
+    "case_burden": Query(
+        lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(_n(), F.count_if(F.col("i.severity") == "critical").alias("critical"), F.countDistinct("i.category").alias("categories")),
+        "SELECT sid, count(*) AS n, count(*) FILTER (WHERE i.severity = 'critical') AS critical, count(DISTINCT i.category) AS categories FROM (SELECT sid, "
+        "unnest(check_items) AS i FROM gold_checklist) GROUP BY sid",
+    ),
+    "prioritized_coalesce": Query(
+        lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", F.col("gold_text").alias("a")), "sid", "left").join(_bank(s, d).where("handoff is not null and trim(handoff) <> '' and sid <> -1").groupBy("sid").agg(F.min_by("handoff", "rec_id").alias("b")), "sid", "left").select("sid", F.coalesce(F.nullif(F.trim("a"), F.lit("")), "b").alias("reference")),
+        "WITH b AS (SELECT sid, arg_min(handoff, rec_id) AS b FROM fewshot_bank WHERE trim(handoff, ' ') <> '' AND sid <> -1 GROUP BY sid) SELECT e.sid, "
+        "coalesce(nullif(trim(gold_text, ' '), ''), b) AS reference FROM emr_case e LEFT JOIN gold_checklist g USING (sid) LEFT JOIN b USING (sid)",
+    ),
+    "common_keys_vs_baseline": Query(
+        lambda s, d: _inf(s, d).where("sid <> -1").select("sid", F.lower("engine").alias("e")).distinct().groupBy("sid").agg(F.count_if(F.col("e") == "vllm").alias("a"), F.count_if(F.col("e") == "hf").alias("b")).where("a > 0 and b > 0").select("sid"),
+        "SELECT sid FROM inference_records WHERE lower(engine) = 'vllm' AND sid <> -1 INTERSECT SELECT sid FROM inference_records "
+        "WHERE lower(engine) = 'hf' AND sid <> -1",
+    ),
+    "top_n": Query(
+        lambda s, d: load(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "p_retailprice"),
+        "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25",
+    ),
+    "case_order_by_mean": Query(
+        lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(_R(F.avg("o_totalprice"), "mean"), _n()).orderBy(F.desc("mean"), "o_custkey").limit(100),
+        "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, count(*) AS n FROM orders GROUP BY 1 ORDER BY mean DESC, o_custkey LIMIT 100",
+    ),
+    "provisional_accept": Query(
+        lambda s, d: _gold(s, d).select("sid", "reviewed", (F.col("accepted_without_review") | ~F.col("reviewed")).alias("accepted")),
+        "SELECT sid, reviewed, accepted_without_review OR NOT reviewed AS accepted FROM gold_checklist",
+    ),
 }

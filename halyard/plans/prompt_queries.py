@@ -187,46 +187,88 @@ _REG_SQL = lambda part: f"SELECT name, substr(sha1(string_agg(h, ',' ORDER BY b)
 
 QUERIES = {
     "no_issue_prefix": Query(lambda s, d: _inf(s, d).select("gen_id", H.no_issue_v2(F.col("generated")).alias("no_issue")), _NI2_SQL),
-    "clean_v1": Query(lambda s, d: _inf(s, d).where("generated_raw is not null").select("gen_id", H.clean_v1(F.col("generated_raw")).alias("cleaned")), _V1_SQL),
+    "clean_v1": Query(
+        lambda s, d: _inf(s, d).where("generated_raw is not null").select("gen_id", H.clean_v1(F.col("generated_raw")).alias("cleaned")),
+        _V1_SQL,
+    ),
     "clean_v2": Query(clean_v2, _V2_SQL),
     "collapse_repeats": Query(lambda s, d: load(s, d, "documents").select("doc_id", H.collapse_repeats(F.col("text")).alias("shown"))),
     "cell_normalize": Query(cells, _CELL_SQL),
     "nested_get": Query(
         lambda s, d: load(s, d, "gold_checklist").select("sid", F.struct(F.struct(F.get("check_items", F.lit(0)).alias("first")).alias("items")).alias("r")).select("sid", H.nested(F.col("r"), "items", "first", "finding").alias("finding"), H.nested(F.col("r"), "items", "first", "severity").alias("severity")),
-        f"SELECT sid, coalesce({STRIP_SQL('check_items[1].finding')}, '') AS finding, coalesce({STRIP_SQL('check_items[1].severity')}, '') AS severity FROM gold_checklist",
+        f"SELECT sid, coalesce({STRIP_SQL('check_items[1].finding')}, '') AS finding, coalesce({STRIP_SQL('check_items[1].severity')}, '') AS severity "
+        "FROM gold_checklist",
     ),
     "tag_longest_prefix": Query(tags, _TAG_SQL),
-    "category_normalize": Query(lambda s, d: load(s, d, "gold_checklist").select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), H.category(F.col("i.category")).alias("category")), f"SELECT sid, i.id AS id, {CATEGORY_SQL('i.category')} AS category FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)"),
-    "family_label": Query(lambda s, d: tags(s, d).select("gen_id", judging.family(F.col("model")).alias("family")), f"WITH x AS ({_TAG_SQL}) SELECT gen_id, CASE {' '.join(f'''WHEN contains(lower(model), '{k}') THEN '{k}' ''' for k in judging.FAMILIES)} ELSE 'other' END AS family FROM x"),
+    "category_normalize": Query(
+        lambda s, d: load(s, d, "gold_checklist").select("sid", F.explode("check_items").alias("i")).select("sid", F.col("i.id").alias("id"), H.category(F.col("i.category")).alias("category")),
+        f"SELECT sid, i.id AS id, {CATEGORY_SQL('i.category')} AS category FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist)",
+    ),
+    "family_label": Query(
+        lambda s, d: tags(s, d).select("gen_id", judging.family(F.col("model")).alias("family")),
+        f"WITH x AS ({_TAG_SQL}) SELECT gen_id, CASE {' '.join(f'''WHEN contains(lower(model), '{k}') THEN '{k}' ''' for k in judging.FAMILIES)} ELSE 'other' END AS family "
+        "FROM x",
+    ),
     "leak_pattern_counts": Query(leaks, _LEAK_SQL),
-    "ngram_repetition": Query(lambda s, d: _inf(s, d).where("generated is not null").select("gen_id", H.repeats(H.tokens(F.col("generated"))).alias("repeats")), f"SELECT gen_id, {_REPEATS('t')} AS repeats FROM (SELECT gen_id, {_WORDS('generated')} AS t FROM inference_records WHERE generated IS NOT NULL)"),
+    "ngram_repetition": Query(
+        lambda s, d: _inf(s, d).where("generated is not null").select("gen_id", H.repeats(H.tokens(F.col("generated"))).alias("repeats")),
+        f"SELECT gen_id, {_REPEATS('t')} AS repeats FROM (SELECT gen_id, {_WORDS('generated')} AS t FROM inference_records WHERE generated IS NOT NULL)",
+    ),
     "json_extract_robust": Query(
         lambda s, d: answers(s, d).select("event_id", F.get_json_object(H.first_json(F.col("text")), "$.k").alias("k"), H.first_json(F.col("text"), "arr").isNotNull().alias("array")),
-        f"WITH {_ANSWER_SQL}, j AS (SELECT event_id, {_JSON_SQL('(?s)[{].*[}]')} AS o, {_JSON_SQL('(?s)[[].*[]]')} AS r FROM a) SELECT event_id, CASE WHEN o IS NOT NULL THEN json_extract_string(o, '$.k') END AS k, r IS NOT NULL AS array FROM j",
+        f"WITH {_ANSWER_SQL}, j AS (SELECT event_id, {_JSON_SQL('(?s)[{].*[}]')} AS o, {_JSON_SQL('(?s)[[].*[]]')} AS r FROM a) SELECT event_id, CASE "
+        "WHEN o IS NOT NULL THEN json_extract_string(o, '$.k') END AS k, r IS NOT NULL AS array FROM j",
+    ),
+    "result_score_parse": Query(
+        lambda s, d: answers(s, d).select("event_id", H.result_score(F.col("text")).alias("score")),
+        f"WITH {_ANSWER_SQL} SELECT event_id, TRY_CAST(nullif(regexp_extract(text, '\\[RESULT\\]\\s*\\(?\\s*([1-5])\\s*\\)?', 1), '') AS DOUBLE) AS score FROM a",
+    ),
+    "score_parse_fallback": Query(
+        lambda s, d: answers(s, d).select("event_id", F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit("[1-5]"), 0), F.lit(-1)).cast("double"), F.lit(3.0)).alias("score")),
+        f"WITH {_ANSWER_SQL} SELECT event_id, coalesce(CAST(regexp_extract_all(text, '[1-5]')[-1] AS DOUBLE), 3.0) AS score FROM a",
+    ),
+    "pending_retry_antijoin": Query(
+        retry,
+        "SELECT event_id, CASE WHEN event_id % 5 <= 2 THEN CAST(event_id % 5 AS INT) END AS attempt, CASE "
+        "WHEN event_id % 5 <= 2 THEN json_extract_string(props, '$.k') END AS k FROM events",
     ),
-    "result_score_parse": Query(lambda s, d: answers(s, d).select("event_id", H.result_score(F.col("text")).alias("score")), f"WITH {_ANSWER_SQL} SELECT event_id, TRY_CAST(nullif(regexp_extract(text, '\\[RESULT\\]\\s*\\(?\\s*([1-5])\\s*\\)?', 1), '') AS DOUBLE) AS score FROM a"),
-    "score_parse_fallback": Query(lambda s, d: answers(s, d).select("event_id", F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit("[1-5]"), 0), F.lit(-1)).cast("double"), F.lit(3.0)).alias("score")), f"WITH {_ANSWER_SQL} SELECT event_id, coalesce(CAST(regexp_extract_all(text, '[1-5]')[-1] AS DOUBLE), 3.0) AS score FROM a"),
-    "pending_retry_antijoin": Query(retry, "SELECT event_id, CASE WHEN event_id % 5 <= 2 THEN CAST(event_id % 5 AS INT) END AS attempt, CASE WHEN event_id % 5 <= 2 THEN json_extract_string(props, '$.k') END AS k FROM events"),
     "emr_assembly": Query(emr_assembly, _EMR_SQL),
     "section_split": Query(lambda s, d: emr.sections(_bank(s, d), "rec_id", "emr"), _SECTION_SQL),
-    "prompt_render": Query(lambda s, d: _bank(s, d).select("rec_id", P.user_prompt(F.col("emr"), F.col("vital")).alias("prompt")), f"SELECT rec_id, {_FRAME_SQL("coalesce(emr, '')")} AS prompt FROM fewshot_bank"),
+    "prompt_render": Query(
+        lambda s, d: _bank(s, d).select("rec_id", P.user_prompt(F.col("emr"), F.col("vital")).alias("prompt")),
+        f"SELECT rec_id, {_FRAME_SQL("coalesce(emr, '')")} AS prompt FROM fewshot_bank",
+    ),
     "left_truncate": Query(prompt_fit, _FIT_SQL),
     "prompt_budget_max": Query(
         lambda s, d: prompt_fit(s, d).agg(F.max(P.words(F.col("prompt"))).alias("most"), F.count_if("cut").alias("cut"), F.count_if(F.col("prompt").isNull()).alias("too_small")),
-        f"WITH f AS ({_FIT_SQL}) SELECT CAST(max({_COUNT('prompt')}) AS INT) AS most, count(*) FILTER (WHERE cut) AS cut, count(*) FILTER (WHERE prompt IS NULL) AS too_small FROM f",
+        f"WITH f AS ({_FIT_SQL}) SELECT CAST(max({_COUNT('prompt')}) AS INT) AS most, count(*) FILTER (WHERE cut) AS cut, "
+        "count(*) FILTER (WHERE prompt IS NULL) AS too_small FROM f",
     ),
     "chat_flatten": Query(
         lambda s, d: _inf(s, d).where("generated is not null").select("gen_id", P.chat(F.lit(_SYSTEM), F.col("prompt_text"), F.col("generated"), True).alias("chat"), P.chat(F.lit(_SYSTEM), F.col("prompt_text"), None, False).alias("merged")),
-        f"SELECT gen_id, {_CHAT_SQL('prompt_text')} || '<|assistant|>' || chr(10) || generated || chr(10) AS chat, '<|user|>' || chr(10) || '{_SYSTEM}' || chr(10) || chr(10) || prompt_text || chr(10) || '<|assistant|>' || chr(10) AS merged FROM inference_records WHERE generated IS NOT NULL",
+        f"SELECT gen_id, {_CHAT_SQL('prompt_text')} || '<|assistant|>' || chr(10) || generated || chr(10) AS chat, "
+        f"'<|user|>' || chr(10) || '{_SYSTEM}' || chr(10) || chr(10) || prompt_text || chr(10) || '<|assistant|>' || chr(10) AS merged FROM inference_records "
+        "WHERE generated IS NOT NULL",
+    ),
+    "output_wrapped": Query(
+        lambda s, d: _inf(s, d).where("generated is not null").select("gen_id", H.wrapped(F.col("generated")).alias("wrapped")),
+        f"SELECT gen_id, '{H.OUTPUT_OPEN}' || chr(10) || generated || chr(10) || '{H.OUTPUT_CLOSE}' AS wrapped FROM inference_records WHERE generated IS NOT NULL",
+    ),
+    "dpo_filter": Query(
+        lambda s, d: preference(s, d).select("gen_id", F.length("chosen").alias("chosen"), F.length("rejected").alias("rejected")),
+        f"WITH {_PREF_SQL} SELECT gen_id, length(chosen) AS chosen, length(rejected) AS rejected FROM pref",
+    ),
+    "sft_explode": Query(
+        lambda s, d: training(s, d).select("gen_id", "task", F.sha1("prompt").alias("prompt"), F.sha1("whole").alias("whole"), "target"),
+        f"WITH {_TRAIN_SQL} SELECT gen_id, task, sha1(prompt) AS prompt, sha1(whole) AS whole, target FROM train",
     ),
-    "output_wrapped": Query(lambda s, d: _inf(s, d).where("generated is not null").select("gen_id", H.wrapped(F.col("generated")).alias("wrapped")), f"SELECT gen_id, '{H.OUTPUT_OPEN}' || chr(10) || generated || chr(10) || '{H.OUTPUT_CLOSE}' AS wrapped FROM inference_records WHERE generated IS NOT NULL"),
-    "dpo_filter": Query(lambda s, d: preference(s, d).select("gen_id", F.length("chosen").alias("chosen"), F.length("rejected").alias("rejected")), f"WITH {_PREF_SQL} SELECT gen_id, length(chosen) AS chosen, length(rejected) AS rejected FROM pref"),
-    "sft_explode": Query(lambda s, d: training(s, d).select("gen_id", "task", F.sha1("prompt").alias("prompt"), F.sha1("whole").alias("whole"), "target"), f"WITH {_TRAIN_SQL} SELECT gen_id, task, sha1(prompt) AS prompt, sha1(whole) AS whole, target FROM train"),
     "label_mask": Query(label_mask, _MASK_SQL),
     "dpo_fit": Query(dpo_fit, _DPO_SQL),
     "simpo_loss": Query(simpo, _SIMPO_SQL),
     "fingerprint_diff": Query(
         fingerprint_diff,
-        f"WITH a AS ({_REG_SQL(0)}), c AS ({_REG_SQL(1)}), b AS (SELECT * FROM a WHERE name <> 'guideline' UNION ALL SELECT * FROM c WHERE name = 'guideline') SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.digest <> b.digest THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.name = b.name",
+        f"WITH a AS ({_REG_SQL(0)}), c AS ({_REG_SQL(1)}), b AS (SELECT * FROM a WHERE name <> 'guideline' UNION ALL SELECT * FROM c "
+        "WHERE name = 'guideline') SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' "
+        "WHEN a.digest <> b.digest THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.name = b.name",
     ),
 }

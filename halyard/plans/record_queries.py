@@ -79,21 +79,72 @@ c AS (SELECT idx, p, CASE WHEN len(t) > 0 THEN list_transform(range(0, (len(t) -
 m AS (SELECT idx, max(list_max(list_transform(c, lambda y: len(list_filter(y, lambda w: list_contains(p, w))) / len(y)))) AS scale FROM c GROUP BY idx)"""
 
 QUERIES = {
-    "split_in_two": Query(lambda s, d: splits.split_in_two(_bank(s, d).where("sid <> -1"), "sid", 40), f"WITH k AS ({_FEW_SQL}) SELECT sid, CASE WHEN row_number() OVER (ORDER BY {_KEY_SQL('sid')}, sid) <= 40 THEN 'few' ELSE 'rest' END AS part FROM k"),
-    "leak_overlap": Query(lambda s, d: splits.overlap(_split(s, d, "sft"), _split(s, d, "dev", "gold"), "sid"), "SELECT DISTINCT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1 AND sid IN (SELECT sid FROM fewshot_bank WHERE split IN ('dev', 'gold'))"),
-    "key_census": Query(lambda s, d: load(s, d, "emr_case").select("sid", F.lit(1).alias("l")).join(load(s, d, "vital_df").where("sid <> -1").select("sid").distinct().withColumn("r", F.lit(1)), "sid", "full").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("emr_only"), F.count_if(F.col("l").isNull()).alias("vital_only")), "SELECT count(*) FILTER (WHERE e.sid IS NOT NULL AND v.sid IS NOT NULL) AS both, count(*) FILTER (WHERE v.sid IS NULL) AS emr_only, count(*) FILTER (WHERE e.sid IS NULL) AS vital_only FROM emr_case e FULL JOIN (SELECT DISTINCT sid FROM vital_df WHERE sid <> -1) v ON e.sid = v.sid"),
-    "split_manifest": Query(lambda s, d: _bank(s, d).groupBy("split").agg(_n(), F.countDistinct("sid").alias("sids"), F.count_if(F.col("sid") == -1).alias("unread"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")), "SELECT split, count(*) AS n, count(DISTINCT sid) AS sids, count(*) FILTER (WHERE sid = -1) AS unread, min(rec_id) AS lo, max(rec_id) AS hi FROM fewshot_bank GROUP BY split"),
-    "identical_output_groups": Query(lambda s, d: _inf(s, d).where("generated is not null").groupBy(F.sha1("generated").alias("h")).agg(_n(), F.min("gen_id").alias("first")).where("n > 1"), "SELECT sha1(generated) AS h, count(*) AS n, min(gen_id) AS first FROM inference_records WHERE generated IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
-    "subsample_hash": Query(lambda s, d: load(s, d, "documents").select("doc_id").orderBy(splits.order_key(F.col("doc_id")), "doc_id").limit(100), f"SELECT doc_id FROM documents ORDER BY {_KEY_SQL('doc_id')}, doc_id LIMIT 100"),
-    "left_default": Query(lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", "gold_text"), "sid", "left").select("sid", F.coalesce("gold_text", F.lit("")).alias("gold")), "SELECT sid, coalesce(gold_text, '') AS gold FROM emr_case LEFT JOIN gold_checklist USING (sid)"),
-    "union_first_wins": Query(lambda s, d: _bank(s, d).where("sid <> -1").withColumn("k", F.row_number().over(W.partitionBy("sid").orderBy(F.when(F.col("split") == "gold", 0).when(F.col("split") == "dev", 1).when(F.col("split") == "fewshot", 2).otherwise(3), "rec_id"))).where("k = 1").select("sid", "split", "rec_id"), "SELECT sid, split, rec_id FROM fewshot_bank WHERE sid <> -1 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY CASE split WHEN 'gold' THEN 0 WHEN 'dev' THEN 1 WHEN 'fewshot' THEN 2 ELSE 3 END, rec_id) = 1"),
-    "intersect": Query(lambda s, d: _split(s, d, "dev").select("sid").intersect(_split(s, d, "fewshot").select("sid")), "SELECT sid FROM fewshot_bank WHERE split = 'dev' AND sid <> -1 INTERSECT SELECT sid FROM fewshot_bank WHERE split = 'fewshot' AND sid <> -1"),
-    "except": Query(lambda s, d: _split(s, d, "gold").select("sid").subtract(_split(s, d, "sft").select("sid")), "SELECT sid FROM fewshot_bank WHERE split = 'gold' AND sid <> -1 EXCEPT SELECT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1"),
-    "distinct_policies": Query(lambda s, d: _inf(s, d).select(F.lower("engine").alias("engine"), F.lower("gen_status").alias("status")).distinct(), "SELECT DISTINCT lower(engine) AS engine, lower(gen_status) AS status FROM inference_records"),
-    "review_counts": Query(lambda s, d: _gold(s, d).agg(F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed") & F.col("accepted_without_review")).alias("accepted"), F.count_if(~F.col("reviewed") & ~F.col("accepted_without_review")).alias("provisional")), "SELECT count(*) FILTER (WHERE reviewed) AS reviewed, count(*) FILTER (WHERE NOT reviewed AND accepted_without_review) AS accepted, count(*) FILTER (WHERE NOT reviewed AND NOT accepted_without_review) AS provisional FROM gold_checklist"),
-    "gold_note": Query(lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("i.severity") == "critical", 0).when(F.col("i.severity") == "major", 1).otherwise(2).alias("o"), F.col("i.id").alias("id"), F.col("i.finding").alias("f")))), lambda x: x["f"]), "\n").alias("note")), "SELECT sid, string_agg(i.finding, chr(10) ORDER BY CASE i.severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, i.id) AS note FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist) GROUP BY sid"),
-    "top1_per_group": Query(lambda s, d: load(s, d, "orders").withColumn("k", F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("k = 1").select("o_orderpriority", "o_orderkey", "o_totalprice"), "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1"),
-    "rank_two_key": Query(lambda s, d: load(s, d, "customer").orderBy(F.coalesce("c_acctbal", F.lit(0)).desc(), "c_custkey").limit(50).select("c_custkey", "c_acctbal"), "SELECT c_custkey, c_acctbal FROM customer ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 50"),
+    "split_in_two": Query(
+        lambda s, d: splits.split_in_two(_bank(s, d).where("sid <> -1"), "sid", 40),
+        f"WITH k AS ({_FEW_SQL}) SELECT sid, CASE WHEN row_number() OVER (ORDER BY {_KEY_SQL('sid')}, sid) <= 40 THEN 'few' ELSE 'rest' END AS part FROM k",
+    ),
+    "leak_overlap": Query(
+        lambda s, d: splits.overlap(_split(s, d, "sft"), _split(s, d, "dev", "gold"), "sid"),
+        "SELECT DISTINCT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1 AND sid IN (SELECT sid FROM fewshot_bank WHERE split IN ('dev', 'gold'))",
+    ),
+    "key_census": Query(
+        lambda s, d: load(s, d, "emr_case").select("sid", F.lit(1).alias("l")).join(load(s, d, "vital_df").where("sid <> -1").select("sid").distinct().withColumn("r", F.lit(1)), "sid", "full").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("emr_only"), F.count_if(F.col("l").isNull()).alias("vital_only")),
+        "SELECT count(*) FILTER (WHERE e.sid IS NOT NULL AND v.sid IS NOT NULL) AS both, count(*) FILTER (WHERE v.sid IS NULL) AS emr_only, "
+        "count(*) FILTER (WHERE e.sid IS NULL) AS vital_only FROM emr_case e FULL JOIN (SELECT DISTINCT sid FROM vital_df WHERE sid <> -1) v ON e.sid = v.sid",
+    ),
+    "split_manifest": Query(
+        lambda s, d: _bank(s, d).groupBy("split").agg(_n(), F.countDistinct("sid").alias("sids"), F.count_if(F.col("sid") == -1).alias("unread"), F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")),
+        "SELECT split, count(*) AS n, count(DISTINCT sid) AS sids, count(*) FILTER (WHERE sid = -1) AS unread, min(rec_id) AS lo, max(rec_id) AS hi "
+        "FROM fewshot_bank GROUP BY split",
+    ),
+    "identical_output_groups": Query(
+        lambda s, d: _inf(s, d).where("generated is not null").groupBy(F.sha1("generated").alias("h")).agg(_n(), F.min("gen_id").alias("first")).where("n > 1"),
+        "SELECT sha1(generated) AS h, count(*) AS n, min(gen_id) AS first FROM inference_records WHERE generated IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    ),
+    "subsample_hash": Query(
+        lambda s, d: load(s, d, "documents").select("doc_id").orderBy(splits.order_key(F.col("doc_id")), "doc_id").limit(100),
+        f"SELECT doc_id FROM documents ORDER BY {_KEY_SQL('doc_id')}, doc_id LIMIT 100",
+    ),
+    "left_default": Query(
+        lambda s, d: load(s, d, "emr_case").select("sid").join(_gold(s, d).select("sid", "gold_text"), "sid", "left").select("sid", F.coalesce("gold_text", F.lit("")).alias("gold")),
+        "SELECT sid, coalesce(gold_text, '') AS gold FROM emr_case LEFT JOIN gold_checklist USING (sid)",
+    ),
+    "union_first_wins": Query(
+        lambda s, d: _bank(s, d).where("sid <> -1").withColumn("k", F.row_number().over(W.partitionBy("sid").orderBy(F.when(F.col("split") == "gold", 0).when(F.col("split") == "dev", 1).when(F.col("split") == "fewshot", 2).otherwise(3), "rec_id"))).where("k = 1").select("sid", "split", "rec_id"),
+        "SELECT sid, split, rec_id FROM fewshot_bank WHERE sid <> -1 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY CASE split WHEN 'gold' THEN 0 "
+        "WHEN 'dev' THEN 1 WHEN 'fewshot' THEN 2 ELSE 3 END, rec_id) = 1",
+    ),
+    "intersect": Query(
+        lambda s, d: _split(s, d, "dev").select("sid").intersect(_split(s, d, "fewshot").select("sid")),
+        "SELECT sid FROM fewshot_bank WHERE split = 'dev' AND sid <> -1 INTERSECT SELECT sid FROM fewshot_bank WHERE split = 'fewshot' AND sid <> -1",
+    ),
+    "except": Query(
+        lambda s, d: _split(s, d, "gold").select("sid").subtract(_split(s, d, "sft").select("sid")),
+        "SELECT sid FROM fewshot_bank WHERE split = 'gold' AND sid <> -1 EXCEPT SELECT sid FROM fewshot_bank WHERE split = 'sft' AND sid <> -1",
+    ),
+    "distinct_policies": Query(
+        lambda s, d: _inf(s, d).select(F.lower("engine").alias("engine"), F.lower("gen_status").alias("status")).distinct(),
+        "SELECT DISTINCT lower(engine) AS engine, lower(gen_status) AS status FROM inference_records",
+    ),
+    "review_counts": Query(
+        lambda s, d: _gold(s, d).agg(F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed") & F.col("accepted_without_review")).alias("accepted"), F.count_if(~F.col("reviewed") & ~F.col("accepted_without_review")).alias("provisional")),
+        "SELECT count(*) FILTER (WHERE reviewed) AS reviewed, count(*) FILTER (WHERE NOT reviewed AND accepted_without_review) AS accepted, "
+        "count(*) FILTER (WHERE NOT reviewed AND NOT accepted_without_review) AS provisional FROM gold_checklist",
+    ),
+    "gold_note": Query(
+        lambda s, d: _gold(s, d).select("sid", F.explode("check_items").alias("i")).groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("i.severity") == "critical", 0).when(F.col("i.severity") == "major", 1).otherwise(2).alias("o"), F.col("i.id").alias("id"), F.col("i.finding").alias("f")))), lambda x: x["f"]), "\n").alias("note")),
+        "SELECT sid, string_agg(i.finding, chr(10) ORDER BY CASE i.severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, i.id) AS note "
+        "FROM (SELECT sid, unnest(check_items) AS i FROM gold_checklist) GROUP BY sid",
+    ),
+    "top1_per_group": Query(
+        lambda s, d: load(s, d, "orders").withColumn("k", F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("k = 1").select("o_orderpriority", "o_orderkey", "o_totalprice"),
+        "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, "
+        "o_orderkey) = 1",
+    ),
+    "rank_two_key": Query(
+        lambda s, d: load(s, d, "customer").orderBy(F.coalesce("c_acctbal", F.lit(0)).desc(), "c_custkey").limit(50).select("c_custkey", "c_acctbal"),
+        "SELECT c_custkey, c_acctbal FROM customer ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 50",
+    ),
     "stratified_quota": Query(
         lambda s, d: splits.stratified(_gold(s, d), "sid", "is_normal_case", 12),
         f"""WITH g AS (SELECT sid, coalesce(is_normal_case, false) AS is_normal_case FROM gold_checklist), q AS (SELECT least(round_even(12 * count(*) FILTER (WHERE is_normal_case) / count(*), 0), count(*) FILTER (WHERE is_normal_case)) AS q FROM g)
@@ -102,17 +153,24 @@ SELECT sid, is_normal_case, row_number() OVER (PARTITION BY is_normal_case ORDER
     "fewshot_topk_per_row": Query(fewshot_topk, f"WITH {_DRAW_SQL} SELECT rec_id, shot, k FROM drawn JOIN bank USING (pos)"),
     "fewshot_block": Query(
         fewshot_block,
-        f"WITH {_DRAW_SQL} SELECT rec_id, '### EXAMPLES' || chr(10) || string_agg(chr(10) || 'Example ' || k || chr(10) || substr(coalesce(emr, ''), 1, 700) || chr(10) || 'Handoff' || chr(10) || coalesce(handoff, '') || chr(10) || '--', chr(10) ORDER BY k) AS block FROM drawn JOIN bank USING (pos) GROUP BY rec_id",
+        f"WITH {_DRAW_SQL} SELECT rec_id, '### EXAMPLES' || chr(10) || string_agg(chr(10) || 'Example ' || k || chr(10) || substr(coalesce(emr, ''), 1, "
+        "700) || chr(10) || 'Handoff' || chr(10) || coalesce(handoff, '') || chr(10) || '--', chr(10) ORDER BY k) AS block FROM drawn JOIN bank USING (pos) "
+        "GROUP BY rec_id",
     ),
     "split_fingerprint": Query(
         lambda s, d: splits.fingerprint(_bank(s, d).where("sid <> -1"), "split", "sid"),
-        "WITH k AS (SELECT DISTINCT split, sid FROM fewshot_bank WHERE sid <> -1), b AS (SELECT split, sid % 1024 AS b, count(*) AS n, sha1(string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid)) AS h FROM k GROUP BY ALL) SELECT split, CAST(sum(n) AS BIGINT) AS n, substr(sha1(string_agg(h, ',' ORDER BY b)), 1, 16) AS digest FROM b GROUP BY split",
+        "WITH k AS (SELECT DISTINCT split, sid FROM fewshot_bank WHERE sid <> -1), b AS (SELECT split, sid % 1024 AS b, count(*) AS n, "
+        "sha1(string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid)) AS h FROM k GROUP BY ALL) SELECT split, CAST(sum(n) AS BIGINT) AS n, "
+        "substr(sha1(string_agg(h, ',' ORDER BY b)), 1, 16) AS digest FROM b GROUP BY split",
     ),
     "strict_inner_with_miss_count": Query(
         lambda s, d: splits.strict_join(_inf(s, d).where("sid <> -1").select("sid", "gen_id"), load(s, d, "emr_case").select("sid", "idx"), "sid", "records").groupBy((F.col("idx") % 10).alias("part")).agg(_n(), F.countDistinct("sid").alias("sids")),
         "SELECT c.idx % 10 AS part, count(*) AS n, count(DISTINCT r.sid) AS sids FROM inference_records r JOIN emr_case c USING (sid) WHERE r.sid <> -1 GROUP BY 1",
     ),
-    "sid_set": Query(lambda s, d: splits.require_sids(_split(s, d, "dev", "gold"), "evaluation"), "SELECT DISTINCT sid FROM fewshot_bank WHERE split IN ('dev', 'gold') AND sid <> -1"),
+    "sid_set": Query(
+        lambda s, d: splits.require_sids(_split(s, d, "dev", "gold"), "evaluation"),
+        "SELECT DISTINCT sid FROM fewshot_bank WHERE split IN ('dev', 'gold') AND sid <> -1",
+    ),
     "scores_with_scale": Query(
         scores_with_scale,
         f"""WITH {_SCALE_SQL} SELECT gen_id, idx, round(scale, 6) AS scale FROM inference_records LEFT JOIN m USING (idx)""",
@@ -125,16 +183,22 @@ SELECT position, a.gen_id AS gen_id_a, b.gen_id AS gen_id_b, a.n AS n_a, b.n AS
     ),
     "checksum_diff": Query(
         checksum_diff,
-        f"WITH a AS ({_MANIFEST_SQL(0)}), b AS ({_MANIFEST_SQL(1)}) SELECT coalesce(a.model, b.model) AS model, coalesce(a.file, b.file) AS file, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' WHEN a.h <> b.h THEN 'mismatch' ELSE 'same' END AS state FROM a FULL JOIN b ON a.model = b.model AND a.file = b.file",
+        f"WITH a AS ({_MANIFEST_SQL(0)}), b AS ({_MANIFEST_SQL(1)}) SELECT coalesce(a.model, b.model) AS model, coalesce(a.file, b.file) AS file, CASE "
+        "WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' WHEN a.h <> b.h THEN 'mismatch' ELSE 'same' END AS state FROM a FULL "
+        "JOIN b ON a.model = b.model AND a.file = b.file",
     ),
     "ffill_merged_cells": Query(
         lambda s, d: load(s, d, "documents").select("sid", "doc_id", F.last("source", True).over(W.partitionBy("sid").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)).alias("source")),
         "SELECT sid, doc_id, last_value(source IGNORE NULLS) OVER (PARTITION BY sid ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS source FROM documents",
     ),
-    "avg_ignore_null": Query(lambda s, d: load(s, d, "emr_case").groupBy("dept").agg(_R(F.avg("age_years"), "age"), F.count("age_years").alias("n")), "SELECT dept, round(avg(age_years), 6) AS age, count(age_years) AS n FROM emr_case GROUP BY dept"),
+    "avg_ignore_null": Query(
+        lambda s, d: load(s, d, "emr_case").groupBy("dept").agg(_R(F.avg("age_years"), "age"), F.count("age_years").alias("n")),
+        "SELECT dept, round(avg(age_years), 6) AS age, count(age_years) AS n FROM emr_case GROUP BY dept",
+    ),
     "first_last_metric": Query(
         lambda s, d: load(s, d, "events").withColumn("v", F.when(F.col("value") >= 1, F.col("value"))).groupBy("user_id", "event_type").agg(F.min_by("v", F.struct("ts", "event_id")).alias("first"), F.max_by("v", F.struct("ts", "event_id")).alias("last"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or(F.col("v").isNull()).alias("gaps")),
-        "WITH e AS (SELECT *, CASE WHEN value >= 1 THEN value END AS v FROM events) SELECT user_id, event_type, first(v ORDER BY ts, event_id) AS first, last(v ORDER BY ts, event_id) AS last, min(v) AS lo, max(v) AS hi, bool_or(v IS NULL) AS gaps FROM e GROUP BY ALL",
+        "WITH e AS (SELECT *, CASE WHEN value >= 1 THEN value END AS v FROM events) SELECT user_id, event_type, first(v ORDER BY ts, event_id) AS first, "
+        "last(v ORDER BY ts, event_id) AS last, min(v) AS lo, max(v) AS hi, bool_or(v IS NULL) AS gaps FROM e GROUP BY ALL",
     ),
     "model_score_order": Query(
         lambda s, d: load(s, d, "orders").orderBy(F.asc_nulls_last("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey").limit(200).select("o_orderpriority", "o_totalprice", "o_orderkey"),

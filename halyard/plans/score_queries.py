@@ -266,9 +266,13 @@ SELECT gen_id, CAST(NULL AS DOUBLE) AS coverage, CAST(CASE k WHEN 1 THEN 0 END A
     ),
     "valid_ratio": Query(
         lambda s, d: judged(s, d).groupBy("judge").agg(_R(F.avg((~F.col("excluded")).cast("double")), "ratio")).withColumn("enough", F.col("ratio") >= 0.8),
-        f"WITH {_JUDGED_SQL} SELECT judge, round(avg(CAST(NOT excluded AS DOUBLE)), 6) AS ratio, round(avg(CAST(NOT excluded AS DOUBLE)), 6) >= 0.8 AS enough FROM judged GROUP BY 1",
+        f"WITH {_JUDGED_SQL} SELECT judge, round(avg(CAST(NOT excluded AS DOUBLE)), 6) AS ratio, round(avg(CAST(NOT excluded AS DOUBLE)), 6) >= 0.8 AS enough "
+        "FROM judged GROUP BY 1",
+    ),
+    "composite": Query(
+        lambda s, d: judged(s, d).select("case", "judge", _R("coverage"), _R("faithfulness"), "brevity", "composite", "excluded", "exclude_reason"),
+        f'WITH {_JUDGED_SQL} SELECT "case", judge, round(coverage, 6) AS coverage, round(faithfulness, 6) AS faithfulness, brevity, CASE WHEN NOT excluded THEN composite END AS composite, excluded, exclude_reason FROM judged',
     ),
-    "composite": Query(lambda s, d: judged(s, d).select("case", "judge", _R("coverage"), _R("faithfulness"), "brevity", "composite", "excluded", "exclude_reason"), f'WITH {_JUDGED_SQL} SELECT "case", judge, round(coverage, 6) AS coverage, round(faithfulness, 6) AS faithfulness, brevity, CASE WHEN NOT excluded THEN composite END AS composite, excluded, exclude_reason FROM judged'),
     "official_merge": Query(
         lambda s, d: scoring.official(judged(s, d), places=6),
         f"""WITH {_JUDGED_SQL}, g AS (SELECT "case", bool_or(excluded) AS excluded, coalesce(string_agg(judge || '=' || exclude_reason, ',' ORDER BY judge) FILTER (WHERE excluded), '') AS reasons, avg(coverage) AS c, avg(faithfulness) AS f, avg(brevity) AS b, avg(composite) AS k, count(*) AS judges FROM judged GROUP BY 1)
@@ -282,7 +286,9 @@ round(avg(brevity), 6) AS brevity, round(avg(composite), 6) AS composite, count(
     "variant_intervals": Query(variant_intervals),
     "coverage": Query(
         lambda s, d: scoring.coverage(verdicts(s, d).select("case", "item"), verdicts(s, d).select("case", "item", "status", "ord")).select("case", _R("coverage"), "failed"),
-        "WITH v AS (SELECT l_orderkey AS k, l_linenumber, arg_max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.5 ELSE 0.0 END, (l_shipdate, l_partkey, l_suppkey, l_returnflag)) AS p FROM lineitem GROUP BY ALL) SELECT k AS \"case\", round(sum(p) / count(*), 6) AS coverage, false AS failed FROM v GROUP BY 1",
+        "WITH v AS (SELECT l_orderkey AS k, l_linenumber, arg_max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.5 ELSE 0.0 END, (l_shipdate, "
+        "l_partkey, l_suppkey, l_returnflag)) AS p FROM lineitem GROUP BY ALL) SELECT k AS \"case\", round(sum(p) / count(*), 6) AS coverage, "
+        "false AS failed FROM v GROUP BY 1",
     ),
     "coverage_v2": Query(
         lambda s, d: scoring.coverage_v2(verdicts(s, d).select("case", "item"), verdicts(s, d).where("category <> 'other'").select("case", "item", "status", "ord")).select("case", _R("coverage")),
@@ -295,7 +301,8 @@ SELECT "case", round(avg(coalesce(p, 0.0)), 6) AS coverage FROM i LEFT JOIN w US
     ),
     "category_coverage": Query(
         lambda s, d: scoring.category_coverage(verdicts(s, d).withColumn("p", scoring.points(F.col("status")))).select("case", "category", "n", _R("score"), F.array_join("missed", ",").alias("missed"), (F.col("score") == 0).alias("all_missed")),
-        f"WITH {_VERDICT_SQL} SELECT \"case\", category, count(*) AS n, round(avg(p), 6) AS score, coalesce(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) FILTER (WHERE p = 0), '') AS missed, avg(p) = 0 AS all_missed FROM v WHERE category <> 'other' GROUP BY ALL",
+        f"WITH {_VERDICT_SQL} SELECT \"case\", category, count(*) AS n, round(avg(p), 6) AS score, coalesce(string_agg(CAST(item AS VARCHAR), ',' "
+        "ORDER BY item) FILTER (WHERE p = 0), '') AS missed, avg(p) = 0 AS all_missed FROM v WHERE category <> 'other' GROUP BY ALL",
     ),
     "score_v2": Query(
         lambda s, d: judged(s, d).join(load(s, d, "orders").select(F.col("o_orderkey").alias("case"), "o_orderstatus"), "case").select("case", "judge", scoring.score_v2(F.lit("ok"), F.col("o_orderstatus") != "O", F.lit(False), F.lit(False), F.col("coverage"), F.col("faithfulness"), F.col("brevity")).alias("score")),
@@ -303,17 +310,23 @@ SELECT "case", round(avg(coalesce(p, 0.0)), 6) AS coverage FROM i LEFT JOIN w US
     ),
     "score_v1": Query(
         lambda s, d: load(s, d, "inference_records").where("generated_raw is not null").select("gen_id", scoring.sum_v1(H.clean_v1(F.col("generated_raw"), "특이사항 없음"), F.col("generated_raw"), F.pmod("gen_id", F.lit(5)) + 1.0, F.pmod("idx", F.lit(5)) + 1.0, H.FAILED_V1).alias("score")),
-        "WITH x AS (SELECT gen_id, idx, generated_raw AS r FROM inference_records WHERE generated_raw IS NOT NULL) SELECT gen_id, CAST(CASE WHEN length(r) < 5 THEN 2 ELSE gen_id % 5 + idx % 5 + 2 END AS DOUBLE) AS score FROM x",
+        "WITH x AS (SELECT gen_id, idx, generated_raw AS r FROM inference_records WHERE generated_raw IS NOT NULL) SELECT gen_id, CAST(CASE "
+        "WHEN length(r) < 5 THEN 2 ELSE gen_id % 5 + idx % 5 + 2 END AS DOUBLE) AS score FROM x",
     ),
     "logit_expectation": Query(
         lambda s, d: load(s, d, "embeddings").select("vec_id", scoring.expectation(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10)).alias("score")),
-        "WITH x AS (SELECT vec_id, list_transform(embedding[1:5], lambda v: exp(CAST(v AS DOUBLE) * 10)) AS w FROM embeddings) SELECT vec_id, round(list_sum(list_transform(w, lambda v, k: v * k)) / list_sum(w), 4) AS score FROM x",
+        "WITH x AS (SELECT vec_id, list_transform(embedding[1:5], lambda v: exp(CAST(v AS DOUBLE) * 10)) AS w FROM embeddings) SELECT vec_id, "
+        "round(list_sum(list_transform(w, lambda v, k: v * k)) / list_sum(w), 4) AS score FROM x",
     ),
     "position_debias": Query(
         lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _R(scoring.debiased(F.col("l_discount") * 10, F.col("l_tax") * 10) * 4 + 1, "score")),
         "SELECT l_orderkey, l_linenumber, l_partkey, round((l_discount * 10 + (1 - l_tax * 10)) / 2 * 4 + 1, 6) AS score FROM lineitem",
     ),
-    "faithfulness_brevity": Query(lambda s, d: judged(s, d).groupBy("judge").agg(_R(F.avg("faithfulness"), "faithfulness"), F.count("faithfulness").alias("n_faith"), _R(F.avg("brevity"), "brevity"), F.count("brevity").alias("n_brev")), f"WITH {_JUDGED_SQL} SELECT judge, round(avg(faithfulness), 6) AS faithfulness, count(faithfulness) AS n_faith, round(avg(brevity), 6) AS brevity, count(brevity) AS n_brev FROM judged GROUP BY 1"),
+    "faithfulness_brevity": Query(
+        lambda s, d: judged(s, d).groupBy("judge").agg(_R(F.avg("faithfulness"), "faithfulness"), F.count("faithfulness").alias("n_faith"), _R(F.avg("brevity"), "brevity"), F.count("brevity").alias("n_brev")),
+        f"WITH {_JUDGED_SQL} SELECT judge, round(avg(faithfulness), 6) AS faithfulness, count(faithfulness) AS n_faith, round(avg(brevity), 6) AS brevity, "
+        "count(brevity) AS n_brev FROM judged GROUP BY 1",
+    ),
     "pair_total": Query(lambda s, d: pairs.totals(candidates(s, d)), f"WITH {_CAND_SQL} SELECT row_idx, ord, cov, fid, total FROM tot"),
     "pair_select": Query(
         lambda s, d: pairs.select_pairs(_totalled(s, d)),
@@ -323,20 +336,27 @@ SELECT row_idx, n, outcome, CASE WHEN outcome = 'kept' THEN b END AS chosen, CAS
     ),
     "chosen_rejected_v1": Query(
         lambda s, d: pairs.chosen_rejected_v1(_totalled(s, d)),
-        f"WITH {_CAND_SQL} SELECT row_idx, arg_max(ord, (total, -ord)) AS chosen, arg_min(ord, (total, sha1('42:' || row_idx || ':' || ord))) AS rejected FROM tot GROUP BY row_idx HAVING count(*) >= 2",
+        f"WITH {_CAND_SQL} SELECT row_idx, arg_max(ord, (total, -ord)) AS chosen, arg_min(ord, (total, sha1('42:' || row_idx || ':' || ord))) AS rejected "
+        "FROM tot GROUP BY row_idx HAVING count(*) >= 2",
     ),
     "gt_merge": Query(gt_merge, _GT_SQL),
     "gt_confirmed": Query(
         lambda s, d: review.confirmed(load(s, d, "gold_checklist").select("sid", F.when(F.col("reviewed"), " y").when(F.col("accepted_without_review"), "N").alias("ok"), F.when(F.pmod("sid", F.lit(6)) == 0, "  ").otherwise(F.col("gold_text")).alias("final_gt"))),
-        f"WITH x AS (SELECT sid, reviewed AS y, {STRIP_SQL("CASE WHEN sid % 6 = 0 THEN '' ELSE coalesce(gold_text, '') END")} AS t FROM gold_checklist) SELECT sid, CASE WHEN NOT coalesce(y, false) THEN 'skipped' WHEN t = '' THEN 'empty' ELSE 'confirmed' END AS state, CASE WHEN y AND t <> '' THEN t END AS final_gt FROM x",
+        f"WITH x AS (SELECT sid, reviewed AS y, {STRIP_SQL("CASE WHEN sid % 6 = 0 THEN '' ELSE coalesce(gold_text, '') END")} AS t FROM gold_checklist) "
+        "SELECT sid, CASE WHEN NOT coalesce(y, false) THEN 'skipped' WHEN t = '' THEN 'empty' ELSE 'confirmed' END AS state, CASE "
+        "WHEN y AND t <> '' THEN t END AS final_gt FROM x",
     ),
     "remap_override": Query(remap_override, _REMAP_SQL),
     "checklist_state": Query(checklist_state, _STATE_SQL),
     "items_by_category_with_empty": Query(
         lambda s, d: s.createDataFrame([(c,) for c in _CATS], "category string").join(load(s, d, "gold_checklist").select(F.explode("check_items").alias("i")).select(H.category(F.col("i.category")).alias("category"), F.col("i.id").alias("id")), "category", "left").groupBy("category").agg(F.count("id").alias("n")),
-        f"WITH i AS (SELECT {CATEGORY_SQL('i.category')} AS category, i.id AS id FROM (SELECT unnest(check_items) AS i FROM gold_checklist)) SELECT c.category, count(id) AS n FROM (VALUES {', '.join(f'({c!r})' for c in _CATS)}) c(category) LEFT JOIN i ON c.category = i.category GROUP BY 1",
+        f"WITH i AS (SELECT {CATEGORY_SQL('i.category')} AS category, i.id AS id FROM (SELECT unnest(check_items) AS i FROM gold_checklist)) "
+        f"SELECT c.category, count(id) AS n FROM (VALUES {', '.join(f'({c!r})' for c in _CATS)}) c(category) LEFT JOIN i ON c.category = i.category GROUP BY 1",
+    ),
+    "panel_eligibility": Query(
+        eligible,
+        f"WITH {_ROLES_SQL} SELECT t.model, j.model AS judge, t.family = j.family AS same_family FROM r t, r j WHERE t.role = 'trained' AND j.role = 'judge'",
     ),
-    "panel_eligibility": Query(eligible, f"WITH {_ROLES_SQL} SELECT t.model, j.model AS judge, t.family = j.family AS same_family FROM r t, r j WHERE t.role = 'trained' AND j.role = 'judge'"),
     "role_conflicts": Query(
         lambda s, d: roles.conflicts(_roles(s, d)),
         f"""WITH {_ROLES_SQL}, o AS (SELECT DISTINCT role, model, family FROM r), b AS (SELECT * FROM (VALUES ('teacher', 'judge', 'teacher_judges', 'error'), ('teacher', 'pair_judge', 'teacher_pairs', 'error'), ('pair_judge', 'judge', 'pair_judge_judges', 'error'), ('extractor', 'judge', 'extractor_judges', 'warning'), ('judge', 'trained', 'judge_trained', 'warning')) v(r1, r2, rule, level))
@@ -356,12 +376,22 @@ a AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - k + 1) * p)) OV
     ),
     "spearman_mad": Query(
         lambda s, d: S.spearman(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", _R("rho"), _R("mad")),
-        f"WITH r AS (SELECT grp, a, b, {RANKED('a', 'grp')} AS ra, {RANKED('b', 'grp')} AS rb FROM {_PAIRED_SQL}) SELECT grp, count(*) AS n, round(corr(ra, rb), 6) AS rho, round(avg(abs(a - b)), 6) AS mad FROM r GROUP BY 1",
+        f"WITH r AS (SELECT grp, a, b, {RANKED('a', 'grp')} AS ra, {RANKED('b', 'grp')} AS rb FROM {_PAIRED_SQL}) SELECT grp, count(*) AS n, round(corr(ra, "
+        "rb), 6) AS rho, round(avg(abs(a - b)), 6) AS mad FROM r GROUP BY 1",
+    ),
+    "paired_t_stats": Query(
+        lambda s, d: S.paired_t(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", _R("mean_diff"), _R("t"), _R("p"), _R("dz")),
+        f"WITH {_T_SQL} SELECT grp, n, round(m, 6) AS mean_diff, round(t, 6) AS t, round({BOTH_SIDES_T('t', 'n - 1')}, 6) AS p, round(m / sd, 6) AS dz FROM t1",
     ),
-    "paired_t_stats": Query(lambda s, d: S.paired_t(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", _R("mean_diff"), _R("t"), _R("p"), _R("dz")), f"WITH {_T_SQL} SELECT grp, n, round(m, 6) AS mean_diff, round(t, 6) AS t, round({BOTH_SIDES_T('t', 'n - 1')}, 6) AS p, round(m / sd, 6) AS dz FROM t1"),
     "paired_t_interval": Query(lambda s, d: S.paired_t(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", "lo", "hi")),
-    "wilcoxon_w": Query(lambda s, d: S.wilcoxon(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", "w_plus", "w_minus", _R("z"), _R("p")), f"WITH {_W_SQL} SELECT grp, n, w_plus, w_minus, round(z, 6) AS z, round({TAIL_Z('z')}, 6) AS p FROM w2"),
-    "sign_counts": Query(lambda s, d: S.sign_test(_PAIRED(s, d), "grp", "a", "b").select("grp", "wins", "losses", "ties", _R("rank_biserial"), _R("p")), f"WITH {_SIGN_SQL} SELECT grp, wins, losses, ties, round(rb, 6) AS rank_biserial, round(p, 6) AS p FROM s1"),
+    "wilcoxon_w": Query(
+        lambda s, d: S.wilcoxon(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", "w_plus", "w_minus", _R("z"), _R("p")),
+        f"WITH {_W_SQL} SELECT grp, n, w_plus, w_minus, round(z, 6) AS z, round({TAIL_Z('z')}, 6) AS p FROM w2",
+    ),
+    "sign_counts": Query(
+        lambda s, d: S.sign_test(_PAIRED(s, d), "grp", "a", "b").select("grp", "wins", "losses", "ties", _R("rank_biserial"), _R("p")),
+        f"WITH {_SIGN_SQL} SELECT grp, wins, losses, ties, round(rb, 6) AS rank_biserial, round(p, 6) AS p FROM s1",
+    ),
     "compare_v1": Query(
         lambda s, d: S.compare_v1(_PAIRED(s, d), "grp", "a", "b").select("grp", "n", *[_R(c) for c in ("mean_diff", "t", "p_t", "dz", "lo", "hi")], "w", _R("p_w"), "wins", "losses", _R("rank_biserial"), _R("p_sign")),
         f"""WITH {_T_SQL}, {_W_SQL}, {_SIGN_SQL} SELECT grp, t1.n, round(m, 6) AS mean_diff, round(t, 6) AS t, round({BOTH_SIDES_T('t', 't1.n - 1')}, 6) AS p_t, round(m / sd, 6) AS dz, round(m - 1.984 * sd / sqrt(t1.n), 6) AS lo, round(m + 1.984 * sd / sqrt(t1.n), 6) AS hi,
@@ -374,10 +404,14 @@ least(w_plus, w_minus) AS w, round({TAIL_Z('z')}, 6) AS p_w, wins, losses, round
     ),
     "generations_with_scores": Query(
         with_scores,
-        f"WITH {FAST_SQL}, l AS (SELECT sid, arg_max(composite, gen_id) FILTER (WHERE true) AS c0, first(composite ORDER BY gen_id DESC) AS composite, first(gate ORDER BY gen_id DESC) AS gate FROM fast GROUP BY sid) SELECT r.gen_id, r.sid, l.composite, l.gate FROM inference_records r LEFT JOIN l USING (sid)",
+        f"WITH {FAST_SQL}, l AS (SELECT sid, arg_max(composite, gen_id) FILTER (WHERE true) AS c0, first(composite ORDER BY gen_id DESC) AS composite, "
+        "first(gate ORDER BY gen_id DESC) AS gate FROM fast GROUP BY sid) SELECT r.gen_id, r.sid, l.composite, l.gate FROM inference_records r LEFT "
+        "JOIN l USING (sid)",
     ),
     "outputs_with_earlier": Query(
         beside_earlier,
-        "WITH x AS (SELECT lower(engine) AS e, sid, max(gen_id) AS g, length(arg_max(generated, gen_id)) AS n FROM inference_records WHERE sid <> -1 AND generated IS NOT NULL GROUP BY ALL) SELECT a.sid, a.g AS gen_id, a.n, b.g AS earlier, b.n AS n_earlier FROM x a LEFT JOIN x b ON b.sid = a.sid AND b.e = 'hf' WHERE a.e = 'vllm'",
+        "WITH x AS (SELECT lower(engine) AS e, sid, max(gen_id) AS g, length(arg_max(generated, gen_id)) AS n FROM inference_records "
+        "WHERE sid <> -1 AND generated IS NOT NULL GROUP BY ALL) SELECT a.sid, a.g AS gen_id, a.n, b.g AS earlier, b.n AS n_earlier FROM x a LEFT "
+        "JOIN x b ON b.sid = a.sid AND b.e = 'hf' WHERE a.e = 'vllm'",
     ),
 }

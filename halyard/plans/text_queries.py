@@ -55,13 +55,40 @@ def length_percentiles(spark, d):
 
 
 QUERIES = {
-    "clean_status": Query(clean_status, f"""WITH {CLEAN_SQL} SELECT gen_id, cleaned, status, array_to_string(list_filter([CASE WHEN contains(lower(raw), '<think>') THEN 'had_think_block' END, CASE WHEN regexp_matches(closed, '{_ROLE_SQL}') THEN 'had_role_lines' END,
-CASE WHEN status = 'ok' AND regexp_matches(cleaned, '(?:을|를|이|가|에|의|로|와|과|은|는){_SP}*$') AND NOT ({_ENDS}) THEN 'maybe_truncated' END], lambda x: x IS NOT NULL), ',') AS flags FROM cleaned WHERE raw IS NOT NULL"""),
-    "foreign_share": Query(lambda s, d: _cleaned(s, d).where("raw is not null").select("gen_id", F.round(H.foreign_share(F.col("cleaned")), 6).alias("share")), f"WITH {CLEAN_SQL} SELECT gen_id, round(foreign_share, 6) AS share FROM cleaned WHERE raw IS NOT NULL"),
-    "no_issue_exact": Query(lambda s, d: load(s, d, "inference_records").select("gen_id", H.no_issue(F.col("generated")).alias("no_issue")), f"SELECT gen_id, {_NO_ISSUE_SQL('generated')} AS no_issue FROM inference_records"),
-    "normalize_dedup": Query(dedup_candidates, f"WITH {CLEAN_SQL}, k AS (SELECT gen_id, sid, {_SQUEEZE('cleaned')} AS key FROM cleaned JOIN inference_records USING (gen_id) WHERE raw IS NOT NULL AND status = 'ok' AND sid <> -1) SELECT gen_id, sid, key FROM k QUALIFY row_number() OVER (PARTITION BY sid, key ORDER BY gen_id) = 1"),
-    "status_disagreement": Query(lambda s, d: _cleaned(s, d).where("raw is not null").join(load(s, d, "inference_records").select("gen_id", F.lower("gen_status").alias("stored")), "gen_id").groupBy("stored", "status").agg(F.count(F.lit(1)).alias("n")), f"WITH {CLEAN_SQL} SELECT lower(gen_status) AS stored, status, count(*) AS n FROM cleaned JOIN inference_records USING (gen_id) WHERE raw IS NOT NULL GROUP BY ALL"),
-    "label_scrub": Query(lambda s, d: load(s, d, "fewshot_bank").where("emr is not null").select("rec_id", H.scrub_labels(F.col("emr")).alias("emr")), f"SELECT rec_id, {_RED_SQL} AS emr FROM fewshot_bank WHERE emr IS NOT NULL"),
-    "display_cap": Query(lambda s, d: load(s, d, "documents").select("doc_id", F.when(F.length("text") > 2600, F.concat(F.substring("text", 1, 2600), F.lit(" …"))).otherwise(F.col("text")).alias("text")), "SELECT doc_id, CASE WHEN length(text) > 2600 THEN substr(text, 1, 2600) || ' …' ELSE text END AS text FROM documents"),
-    "length_percentiles": Query(length_percentiles, "SELECT source, count(length(text)) AS n, min(length(text)) AS lo, max(length(text)) AS hi, " + ", ".join(f"round(quantile_cont(length(text), {p}), 6) AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.99)) + ", count(*) FILTER (WHERE length(text) > 2000) AS over FROM documents GROUP BY source"),
+    "clean_status": Query(
+        clean_status,
+        f"""WITH {CLEAN_SQL} SELECT gen_id, cleaned, status, array_to_string(list_filter([CASE WHEN contains(lower(raw), '<think>') THEN 'had_think_block' END, CASE WHEN regexp_matches(closed, '{_ROLE_SQL}') THEN 'had_role_lines' END,
+CASE WHEN status = 'ok' AND regexp_matches(cleaned, '(?:을|를|이|가|에|의|로|와|과|은|는){_SP}*$') AND NOT ({_ENDS}) THEN 'maybe_truncated' END], lambda x: x IS NOT NULL), ',') AS flags FROM cleaned WHERE raw IS NOT NULL""",
+    ),
+    "foreign_share": Query(
+        lambda s, d: _cleaned(s, d).where("raw is not null").select("gen_id", F.round(H.foreign_share(F.col("cleaned")), 6).alias("share")),
+        f"WITH {CLEAN_SQL} SELECT gen_id, round(foreign_share, 6) AS share FROM cleaned WHERE raw IS NOT NULL",
+    ),
+    "no_issue_exact": Query(
+        lambda s, d: load(s, d, "inference_records").select("gen_id", H.no_issue(F.col("generated")).alias("no_issue")),
+        f"SELECT gen_id, {_NO_ISSUE_SQL('generated')} AS no_issue FROM inference_records",
+    ),
+    "normalize_dedup": Query(
+        dedup_candidates,
+        f"WITH {CLEAN_SQL}, k AS (SELECT gen_id, sid, {_SQUEEZE('cleaned')} AS key FROM cleaned JOIN inference_records USING (gen_id) "
+        "WHERE raw IS NOT NULL AND status = 'ok' AND sid <> -1) SELECT gen_id, sid, key FROM k QUALIFY row_number() OVER (PARTITION BY sid, key "
+        "ORDER BY gen_id) = 1",
+    ),
+    "status_disagreement": Query(
+        lambda s, d: _cleaned(s, d).where("raw is not null").join(load(s, d, "inference_records").select("gen_id", F.lower("gen_status").alias("stored")), "gen_id").groupBy("stored", "status").agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {CLEAN_SQL} SELECT lower(gen_status) AS stored, status, count(*) AS n FROM cleaned JOIN inference_records USING (gen_id) WHERE raw IS NOT NULL "
+        "GROUP BY ALL",
+    ),
+    "label_scrub": Query(
+        lambda s, d: load(s, d, "fewshot_bank").where("emr is not null").select("rec_id", H.scrub_labels(F.col("emr")).alias("emr")),
+        f"SELECT rec_id, {_RED_SQL} AS emr FROM fewshot_bank WHERE emr IS NOT NULL",
+    ),
+    "display_cap": Query(
+        lambda s, d: load(s, d, "documents").select("doc_id", F.when(F.length("text") > 2600, F.concat(F.substring("text", 1, 2600), F.lit(" …"))).otherwise(F.col("text")).alias("text")),
+        "SELECT doc_id, CASE WHEN length(text) > 2600 THEN substr(text, 1, 2600) || ' …' ELSE text END AS text FROM documents",
+    ),
+    "length_percentiles": Query(
+        length_percentiles,
+        "SELECT source, count(length(text)) AS n, min(length(text)) AS lo, max(length(text)) AS hi, " + ", ".join(f"round(quantile_cont(length(text), {p}), 6) AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.99)) + ", count(*) FILTER (WHERE length(text) > 2000) AS over FROM documents GROUP BY source",
+    ),
 }

@@ -243,44 +243,119 @@ def hard_lines(spark, d):
 
 
 QUERIES = {
-    "vital_events": Query(vital_events, f"WITH {CLASSIFIED_SQL} SELECT {_EVENT_SQL}, array_to_string(reasons, ',') AS reasons, len(reasons) > 0 AS reportable, urgency FROM classified"),
-    "vital_clean": Query(lambda s, d: vitals.series(marks(s, d)).select("row_id", "sid", "item", "us", "v", "age"), f"WITH {SERIES_SQL} SELECT row_id, sid, item, us, v, age FROM series"),
-    "vital_item_value_parse": Query(lambda s, d: _readings(s, d).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), f"WITH {READINGS_SQL} SELECT item, count(*) AS n, min(v) AS lo, max(v) AS hi FROM readings GROUP BY item"),
-    "vital_drop_counts": Query(lambda s, d: vitals.drop_counts(_readings(s, d)), f"WITH {READINGS_SQL} SELECT item, count(*) AS n, count(*) FILTER (WHERE v < lo) AS below, count(*) FILTER (WHERE v > hi) AS above FROM readings GROUP BY item"),
-    "sampling_step": Query(lambda s, d: vitals.steps(marks(s, d)).select("sid", "item", _R("step_min")), f"WITH {SERIES_SQL} SELECT sid, item, round(step_us / 60000000, 6) AS step_min FROM step"),
+    "vital_events": Query(
+        vital_events,
+        f"WITH {CLASSIFIED_SQL} SELECT {_EVENT_SQL}, array_to_string(reasons, ',') AS reasons, len(reasons) > 0 AS reportable, urgency FROM classified",
+    ),
+    "vital_clean": Query(
+        lambda s, d: vitals.series(marks(s, d)).select("row_id", "sid", "item", "us", "v", "age"),
+        f"WITH {SERIES_SQL} SELECT row_id, sid, item, us, v, age FROM series",
+    ),
+    "vital_item_value_parse": Query(
+        lambda s, d: _readings(s, d).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")),
+        f"WITH {READINGS_SQL} SELECT item, count(*) AS n, min(v) AS lo, max(v) AS hi FROM readings GROUP BY item",
+    ),
+    "vital_drop_counts": Query(
+        lambda s, d: vitals.drop_counts(_readings(s, d)),
+        f"WITH {READINGS_SQL} SELECT item, count(*) AS n, count(*) FILTER (WHERE v < lo) AS below, count(*) FILTER (WHERE v > hi) AS above FROM readings GROUP BY item",
+    ),
+    "sampling_step": Query(
+        lambda s, d: vitals.steps(marks(s, d)).select("sid", "item", _R("step_min")),
+        f"WITH {SERIES_SQL} SELECT sid, item, round(step_us / 60000000, 6) AS step_min FROM step",
+    ),
     "baseline": Query(lambda s, d: vitals.baselines(marks(s, d)), f"WITH {SERIES_SQL} SELECT sid, item, baseline FROM base"),
     "handoff_window": Query(lambda s, d: vitals.handoffs(marks(s, d)), f"WITH {SERIES_SQL} SELECT sid, handoff_us FROM hand"),
-    "episodes": Query(lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "low", "tier2", "threshold", "from_us", "to_us", "n", "ext", F.round(F.col("long_us") / 60000000, 6).alias("minutes")), f"WITH {EPISODES_SQL} SELECT sid, item, kind, low, tier2, threshold, from_us, to_us, n, ext, round(long_us / 60000000, 6) AS minutes FROM episodes"),
+    "episodes": Query(
+        lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "low", "tier2", "threshold", "from_us", "to_us", "n", "ext", F.round(F.col("long_us") / 60000000, 6).alias("minutes")),
+        f"WITH {EPISODES_SQL} SELECT sid, item, kind, low, tier2, threshold, from_us, to_us, n, ext, round(long_us / 60000000, 6) AS minutes FROM episodes",
+    ),
     "event_aggregate": Query(lambda s, d: vitals.events(marks(s, d)).select(*_EVENT), f"WITH {EVENTS_SQL} SELECT {_EVENT_SQL} FROM ev"),
-    "persistence_census": Query(lambda s, d: vitals.events(marks(s, d)).groupBy("item", "kind", "tier2").agg(F.count_if("persists").alias("lasting"), F.count_if("gate").alias("gated"), F.count(F.lit(1)).alias("n")), f"WITH {EVENTS_SQL} SELECT item, kind, tier2, count(*) FILTER (WHERE persists) AS lasting, count(*) FILTER (WHERE gate) AS gated, count(*) AS n FROM ev GROUP BY ALL"),
+    "persistence_census": Query(
+        lambda s, d: vitals.events(marks(s, d)).groupBy("item", "kind", "tier2").agg(F.count_if("persists").alias("lasting"), F.count_if("gate").alias("gated"), F.count(F.lit(1)).alias("n")),
+        f"WITH {EVENTS_SQL} SELECT item, kind, tier2, count(*) FILTER (WHERE persists) AS lasting, count(*) FILTER (WHERE gate) AS gated, count(*) AS n "
+        "FROM ev GROUP BY ALL",
+    ),
     "totals_and_rate": Query(
         lambda s, d: vitals.totals(marks(s, d), cases(s, d)).select("sid", "ebl", _R("ebl_percent"), "blood_text", "blood_flag", "uo", _R("uo_rate"), "no_foley", "urine_text", "urine_flag"),
-        f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, ebl, round(ebl_percent, 6) AS ebl_percent, blood_text, blood_flag, uo, round(uo_rate, 6) AS uo_rate, no_foley, urine_text, urine_flag FROM totals",
+        f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, ebl, round(ebl_percent, 6) AS ebl_percent, blood_text, blood_flag, uo, round(uo_rate, 6) AS uo_rate, "
+        "no_foley, urine_text, urine_flag FROM totals",
+    ),
+    "no_foley": Query(
+        lambda s, d: vitals.totals(marks(s, d), cases(s, d)).select("sid", "no_foley"),
+        f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, no_foley FROM totals",
+    ),
+    "blood_loss_events": Query(
+        lambda s, d: vitals.totals(marks(s, d), cases(s, d)).where("blood_flag or urine_flag").select("sid", "blood_text", "blood_flag", "urine_text", "urine_flag"),
+        f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, blood_text, blood_flag, urine_text, urine_flag FROM totals WHERE blood_flag OR urine_flag",
+    ),
+    "planned_hypothermia_line": Query(
+        lambda s, d: vitals.planned_lines(marks(s, d), _planned(s, d)),
+        f"WITH {AUDIT_SQL}, {LINES_SQL} SELECT sid, line FROM planned_line",
     ),
-    "no_foley": Query(lambda s, d: vitals.totals(marks(s, d), cases(s, d)).select("sid", "no_foley"), f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, no_foley FROM totals"),
-    "blood_loss_events": Query(lambda s, d: vitals.totals(marks(s, d), cases(s, d)).where("blood_flag or urine_flag").select("sid", "blood_text", "blood_flag", "urine_text", "urine_flag"), f"WITH {SERIES_SQL}, {TOTALS_SQL} SELECT sid, blood_text, blood_flag, urine_text, urine_flag FROM totals WHERE blood_flag OR urine_flag"),
-    "planned_hypothermia_line": Query(lambda s, d: vitals.planned_lines(marks(s, d), _planned(s, d)), f"WITH {AUDIT_SQL}, {LINES_SQL} SELECT sid, line FROM planned_line"),
     "handoff_line": Query(lambda s, d: vitals.handoff_lines(marks(s, d), _given(s, d)), f"WITH {AUDIT_SQL}, {LINES_SQL} SELECT sid, line FROM handoff_line"),
     "audit_flatten": Query(audit_flatten, FLAT_SQL),
-    "vital_audit": Query(lambda s, d: vital_audit(s, d).select("sid", F.size("reportable").alias("n_reportable"), F.size("minor").alias("n_minor"), F.to_json("reportable").isNotNull().alias("kept")), f"WITH {AUDIT_SQL}, f AS (SELECT sid, len(reasons) > 0 AS r FROM aud UNION ALL SELECT sid, blood_flag FROM totals WHERE blood_text IS NOT NULL UNION ALL SELECT sid, urine_flag FROM totals WHERE urine_text IS NOT NULL) SELECT sid, CAST(count(*) FILTER (WHERE r) AS INT) AS n_reportable, CAST(count(*) FILTER (WHERE NOT r) AS INT) AS n_minor, true AS kept FROM f GROUP BY sid"),
+    "vital_audit": Query(
+        lambda s, d: vital_audit(s, d).select("sid", F.size("reportable").alias("n_reportable"), F.size("minor").alias("n_minor"), F.to_json("reportable").isNotNull().alias("kept")),
+        f"WITH {AUDIT_SQL}, f AS (SELECT sid, len(reasons) > 0 AS r FROM aud UNION ALL SELECT sid, blood_flag FROM totals WHERE blood_text IS NOT NULL "
+        "UNION ALL SELECT sid, urine_flag FROM totals WHERE urine_text IS NOT NULL) SELECT sid, CAST(count(*) FILTER (WHERE r) AS INT) AS n_reportable, "
+        "CAST(count(*) FILTER (WHERE NOT r) AS INT) AS n_minor, true AS kept FROM f GROUP BY sid",
+    ),
     "rule_counters": Query(
         rule_counters,
         f"""WITH {AUDIT_SQL}, c AS (SELECT unnest(list_concat(['events_total', CASE WHEN len(reasons) > 0 THEN 'events_reportable' ELSE 'events_minor' END], list_transform(reasons, lambda r: 'reason_' || r))) AS name FROM aud
 UNION ALL SELECT 'flagged_blood_loss' FROM totals WHERE blood_flag AND blood_text IS NOT NULL UNION ALL SELECT 'flagged_oliguria' FROM totals WHERE urine_flag AND urine_text IS NOT NULL)
 SELECT name, count(*) AS n FROM c GROUP BY name UNION ALL SELECT 'cases_planned', count(*) FROM planned""",
     ),
-    "summary_markers": Query(summary_markers, f"WITH {SUMMARY_SQL} SELECT count(*) AS cases, count(*) FILTER (WHERE contains(summary, '{vitals.HANDOFF}')) AS at_handoff, count(*) FILTER (WHERE contains(summary, '{vitals.NOTHING}')) AS nothing, count(*) FILTER (WHERE contains(summary, '개입:')) AS linked, count(*) FILTER (WHERE contains(summary, '계획된 저체온')) AS planned, count(*) FILTER (WHERE NOT starts_with(summary, '(연령군')) AS without_age FROM summary"),
-    "render_interventions": Query(lambda s, d: _given(s, d).groupBy("sid").agg(timeline.render(F.collect_set(F.struct("minute", "category"))).alias("told")), f"WITH {GIVEN_SQL}, labels(category, label, k) AS (VALUES {_LABELS_SQL}) SELECT sid, string_agg(l.label || ' ' || {_CLOCK_SQL}, ', ' ORDER BY minute, k) AS told FROM (SELECT DISTINCT sid, minute, category FROM given) JOIN labels l USING (category) GROUP BY sid"),
-    "duration_format": Query(lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "tier2", "from_us", vitals.duration(F.col("long_us") / 60000000).alias("told")), f"WITH {EPISODES_SQL} SELECT sid, item, kind, tier2, from_us, {_DUR_SQL('(long_us / 60000000)')} AS told FROM episodes"),
-    "handoff_snapshot": Query(lambda s, d: vitals.at_handoff(marks(s, d)), f"WITH {SERIES_SQL} SELECT sid, " + ", ".join(f"median(v) FILTER (WHERE item = '{i}') AS {i.lower()}" for i in ("HR", "SBP", "ISBP1", "MBP", "SpO2", "T1")) + " FROM series JOIN hand USING (sid) WHERE us >= handoff_us GROUP BY sid"),
-    "age_group_census": Query(lambda s, d: cases(s, d).groupBy(T.age_group(F.col("age")).alias("age_group")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {_case(T.AGE_GROUPS, 1, 'age_years')} AS age_group, count(*) AS n FROM emr_case GROUP BY 1"),
-    "threshold_matrix": Query(threshold_matrix, f"SELECT CAST(a AS DOUBLE) AS age, {_case(T.AGE_GROUPS, 1, 'a')} AS age_group, {_case(T.HR_NORMAL, 1, 'a')} AS hr_lo, {_case(T.HR_NORMAL, 2, 'a')} AS hr_hi, {_case(T.HR_CRITICAL, 1, 'a')} AS hr_slow, {_case(T.HR_CRITICAL, 2, 'a')} AS hr_fast, {SBP_SQL.replace('age', 'a')} AS sbp_low, {_p95(100.0, 130.0, T.SBP_P95, 'a')} AS sbp_high, {_p95(65.0, 80.0, T.DBP_P95, 'a')} AS dbp_high, {MAP_SQL.replace('age', 'a')} AS map_low, round({MAP_SQL.replace('age', 'a')} * 0.8, 6) AS map_drop, CASE WHEN a < {T.NEONATE!r} THEN 470.0 ELSE 440.0 END AS qtc, {_case(T.EBV, 1, 'a')} AS ebv FROM {_AGES_SQL}"),
-    "hard_lines": Query(hard_lines, f"SELECT age, item, round({HARD_LOW_SQL}, 6) AS low, {HARD_HIGH_SQL} AS high FROM (SELECT CAST(a AS DOUBLE) AS age FROM {_AGES_SQL}), (VALUES ('HR'), ('SBP'), ('MBP'), ('SpO2'), ('T1'), ('QTc'), ('Ppeak')) i(item)"),
-    "planned_hypothermia": Query(lambda s, d: records(s, d).groupBy("sid").agg(F.bool_or(T.planned_hypothermia(F.col("record"))).alias("planned")), "SELECT sid, bool_or(" + " OR ".join(f"contains(lower(emr), '{w}')" for w in T.PLANNED_HYPOTHERMIA) + ") AS planned FROM fewshot_bank WHERE sid <> -1 AND emr IS NOT NULL GROUP BY sid"),
+    "summary_markers": Query(
+        summary_markers,
+        f"WITH {SUMMARY_SQL} SELECT count(*) AS cases, count(*) FILTER (WHERE contains(summary, '{vitals.HANDOFF}')) AS at_handoff, "
+        f"count(*) FILTER (WHERE contains(summary, '{vitals.NOTHING}')) AS nothing, count(*) FILTER (WHERE contains(summary, '개입:')) AS linked, "
+        "count(*) FILTER (WHERE contains(summary, '계획된 저체온')) AS planned, count(*) FILTER (WHERE NOT starts_with(summary, '(연령군')) AS without_age "
+        "FROM summary",
+    ),
+    "render_interventions": Query(
+        lambda s, d: _given(s, d).groupBy("sid").agg(timeline.render(F.collect_set(F.struct("minute", "category"))).alias("told")),
+        f"WITH {GIVEN_SQL}, labels(category, label, k) AS (VALUES {_LABELS_SQL}) SELECT sid, string_agg(l.label || ' ' || {_CLOCK_SQL}, ', ' ORDER BY minute, "
+        "k) AS told FROM (SELECT DISTINCT sid, minute, category FROM given) JOIN labels l USING (category) GROUP BY sid",
+    ),
+    "duration_format": Query(
+        lambda s, d: vitals.episodes(marks(s, d)).select("sid", "item", "kind", "tier2", "from_us", vitals.duration(F.col("long_us") / 60000000).alias("told")),
+        f"WITH {EPISODES_SQL} SELECT sid, item, kind, tier2, from_us, {_DUR_SQL('(long_us / 60000000)')} AS told FROM episodes",
+    ),
+    "handoff_snapshot": Query(
+        lambda s, d: vitals.at_handoff(marks(s, d)),
+        f"WITH {SERIES_SQL} SELECT sid, " + ", ".join(f"median(v) FILTER (WHERE item = '{i}') AS {i.lower()}" for i in ("HR", "SBP", "ISBP1", "MBP", "SpO2", "T1")) + " FROM series JOIN hand USING (sid) WHERE us >= handoff_us GROUP BY sid",
+    ),
+    "age_group_census": Query(
+        lambda s, d: cases(s, d).groupBy(T.age_group(F.col("age")).alias("age_group")).agg(F.count(F.lit(1)).alias("n")),
+        f"SELECT {_case(T.AGE_GROUPS, 1, 'age_years')} AS age_group, count(*) AS n FROM emr_case GROUP BY 1",
+    ),
+    "threshold_matrix": Query(
+        threshold_matrix,
+        f"SELECT CAST(a AS DOUBLE) AS age, {_case(T.AGE_GROUPS, 1, 'a')} AS age_group, {_case(T.HR_NORMAL, 1, 'a')} AS hr_lo, {_case(T.HR_NORMAL, 2, 'a')} AS hr_hi, {_case(T.HR_CRITICAL, 1, 'a')} AS hr_slow, {_case(T.HR_CRITICAL, 2, 'a')} AS hr_fast, {SBP_SQL.replace('age', 'a')} AS sbp_low, {_p95(100.0, 130.0, T.SBP_P95, 'a')} AS sbp_high, {_p95(65.0, 80.0, T.DBP_P95, 'a')} AS dbp_high, {MAP_SQL.replace('age', 'a')} AS map_low, "
+        f"round({MAP_SQL.replace('age', 'a')} * 0.8, 6) AS map_drop, CASE "
+        f"WHEN a < {T.NEONATE!r} THEN 470.0 ELSE 440.0 END AS qtc, {_case(T.EBV, 1, 'a')} AS ebv FROM {_AGES_SQL}",
+    ),
+    "hard_lines": Query(
+        hard_lines,
+        f"SELECT age, item, round({HARD_LOW_SQL}, 6) AS low, {HARD_HIGH_SQL} AS high FROM (SELECT CAST(a AS DOUBLE) AS age FROM {_AGES_SQL}), (VALUES ('HR'), "
+        "('SBP'), ('MBP'), ('SpO2'), ('T1'), ('QTc'), ('Ppeak')) i(item)",
+    ),
+    "planned_hypothermia": Query(
+        lambda s, d: records(s, d).groupBy("sid").agg(F.bool_or(T.planned_hypothermia(F.col("record"))).alias("planned")),
+        "SELECT sid, bool_or(" + " OR ".join(f"contains(lower(emr), '{w}')" for w in T.PLANNED_HYPOTHERMIA) + ") AS planned FROM fewshot_bank WHERE sid <> -1 AND emr IS NOT NULL GROUP BY sid",
+    ),
     "timeline_parse": Query(lambda s, d: timeline.parse(records(s, d)), f"WITH {TIMELINE_SQL} SELECT * FROM entries"),
     "keyword_categories": Query(lambda s, d: timeline.interventions(timeline.parse(records(s, d))), f"WITH {GIVEN_SQL} SELECT * FROM given"),
     "intervention_match_circular": Query(lambda s, d: timeline.matches(vitals.episodes(marks(s, d)), _given(s, d)), f"WITH {MATCH_SQL} SELECT * FROM matched"),
-    "weight_discovery": Query(lambda s, d: cases(s, d).drop("weight").join(emr.weights(load(s, d, "emr_case"), "sid"), "sid"), f"WITH {CASES_SQL} SELECT * FROM cases"),
+    "weight_discovery": Query(
+        lambda s, d: cases(s, d).drop("weight").join(emr.weights(load(s, d, "emr_case"), "sid"), "sid"),
+        f"WITH {CASES_SQL} SELECT * FROM cases",
+    ),
     "vital_summary_text": Query(vital_summary, f"WITH {SUMMARY_SQL} SELECT sid, summary, n_reportable, n_minor, minor_text FROM summary"),
-    "minute_formats": Query(lambda s, d: _readings(s, d).select("row_id", F.pmod(F.floor(F.col("us") / 60000000), F.lit(1440)).cast("int").alias("m")).select("row_id", F.col("m").alias("minute"), F.format_string("%02d:%02d", F.floor(F.col("m") / 60).cast("int"), (F.col("m") % 60).cast("int")).alias("hhmm")), f"WITH {READINGS_SQL} SELECT row_id, CAST((us // 60000000) % 1440 AS INT) AS minute, printf('%02d:%02d', CAST(((us // 60000000) % 1440) // 60 AS INT), CAST((us // 60000000) % 60 AS INT)) AS hhmm FROM readings"),
+    "minute_formats": Query(
+        lambda s, d: _readings(s, d).select("row_id", F.pmod(F.floor(F.col("us") / 60000000), F.lit(1440)).cast("int").alias("m")).select("row_id", F.col("m").alias("minute"), F.format_string("%02d:%02d", F.floor(F.col("m") / 60).cast("int"), (F.col("m") % 60).cast("int")).alias("hhmm")),
+        f"WITH {READINGS_SQL} SELECT row_id, CAST((us // 60000000) % 1440 AS INT) AS minute, printf('%02d:%02d', "
+        "CAST(((us // 60000000) % 1440) // 60 AS INT), CAST((us // 60000000) % 60 AS INT)) AS hhmm FROM readings",
+    ),
 }
