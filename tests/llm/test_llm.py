@@ -233,6 +233,37 @@ def test_candidates_lose_no_near_same_text(monkeypatch, hits):
     assert want <= got and len(want) > 30
 
 
+@pytest.mark.parametrize("seed", [8, 9])
+def test_runs_located_by_one_shard_lose_no_text_of_another(seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("가나다라마") for _ in range(rng.choice([1, 3, 9, 39, 90, 300]))) for _ in range(60)]
+    partners = ["".join(rng.choice([c] * 30 + ["", "나"]) for c in t) or "가" for t in texts]
+    shards = [overlap.Index(*overlap.Index.build([overlap.symbols(t) for t in part])) for part in (partners[:30], partners[30:])]
+    located = overlap.Runs(shards[0], texts, 0.8)
+    got = {(a, b + 30 * k) for k, index in enumerate(shards) for a, b in overlap.candidates(index, texts, 0.8, located)}
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(partners) if overlap.near_same(x, y, 0.8)}
+    assert want <= got and len(want) > 30
+
+
+def test_letters_of_many_texts_equal_those_of_each():
+    texts = [None, "", " ", "ＨＲ 90㎎/㎏, Ⅳ형", "ß İ e\u0301 각 \u1100\u1161\u11a8", "①²½ a_b-c\u200b", "\U0001d54f\U00020000x"] + ["x", None, "가 나"] * 50
+    assert overlap.letters_of(texts) == [overlap.letters(t) for t in texts]
+
+
+def test_pairs_of_copies_are_neither_shuffled_nor_lost(spark):
+    text = "마취 유도 후 혈압 저하 있어 수액 주입하고 경과 관찰함 "
+    rows = [(k, k % 7 if k % 3 else -1, "sft" if k % 2 else "dev", f"{text * 2}{k % 4}") for k in range(40)] + [(50, 3, "sft", None), (51, 3, "gold", " ")]
+    df = spark.createDataFrame(rows, "rec_id long, sid long, split string, emr string")
+    alike = lambda a, b: bool(a and b) and overlap.near_same(overlap.letters(a), overlap.letters(b), 0.8)
+    want = sorted((a[0], b[0], a[1] == b[1] != -1, alike(a[3], b[3])) for a in rows for b in rows if a[2] == "sft" != b[2] and (a[1] == b[1] != -1 or alike(a[3], b[3])))
+    pairs = overlap.cross_split(df)
+    assert sorted((r["train_id"], r["eval_id"], r["same_sid"], r["near_emr"]) for r in pairs.collect()) == want and len(want) > 300
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    # a record of two rows is still one record
+    twice = overlap.cross_split(df.union(df.limit(5)).union(spark.createDataFrame([(1, 6, "sft", "다른 글")], df.schema)))
+    assert sorted((r["train_id"], r["eval_id"]) for r in twice.collect()) == sorted({(a, b) for a, b, *_ in want} | {(1, b[0]) for b in rows if b[2] != "sft" and b[1] == 6})
+
+
 PROMPT = "다음 EMR 을 요약하시오.\n\n### EMR\n►11:52 PEEP 7 → 9 cmH2O, FiO2 0.2\n►11:58 Urine 315 mL, 색 분홍빛\n►12:11 두드러기 관찰되어 Dexamethasone 1.2 mL 투여\n"
 
 
